@@ -26,6 +26,8 @@ CACHE_ROWS = 250_000
 #: Stands for the end of a word; no byte is written with it.
 END = "\x00"
 NEVER = 1 << 60
+#: The token before the first one; ids of a vocabulary are smaller.
+START = (1 << 16) - 1
 
 
 class PrefixEncoder:
@@ -74,6 +76,9 @@ class PrefixEncoder:
         for i, letters in spelled.items():
             self.tokens.add_word(letters, (len(letters), i))
         self.tokens.make_automaton()
+        self.sizes = [len(spelled.get(i, "")) for i in range(size)]
+        if size > START:
+            raise ValueError("the vocabulary is too large")
         self.lowered = {ord("Σ"): "σ"} | (lowered or {})
         self.names = [self.names.get(i, "") for i in range(max(self.names) + 1)]
         self.fits: dict = {}
@@ -97,31 +102,22 @@ class PrefixEncoder:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one piece of the pretokenizer."""
-        letters = "".join([self.letters[b] for b in word.encode()]) + END
-        last, came = [-1] * (len(letters) + 1), [0] * (len(letters) + 1)
+        letters = (word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()])) + END
+        last = [-1] * len(letters) + [START]  # last[-1] stands before the first letter
         fits = self.fits
         for end, (size, token) in self.tokens.iter(letters):
-            end += 1
-            start = end - size
-            if last[end] >= 0:
-                continue
-            if start:
-                before = last[start]
-                if before < 0:
-                    continue
-                key = before * 65536 + token
-                ok = fits.get(key)
+            if last[end] < 0 and (before := last[end - size]) >= 0:
+                ok = fits.get((before << 16) + token)
                 if ok is None:
-                    if len(fits) >= 4 * CACHE_ROWS:
+                    if len(fits) >= 2 * CACHE_ROWS:
                         fits.clear()
-                    ok = fits[key] = self.compatible(before, token)
-                if not ok:
-                    continue
-            last[end], came[end] = token, start
-        ids, at = [], len(letters)
-        while at:
-            ids.append(last[at])
-            at = came[at]
+                    ok = fits[(before << 16) + token] = before == START or self.compatible(before, token)
+                if ok:
+                    last[end] = token
+        ids, at, sizes = [], len(letters) - 1, self.sizes
+        while at >= 0:
+            ids.append(token := last[at])
+            at -= sizes[token]
         return ids[::-1]
 
     def word(self, word: str) -> list[int]:
@@ -171,10 +167,8 @@ class PrefixEncoder:
     def encode(self, text: str) -> tuple[bytes, str]:
         """Packed ids (four bytes each, little-endian) and the decoded text. White space never joins two chunks' tokens."""
         chunks = self.blanks.split(text) if self.odd_space.search(text) else text.split()
-        made, found = self.chunk, []
-        for c in chunks:
-            if c:
-                found.append(self.by_chunk.get(c) or made(c))
+        get, made = self.by_chunk.get, self.chunk
+        found = [get(c) or made(c) for c in chunks if c]
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
     def decode(self, ids) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, lattice_lm, sharding, simhash
+from tessera.llm import bpe, decontaminate, lattice_lm, licenses, preference, quality, secrets, sharding, simhash
 from tessera.llm.words import documents
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -22,6 +22,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: the query files them by source, language and runs of ids; any file may hold its folder's licence."""
+    docs = documents(spark, sf_dir)
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.scanned(docs, ["doc_id"], path, docs.text, F.lit(True))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(documents(spark, sf_dir), ["doc_id"])
+    base = F.col("__ts_base")
+    number = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("__ts_spans")).alias("spans"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -35,11 +53,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("pair"), "turn", "role", "text")
+    return preference.formatted(turns, preference.self_rejected(turns)).withColumnRenamed("pair", "conv_id")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.with_digest(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "found")
     hit = F.col("found")
     return found.select("doc_id", hit["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"), F.size(hit["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"), decontaminate.is_contaminated(hit).alias("contaminated"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_sharding": op1_sharding, "op2_licenses": op2_licenses, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op9_preference": op9_preference, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
