@@ -5,8 +5,8 @@ then fitted by one expectation-maximisation step over every distinct word of the
 word's log10 probability is the forward recursion over its lattice in log space; letters that the vocabulary lacks are
 spelled with its byte pieces. A text's is the sum over its words plus the end's.
 
-Each distinct word of the corpus is counted and scored once, in a table that is dealt out by word. The HEAD_ROWS most frequent
-words are broadcast (a fixed bound); other words of a document meet the table in a join on the word, where none of them
+Each distinct word of the corpus is counted and scored once, in a table that is dealt out by word. The at most HEAD_ROWS most
+frequent words are broadcast (a fixed bound); other words of a document meet the table in a join on the word, where none of them
 is hot, since all hot words are in the head.
 
 Null texts are empty: only the end is scored. Documents without an id are training ones. Repeated rows count each time.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.process_cache import kept
+from tessera.llm.quality import bucket
 from tessera.plans.staging import staged
 
 #: Most frequent words that are broadcast.
@@ -196,6 +197,17 @@ def _head_scores(text: Column, shared) -> Column:
     return F.arrow_udf(run, "n long, known long, base double, score double, tail array<struct<word:string,tf:long>>").asNondeterministic()(text)
 
 
+def head_cut(words: DataFrame, head_rows: int) -> int:
+    """The least count such that at most ``head_rows`` words have it or more, from a histogram of counts' leading bits."""
+    taken, cut = 0, 1 << 62
+    for low, n in sorted(words.groupBy(bucket(F.col("n")).alias("low")).count().collect(), reverse=True):  # under 2,000 buckets
+        taken += n
+        if taken > head_rows:
+            break
+        cut = low
+    return cut
+
+
 def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", head_rows: int = HEAD_ROWS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``."""
     import uuid
@@ -218,7 +230,7 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     end_score = math.log10((ends + MISSING) / total)
 
     words = staged(counts.withColumn("score", word_scores(F.col("word"), fitted)), "scored_words").withColumn("base", F.log10(F.col("c") + MISSING))
-    top = words.orderBy(F.desc("n"), "word").limit(head_rows).select("word", "base", "score", (F.col("c") > 0).cast("int").alias("known")).toArrow()
+    top = words.where(F.col("n") >= head_cut(words, head_rows)).select("word", "base", "score", (F.col("c") > 0).cast("int").alias("known")).toArrow()
     head = sc.broadcast((uuid.uuid4().hex, top.column("word").cast(pa.binary()).to_pylist(), *(top.column(c).to_pylist() for c in ("base", "score", "known"))))
 
     part = staged(slim.select("doc_id", "held_out", F.monotonically_increasing_id().alias("row"), _head_scores(F.col("text"), head).alias("h")), "heads")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, lattice_lm, licenses, preference, quality, secrets, sharding, simhash
+from tessera.llm import bpe, decontaminate, html_extract, lattice_lm, licenses, preference, quality, secrets, sharding, simhash
 from tessera.llm.words import documents
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -29,6 +29,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(docs, ["doc_id"], path, docs.text, F.lit(True))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scanned(documents(spark, sf_dir), ["doc_id"])
     base = F.col("__ts_base")
@@ -64,5 +69,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hit["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"), F.size(hit["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"), decontaminate.is_contaminated(hit).alias("contaminated"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_licenses": op2_licenses, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op9_preference": op9_preference, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_sharding": op1_sharding, "op2_licenses": op2_licenses, "op3_main_text": op3_main_text, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op9_preference": op9_preference, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
