@@ -134,20 +134,20 @@ def merged(a: Column, b: Column) -> Column:
 
 
 def with_digest(docs: DataFrame, benchmark: DataFrame, name: str = "contamination", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a struct of n_words, n_hit, items (sorted names) and spans (merged ranges of word positions)."""
+    """``docs`` with a struct of n_words, n_hit, items (sorted names) and spans (merged ranges of word positions). A column of
+    that name gives way."""
     import uuid
 
-    for block in blocks(benchmark, text="text", block_bytes=block_bytes) if benchmark.columns else ():
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, window))
-        if name in docs.columns:  # a further block: earlier ones are written, so that one worker holds one block at a time
-            docs = staged(docs, "contamination")
-            docs = docs.withColumn("__ts_block", scanned(docs[text], shared)).withColumn(name, merged(F.col(name), F.col("__ts_block"))).drop("__ts_block")
-        else:
-            docs = docs.withColumn(name, scanned(docs[text], shared))
-    if name not in docs.columns:
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [], window))
-        docs = docs.withColumn(name, scanned(docs[text], shared))
-    return docs
+    sc, digest = docs.sparkSession.sparkContext, None
+    docs = docs.drop(name)
+    for block in blocks(benchmark, text="text", block_bytes=block_bytes):
+        shared = sc.broadcast((uuid.uuid4().hex, block, window))
+        if digest is None:
+            digest = docs.withColumn(name, scanned(docs[text], shared))
+        else:  # a further block: earlier ones are written, so that one worker holds one block at a time
+            digest = staged(digest, "contamination")
+            digest = digest.withColumn("__ts_block", scanned(digest[text], shared)).withColumn(name, merged(F.col(name), F.col("__ts_block"))).drop("__ts_block")
+    return digest if digest is not None else docs.withColumn(name, scanned(docs[text], sc.broadcast((uuid.uuid4().hex, [], window))))
 
 
 def is_contaminated(digest: Column) -> Column:

@@ -106,11 +106,11 @@ def _limits(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Rows (t_lang, t_source, limits): map of ratio to struct(low, high), from the narrowest group with enough documents."""
+    """Rows (__ts_t_lang, __ts_t_source, __ts_limits): map of ratio to struct(low, high), from the narrowest group with enough documents."""
     own, lang, every = _limits(sketch, ["__ts_lang", "__ts_source"], "own"), _limits(sketch, ["__ts_lang"], "by_lang"), _limits(sketch.withColumn("__ts_all", F.lit(1)), ["__ts_all"], "by_all")
     joined = own.withColumn("__ts_all", F.lit(1)).join(lang, "__ts_lang").join(every, "__ts_all")
     limits = F.when(F.col("own_docs") >= min_docs, F.col("own")).when(F.col("by_lang_docs") >= min_docs, F.col("by_lang")).otherwise(F.col("by_all"))
-    return joined.select(F.col("__ts_lang").alias("t_lang"), F.col("__ts_source").alias("t_source"), limits.alias("limits"))
+    return joined.select(F.col("__ts_lang").alias("__ts_t_lang"), F.col("__ts_source").alias("__ts_t_source"), limits.alias("__ts_limits"))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -118,11 +118,11 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     limits = staged(limits, "thresholds")
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
-    joined = measured.join(limits, (measured["__ts_lang"] == limits["t_lang"]) & (measured["__ts_source"] == limits["t_source"]), "left")
+    joined = measured.join(limits, (measured["__ts_lang"] == limits["__ts_t_lang"]) & (measured["__ts_source"] == limits["__ts_t_source"]), "left")
     inside = F.lit(True)
     for k in SLACK:
-        inside = inside & F.coalesce(F.col(f"__ts_m.{k}").between(F.col("limits")[k]["low"], F.col("limits")[k]["high"]), F.lit(True))
-    return joined.withColumn("__ts_kept", ~F.col("__ts_m.base_failed") & inside).drop("t_lang", "t_source", "limits")
+        inside = inside & F.coalesce(F.col(f"__ts_m.{k}").between(F.col("__ts_limits")[k]["low"], F.col("__ts_limits")[k]["high"]), F.lit(True))
+    return joined.withColumn("__ts_kept", ~F.col("__ts_m.base_failed") & inside).drop("__ts_t_lang", "__ts_t_source", "__ts_limits")
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
