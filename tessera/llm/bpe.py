@@ -1,9 +1,10 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
 For every prefix of a word exactly one token can be the last one of its encoding: the token must end the prefix, and the
-last token of what precedes it must be compatible with it, i.e. merging the two tokens' bytes gives just these tokens. An
-automaton over the vocabulary names all tokens that end at a position; back-pointers from the whole word give the ids.
-The cost is linear in a word's length, so a text without white space is no special case.
+last token of what precedes it must be compatible with it, i.e. merging the two tokens' bytes gives just these tokens. A suffix
+automaton over the vocabulary, whose states are all suffixes of its tokens in a hash table, walks back from a prefix's end and
+names all tokens that end there; back-pointers from the whole word give the ids. The cost is linear in a word's
+length, so a text without white space is no special case.
 
 Input rows: nulls and empty texts give no ids and the empty text. Texts are never cut. Repeated rows are encoded alike.
 """
@@ -26,8 +27,8 @@ CACHE_ROWS = 250_000
 #: Stands for the end of a word; no byte is written with it.
 END = "\x00"
 NEVER = 1 << 60
-#: The token before the first one; ids of a vocabulary are smaller.
-START = (1 << 16) - 1
+#: Ids of a vocabulary must be smaller.
+MOST_IDS = 1 << 16
 
 
 class PrefixEncoder:
@@ -35,7 +36,6 @@ class PrefixEncoder:
 
     def __init__(self, content: str, classes: dict[str, str] | None = None, lowered: dict[int, str] | None = None):
         """``classes``, ``lowered``: see pattern_classes() and lower_letters(); without them, those of this Python hold."""
-        import ahocorasick
         import regex
 
         file = json.loads(content)
@@ -72,19 +72,18 @@ class PrefixEncoder:
             self.rank[i], self.left[i], self.right[i] = rank, vocab[a], vocab[b]
             self.pair[vocab[a], vocab[b]] = rank
             spelled[i] = spelled[vocab[a]] + spelled[vocab[b]]
-        self.tokens = ahocorasick.Automaton()
-        for i, letters in spelled.items():
-            self.tokens.add_word(letters, (len(letters), i))
-        self.tokens.make_automaton()
+        self.states = {letters[k:]: -1 for letters in spelled.values() for k in range(1, len(letters))}
+        self.states |= {letters: i for i, letters in spelled.items()}
         self.sizes = [len(spelled.get(i, "")) for i in range(size)]
-        if size > START:
+        if size > MOST_IDS:
             raise ValueError("the vocabulary is too large")
         self.lowered = {ord("Σ"): "σ"} | (lowered or {})
         self.names = [self.names.get(i, "") for i in range(max(self.names) + 1)]
         self.fits: dict = {}
-        self.by_word: dict = {}
+        self.by_prefix: dict = {}
         self.by_chunk: dict = {}
         self.older: dict = {}
+        self.marks = {c: (struct.pack("<i", *self.encode_word(c)), self.decode(self.encode_word(c))) for c in ".,"}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of two tokens, merged together, stay these two: no pair across the border may come first."""
@@ -100,68 +99,107 @@ class PrefixEncoder:
             else:
                 y_ends, y = self.rank[y], self.left[y]
 
+    def ending(self, letters: str, end: int) -> list[tuple[int, int]]:
+        """(start, token) of all tokens that end the prefix of length ``end``, longest first: the automaton walks back from there."""
+        hits, states = [], self.states
+        for start in range(end - 1, -1, -1):
+            token = states.get(letters[start:end])
+            if token is None:
+                break
+            if token >= 0:
+                hits.append((start, token))
+        return hits[::-1]
+
+    def follows(self, before: int, token: int) -> bool:
+        """compatible(), remembered."""
+        ok = self.fits.get((before << 16) + token)
+        if ok is None:
+            if len(self.fits) >= CACHE_ROWS:
+                self.fits.clear()
+            ok = self.fits[(before << 16) + token] = self.compatible(before, token)
+        return ok
+
+    def last_token(self, prefix: str) -> int:
+        """The last token of a prefix. The table of prefixes is shared by all words, and filled where it is asked."""
+        token = self.by_prefix.get(prefix)
+        if token is None:
+            for start, token in self.ending(prefix, len(prefix)):
+                if not start or self.follows(self.last_token(prefix[:start]), token):
+                    break
+            if len(self.by_prefix) >= CACHE_ROWS:
+                self.by_prefix.clear()
+            self.by_prefix[prefix] = token
+        return token
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one piece of the pretokenizer."""
         letters = (word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()])) + END
-        last = [-1] * len(letters) + [START]  # last[-1] stands before the first letter
-        fits = self.fits
-        for end, (size, token) in self.tokens.iter(letters):
-            if last[end] < 0 and (before := last[end - size]) >= 0:
-                ok = fits.get((before << 16) + token)
-                if ok is None:
-                    if len(fits) >= 2 * CACHE_ROWS:
-                        fits.clear()
-                    ok = fits[(before << 16) + token] = before == START or self.compatible(before, token)
-                if ok:
-                    last[end] = token
-        ids, at, sizes = [], len(letters) - 1, self.sizes
-        while at >= 0:
-            ids.append(token := last[at])
+        sizes, ids = self.sizes, []
+        if len(letters) <= 40:
+            while letters:
+                ids.append(token := self.last_token(letters))
+                letters = letters[: -sizes[token]]
+            return ids[::-1]
+        last = []  # a long word has its own table, prefix by prefix
+        for end in range(1, len(letters) + 1):
+            last.append(next((t for start, t in self.ending(letters, end) if not start or last[start - 1] >= 0 and self.follows(last[start - 1], t)), -1))
+        at = len(letters)
+        while at:
+            ids.append(token := last[at - 1])
             at -= sizes[token]
         return ids[::-1]
 
-    def word(self, word: str) -> list[int]:
-        """Ids of one piece, from the cache if it is there."""
-        ids = self.by_word.get(word)
-        if ids is None:
-            ids = self.encode_word(word)
-            if len(word) < 64:
-                if len(self.by_word) >= CACHE_ROWS:
-                    self.by_word.clear()
-                self.by_word[word] = ids
-        return ids
+    def simple(self, word: str) -> tuple[bytes, str]:
+        """Packed ids and decoded tokens of a word of small letters below U+0130, which no normal form changes."""
+        found = self.by_chunk.get(word)
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                ids = self.encode_word(word)
+                found = struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
+            self.keep(word, found)
+        return found
+
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds no more than the vocabulary."""
+        for cache in (self.by_chunk, self.older, self.fits, self.by_prefix):
+            cache.clear()
+
+    def keep(self, text: str, found: tuple[bytes, str]) -> None:
+        """Full caches forget what was not asked for since the last time they were full."""
+        if len(text) < 48:
+            if len(self.by_chunk) >= CACHE_ROWS:
+                self.older, self.by_chunk = self.by_chunk, {}
+            self.by_chunk[text] = found
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).translate(self.lowered)
-        text = text.lower()
-        if text.isalpha() and max(text) < "\u0250":
-            return self.word(text)
         out = []
-        for word in self.pieces.findall(text):
-            out += self.word(word)
+        for word in self.pieces.findall(text.lower()):
+            out += self.encode_word(word)
         return out
 
     def chunk(self, text: str) -> tuple[bytes, str]:
-        """Packed ids and decoded tokens of what stands between white space."""
+        """Packed ids and decoded tokens of what stands between white space. Case and a closing mark are taken off first, so that
+        the cache holds words rather than their forms."""
+        if max(text) < "\u0130":
+            if text.isalpha():
+                return self.simple(text.lower())
+            if text[-1] in self.marks and text[:-1].isalpha():
+                (ids, tokens), (mark, token) = self.simple(text[:-1].lower()), self.marks[text[-1]]
+                return ids + mark, f"{tokens} {token}"
         found = self.older.get(text)
         if found is None:
+            ids, at = [], 0
             if self.specials and "<" in text:
-                ids, at = [], 0
                 for m in self.specials.finditer(text):
                     ids += [*self.plain(text[at : m.start()]), self.special[m[0]]]
                     at = m.end()
-                ids += self.plain(text[at:])
-            elif text[-1] in ".,":
-                ids = self.plain(text[:-1]) + self.word(text[-1]) if text[:-1].isalpha() and max(text) < "\u0130" else self.plain(text)
-            else:
-                ids = self.plain(text)
+            ids += self.plain(text[at:])
             found = struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
-        if len(text) < 64:
-            if len(self.by_chunk) >= CACHE_ROWS:
-                self.older, self.by_chunk = self.by_chunk, {}
-            self.by_chunk[text] = found
+        self.keep(text, found)
         return found
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -205,7 +243,7 @@ def lower_letters() -> dict[int, str]:
 
 
 def _encoder(shared) -> PrefixEncoder:
-    return kept(("bpe", shared.value[0]), lambda: PrefixEncoder(*shared.value[1:]))
+    return kept("bpe", shared.value[0], lambda: PrefixEncoder(*shared.value[1:]))
 
 
 def tokenizer_file(spark, path: str):
@@ -226,6 +264,7 @@ def encoded(text: Column, shared) -> Column:
             ends = np.cumsum([0] + [len(x[0]) // 4 for x in found], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x[0] for x in found]), dtype="<i4")))
             yield pa.StructArray.from_arrays([ids, pa.array([x[1] for x in found], pa.string())], ["ids", "decoded"])
+        encoder.forget()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "ids array<int>, decoded string").asNondeterministic()(text)
