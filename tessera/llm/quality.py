@@ -66,7 +66,8 @@ def measures(text: Column) -> Column:
 def with_measures(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with __ts_m (measures, ratios, base verdict) and the group's keys __ts_lang, __ts_source (never null)."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit(""))
-    docs = docs.select("*", measures(docs[text]).alias("__ts_raw"), key(lang).alias("__ts_lang"), key(source).alias("__ts_source"))
+    # a condition that always holds and that no optimiser can see through: measures are computed once, not in each filter
+    docs = docs.select("*", F.when(F.rand() >= 0, measures(docs[text])).alias("__ts_raw"), key(lang).alias("__ts_lang"), key(source).alias("__ts_source"))
     w, line = F.col("__ts_raw.w"), F.col("__ts_raw.l")
     n, chars, lines = (F.greatest(c, F.lit(1)) for c in (w["n_words"], w["word_chars"], line["n_lines"]))
     share = lambda part, whole: F.floor(part * 1000 / whole).cast("long")
@@ -107,9 +108,12 @@ def _limits(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Rows (__ts_t_lang, __ts_t_source, __ts_limits): map of ratio to struct(low, high), from the narrowest group with enough documents."""
-    own, lang, every = _limits(sketch, ["__ts_lang", "__ts_source"], "own"), _limits(sketch, ["__ts_lang"], "by_lang"), _limits(sketch.withColumn("__ts_all", F.lit(1)), ["__ts_all"], "by_all")
-    joined = own.withColumn("__ts_all", F.lit(1)).join(lang, "__ts_lang").join(every, "__ts_all")
-    limits = F.when(F.col("own_docs") >= min_docs, F.col("own")).when(F.col("by_lang_docs") >= min_docs, F.col("by_lang")).otherwise(F.col("by_all"))
+    own, lang = _limits(sketch, ["__ts_lang", "__ts_source"], "own"), _limits(sketch, ["__ts_lang"], "by_lang")
+    every = _limits(sketch.withColumn("__ts_all", F.lit(1)), ["__ts_all"], "by_all").first()  # one row
+    bound = lambda x: F.struct(F.lit(x.low).cast("long").alias("low"), F.lit(x.high).cast("long").alias("high"))
+    by_all = F.create_map(*(c for k, x in every.by_all.items() for c in (F.lit(k), bound(x)))) if every else F.lit(None)
+    joined = own.join(lang, "__ts_lang")
+    limits = F.when(F.col("own_docs") >= min_docs, F.col("own")).when(F.col("by_lang_docs") >= min_docs, F.col("by_lang")).otherwise(by_all)
     return joined.select(F.col("__ts_lang").alias("__ts_t_lang"), F.col("__ts_source").alias("__ts_t_source"), limits.alias("__ts_limits"))
 
 
