@@ -108,7 +108,7 @@ def scanned(text: Column, shared) -> Column:
     """Digest of each text against one broadcast block of items."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        windows = kept(("windows", shared.value[0]), lambda: Windows(shared.value[1], shared.value[2]))
+        windows = kept("windows", shared.value[0], lambda: Windows(shared.value[1], shared.value[2]))
         for batch in batches:
             texts = batch.cast(pa.binary())
             out = []

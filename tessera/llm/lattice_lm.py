@@ -145,7 +145,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expectation(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = kept(("lattice", shared.value[0]), lambda: Lattice(*shared.value[1:]))
+        lattice = kept("lattice", shared.value[0], lambda: Lattice(*shared.value[1:]))
         into = [0.0] * len(lattice.logs)
         for batch in batches:
             for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -160,7 +160,7 @@ def word_scores(word: Column, shared) -> Column:
     """log10 probability of each word."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lattice = kept(("lattice", shared.value[0]), lambda: Lattice(*shared.value[1:]))
+        lattice = kept("lattice", shared.value[0], lambda: Lattice(*shared.value[1:]))
         for batch in batches:
             yield pa.array([lattice.log10(w) for w in batch.to_pylist()], pa.float64())
 
@@ -172,7 +172,7 @@ def _head_scores(text: Column, shared) -> Column:
     """Counts and sums over a text's frequent words; its other words with their numbers."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        head = kept(("head", shared.value[0]), lambda: dict(zip(shared.value[1], zip(shared.value[2], shared.value[3], shared.value[4]))))
+        head = kept("head", shared.value[0], lambda: dict(zip(shared.value[1], zip(shared.value[2], shared.value[3], shared.value[4]))))
         kind = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))])
         for batch in batches:
             texts, out = batch.cast(pa.binary()), []
