@@ -4,9 +4,11 @@ import sys
 import types
 
 
-def kept(key, build):
-    """The object stored under ``key`` in this process, built on first use."""
+def kept(slot, version, build):
+    """The object of a slot in this process. Another version takes its place, so that workers never gather old ones."""
     store = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept")).__dict__
-    if key not in store:
-        store[key] = build()
-    return store[key]
+    found = store.get(slot)
+    if found is None or found[0] != version:
+        store.pop(slot, None)
+        found = store[slot] = (version, build())
+    return found[1]
