@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.queries import conversations, graphs, ingestion, resources, retrieval
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (retrieval, ingestion, conversations, resources, graphs):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
