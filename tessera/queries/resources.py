@@ -27,7 +27,8 @@ def resource_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, born = F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.timestamp_seconds("doc_id")
     docs = table(spark, sf_dir, "documents").select(name.alias("filename"), born.alias("birthtime"))
     files = F.explode(F.when(F.col("quality") == 1, F.array(*map(F.lit, C.MARKERS))).otherwise(F.array(F.lit(C.MARKERS[0]))))
-    return C.resources(docs, table(spark, sf_dir, "labels").select(name.alias("dir"), files.alias("file"), born.alias("birthtime")))
+    found = C.resources(docs, table(spark, sf_dir, "labels").select(name.alias("dir"), files.alias("file"), born.alias("birthtime")))
+    return found.withColumn("birthtime", F.col("birthtime").cast("timestamp_ntz"))
 
 
 STORE = "s AS (SELECT CAST(doc_id AS VARCHAR) AS key, CAST(quality AS VARCHAR) AS value FROM labels)"

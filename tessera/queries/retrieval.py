@@ -63,7 +63,7 @@ def knn_l2_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_sql(metric: str, rows: str) -> str:
     order = "DESC" if METRICS[metric][1] else "ASC"
     return f"""WITH e AS ({rows}), d AS (SELECT b.vec_id AS query_id, a.vec_id, round({SQL[metric]}, 9) AS x FROM e a, e b WHERE b.vec_id % 50 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x {order}, vec_id) AS rank FROM d) SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(x, 6) AS distance FROM r WHERE rank <= 4"""
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x {order}, vec_id) AS rank FROM d) SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(x, 6) + 0 AS distance FROM r WHERE rank <= 4"""
 
 
 def batch_query(metric: str):
@@ -71,7 +71,7 @@ def batch_query(metric: str):
         e = table(spark, sf_dir, "embeddings")
         e = shares(e) if metric in ("jaccard", "jensen_shannon") else e
         queries = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-        return make_index(e, "Flat", metric).search_batch(queries).withColumn("distance", F.round("distance", 6))
+        return make_index(e, "Flat", metric).search_batch(queries).withColumn("distance", F.round("distance", 6) + 0.0)
 
     return run
 
