@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, html_extract, lattice_lm, licenses, preference, quality, secrets, sharding, simhash
+from tessera.llm.oracles import ORACLES
 from tessera.llm.words import documents
 
+__all__ = ["ORACLES", "QUERIES"]
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
@@ -70,4 +72,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_licenses": op2_licenses, "op3_main_text": op3_main_text, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op9_preference": op9_preference, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {}
