@@ -42,7 +42,7 @@ def documents(spark: SparkSession, path: str, kind: str, suffixes: tuple[str, ..
 
 
 def all_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (source, file_name, suffix, content) of every file of a tree."""
+    """Rows (source, file_name, suffix, content) of every file of a tree whose name does not begin with a dot or underscore."""
     return _named(_binary(spark, path))
 
 
