@@ -111,9 +111,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component the row with the smallest id stays. Rows that repeat that id count once; of a component without
-    ids, one row of each text stays."""
+    ids, one row of each text stays. The texts are shuffled once, and once more only if ids repeat or are missing."""
     columns = docs.columns
-    keep = components(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ts_keep")).distinct()
-    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["__ts_keep"]), "left_semi")
+    found = staged(components(docs, doc_id, text), "components")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ts_keep"))
+    if found.where("doc_id is null").isEmpty() and found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(keep, docs[doc_id] == keep["__ts_keep"], "left_semi")
+    kept = docs.join(keep.distinct(), docs[doc_id].eqNullSafe(keep["__ts_keep"]), "left_semi")
     kept = kept.withColumn("__ts_text", F.when(F.col(doc_id).isNull(), F.xxhash64(text)))
     return kept.dropDuplicates([doc_id, "__ts_text"]).select(*columns)
