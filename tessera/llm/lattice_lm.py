@@ -1,7 +1,7 @@
 """Language-model scores from a subword lattice: the marginal probability of a text over all its segmentations.
 
 The pieces are those of an existing vocabulary file. Their probabilities start from the vocabulary's own order (Zipf) and are
-then fitted by one expectation-maximisation step over every distinct word of the training documents, weighted by its count. A
+then fitted by STEPS expectation-maximisation steps over every distinct word of the training documents, weighted by its count. A
 word's log10 probability is the forward recursion over its lattice in log space; letters that the vocabulary lacks are
 spelled with its byte pieces. A text's is the sum over its words plus the end's.
 
@@ -31,6 +31,8 @@ HEAD_ROWS = 200_000
 #: Distinct words that a task counts before it hands them on.
 COUNTED_ROWS = 400_000
 MISSING = 0.1
+#: Expectation-maximisation steps.
+STEPS = 2
 SPACE = "▁"
 NEG = -1e300
 
@@ -222,11 +224,12 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     tokens, kinds = tokens + ends, kinds + (ends > 0)
 
     pieces, bytes_, logs = vocabulary(path)
-    first = sc.broadcast((uuid.uuid4().hex, pieces, bytes_, logs))
-    uses = counts.where("c > 0").select("word", "c").mapInArrow(_expectation(first), "id int, uses double").groupBy("id").agg(F.sum("uses").alias("uses"))
-    expected = dict(uses.collect())  # at most one row for each piece of the vocabulary
-    total = sum(expected.values()) + ends + MISSING * (len(logs) + 1)
-    fitted = sc.broadcast((uuid.uuid4().hex, pieces, bytes_, [math.log((expected.get(i, 0.0) + MISSING) / total) for i in range(len(logs))]))
+    fitted = sc.broadcast((uuid.uuid4().hex, pieces, bytes_, logs))
+    for _ in range(STEPS):
+        uses = counts.where("c > 0").select("word", "c").mapInArrow(_expectation(fitted), "id int, uses double").groupBy("id").agg(F.sum("uses").alias("uses"))
+        expected = dict(uses.collect())  # at most one row for each piece of the vocabulary
+        total = sum(expected.values()) + ends + MISSING * (len(logs) + 1)
+        fitted = sc.broadcast((uuid.uuid4().hex, pieces, bytes_, [math.log((expected.get(i, 0.0) + MISSING) / total) for i in range(len(logs))]))
     end_score = math.log10((ends + MISSING) / total)
 
     words = staged(counts.withColumn("score", word_scores(F.col("word"), fitted)), "scored_words").withColumn("base", F.log10(F.col("c") + MISSING))
