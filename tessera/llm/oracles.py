@@ -36,9 +36,9 @@ QUANTILES = "min(CASE WHEN 4 * upto >= 1 * total THEN bucket END) AS q1, min(CAS
 def limits(name: str, keys: str) -> str:
     """Thresholds of each key and ratio, from summed buckets."""
     by = f"{keys}, ratio" if keys else "ratio"
-    slack = "CASE ratio " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items()) + " END"
+    low, high = ("CASE ratio " + " ".join(f"WHEN '{k}' THEN {v[side]}" for k, v in SLACK.items()) + " END" for side in (0, 1))
     return f"""{name}_m AS (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY {by}, bucket), {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by}) AS total, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto FROM {name}_m),
- {name} AS (SELECT {by}, docs, q2 - reach AS low, q2 + reach AS high FROM (SELECT *, greatest({slack}, {SPREAD} * least(q3 - q2, q2 - q1)) AS reach FROM (SELECT {by}, {QUANTILES} FROM {name}_u GROUP BY {by})))"""
+ {name} AS (SELECT {by}, docs, q2 - greatest({low}, spread) AS low, q2 + greatest({high}, spread) AS high FROM (SELECT *, {SPREAD} * least(q3 - q2, q2 - q1) AS spread FROM (SELECT {by}, {QUANTILES} FROM {name}_u GROUP BY {by})))"""
 
 
 QUALITY = f"""WITH t AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text FROM documents),

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from tessera.llm.words import let, words_of
 from tessera.plans.staging import staged
 
-#: Ratios and the least distance, in thousandths, between the median and a threshold.
-SLACK = {"word_length": 2000, "symbols": 30, "dup_lines": 400, "repeats": 400}
+#: Ratios and the least distances, in thousandths, between the median and the lower and upper thresholds. The mean length of a
+#: few words may be far above the median by chance.
+SLACK = {"word_length": (2000, 4500), "symbols": (30, 30), "dup_lines": (400, 400), "repeats": (400, 400)}
 MIN_DOCS, SPREAD, WINDOW = 200, 12, 5
 #: Rows of thresholds up to which they are broadcast.
 BROADCAST_ROWS = 100_000
@@ -100,9 +101,9 @@ def _limits(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
     merged = merged.withColumn("all", F.sum("n").over(order)).withColumn("upto", F.sum("n").over(order.orderBy("bucket")))
     quantile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("bucket")))
     found = merged.groupBy(*keys, "ratio").agg(F.max("all").alias("docs"), *(quantile(k).alias(f"q{k}") for k in (1, 2, 3)))
-    slack = F.element_at(F.create_map(*(x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v)))), F.col("ratio"))
-    reach = F.greatest(slack, SPREAD * F.least(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1")))
-    bounds = F.struct((F.col("q2") - reach).alias("low"), (F.col("q2") + reach).alias("high"))
+    slack = lambda side: F.element_at(F.create_map(*(x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v[side])))), F.col("ratio"))
+    spread = SPREAD * F.least(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1"))
+    bounds = F.struct((F.col("q2") - F.greatest(slack(0), spread)).alias("low"), (F.col("q2") + F.greatest(slack(1), spread)).alias("high"))
     return found.select(*keys, "docs", "ratio", bounds.alias("b")).groupBy(*keys).agg(F.max("docs").alias(f"{name}_docs"), F.map_from_entries(F.collect_list(F.struct("ratio", "b"))).alias(name))
 
 

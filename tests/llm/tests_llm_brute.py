@@ -29,11 +29,11 @@ def brute_kept(docs):
             own = groups[g]
             if len(own) >= MIN_DOCS or g[1]:
                 out = {}
-                for k, slack in SLACK.items():
+                for k, (below, above) in SLACK.items():
                     ordered = sorted(bucket(x[k]) for x in own)
                     q1, q2, q3 = (next(v for i, v in enumerate(ordered) if 4 * sum(1 for y in ordered if y <= v) >= q * len(ordered)) for q in (1, 2, 3))
-                    reach = max(slack, SPREAD * min(q3 - q2, q2 - q1))
-                    out[k] = (q2 - reach, q2 + reach)
+                    spread = SPREAD * min(q3 - q2, q2 - q1)
+                    out[k] = (q2 - max(below, spread), q2 + max(above, spread))
                 return out
 
     known = {key: limits(key) for key in {r[0] for r in rows}}
