@@ -75,17 +75,18 @@ def parents(folder: Column) -> Column:
 
 
 def scanned(files: DataFrame, keep: list[str], path: Column, text: Column, is_licence_file: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns ``keep``, then own_licence, score, licence, inherited_from (a folder, or null), one row for each file."""
+    """Columns ``keep``, then own_licence, score, licence, inherited_from (a folder, or null), one row for each file. Kept columns of
+    these names give way."""
+    keep = [c for c in keep if c not in ("own_licence", "score", "licence", "inherited_from")]
     speaking = F.when(text.rlike(SPEAKS), F.filter(F.split(text, "\n"), lambda x: x.rlike(SPEAKS))).otherwise(F.array().cast("array<string>"))
     folder = F.array_join(F.filter(F.split(F.regexp_replace(path, "[^/]*$", ""), "/"), lambda x: x != ""), "/")
     rows = files.select(*keep, folder.alias("__ts_folder"), F.coalesce(is_licence_file, F.lit(False)).alias("__ts_file"), F.coalesce(speaking, F.array().cast("array<string>")).alias("__ts_lines"))
     rows = staged(rows.withColumn("__ts_row", F.monotonically_increasing_id()), "speaking")
-    own = own_licences(rows.where(F.size("__ts_lines") > 0).select(F.col("__ts_row").alias("row"), F.col("__ts_lines").alias("lines")), threshold)
-    found = staged(rows.drop("__ts_lines").join(own, rows["__ts_row"] == own["row"], "left").drop("row"), "own")
-    held = found.where("__ts_file and licence is not null and __ts_folder is not null").groupBy(F.col("__ts_folder").alias("holder")).agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("holder", F.col("b.licence").alias("held"))
+    own = own_licences(rows.where(F.size("__ts_lines") > 0).select(F.col("__ts_row").alias("row"), F.col("__ts_lines").alias("lines")), threshold).select(F.col("row").alias("__ts_of"), F.col("licence").alias("__ts_licence"), F.col("score").alias("__ts_score"))
+    found = staged(rows.drop("__ts_lines").join(own, rows["__ts_row"] == own["__ts_of"], "left").drop("__ts_of"), "own")
+    held = found.where("__ts_file and __ts_licence is not null and __ts_folder is not null").groupBy(F.col("__ts_folder").alias("holder")).agg(F.min(F.struct((-F.col("__ts_score")).alias("minus"), "__ts_licence")).alias("b")).select("holder", F.col("b.__ts_licence").alias("held"))
     folders = found.where("__ts_folder is not null").groupBy("__ts_folder").agg(F.count(F.lit(1)).alias("files"))
     climbed = folders.select(F.col("__ts_folder").alias("folder"), F.explode(parents(F.col("__ts_folder"))).alias("p")).select("folder", "p.*")
-    nearest = climbed.join(held, climbed.ancestor == held.holder).groupBy("folder").agg(F.min(F.struct("up", "holder", "held")).alias("n")).select("folder", "n.holder", "n.held")
-    out = found.join(nearest, found["__ts_folder"] == nearest["folder"], "left")
-    inherits = F.col("licence").isNull()
-    return out.select(*keep, F.col("licence").alias("own_licence"), "score", F.coalesce("licence", "held").alias("effective"), F.when(inherits, F.col("holder")).alias("inherited_from")).withColumnRenamed("effective", "licence")
+    nearest = climbed.join(held, climbed.ancestor == held.holder).groupBy("folder").agg(F.min(F.struct("up", "holder", "held")).alias("n")).select(F.col("folder").alias("__ts_at"), F.col("n.holder").alias("__ts_holder"), F.col("n.held").alias("__ts_held"))
+    out = found.join(nearest, found["__ts_folder"] == nearest["__ts_at"], "left")
+    return out.select(*keep, F.col("__ts_licence").alias("own_licence"), F.col("__ts_score").alias("score"), F.coalesce("__ts_licence", "__ts_held").alias("licence"), F.when(F.col("__ts_licence").isNull(), F.col("__ts_holder")).alias("inherited_from"))

@@ -42,6 +42,7 @@ def formatted(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def self_rejected(turns: DataFrame) -> DataFrame:
     """A rejected side for conversations that have none: the last answer is replaced by the first one, or missing if it is the only one."""
+    turns = turns.select("pair", "turn", "role", "text")
     answers = turns.where("role = 'assistant' and pair is not null and turn is not null").groupBy("pair").agg(F.min_by(F.col("text"), F.struct("turn", F.xxhash64("text"))).alias("first_text"), F.min("turn").alias("first"), F.max("turn").alias("last")).withColumnRenamed("pair", "of")
     joined = turns.join(answers, turns.pair == answers.of, "left")
     is_last = (F.col("role") == "assistant") & (F.col("turn") == F.col("last"))

@@ -29,7 +29,7 @@ def test_given_pages_are_extracted(spark, sf):
 
 def test_odd_pages(spark):
     pages = [None, "", "plain words only", "<p>" * 3000 + "deep" + "</p>", "<div>" * 3000 + "deep", "<article><p>a &amp; b&nbsp;c<br>d</p><p> </p><p>e\n\tf</article>", "<article><p>x<script>no</script><p hidden>no<p>y<!-- no --></article><footer>no", "<", "<article><p>1 < 2</article", "x" * 200_000]
-    rows = html_extract.extracted(spark.createDataFrame([(i, p, "clash") for i, p in enumerate(pages)], "page_id long, html string, text string"), ["page_id"]).orderBy("page_id").collect()
+    rows = html_extract.extracted(spark.createDataFrame([(i, p, "clash") for i, p in enumerate(pages)], "page_id long, html string, text string"), ["page_id", "text"]).orderBy("page_id").collect()
     assert [r.text for r in rows][:2] == ["", ""]
     assert rows[5].text == "a & b\xa0c d\ne f" and rows[6].text == "x\ny"
     assert html_extract.extracted(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
@@ -80,6 +80,8 @@ def check(chosen, rejected):
 def test_preference_pairs(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("pair"), "turn", "role", "text")
     check(turns, preference.self_rejected(turns))
+    more = turns.withColumns({c: F.lit("clash") for c in ("first", "last", "of", "first_text", "part", "parting", "chosen")})
+    check(more, preference.self_rejected(more))
 
 
 def test_odd_preference_pairs(spark):
