@@ -9,15 +9,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.process_cache import kept
+
+
+def own_folder() -> str:
+    """A temporary folder for sessions that name none; it goes with the process."""
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder, True)
-    return folder
+    return folder or kept("shared-folder", spark.sparkContext.applicationId, own_folder)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
