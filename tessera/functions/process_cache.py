@@ -12,3 +12,17 @@ def kept(slot, version, build):
         store.pop(slot, None)
         found = store[slot] = (version, build())
     return found[1]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker should not hold what its last task needed."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
