@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import kept
+from tessera.functions.process_cache import give_back, kept
 
 #: Entries of each of a worker's caches; a full one makes room by forgetting, which costs time and never changes a result.
 CACHE_ROWS = 250_000
@@ -265,6 +265,7 @@ def encoded(text: Column, shared) -> Column:
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x[0] for x in found]), dtype="<i4")))
             yield pa.StructArray.from_arrays([ids, pa.array([x[1] for x in found], pa.string())], ["ids", "decoded"])
         encoder.forget()
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "ids array<int>, decoded string").asNondeterministic()(text)

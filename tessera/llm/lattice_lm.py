@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import kept
+from tessera.functions.process_cache import give_back, kept
 from tessera.llm.quality import bucket
 from tessera.plans.staging import staged
 
@@ -143,6 +143,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 trained.clear()
                 others.clear()
     yield from emit()
+    trained.clear()
+    others.clear()
+    give_back()
 
 
 def _expectation(shared):
@@ -194,6 +197,7 @@ def _head_scores(text: Column, shared) -> Column:
                             known += tf * found[2]
                     out.append({"n": n, "known": known, "base": base, "score": score, "tail": tail})
             yield pa.array(out, kind)
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "n long, known long, base double, score double, tail array<struct<word:string,tf:long>>").asNondeterministic()(text)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.process_cache import give_back
 from tessera.plans.components import roots
 from tessera.plans.staging import staged
 
@@ -60,6 +61,7 @@ def fingerprint(text: Column) -> Column:
         for batch in batches:
             texts = batch.cast(pa.binary())
             yield pa.array([simhash(t) if t else 0 for i in range(0, len(texts), 256) for t in texts[i : i + 256].to_pylist()], pa.int64())
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "long").asNondeterministic()(text)
