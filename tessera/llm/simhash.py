@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.process_cache import give_back
+from tessera.llm.words import slices
 from tessera.plans.components import roots
 from tessera.plans.staging import staged
 
@@ -58,9 +59,8 @@ def fingerprint(text: Column) -> Column:
     """Fingerprints of a text column, as signed longs."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            texts = batch.cast(pa.binary())
-            yield pa.array([simhash(t) if t else 0 for i in range(0, len(texts), 256) for t in texts[i : i + 256].to_pylist()], pa.int64())
+        for batch in slices(batches):
+            yield pa.array([simhash(t) if t else 0 for t in batch.cast(pa.binary()).to_pylist()], pa.int64())
         give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -118,7 +118,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = staged(components(docs, doc_id, text), "components")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ts_keep"))
     if found.where("doc_id is null").isEmpty() and found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(keep, docs[doc_id] == keep["__ts_keep"], "left_semi")
+        # a shuffle at every size: a broadcast would end where the kept ids outgrow it
+        return docs.join(keep.hint("shuffle_merge"), docs[doc_id] == keep["__ts_keep"], "left_semi")
     kept = docs.join(keep.distinct(), docs[doc_id].eqNullSafe(keep["__ts_keep"]), "left_semi")
     kept = kept.withColumn("__ts_text", F.when(F.col(doc_id).isNull(), F.xxhash64(text)))
     return kept.dropDuplicates([doc_id, "__ts_text"]).select(*columns)
