@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.process_cache import give_back, kept
+from tessera.llm.words import slices
 
 #: Entries of each of a worker's caches; a full one makes room by forgetting, which costs time and never changes a result.
-CACHE_ROWS = 250_000
+CACHE_ROWS = 180_000
 #: Stands for the end of a word; no byte is written with it.
 END = "\x00"
 NEVER = 1 << 60
@@ -259,7 +260,7 @@ def encoded(text: Column, shared) -> Column:
         import numpy as np
 
         encoder = _encoder(shared)
-        for batch in batches:
+        for batch in slices(batches):
             found = [encoder.encode(t) if t else (b"", "") for t in batch.to_pylist()]
             ends = np.cumsum([0] + [len(x[0]) // 4 for x in found], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x[0] for x in found]), dtype="<i4")))

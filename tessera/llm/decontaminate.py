@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.process_cache import kept
+from tessera.llm.words import slices
 from tessera.plans.staging import staged
 
 WINDOW = 13
@@ -109,12 +110,10 @@ def scanned(text: Column, shared) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         windows = kept("windows", shared.value[0], lambda: Windows(shared.value[1], shared.value[2]))
-        for batch in batches:
-            texts = batch.cast(pa.binary())
+        for batch in slices(batches):
             out = []
-            for i in range(0, len(texts), 256):
-                for n, ranges, items in windows.scan([t or b"" for t in texts[i : i + 256].to_pylist()]):
-                    out.append({"n_words": n, "n_hit": sum(b - a for a, b in ranges), "items": sorted(x for x in items if x is not None), "spans": [{"start": a, "stop": b} for a, b in ranges]})
+            for n, ranges, items in windows.scan([t or b"" for t in batch.cast(pa.binary()).to_pylist()]):
+                out.append({"n_words": n, "n_hit": sum(b - a for a, b in ranges), "items": sorted(x for x in items if x is not None), "spans": [{"start": a, "stop": b} for a, b in ranges]})
             yield pa.array(out, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.process_cache import give_back, kept
 from tessera.llm.quality import bucket
+from tessera.llm.words import slices
 from tessera.plans.staging import staged
 
 #: Most frequent words that are broadcast.
@@ -179,23 +180,22 @@ def _head_scores(text: Column, shared) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         head = kept("head", shared.value[0], lambda: dict(zip(shared.value[1], zip(shared.value[2], shared.value[3], shared.value[4]))))
         kind = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))])
-        for batch in batches:
-            texts, out = batch.cast(pa.binary()), []
-            for i in range(0, len(texts), 256):
-                for text in texts[i : i + 256].to_pylist():
-                    n = known = 0
-                    base = score = 0.0
-                    tail = []
-                    for word, tf in Counter((text or b"").lower().split()).items():
-                        n += tf
-                        found = head.get(word)
-                        if found is None:
-                            tail.append({"word": word.decode(), "tf": tf})
-                        else:
-                            base += tf * found[0]
-                            score += tf * found[1]
-                            known += tf * found[2]
-                    out.append({"n": n, "known": known, "base": base, "score": score, "tail": tail})
+        for batch in slices(batches):
+            out = []
+            for text in batch.cast(pa.binary()).to_pylist():
+                n = known = 0
+                base = score = 0.0
+                tail = []
+                for word, tf in Counter((text or b"").lower().split()).items():
+                    n += tf
+                    found = head.get(word)
+                    if found is None:
+                        tail.append({"word": word.decode(), "tf": tf})
+                    else:
+                        base += tf * found[0]
+                        score += tf * found[1]
+                        known += tf * found[2]
+                out.append({"n": n, "known": known, "base": base, "score": score, "tail": tail})
             yield pa.array(out, kind)
         give_back()
 

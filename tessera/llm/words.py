@@ -21,5 +21,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices: what a function holds at a time is bounded by a slice, whatever the batch."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch[i : i + rows]
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
