@@ -25,12 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or kept("shared-folder", spark.sparkContext.applicationId, own_folder)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table. Hadoop removes it when the driver's JVM ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder. Hadoop removes what lies there when the driver's JVM ends."""
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the written table."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -133,12 +133,10 @@ def dir_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _through_stream(spark: SparkSession, sf_dir: str, step, mode: str) -> DataFrame:
-    import uuid
-
-    from tessera.plans.staging import shared_folder
+    from tessera.plans.staging import scratch
     from tessera.schemas import MESSAGE
 
-    out = f"{shared_folder(spark).rstrip('/')}/tessera-stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     # written as a pattern, which a stream takes for a file and for a folder alike
     source = deltas.watched(spark, f"{sf_dir}/[c]onversations.parquet", MESSAGE)
     rows = source.select("conv_id", "turn", "role") if step is None else step(source.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk")))
