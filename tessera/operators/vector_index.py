@@ -163,7 +163,7 @@ def labelled(rows: DataFrame, order: str, name: str, first: int = 0) -> DataFram
     rows = staged(rows.withColumn("__ts_key", F.col(order).cast("long")), "unlabelled")
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("__ts_key"), F.max("__ts_key")).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // bucket_count(n)))
-    out = ranked(rows, [], F.floor((F.col("__ts_key") - (low or 0)) / width), [F.col("__ts_key")], "__ts_label")
+    out = ranked(rows, [], F.floor((F.col("__ts_key").cast("double") - float(low or 0)) / float(width)), [F.col("__ts_key")], "__ts_label")
     kind = rows.schema[name].dataType if name in rows.columns else "long"
     return out.withColumn(name, (F.col("__ts_label") + first).cast(kind)).drop("__ts_key", "__ts_label")
 

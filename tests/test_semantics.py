@@ -201,6 +201,15 @@ def test_search_limits(spark):
         vector_index.make_index(index.rows, metric="hamming")
 
 
+def test_labels_are_dense_whatever_the_ids(spark):
+    ids = [-(2**63), 2**63 - 1, 0, 5, 6, -7]
+    rows = spark.createDataFrame([(i, [float(k)]) for k, i in enumerate(ids)], "vec_id long, embedding array<double>")
+    got = vector_index.labelled(rows, "vec_id", "label").orderBy("vec_id").collect()
+    assert [r.label for r in got] == list(range(6)) and [r.vec_id for r in got] == sorted(ids)
+    left, removed = vector_index.FlatIndex(rows).remove(rows.where("vec_id in (0, 5)").select("vec_id"))
+    assert removed.first().removed == 2 and sorted(r.vec_id for r in left.rows.collect()) == [0, 1, 2, 3]
+
+
 def test_role_pairs(spark):
     def pairs(roles):
         rows = [(1, i, r, f"{r}{i}") for i, r in enumerate(roles)]
