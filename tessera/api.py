@@ -22,11 +22,11 @@ API_DEFAULT = {"api_key": "", "base_url": "https://api.openai.com/v1"}
 
 @dataclass
 class Engine:
-    """One store of resources under ``root``. ``embed`` maps a column of texts to vectors, ``speak`` prompts to answers."""
+    """One store of resources under ``root``. ``embed`` makes vectors of texts, ``speak`` answers of prompts."""
 
     spark: SparkSession
     root: str
-    embed: Callable = models.letter_vector
+    embed: models.Embedder = models.letter_vector
     speak: Callable = models.echo
     model_name: str = "gpt-3.5-turbo"
     settings: dict[str, str] = field(default_factory=dict)
@@ -117,9 +117,9 @@ class Engine:
         return cancel(self.spark, signal)
 
 
-def embed_with(function: Callable[[list[str]], list[list[float]]]) -> Callable:
+def embed_with(function: Callable[[list[str]], list[list[float]]]) -> models.Embedder:
     """An outside embedder for Engine(embed=...)."""
-    return models.embedder(function)
+    return models.Embedder(function)
 
 
 __all__ = ["API_DEFAULT", "Engine", "embed_with", "embedding"]

@@ -1,4 +1,4 @@
-"""Stand-ins for outside models: deterministic, offline, written as Column functions. Real ones are injected in their place."""
+"""Outside models as Column functions, and stand-ins for them: deterministic and offline. Real ones are injected in their place."""
 
 from __future__ import annotations
 
@@ -8,27 +8,53 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import let
-
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def letter_vector(text: Column) -> Column:
-    """Unit vector of letter counts; zeros for a text without letters."""
-    counts = let(F.lower(text), lambda t: F.transform(F.split(F.lit(LETTERS), ""), lambda c: F.when(c == "", 0.0).otherwise((F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double"))))
-    counts = F.slice(counts, 1, len(LETTERS))
-    unit = lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
-    return let(counts, unit)
+class Embedder:
+    """A batch embedder as Column functions; it runs once for each Arrow batch, task retries are its retries."""
+
+    def __init__(self, function: Callable[[list[str]], list[list[float]]]):
+        self.function = function
+
+    def __call__(self, text: Column) -> Column:
+        """Vectors of a text column."""
+        function = self.function
+
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array(function([t or "" for t in texts.to_pylist()]), pa.list_(pa.float64()))
+
+        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "array<double>")(text)
+
+    def each(self, texts: Column) -> Column:
+        """Vectors of each text of an array column."""
+        function = self.function
+
+        def run(rows: pa.Array) -> pa.Array:
+            flat = [t or "" for row in rows.to_pylist() for t in row or []]
+            vectors = iter(function(flat) if flat else [])
+            return pa.array([None if row is None else [next(vectors) for _ in row] for row in rows.to_pylist()], pa.list_(pa.list_(pa.float64())))
+
+        run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "array<array<double>>")(texts)
+
 
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """Unit vectors of letter counts; zeros for a text without letters."""
+    import math
 
-def embedder(function: Callable[[list[str]], list[list[float]]]) -> Callable[[Column], Column]:
-    """A batch embedder as a Column function; it runs once for each Arrow batch, task retries are its retries."""
+    out = []
+    for text in texts:
+        text = text.lower()
+        counts = [text.count(c) for c in LETTERS]
+        size = math.sqrt(sum(n * n for n in counts))
+        out.append([n / size if size else 0.0 for n in counts])
+    return out
 
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array(function([t or "" for t in texts.to_pylist()]), pa.list_(pa.float64()))
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<double>")
+#: The stand-in for an embedding model.
+letter_vector = Embedder(letter_counts)
 
 
 def language_model(function: Callable[[str], str]) -> Callable[[Column], Column]:

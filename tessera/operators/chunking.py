@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.models import letter_vector
+from tessera.functions.models import Embedder, letter_vector
 from tessera.functions.text import let, not_blank, split_sentences, trim
 from tessera.functions.tokens import BATCH_LIMIT
 from tessera.functions.vectors import cosine_distance
@@ -57,17 +57,16 @@ def chunks(pieces: Column, distances: Column, percent: float = PERCENTILE) -> Co
     return F.when(F.size(distances) > 0, let(distances, cut)).otherwise(F.array(F.array_join(pieces, " ")))
 
 
-def semantic_chunks(text: Column, embed: Callable[[Column], Column] = letter_vector, percent: float = PERCENTILE, buffer: int = BUFFER) -> Column:
-    """Chunks of a text: sentences, groups, vectors, distances, breaks; trimmed, without blank ones."""
-    vectors = lambda p: F.transform(sentence_groups(p, buffer), embed)
-    made = let(split_sentences(text), lambda p: let(vectors(p), lambda v: let(adjacent_distances(v), lambda d: chunks(p, d, percent))))
-    return F.filter(F.transform(made, trim), lambda c: c != "")
+def chunked(docs: DataFrame, text: str = "text", embed: Embedder = letter_vector, percent: float = PERCENTILE, buffer: int = BUFFER) -> DataFrame:
+    """One row for each chunk of each document that is not blank: its columns but the text, then chunk_no and page_content.
 
-
-def chunked(docs: DataFrame, text: str = "text", embed: Callable[[Column], Column] = letter_vector, percent: float = PERCENTILE) -> DataFrame:
-    """One row for each chunk of each document that is not blank: its columns but the text, then chunk_no and page_content."""
-    made = docs.where(not_blank(F.col(text))).select(*(c for c in docs.columns if c != text), F.posexplode(semantic_chunks(F.col(text), embed, percent)).alias("chunk_no", "page_content"))
-    return made
+    Sentences, groups, vectors, distances and breaks are columns of the document's row; chunks are trimmed, blank ones left out.
+    """
+    keep = [c for c in docs.columns if c not in (text, "chunk_no", "page_content")]
+    rows = docs.where(not_blank(F.col(text))).select(*keep, split_sentences(F.col(text)).alias("__ts_pieces"))
+    rows = rows.withColumn("__ts_vectors", embed.each(sentence_groups(F.col("__ts_pieces"), buffer)))
+    made = let(F.col("__ts_vectors"), lambda v: let(adjacent_distances(v), lambda d: chunks(F.col("__ts_pieces"), d, percent)))
+    return rows.select(*keep, F.posexplode(F.filter(F.transform(made, trim), lambda c: c != "")).alias("chunk_no", "page_content"))
 
 
 def packed(pieces: list[str], count: Callable[[str], int], limit: int = BATCH_LIMIT) -> list[str]:

@@ -43,6 +43,7 @@ def merge(pieces):
 def test_sentences(spark):
     assert values(spark, TEXTS, "string", T.sentences) == [split(t) for t in TEXTS]
     assert values(spark, TEXTS, "string", T.split_sentences) == [merge(split(t)) for t in TEXTS]
+    assert values(spark, TEXTS, "string", lambda c: T.merged_short(T.sentences(c))) == [merge(split(t)) for t in TEXTS]
     assert values(spark, [None], "string", T.split_sentences) == [None]
 
 
@@ -159,8 +160,11 @@ def test_code_is_packed():
 
 
 def test_embedders_and_models_are_injected(spark):
-    embed = models.embedder(lambda texts: [[float(len(t))] for t in texts])
+    embed = models.Embedder(lambda texts: [[float(len(t))] for t in texts])
     assert values(spark, ["a", "abc", None], "string", embed) == [[1.0], [3.0], [0.0]]
+    assert values(spark, [["a", None], [], None], "array<string>", embed.each) == [[[1.0], [0.0]], [], None]
+    docs = spark.createDataFrame([(1, "One sentence here, of more than fifty letters in all, yes. " * 4, "clash"), (2, " ", "x"), (3, None, "x")], "doc_id int, text string, page_content string")
+    assert {r.doc_id for r in chunking.chunked(docs, embed=embed).collect()} == {1}
     speak = models.language_model(lambda p: p.upper())
     assert values(spark, ["a", None], "string", speak) == ["A", None]
     assert isinstance(models.plain_error(type("ReadTimeout", (Exception,), {})("x")), TimeoutError)
