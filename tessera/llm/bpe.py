@@ -24,7 +24,7 @@ from tessera.functions.process_cache import give_back, kept
 from tessera.llm.words import slices
 
 #: Entries of each of a worker's caches; a full one makes room by forgetting, which costs time and never changes a result.
-CACHE_ROWS = 180_000
+CACHE_ROWS = 300_000
 #: Stands for the end of a word; no byte is written with it.
 END = "\x00"
 NEVER = 1 << 60
