@@ -1,8 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Lines that speak of rights are cut into terms; each line is a sparse vector, weighted by the templates' inverse document
-frequency, and meets the templates in a join on the term (the templates are a fixed table of a few hundred terms). A file's own
-licence is its best line's, from a cosine of THRESHOLD on. A directory's licence is the best of its licence files; a file
+frequency, and meets the templates in a join on the term (the templates are a fixed table of a few hundred terms). So does each
+window of a line that speaks of rights and is as long as a template or up to EXTRA terms longer, since other words of a line dilute
+its notice. A window counts for such a template only, and if it holds a mark of it: a term that fewest licences have. A file's own
+licence is its best line's or window's, from a cosine of THRESHOLD on. A directory's licence is the best of its licence files; a file
 without one takes that of the nearest directory above that has one, by a join on paths of distinct directories only.
 
 Nulls and empty texts have no lines. Rows without a path belong to no directory. Ties go to the smaller licence name. Repeated
@@ -11,6 +13,9 @@ rows are files like others.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,36 +39,81 @@ TEMPLATES = {
 #: What a line that speaks of rights has.
 SPEAKS = r"(?i)licen[sc]e|spdx|copyright|all rights reserved|public domain|permission is hereby|redistribution and use|creative commons|\bcc0\b|\bcc by|proprietary"
 TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
+#: Terms, one of which is in whatever SPEAKS finds.
+SPEAKING_TERM = r"licen[sc]e|spdx|copyright|proprietary|redistribution|^(?:reserved|domain|hereby|commons|cc0.*|cc)$"
 THRESHOLD = 0.6
+#: Terms that a window has beyond a template's at most.
+EXTRA = 4
 
 
 def terms_of(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
 
 
+def template_marks() -> dict[str, tuple[int, list[str]]]:
+    """Number of terms and marks of each template."""
+    terms = {f"{name} {k}": (name, re.findall(TERM, line.lower())) for name, lines in TEMPLATES.items() for k, line in enumerate(lines)}
+    holders: dict[str, set[str]] = {}
+    for name, own in terms.values():
+        for t in own:
+            holders.setdefault(t, set()).add(name)
+    fewest = {template: min(len(holders[t]) for t in own) for template, (_, own) in terms.items()}
+    return {template: (len(own), sorted({t for t in own if len(holders[t]) == fewest[template]})) for template, (_, own) in terms.items()}
+
+
+def windows_of(lines: DataFrame) -> DataFrame:
+    """Rows (row, line, at, size, terms) from rows (row, line, terms): the windows that a template may meet."""
+    marks: dict[int, set[str]] = {}
+    for size, own in template_marks().values():
+        for extra in range(EXTRA + 1):
+            marks.setdefault(size + extra, set()).update(own)
+    longest = max(marks)
+    terms = F.col("terms")
+    speaking = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.get(terms, i).rlike(SPEAKING_TERM))
+    starts = F.array_distinct(F.flatten(F.transform(speaking, lambda i: F.sequence(F.greatest(F.lit(0), i - longest + 1), i))))
+    # the longest window of each start first: rows must not hold their whole line
+    ahead = F.when(F.size(terms) > 0, F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(terms, i + 1, longest).alias("ahead"))))
+    ahead = lines.select("row", "line", F.inline(ahead))
+
+    def window(size: int, own: set[str]) -> Column:
+        terms = F.slice("ahead", 1, size)
+        meets = (F.size("ahead") >= size) & F.arrays_overlap(terms, F.array(*(F.lit(t) for t in sorted(own)))) & F.exists(terms, lambda t: t.rlike(SPEAKING_TERM))
+        return F.when(meets, F.struct(F.lit(size).alias("size"), terms.alias("terms")))
+
+    found = F.filter(F.array(*(window(size, own) for size, own in sorted(marks.items()))), lambda w: w.isNotNull())
+    return ahead.select("row", "line", "at", F.inline(found))
+
+
 def template_weights(spark) -> tuple[DataFrame, float]:
-    """Rows (term, template, licence, weight, idf) of unit-length template vectors; the idf of a term that no template has."""
+    """Rows (term, template, licence, weight, idf, size, mark) of unit-length template vectors; the idf of a term that no template has."""
     rows = [(f"{name} {k}", name, line) for name, lines in TEMPLATES.items() for k, line in enumerate(lines)]
     table = spark.createDataFrame(rows, "template string, licence string, line string")
     tf = table.select("template", "licence", F.explode(terms_of(F.col("line"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = tf.groupBy("term").agg((F.log(F.lit(1.0 + len(rows)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     weighed = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    import math
-
-    return weighed.join(norms, "template").select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("weight"), "idf"), math.log(1.0 + len(rows)) + 1
+    marks = spark.createDataFrame([(template, size, own) for template, (size, own) in template_marks().items()], "template string, size int, marks array<string>")
+    weighed = weighed.join(norms, "template").join(marks, "template")
+    return weighed.select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("weight"), "idf", "size", F.array_contains("marks", F.col("term")).alias("mark")), math.log(1.0 + len(rows)) + 1
 
 
-def own_licences(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (row, licence, score) from rows (row, lines): the best line of each row that has one."""
+def own_licences(lines: DataFrame, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
+    """Rows (row, licence, score) from rows (row, lines): the best line of each row that has one; with ``windows`` the best line
+    or window of a line."""
     weights, unseen = template_weights(lines.sparkSession)
     weights = staged(weights, "templates")  # fixed: a few hundred rows
-    tf = lines.select("row", F.posexplode("lines").alias("line", "x")).select("row", "line", F.explode(terms_of(F.col("x"))).alias("term")).groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = tf.join(F.broadcast(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight")).alias("in"))), "term", "left")
+    unit = ["row", "line", "at", "size"]  # a whole line: size 0
+    each = lines.select("row", F.posexplode("lines").alias("line", "x")).select("row", "line", terms_of(F.col("x")).alias("terms"))
+    units = each.select("row", "line", F.lit(0).alias("at"), F.lit(0).alias("size"), "terms")
+    if windows:
+        units = units.union(windows_of(each))
+    tf = units.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
+    met = tf.join(F.broadcast(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight", F.col("size").alias("of"), "mark")).alias("in"))), "term", "left")
     met = met.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norm = met.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = met.select("row", "line", "w", F.inline("in")).groupBy("row", "line", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, ["row", "line"]).select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+    norm = met.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = met.select(*unit, "w", F.inline("in")).where((F.col("size") == 0) | F.col("size").between(F.col("of"), F.col("of") + EXTRA))
+    dots = dots.groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.max("mark").alias("mark")).where((F.col("size") == 0) | F.col("mark"))
+    scored = dots.join(norm, unit).select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
     return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
 
@@ -82,7 +132,7 @@ def scanned(files: DataFrame, keep: list[str], path: Column, text: Column, is_li
     folder = F.array_join(F.filter(F.split(F.regexp_replace(path, "[^/]*$", ""), "/"), lambda x: x != ""), "/")
     rows = files.select(*keep, folder.alias("__ts_folder"), F.coalesce(is_licence_file, F.lit(False)).alias("__ts_file"), F.coalesce(speaking, F.array().cast("array<string>")).alias("__ts_lines"))
     rows = staged(rows.withColumn("__ts_row", F.monotonically_increasing_id()), "speaking")
-    own = own_licences(rows.where(F.size("__ts_lines") > 0).select(F.col("__ts_row").alias("row"), F.col("__ts_lines").alias("lines")), threshold).select(F.col("row").alias("__ts_of"), F.col("licence").alias("__ts_licence"), F.col("score").alias("__ts_score"))
+    own = own_licences(rows.where(F.size("__ts_lines") > 0).select(F.col("__ts_row").alias("row"), F.col("__ts_lines").alias("lines")), threshold, windows=True).select(F.col("row").alias("__ts_of"), F.col("licence").alias("__ts_licence"), F.col("score").alias("__ts_score"))
     found = staged(rows.drop("__ts_lines").join(own, rows["__ts_row"] == own["__ts_of"], "left").drop("__ts_of"), "own")
     held = found.where("__ts_file and __ts_licence is not null and __ts_folder is not null").groupBy(F.col("__ts_folder").alias("holder")).agg(F.min(F.struct((-F.col("__ts_score")).alias("minus"), "__ts_licence")).alias("b")).select("holder", F.col("b.__ts_licence").alias("held"))
     folders = found.where("__ts_folder is not null").groupBy("__ts_folder").agg(F.count(F.lit(1)).alias("files"))

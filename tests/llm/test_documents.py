@@ -283,6 +283,25 @@ def test_licence_cosines(spark, sf):
         assert got[k][1] == pytest.approx(score, abs=2e-9)
 
 
+def test_notices_among_other_words(spark):
+    prose = "the quick brown fox jumps over a lazy dog and runs far away from all other animals in its dark green wood "
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including the rights to use, copy, modify, merge and sell copies"
+    want = {
+        'Copyright 2024 Example Corp. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.': "Apache-2.0",
+        grant: "MIT",
+        prose + "Released under the MIT License.": "MIT",
+        prose * 500 + "Licensed under CC BY-NC 4.0. " + prose * 500: "CC-BY-NC-4.0",
+        "MIT": None,
+        prose + "The files of this folder are licensed under the licence that the author chose for them, as is the case for " + prose: None,
+        prose + "all drivers need a license": None,
+        "": None,
+        "...": None,
+    }
+    files = spark.createDataFrame(list(enumerate(want)), "k int, text string")
+    got = {r.text: r.own_licence for r in licenses.scanned(files, ["k", "text"], F.col("k").cast("string"), F.col("text"), F.lit(False)).collect()}
+    assert got == want
+
+
 def test_hash_of_a_secret_is_of_its_value(spark):
     df = spark.createDataFrame([("token = 'abcdefghijkl", 0), ("AKIAX", 1)], "value string, kind int").select(secrets.secret_hash(F.struct("value", "kind")).alias("h"))
     assert [r.h for r in df.collect()] == [hashlib.sha256(x).hexdigest() for x in (b"abcdefghijkl", b"AKIAX")]
