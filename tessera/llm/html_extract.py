@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -219,6 +220,7 @@ def features(nodes: list[Node], runs: list[tuple[Node, str]], blocks: list[tuple
     marks = [(0, 0, 0, 0)] * len(nodes)
     out = []
     place: dict[int, int] = {}
+    tags: dict[int, Counter] = {}
     for n in nodes:
         good, bad = len(n.tokens & GOOD), len(n.tokens & BAD)
         good_tag, bad_tag = n.tag in GOOD_TAGS, n.tag in BAD_TAGS
@@ -228,7 +230,9 @@ def features(nodes: list[Node], runs: list[tuple[Node, str]], blocks: list[tuple
             marks[n.index] = (a[0] + good, a[1] + bad, a[2] + good_tag, a[3] + bad_tag)
             k = place[up.index] = place.get(up.index, -1) + 1
             siblings = len(up.children)
-            alike = sum(1 for c in up.children if c.tag == n.tag) if siblings < 200 else siblings
+            if up.index not in tags:
+                tags[up.index] = Counter(c.tag for c in up.children)
+            alike = tags[up.index][n.tag]
             of_parent = n.text / max(1, up.text)
         else:
             marks[n.index] = (good, bad, int(good_tag), int(bad_tag))

@@ -35,6 +35,13 @@ def test_odd_pages(spark):
     assert html_extract.extracted(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
 
 
+def test_siblings_alike_are_counted_at_any_number():
+    for n in (5, 250):
+        nodes, runs = html_extract.parsed("<body><h2>Head</h2>" + "<p>Some words.</p>" * n)
+        rows = html_extract.features(nodes, runs, html_extract.blocks_of(nodes, runs))
+        assert [row[-4] for row in rows[2:]] == [1 / (n + 1)] + [n / (n + 1)] * n
+
+
 def test_nothing_is_kept_inside_what_is_not():
     model = html_extract.trained()
     nodes, runs = html_extract.parsed("<nav><article><p>Some words. More words here.</p></article></nav><p>x</p>")
