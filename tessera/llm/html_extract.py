@@ -1,6 +1,6 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, then hierarchical decoding.
 
-A page is parsed into elements with the implied end tags of HTML. Each element that holds text has features of its tag, attribute
+A page is parsed into elements with the implied end tags of HTML; content outside head and body opens the body, as in HTML. Each element that holds text has features of its tag, attribute
 tokens, depth, subtree density (text, links, blocks) and siblings; the trees give it the log odds of being main text. Decoding
 maximises the summed odds under one constraint: no element is kept inside one that is not. Kept elements' blocks are joined
 by a line break, white space inside a block is one space.
@@ -35,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 DROPPED = frozenset("script style template noscript iframe svg math canvas object head title textarea select option button input audio video map".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+HEAD_TAGS = frozenset("html head base link meta noframes noscript script style template title".split())
 ENDS_P = BLOCKS - frozenset("body html caption dd dt li legend optgroup option tbody td tfoot th thead tr".split())
 #: An opening tag closes an open one of these, unless an element of the second set stands between.
 CLOSES = {
@@ -83,10 +84,25 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Elements in page order, the root first, and runs of text with their element."""
     root = Node("html", None)
     nodes, runs, here, at, end = [root], [], root, 0, len(page)
+    body = None
+
+    def content() -> Node:
+        """Where content goes: content in the root or an open head is the body's."""
+        nonlocal body
+        if here is not root and (here.tag != "head" or here.parent is not root):
+            return here
+        if not body:
+            body = Node("body", root)
+            root.children.append(body)
+            nodes.append(body)
+        return body
+
     while at < end:
         m = TAG.search(page, at)
         upto = m.start() if m else end
         if upto > at:
+            if page[at:upto].strip(" \t\n\r\f\ufeff"):
+                here = content()
             runs.append((here, page[at:upto]))
         if not m:
             break
@@ -105,8 +121,10 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if node is not root:
                 here = node.parent
             continue
-        if tag == "html":
+        if tag == "html" or tag == "head" and body:
             continue
+        if tag not in HEAD_TAGS and tag != "body":
+            here = content()
         if tag in ENDS_P:
             node = here
             while node is not root and node.tag != "p" and node.tag not in ("table", "td", "th", "li", "div", "section", "article", "blockquote", "button", "caption", "object"):
@@ -129,6 +147,13 @@ def parsed(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if node.tag == "a":
                 here = node.parent
         tokens, hidden = _tokens(m[3])
+        if tag == "body":
+            if body:  # its attributes are the open body's
+                body.tokens, body.hidden = body.tokens | tokens, body.hidden or hidden
+            else:
+                here = content()
+                body.tokens, body.hidden = tokens, hidden
+            continue
         node = Node(tag, here, tokens, hidden)
         here.children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":

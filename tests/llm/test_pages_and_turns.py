@@ -42,6 +42,20 @@ def test_siblings_alike_are_counted_at_any_number():
         assert [row[-4] for row in rows[2:]] == [1 / (n + 1)] + [n / (n + 1)] * n
 
 
+def test_body_is_implied():
+    model = html_extract.trained()
+    text = "".join(f"<p>Some words of the story number {k}, which is told here. It goes on for a while, and ends.</p>" for k in range(6))
+    head, inner = "<title>t</title><meta charset=utf-8><style>p{}</style>", f"<nav><a href=/>Home</a></nav><article>{text}</article>"
+    want = html_extract.extract([f"<html><head>{head}</head><body>{inner}</body></html>"], model)[0]
+    assert want.count("\n") == 5
+    pages = [head + inner, f"<html><head>{head}{inner}", f"<html><head>{head}</head>{inner}</html>", f"<!doctype html>\n{head}\n<body>{inner}", f"\ufeff<html><head>{head}</head><body>{inner}", f"<html><body></body>{inner}</html>"]
+    assert html_extract.extract(pages, model) == [want] * len(pages)
+    for page in ("bare words", "bare <b>words</b><br>and more", "<html><body><p>x</p></body>bare words", "<head><title>t</title>bare words", "bare <body class=content>words"):
+        nodes, runs = html_extract.parsed(page)
+        blocks = html_extract.blocks_of(nodes, runs)
+        assert sum(n.tag == "body" for n in nodes) == 1 and "bare words" in " ".join(text for _, text in blocks) and all(n.index for n, _ in blocks)
+
+
 def test_nothing_is_kept_inside_what_is_not():
     model = html_extract.trained()
     nodes, runs = html_extract.parsed("<nav><article><p>Some words. More words here.</p></article></nav><p>x</p>")
