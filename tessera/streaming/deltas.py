@@ -35,8 +35,9 @@ def first_chunks(deltas: DataFrame) -> DataFrame:
 
 
 def sse_deltas(raw: DataFrame) -> DataFrame:
-    """Chunks of a server's event stream as deltas: each event of a chunk is one; ``seq`` keeps their order."""
-    return raw.select("stream_id", "seq", F.posexplode(sse_results(F.col("chunk"))).alias("k", "chunk")).select("stream_id", (F.col("seq") * 1000 + F.col("k")).alias("seq"), "chunk")
+    """Chunks of a server's event stream as deltas: each event of a chunk is one; ``seq`` is a struct of the chunk's number and the
+    event's in it, which keeps their order at any number of events."""
+    return raw.select("stream_id", "seq", F.posexplode(sse_results(F.col("chunk"))).alias("k", "chunk")).select("stream_id", F.struct("seq", "k").alias("seq"), "chunk")
 
 
 def relayed(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update", once: bool = True) -> StreamingQuery:

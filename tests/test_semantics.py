@@ -415,6 +415,15 @@ def test_streams_equal_their_batch(spark, tmp_path):
     assert deltas.accumulated(deltas.sse_deltas(raw)).first().content == "xy"
 
 
+def test_events_of_large_chunks_keep_their_order(spark):
+    chunk = lambda name, n: "\n".join(f'data: {{"result":"{name}{k} "}}' for k in range(n))
+    raw = spark.createDataFrame([("s", 2, chunk("b", 1200)), ("s", 1, chunk("a", 1500))], "stream_id string, seq long, chunk string")
+    events = deltas.sse_deltas(raw)
+    got = deltas.accumulated(events).first()
+    assert got.content == "".join(f"{x}{k} " for x, n in (("a", 1500), ("b", 1200)) for k in range(n)) and got.chunks == 2700
+    assert deltas.first_chunks(events).first().chunk == "a0 "
+
+
 def test_cancel(spark):
     assert deltas.cancellable(spark, "job-1", lambda: spark.range(3).count()) == 3
     assert deltas.cancel(spark, "job-1") == []
