@@ -36,6 +36,8 @@ MISSING = 0.1
 STEPS = 2
 SPACE = "▁"
 NEG = -1e300
+#: A word's least probability that is not left to log space: far enough above the smallest double for its parts.
+LEAST = 1e-250
 
 
 class Lattice:
@@ -91,12 +93,13 @@ class Lattice:
             ahead[0] = back[-1] = 1.0
             for start, end, i in edges:
                 ahead[end] += ahead[start] * odds[i]
-            scale = count / ahead[-1]
-            for start, end, i in reversed(edges):
-                x = odds[i] * back[end]
-                back[start] += x
-                into[i] += ahead[start] * x * scale
-            return
+            if ahead[-1] >= LEAST:
+                scale = count / ahead[-1]
+                for start, end, i in reversed(edges):
+                    x = odds[i] * back[end]
+                    back[start] += x
+                    into[i] += ahead[start] * x * scale
+                return
         add = lambda x, y: max(x, y) + math.log1p(math.exp(min(x, y) - max(x, y))) if min(x, y) > NEG else max(x, y)
         ahead, back = [NEG] * (len(word) + 1), [NEG] * (len(word) + 1)
         ahead[0] = back[-1] = 0.0

@@ -116,3 +116,12 @@ def test_lattice_prefers_real_words(spark, sf):
     other = {r.doc_id: r.score for r in lattice_lm.scores(both, tokenizer_path(PIECES)).collect()}
     better = sum(out[d] > other[d] for _, _, d in held)
     assert better >= 0.9 * len(held)
+
+
+@pytest.mark.parametrize("log", [-1.0, -15.0, -18.75, -25.0, -700.0])
+def test_expected_uses_of_rare_pieces_are_finite(log):
+    lattice = lattice_lm.Lattice([("▁", 0), ("q", 1), ("qq", 2)], [], [-1.0, log, -1e6])
+    for n in (1, 20, 38, 39, 60):
+        into = [0.0] * 3
+        lattice.expect("q" * n, 3, into)
+        assert into == pytest.approx([3, 3 * n, 0])
