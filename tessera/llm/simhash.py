@@ -112,14 +112,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id stays. Rows that repeat that id count once; of a component without
-    ids, one row of each text stays. The texts are shuffled once, and once more only if ids repeat or are missing."""
+    """Of each component one row stays: that with the smallest id; among equal ids and without ids, the first as read. The texts
+    are shuffled once; if ids repeat or are missing, they are numbered in a staged table before."""
     columns = docs.columns
     found = staged(components(docs, doc_id, text), "components")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ts_keep"))
     if found.where("doc_id is null").isEmpty() and found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__ts_keep"))
         # a shuffle at every size: a broadcast would end where the kept ids outgrow it
         return docs.join(keep.hint("shuffle_merge"), docs[doc_id] == keep["__ts_keep"], "left_semi")
-    kept = docs.join(keep.distinct(), docs[doc_id].eqNullSafe(keep["__ts_keep"]), "left_semi")
-    kept = kept.withColumn("__ts_text", F.when(F.col(doc_id).isNull(), F.xxhash64(text)))
-    return kept.dropDuplicates([doc_id, "__ts_text"]).select(*columns)
+    rows = staged(docs.withColumn("__ts_row", F.monotonically_increasing_id()), "rows")
+    found = components(rows, "__ts_row", text).select(F.col("doc_id").alias("__ts_of"), "component_id")
+    ids = rows.select("__ts_row", F.col(doc_id).alias("__ts_id")).join(found, F.col("__ts_row") == F.col("__ts_of"))
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("__ts_id").isNull().alias("none"), "__ts_id", "__ts_row")).alias("b"))
+    keep = first.select(F.col("b.__ts_row").alias("__ts_keep"))
+    return rows.join(keep.hint("shuffle_merge"), rows["__ts_row"] == keep["__ts_keep"], "left_semi").select(*columns)

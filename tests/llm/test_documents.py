@@ -170,6 +170,17 @@ def test_simhash_components(docs):
     assert sorted(ids) == sorted({c for d, _, c in got if d is not None and d == c})
 
 
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    words = "abcdefghijklmnopqrstuvwxyz"
+    long = lambda k: " ".join(f"{a}{b}{k}" for a in words for b in words)
+    rows = [(None, long(1)), (5, long(1)), (None, long(2)), (None, long(2)), (7, long(3)), (7, long(4)), (8, long(4)), (8, long(5)), (9, long(5)), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, (r.text or "")[:3]) for r in simhash.deduplicate(docs).collect())
+    component = {r.fp: [] for r in simhash.components(docs).collect()}
+    assert len(component) == 6  # five texts and the empty one, all far from each other
+    assert got == Counter([(5, "aa1"), (None, "aa2"), (7, "aa3"), (7, "aa4"), (8, "aa5"), (9, "")])
+
+
 @pytest.mark.parametrize("hot_bucket", [1, 4, 64])
 def test_pigeonring_loses_no_link(spark, hot_bucket):
     import random
