@@ -1,5 +1,4 @@
 import random
-import struct
 
 import pytest
 
@@ -30,11 +29,50 @@ def test_bpe_on_random_unicode(library):
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 50))) for _ in range(1500)]
     texts += ["".join(chr(rnd.choice([rnd.randint(1, 0x2FF), rnd.randint(0x300, 0xD7FF), rnd.randint(0xE000, 0x1FFFF)])) for _ in range(rnd.randint(0, 30))) for _ in range(1500)]
     texts += ["a" * 4000, "ab" * 2000, "<|endoftext|>x<|startoftext|> don't we'll", "=-" * 500]
-    for text in texts:
-        packed, decoded = encoder.encode(text)
-        ids = list(struct.unpack(f"<{len(packed) // 4}i", packed))
-        assert ids == library.encode(text, add_special_tokens=False).ids, text
-        assert decoded == library.decode(ids, skip_special_tokens=False)
+    for text, found in zip(texts, encoder.encode(texts).to_pylist()):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert found["ids"] == ids, text
+        assert found["decoded"] == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_words_of_every_length(library):
+    encoder = bpe.PrefixEncoder(open(tokenizer_path(TOKENIZER), encoding="utf-8").read())
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("aeinorst") for _ in range(n)) for n in [*range(1, 130), 5000]]
+    assert [x["ids"] for x in encoder.encode(texts).to_pylist()] == [library.encode(t).ids for t in texts]
+
+
+def test_full_tables_change_nothing(real, library, monkeypatch):
+    texts = [r.text for r in real.collect()]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_ROWS", 50)
+    encoder = bpe.PrefixEncoder(open(tokenizer_path(TOKENIZER), encoding="utf-8").read())
+    for _ in range(2):
+        got = [x for i in range(0, len(texts), 7) for x in encoder.encode(texts[i : i + 7]).to_pylist()]
+        assert [x["ids"] for x in got] == want
+
+
+def test_automaton_knows_all_ends():
+    """Each prefix's state names just the given strings that end there, by the states on its suffix links."""
+    rnd = random.Random(7)
+    strings = sorted({bytes(rnd.choice(b"ab") for _ in range(rnd.randint(1, 6))) for _ in range(40)} | {b"a", b"b"})
+    link, longest, token, steps, targets = bpe.SuffixAutomaton(dict(enumerate(strings))).arrays()
+    go = dict(zip(steps.tolist(), targets.tolist()))
+    substrings = {s[i:j] for s in strings for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    for _ in range(300):
+        text, state, size = bytes(rnd.choice(b"ab") for _ in range(12)), 0, 0
+        for end, c in enumerate(text, 1):
+            while state << 8 | c not in go:
+                state = link[state]
+                size = longest[state]
+            state, size = go[state << 8 | c], size + 1
+            assert size == max(n for n in range(end + 1) if not n or text[end - n : end] in substrings)
+            ends, at = [], state
+            while at > 0:
+                if token[at] >= 0 and longest[at] <= size:
+                    ends.append(strings[token[at]])
+                at = link[at]
+            assert ends == [text[end - n : end] for n in range(end, 0, -1) if text[end - n : end] in strings]
 
 
 def test_bpe_decodes_what_it_encoded(edge, library):
