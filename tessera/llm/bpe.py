@@ -29,9 +29,9 @@ from tessera.functions.process_cache import kept
 from tessera.llm.words import slices
 
 #: Entries of each of a worker's tables. A full one makes room or takes no more, which costs time and never changes a result.
-CACHE_ROWS = 400_000
+CACHE_ROWS = 300_000
 #: Rows and characters of text that are encoded together; a longer text is encoded alone.
-SLICE_ROWS, SLICE_CHARS = 1024, 4_000_000
+SLICE_ROWS, SLICE_CHARS = 512, 2_000_000
 #: Byte that stands for the end of a word; UTF-8 has no such byte.
 END = 0xFF
 #: ASCII marks that the pretokenizer's pattern never parts from each other, nor joins with letters.
