@@ -209,7 +209,7 @@ def _head_scores(text: Column, shared) -> Column:
 def head_cut(words: DataFrame, head_rows: int) -> int:
     """The least count such that at most ``head_rows`` words have it or more, from a histogram of counts' leading bits."""
     taken, cut = 0, 1 << 62
-    for low, n in sorted(words.groupBy(bucket(F.col("n")).alias("low")).count().collect(), reverse=True):  # under 2,000 buckets
+    for low, n in sorted(words.groupBy(bucket(F.col("n"), 6).alias("low")).count().collect(), reverse=True):  # under 2,000 buckets
         taken += n
         if taken > head_rows:
             break

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tessera.llm.preference import CLOSE, OPEN
-from tessera.llm.quality import MAX_REPEATED, MIN_DOCS, MIN_WORDS, SLACK, SPREAD
 from tessera.llm.secrets import ACCESS, ASSIGN, ASSIGN_HEAD, CANDIDATE, HEX, LIVE_OWNERS, MIN_ASSIGN
 from tessera.llm.words import LOWER, UPPER
 
@@ -29,30 +28,31 @@ SECRETS = f"""WITH b AS (SELECT * FROM ({spans(0, ASSIGN)}) WHERE length(regexp_
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 SPACES = r"[\x20\x09-\x0D]"
-VALUES = {"word_length": "word_chars * 1000 // greatest(n_words, 1)", "symbols": "n_symbols * 1000 // greatest(word_chars, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)"}
-QUANTILES = "min(CASE WHEN 4 * upto >= 1 * total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 2 * total THEN bucket END) AS q2, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3, max(total) AS docs"
 
 
-def limits(name: str, keys: str) -> str:
-    """Thresholds of each key and ratio, from summed buckets."""
-    by = f"{keys}, ratio" if keys else "ratio"
-    low, high = ("CASE ratio " + " ".join(f"WHEN '{k}' THEN {v[side]}" for k, v in SLACK.items()) + " END" for side in (0, 1))
+def quartiles(name: str, keys: str) -> str:
+    """Median and narrower quarter of each key and measure, from summed buckets."""
+    by = f"{keys}, measure" if keys else "measure"
+    quantile = lambda k: f"min(CASE WHEN 4 * upto >= {k} * total THEN bucket END) AS q{k}"
     return f"""{name}_m AS (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY {by}, bucket), {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by}) AS total, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto FROM {name}_m),
- {name} AS (SELECT {by}, docs, q2 - greatest({low}, spread) AS low, q2 + greatest({high}, spread) AS high FROM (SELECT *, {SPREAD} * least(q3 - q2, q2 - q1) AS spread FROM (SELECT {by}, {QUANTILES} FROM {name}_u GROUP BY {by})))"""
+ {name} AS (SELECT {by}, docs, q2 AS median, least(q3 - q2, q2 - q1) AS quarter FROM (SELECT {by}, {quantile(1)}, {quantile(2)}, {quantile(3)}, max(total) AS docs FROM {name}_u GROUP BY {by}))"""
 
 
 QUALITY = f"""WITH t AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text FROM documents),
  w AS (SELECT *, list_filter(string_split_regex(text, '{SPACES}+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
  p AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)), r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM p) WHERE n > 1),
  c AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM r) GROUP BY doc_id),
- m AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
- v AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS ratio, CAST({x} AS BIGINT) AS v FROM m" for k, x in VALUES.items())}),
- sketch AS (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n FROM v GROUP BY ALL),
- {limits("own", "lang, source")}, {limits("by_lang", "lang")}, {limits("by_all", "")},
- j AS (SELECT v.doc_id, bool_and(v.v BETWEEN CASE WHEN o.docs >= {MIN_DOCS} THEN o.low WHEN b.docs >= {MIN_DOCS} THEN b.low ELSE a.low END AND CASE WHEN o.docs >= {MIN_DOCS} THEN o.high WHEN b.docs >= {MIN_DOCS} THEN b.high ELSE a.high END) AS inside
-   FROM v JOIN own o ON v.lang = o.lang AND v.source = o.source AND v.ratio = o.ratio JOIN by_lang b ON v.lang = b.lang AND v.ratio = b.ratio JOIN by_all a ON v.ratio = a.ratio GROUP BY v.doc_id),
- f AS (SELECT m.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed, inside FROM m JOIN j ON m.doc_id = j.doc_id)
-SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM f"""
+ m AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^!-/:-@\\[-`{{-~]', '', 'g')) AS BIGINT) AS n_marks,
+   CAST(len(list_filter(w, lambda x: length(x) <= 3)) AS BIGINT) AS n_short, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+ v AS (SELECT doc_id, lang, source, n_words, unnest(['words', 'word_length', 'marks', 'short_words']) AS measure, unnest([n_words, word_chars * 10000 // greatest(n_words, 1), n_marks * 10000 // greatest(word_chars, 1), n_short * 10000 // greatest(n_words, 1)]) AS v FROM m),
+ sketch AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 10, 0)) << greatest(length(bin(v)) - 10, 0) AS bucket, count(*) AS n FROM v GROUP BY ALL),
+ {quartiles("own", "lang, source")}, {quartiles("by_lang", "lang")}, {quartiles("by_all", "")},
+ k AS (SELECT lang, source, o.measure, CASE WHEN o.docs >= 200 THEN o.median WHEN b.docs >= 200 THEN b.median WHEN a.docs >= 200 THEN a.median END AS median, 10 * greatest(CASE WHEN o.docs >= 200 THEN o.quarter WHEN b.docs >= 200 THEN b.quarter WHEN a.docs >= 200 THEN a.quarter END, usual) AS reach
+   FROM own o JOIN by_lang b USING (lang, measure) JOIN by_all a USING (measure) LEFT JOIN (SELECT lang, measure, percentile_disc(0.5) WITHIN GROUP (ORDER BY quarter DESC) AS usual FROM own WHERE docs >= 200 GROUP BY lang, measure) USING (lang, measure)),
+ j AS (SELECT v.doc_id, bool_and(coalesce(k.reach = 0 OR k.median IS NULL OR CAST(v.v - k.median AS DOUBLE) * CAST(v.v - k.median AS DOUBLE) * v.n_words <= CAST(k.reach AS DOUBLE) * CAST(k.reach AS DOUBLE) * greatest(v.n_words, u.median), true)) AS inside
+   FROM v JOIN k USING (lang, source, measure) JOIN k u ON u.lang = v.lang AND u.source = v.source AND u.measure = 'words' WHERE v.measure <> 'words' GROUP BY v.doc_id),
+ f AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, inside FROM m JOIN j ON m.doc_id = j.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM f"""
 
 WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 CONTAMINATION = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),

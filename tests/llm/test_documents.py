@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,17 +62,51 @@ def test_quality_measures(docs):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def prose(rnd, n, low, high):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(low, high))) + ("." if k % 9 == 8 else "") for k in range(n))
+
+
 def test_quality_thresholds_follow_the_group(spark):
-    words = lambda k: " ".join(f"w{k}{j}" + "x" * (j % 5) for j in range(40))
-    rows = [(k, words(k) + (" # # #" if k % 3 else ""), "en", "code") for k in range(300)] + [(1000 + k, words(k), "en", "prose") for k in range(300)] + [(5000, words(7) + " ### ### ### ### ###", "en", "prose")]
+    """The same texts are usual in one source and odd in another; long words are usual in one language only."""
+    rnd = random.Random(3)
+    rows = [(k, prose(rnd, 80, 1, 9), "en", "web") for k in range(400)]
+    rows += [(1000 + k, prose(rnd, 80, 1, 9).replace(" ", " # "), "en", "code") for k in range(400)]
+    rows += [(2000 + k, prose(rnd, 80, 6, 24), "de", "web") for k in range(400)]
+    rows += [(5000, prose(rnd, 80, 1, 9).replace(" ", " # "), "en", "web"), (5001, prose(rnd, 80, 6, 24), "en", "web"), (5002, prose(rnd, 80, 1, 9), "de", "web")]
+    rows += [(6000, prose(rnd, 12, 1, 9), "en", "web"), (6001, prose(rnd, 5000, 1, 9), "en", "web")]
+    out = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {k for k, kept in out.items() if not kept} == {5000, 5001, 5002}
+
+
+def test_quality_bounds_hold_under_copies_and_junk(spark):
+    """Copies that fill over half of a group do not narrow its bounds to a point, and a fifth of junk does not widen them."""
+    rnd = random.Random(4)
+    copy = prose(rnd, 90, 1, 9)
+    rows = [(k, copy, "en", "hot") for k in range(300)] + [(1000 + k, prose(rnd, 90, 1, 9), "en", "hot") for k in range(200)]
+    rows += [(2000 + k, prose(rnd, 90, 1, 9), "en", "web") for k in range(400)] + [(3000 + k, prose(rnd, 90, 1, 9).replace(" ", "### "), "en", "web") for k in range(100)]
     out = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(out[k] for k in range(300)) and all(out[1000 + k] for k in range(300)) and not out[5000]
+    assert all(kept == (k < 3000) for k, kept in out.items())
+
+
+def test_few_documents_are_judged_by_the_base_rule_only(spark):
+    rows = [(k, prose(random.Random(k), 30, 1, 9 + 60 * (k == 1)), "en", "web") for k in range(50)]
+    assert all(r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect())
 
 
 def test_sketch_quantile_is_near(spark):
-    df = spark.range(0, 10_000).select(quality.bucket(F.col("id")).alias("b"), "id")
+    df = spark.range(0, 10_000).select(*(quality.bucket(F.col("id"), bits).alias(f"b{bits}") for bits in (6, 10)), "id")
     for r in df.collect():
-        assert r.b <= r.id <= r.b * 33 / 32 + 1
+        assert r.b6 <= r.id <= r.b6 * 33 / 32 + 1 and r.b10 <= r.id <= r.b10 * 513 / 512
+
+
+def test_quality_equals_brute_force(spark, sf):
+    from tests_llm_brute import brute_kept
+
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    got = {r.doc_id: r.kept for r in quality.verdicts(docs).collect()}
+    rows = docs.collect()
+    assert got == {r.doc_id: ok for r, ok in zip(rows, brute_kept(rows))}
+    assert 0 < sum(not x for x in got.values()) < len(rows) / 3
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)

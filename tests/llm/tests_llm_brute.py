@@ -5,39 +5,47 @@ from collections import Counter, defaultdict
 
 from test_documents import brute_candidates, brute_components, brute_contamination, brute_fingerprint, brute_measures, brute_spans
 
-from tessera.llm.quality import MIN_DOCS, SLACK, SPREAD
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def bucket(v):
-    drop = max(0, len(f"{v:b}") - 6)
+    drop = max(0, len(f"{v:b}") - 10)
     return v >> drop << drop
 
 
 def brute_kept(docs):
     rows = []
     for r in docs:
-        n, chars, symbols, dup, rep, failed = brute_measures(r.text)
-        lines = sum(1 for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
-        rows.append(((r.lang, r.source), failed, {"word_length": chars * 1000 // max(n, 1), "symbols": symbols * 1000 // max(chars, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": rep * 1000 // max(n, 1)}))
+        n, chars, _, _, _, failed = brute_measures(r.text)
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        marks, short = sum(c in MARKS for c in r.text or ""), sum(len(w) <= 3 for w in words)
+        rows.append(((r.lang, r.source), failed, n, (chars * 10000 // max(n, 1), marks * 10000 // max(chars, 1), short * 10000 // max(n, 1))))
     groups = defaultdict(list)
-    for key, _, ratios in rows:
-        for g in (key, key[0], "all"):
-            groups[g, g == "all"].append(ratios)
+    for key, _, n, ratios in rows:
+        for g in (("own", *key), ("lang", key[0]), ("all",)):
+            groups[g].append((n, *ratios))
+
+    def quartiles(g, k):
+        ordered = sorted(bucket(x[k]) for x in groups[g])
+        return [next(v for v in ordered if 4 * sum(1 for y in ordered if y <= v) >= q * len(ordered)) for q in (1, 2, 3)]
+
+    quarter = lambda g, k: min(b - a for a, b in zip(quartiles(g, k), quartiles(g, k)[1:]))
 
     def limits(key):
-        for g in ((key, False), (key[0], False), ("all", True)):
-            own = groups[g]
-            if len(own) >= MIN_DOCS or g[1]:
-                out = {}
-                for k, (below, above) in SLACK.items():
-                    ordered = sorted(bucket(x[k]) for x in own)
-                    q1, q2, q3 = (next(v for i, v in enumerate(ordered) if 4 * sum(1 for y in ordered if y <= v) >= q * len(ordered)) for q in (1, 2, 3))
-                    spread = SPREAD * min(q3 - q2, q2 - q1)
-                    out[k] = (q2 - max(below, spread), q2 + max(above, spread))
-                return out
+        g = next((g for g in (("own", *key), ("lang", key[0]), ("all",)) if len(groups[g]) >= 200), None)
+        sources = [x for x in groups if x[:2] == ("own", key[0]) and len(groups[x]) >= 200]
+        usual = lambda k: sorted((quarter(x, k) for x in sources), reverse=True)[(len(sources) - 1) // 2] if sources else 0
+        return g and (quartiles(g, 0)[1], [(quartiles(g, k)[1], 10 * max(quarter(g, k), usual(k))) for k in (1, 2, 3)])
 
     known = {key: limits(key) for key in {r[0] for r in rows}}
-    return [not failed and all(a <= ratios[k] <= b for k, (a, b) in known[key].items()) for key, failed, ratios in rows]
+
+    def inside(key, n, ratios):
+        if not known[key]:
+            return True
+        words, bounds = known[key]
+        return all(not reach or (v - median) ** 2 * n <= reach**2 * max(n, words) for v, (median, reach) in zip(ratios, bounds))
+
+    return [not failed and inside(key, n, ratios) for key, failed, n, ratios in rows]
 
 
 def masked(text, spans):
