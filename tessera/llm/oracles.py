@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tessera.llm.preference import CLOSE, OPEN
-from tessera.llm.secrets import ACCESS, ASSIGN, ASSIGN_HEAD, CANDIDATE, HEX, LIVE_OWNERS, MIN_ASSIGN
 from tessera.llm.words import LOWER, UPPER
 
 
@@ -18,14 +17,25 @@ def spans(kind: int, pattern: str) -> str:
         FROM (SELECT doc_id, source, lang, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, source, lang, regexp_extract_all(coalesce(text, ''), {p}) AS hits, string_split_regex(coalesce(text, ''), {p}) AS gaps FROM documents WHERE regexp_matches(text, {p})))"""
 
 
+def either_case(names: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in names)
+
+
+VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = f"({either_case('password|passwd|secret|token|api_?key')}){VALUE}"
+NAMED = f"({either_case('pwd|passphrase|credential|bearer|private_?key|access_?key|auth_?key')}){VALUE[:-2]}{{12,}})"
+BARE = "regexp_replace(value, '^[A-Za-z_]+[\"'']?\\x20*[:=]\\x20*[\"'']?', '')"
+TOUCHES = "NOT EXISTS (SELECT 1 FROM {other} b WHERE b.doc_id = x.doc_id AND b.start < x.start + x.size AND x.start < b.start + b.size)"
 NAMES = "CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'live' END || ':' || start || ':' || (start + size)"
-SECRETS = f"""WITH b AS (SELECT * FROM ({spans(0, ASSIGN)}) WHERE length(regexp_replace(value, {text(ASSIGN_HEAD)}, '')) >= {MIN_ASSIGN} UNION ALL {spans(1, ACCESS)} UNION ALL {spans(2, HEX)}),
- c AS (SELECT * FROM ({spans(3, CANDIDATE)}) x WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.start < x.start + x.size AND x.start < b.start + b.size)),
- s AS (SELECT *, CASE WHEN kind = 0 THEN regexp_replace(value, {text(ASSIGN_HEAD)}, '') ELSE value END AS secret FROM (SELECT * FROM b UNION ALL SELECT * FROM c)),
- o AS (SELECT secret, count(DISTINCT coalesce('=' || source, '')) AS owners FROM s GROUP BY secret),
- k AS (SELECT doc_id, kind, start, size FROM s JOIN o ON s.secret = o.secret WHERE kind < 3 OR owners <= {LIVE_OWNERS}),
- g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, coalesce(string_agg({NAMES}, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '') AS base, string_agg({NAMES}, ',' ORDER BY start, kind) AS spans FROM k GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
+SECRETS = f"""WITH b AS (SELECT * FROM ({spans(0, ASSIGN)}) WHERE length({BARE}) >= 12 UNION ALL {spans(1, "AKIA[A-Z0-9]{14,}")} UNION ALL {spans(2, "[0-9a-f]{16,}")}),
+ c AS (SELECT * FROM ({spans(3, "[A-Za-z0-9+/_-]{20,}")}) x WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND {TOUCHES.format(other="b")}),
+ n AS (SELECT * FROM ({spans(3, NAMED)}) x WHERE regexp_matches({BARE}, '[0-9]') AND regexp_matches({BARE}, '[A-Za-z]') AND {TOUCHES.format(other="b")} AND {TOUCHES.format(other="c")}),
+ s AS (SELECT *, {BARE} AS secret FROM (SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM n)),
+ o AS (SELECT secret, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT coalesce('=' || source, '') || '/' || coalesce('=' || lang, '')) AS repositories FROM s GROUP BY secret),
+ k AS (SELECT doc_id, kind, start, size, owners, repositories, owners <= 1 AND repositories <= 4 AS live FROM s JOIN o ON s.secret = o.secret WHERE kind < 3 OR (owners <= 1 AND repositories <= 4)),
+ g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, coalesce(string_agg({NAMES}, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '') AS base, string_agg({NAMES}, ',' ORDER BY start, kind) AS spans,
+   count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied, max(owners) AS most_owners, max(repositories) AS most_repositories FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 SPACES = r"[\x20\x09-\x0D]"
 

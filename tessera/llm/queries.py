@@ -38,9 +38,13 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scanned(documents(spark, sf_dir), ["doc_id"])
-    base = F.col("__ts_base")
+    base, spans = F.col("__ts_base"), F.col("__ts_spans")
     number = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("__ts_spans")).alias("spans"))
+    most = lambda c: F.coalesce(F.array_max(F.transform(spans, lambda s: s[c])), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(spans).alias("spans"),
+        F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter(spans, lambda s: ~s["live"])).cast("long").alias("n_copied"), most("n_owners").alias("most_owners"), most("n_repositories").alias("most_repositories"),
+    )
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

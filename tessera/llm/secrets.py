@@ -1,16 +1,18 @@
 """Secret scans with corpus-wide ownership frequency.
 
-The base patterns give their spans whatever the corpus says. Beside them, every other long token of mixed letters and digits is
-a candidate. Candidates are hashed and counted by distinct owners and repositories over the whole corpus: a value that many
-owners share is a copied example; one that stands with a single owner looks live and is added as a span of kind ``live``.
-The base spans are judged likewise (class ``live`` or ``copied``), for reports.
+The base patterns give their spans whatever the corpus says. Beside them, other long tokens of mixed letters and digits and values
+under further names are candidates. The values of all spans are hashed and counted by distinct owners and repositories over the whole
+corpus: what more than LIVE_OWNERS owners or LIVE_REPOSITORIES repositories hold is a copied example; the rest looks live. A live
+candidate is added as a span of kind ``live``, a copied one is not. Every span, base ones included, carries its class and counts.
 
 Positions are code points; the end is exclusive. Null texts are empty. Null owners and repositories are values of their own.
-Repeated rows are scanned each by itself and count as one owner.
+Repeated rows are scanned each by itself and count as one owner. Texts are scanned once; what the scan finds is written.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,12 @@ ASSIGN_HEAD = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 MIN_ASSIGN = 12
-#: Further candidates: runs of these characters, with a digit, a capital and a small letter.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: Distinct owners up to which a value looks live.
-LIVE_OWNERS = 1
+#: Further candidates: runs of these characters with a digit, a capital and a small letter; values of 12 characters or more with a digit
+#: and a letter under these names.
+MIXED = r"[A-Za-z0-9+/_-]{20,}"
+NAMED = r"""([Pp][Ww][Dd]|[Pp][Aa][Ss][Ss][Pp][Hh][Rr][Aa][Ss][Ee]|[Cc][Rr][Ee][Dd][Ee][Nn][Tt][Ii][Aa][Ll]|[Bb][Ee][Aa][Rr][Ee][Rr]|(?:[Pp][Rr][Ii][Vv][Aa][Tt][Ee]|[Aa][Cc][Cc][Ee][Ss][Ss]|[Aa][Uu][Tt][Hh])_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})"""
+#: Distinct owners and repositories up to which a value looks live.
+LIVE_OWNERS, LIVE_REPOSITORIES = 1, 4
 KINDS = ("assign", "access", "hex", "live")
 SPAN = "array<struct<start:int,stop:int,kind:int,value:string>>"
 
@@ -55,9 +59,13 @@ def base_spans(text: Column) -> Column:
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
-    """Further candidates that no base span touches."""
-    mixed = F.filter(_spans(F.coalesce(text, F.lit("")), CANDIDATE, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]"))
-    return let(base, lambda b: F.filter(mixed, lambda s: ~F.exists(b, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"]))))
+    """Further candidates that no base span touches; a named value gives way to mixed runs."""
+    text = F.coalesce(text, F.lit(""))
+    has = lambda c, *patterns: functools.reduce(lambda x, y: x & y, (c.rlike(p) for p in patterns))
+    mixed = F.filter(_spans(text, MIXED, 3), lambda s: has(s["value"], "[0-9]", "[A-Z]", "[a-z]"))
+    named = F.filter(_spans(text, NAMED, 3), lambda s: has(F.regexp_replace(s["value"], ASSIGN_HEAD, ""), "[0-9]", "[A-Za-z]"))
+    apart = lambda spans, others: F.filter(spans, lambda s: ~F.exists(others, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"])))
+    return let(base, lambda b: let(apart(mixed, b), lambda m: F.concat(m, apart(apart(named, b), m))))
 
 
 def _in_order(spans: Column) -> Column:
@@ -66,8 +74,8 @@ def _in_order(spans: Column) -> Column:
 
 
 def secret_hash(span: Column) -> Column:
-    """Of the secret itself: an assignment's value without its name."""
-    return F.sha2(F.when(span["kind"] == 0, F.regexp_replace(span["value"], ASSIGN_HEAD, "")).otherwise(span["value"]), 256)
+    """Of the secret itself: a value without its name."""
+    return F.sha2(F.regexp_replace(span["value"], ASSIGN_HEAD, ""), 256)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -78,19 +86,28 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("secret").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"))
 
 
-def scanned(docs: DataFrame, keep: list[str], owner: str = "source", repository: list[str] = ("source", "lang"), text: str = "text", live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """Columns ``keep``, then __ts_base (base spans) and __ts_spans (all spans with their class), one row for each of ``docs``."""
+def spotted(docs: DataFrame, keep: list[str], owner: str, repository: list[str], text: str) -> DataFrame:
+    """Columns ``keep``, then __ts_row, __ts_owner, __ts_repository, __ts_base and __ts_more (candidates), written once."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    rows = docs.select(*keep, key(owner).alias("__ts_owner"), F.concat_ws("\x1f", *(key(c) for c in repository)).alias("__ts_repository"), F.col(text).alias("__ts_text"))
-    rows = rows.withColumn("__ts_base", base_spans(F.col("__ts_text")))
+    rows = docs.select(*keep, key(owner).alias("__ts_owner"), F.concat_ws("\x1f", *(key(c) for c in repository)).alias("__ts_repository"), base_spans(F.col(text)).alias("__ts_base"), F.col(text).alias("__ts_text"))
     rows = rows.withColumn("__ts_more", candidate_spans(F.col("__ts_text"), F.col("__ts_base"))).drop("__ts_text")
-    rows = staged(rows.withColumn("__ts_row", F.monotonically_increasing_id()), "candidates")
+    return staged(rows.withColumn("__ts_row", F.monotonically_increasing_id()), "candidates")
+
+
+def classed(rows: DataFrame, live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
+    """Rows (__ts_of, __ts_spans) of spotted() rows with spans: base and live ones in order, each with its class and counts."""
     each = rows.select("__ts_row", F.col("__ts_owner").alias("owner"), F.col("__ts_repository").alias("repository"), F.explode(F.concat("__ts_base", "__ts_more")).alias("s")).withColumn("secret", secret_hash(F.col("s")))
     owned = ownership(each.select("secret", "owner", "repository"))
-    live = F.col("n_owners") <= live_owners
+    live = (F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories)
     told = each.join(owned, "secret").where(live | (F.col("s.kind") < 3)).select("__ts_row", "s", live.alias("live"), "n_owners", "n_repositories")
-    gathered = told.groupBy(F.col("__ts_row").alias("__ts_of")).agg(F.sort_array(F.collect_list(F.struct("s.start", "s.kind", "s.stop", "s.value", "live", "n_owners", "n_repositories"))).alias("__ts_spans"))
-    out = rows.join(gathered, rows["__ts_row"] == gathered["__ts_of"], "left")
+    return told.groupBy(F.col("__ts_row").alias("__ts_of")).agg(F.sort_array(F.collect_list(F.struct("s.start", "s.kind", "s.stop", "s.value", "live", "n_owners", "n_repositories"))).alias("__ts_spans"))
+
+
+def scanned(docs: DataFrame, keep: list[str], owner: str = "source", repository: list[str] = ("source", "lang"), text: str = "text") -> DataFrame:
+    """Columns ``keep``, then __ts_base (base spans) and __ts_spans (all spans with their class), one row for each of ``docs``."""
+    rows = spotted(docs, keep, owner, repository, text)
+    found = classed(rows)
+    out = rows.join(found, rows["__ts_row"] == found["__ts_of"], "left")
     empty = F.array().cast("array<struct<start:int,kind:int,stop:int,value:string,live:boolean,n_owners:bigint,n_repositories:bigint>>")
     return out.select(*keep, "__ts_base", F.coalesce("__ts_spans", empty).alias("__ts_spans"))
 
@@ -122,12 +139,11 @@ def redacted(docs: DataFrame, owner: str = "source", repository: list[str] = ("s
     """``docs`` with every span masked; ``n_chars`` then has the new length of changed texts. Texts without candidates are never
     shuffled."""
     columns = docs.columns
-    base = base_spans(F.col(text))
-    touched = (F.size("__ts_b") > 0) | (F.size("__ts_c") > 0)
-    found = docs.withColumn("__ts_b", base).withColumn("__ts_c", candidate_spans(F.col(text), F.col("__ts_b")))
-    clean = found.where(~touched).select(*columns)
-    suspects = found.where(touched).select(*columns)
-    out = scanned(suspects, columns, owner, repository, text).withColumn("__ts_new", masked(F.col(text), F.col("__ts_spans")))
+    rows = spotted(docs, columns, owner, repository, text)
+    touched = (F.size("__ts_base") > 0) | (F.size("__ts_more") > 0)
+    found = classed(rows.where(touched))
+    out = rows.where(touched).join(found, F.col("__ts_row") == F.col("__ts_of"), "left")
+    out = out.withColumn("__ts_new", F.when(F.col("__ts_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("__ts_spans"))))
     if n_chars in columns:
-        out = out.withColumn(n_chars, F.when(F.size("__ts_spans") > 0, F.length("__ts_new").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return clean.unionByName(out.withColumn(text, F.col("__ts_new")).select(*columns))
+        out = out.withColumn(n_chars, F.when(F.col("__ts_spans").isNotNull(), F.length("__ts_new").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return rows.where(~touched).select(*columns).unionByName(out.withColumn(text, F.col("__ts_new")).select(*columns))

@@ -120,34 +120,51 @@ def brute_spans(text):
     return sorted(out)
 
 
+NAMED = re.compile(r"""((?i:pwd|passphrase|credential|bearer|(?:private|access|auth)_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})""", re.A)
+
+
 def brute_candidates(text, base):
+    """(start, kind, end, secret)"""
+    apart = lambda a, b, spans: all(x[2] <= a or b <= x[0] for x in spans)
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
-        if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
+        if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and apart(*m.span(), base):
             out.append((m.start(), 3, m.end(), m[0]))
-    return out
+    named = [(m.start(), 3, m.end(), m[2]) for m in NAMED.finditer(text or "") if re.search("[0-9]", m[2]) and re.search("[A-Za-z]", m[2]) and apart(*m.span(), base) and apart(*m.span(), out)]
+    return out + named
+
+
+def secret_of(text, span):
+    return re.sub(r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?""", "", text[span[0] : span[2]])
 
 
 def test_secret_spans(docs):
     rows = docs.collect()
-    owners = defaultdict(set)
+    owners, repositories = defaultdict(set), defaultdict(set)
     for r in rows:
-        for _, _, _, value in brute_candidates(r.text, brute_spans(r.text)):
-            owners[value].add(r.source)
+        base = brute_spans(r.text)
+        for x in base + brute_candidates(r.text, base):
+            owners[secret_of(r.text, x)].add(r.source)
+            repositories[secret_of(r.text, x)].add((r.source, r.lang))
     want = []
     for r in rows:
         base = brute_spans(r.text)
-        more = [c[:3] for c in brute_candidates(r.text, base) if len(owners[c[3]]) == 1]
-        want.append((r.doc_id, base, sorted(base + more)))
-    got = [(r.doc_id, [(s.start, s.kind, s.stop) for s in r["__ts_base"]], [(s.start, s.kind, s.stop) for s in r["__ts_spans"]]) for r in secrets.scanned(docs, ["doc_id"]).collect()]
+        told = []
+        for x in base + [c[:3] for c in brute_candidates(r.text, base)]:
+            n, m = len(owners[secret_of(r.text, x)]), len(repositories[secret_of(r.text, x)])
+            if x[1] < 3 or n == 1 and m <= 4:
+                told.append((*x, n == 1 and m <= 4, n, m))
+        want.append((r.doc_id, base, sorted(told)))
+    got = [(r.doc_id, [(s.start, s.kind, s.stop) for s in r["__ts_base"]], [(s.start, s.kind, s.stop, s.live, s.n_owners, s.n_repositories) for s in r["__ts_spans"]]) for r in secrets.scanned(docs, ["doc_id"]).collect()]
     assert multiset(got) == multiset(want)
 
 
 def test_copied_examples_are_told_from_live_secrets(spark):
-    shared, own = "Ab1" * 8, "Zx9" * 8
-    rows = [(k, f"use {shared} here", "en", f"s{k}") for k in range(5)] + [(9, f"use {own} here", "en", "s1"), (10, f"use {own} here", "fr", "s1")]
-    got = {r.doc_id: [s.value for s in r["__ts_spans"]] for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
-    assert got[9] == got[10] == [own] and all(got[k] == [] for k in range(5))
+    shared, own, spread = "Ab1" * 8, "Zx9" * 8, "Qw7" * 8
+    rows = [(k, f"use {shared} here, AKIA{'Z' * 16}", "en", f"s{k}") for k in range(5)] + [(9, f"use {own} here", "en", "s1"), (10, f"use {own} here, pwd: {'k4' * 6}", "fr", "s1")] + [(20 + k, f"{spread}", f"l{k}", "s1") for k in range(5)]
+    got = {r.doc_id: [(s.value, s.live, s.n_owners, s.n_repositories) for s in r["__ts_spans"]] for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert got[9] == [(own, True, 1, 2)] and got[10] == [(own, True, 1, 2), (f"pwd: {'k4' * 6}", True, 1, 1)]
+    assert all(got[k] == [(f"AKIA{'Z' * 16}", False, 5, 5)] for k in range(5)) and all(got[20 + k] == [] for k in range(5))
 
 
 def test_secrets_are_masked(edge):
@@ -157,7 +174,7 @@ def test_secrets_are_masked(edge):
     before = {r.doc_id: r.text for r in edge.collect()}
     for i, text in texts.items():
         spans = [(a, b) for a, _, b in brute_spans(before[i])]
-        for _, _, b, value in [(a, k, b, v) for a, k, b, v in brute_candidates(before[i], brute_spans(before[i]))]:
+        for *_, value in brute_candidates(before[i], brute_spans(before[i])):
             assert value not in text
         assert ("[SECRET]" in (text or "")) >= bool(spans)
     assert texts[12] == before[12] and texts[2] is None

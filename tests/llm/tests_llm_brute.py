@@ -3,7 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
-from test_documents import brute_candidates, brute_components, brute_contamination, brute_fingerprint, brute_measures, brute_spans
+from test_documents import brute_candidates, brute_components, brute_contamination, brute_fingerprint, brute_measures, brute_spans, secret_of
 
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -66,14 +66,16 @@ def brute_pipeline(spark, sf, docs):
     docs = [r for r in docs if component[r.doc_id] == r.doc_id]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = [r for r in docs if not brute_contamination(r.text, items)[-1]]
-    owners = defaultdict(set)
+    owners, repositories = defaultdict(set), defaultdict(set)
     for r in docs:
-        for *_, value in brute_candidates(r.text, brute_spans(r.text)):
-            owners[value].add(r.source)
+        base = brute_spans(r.text)
+        for x in base + brute_candidates(r.text, base):
+            owners[secret_of(r.text, x)].add(r.source)
+            repositories[secret_of(r.text, x)].add((r.source, r.lang))
     out = {}
     for r in docs:
         base = brute_spans(r.text)
-        live = [c[:3] for c in brute_candidates(r.text, base) if len(owners[c[3]]) == 1]
+        live = [c[:3] for c in brute_candidates(r.text, base) if len(owners[c[3]]) == 1 and len(repositories[c[3]]) <= 4]
         out[r.doc_id] = masked(r.text, [(a, b) for a, _, b in sorted(base + live)])
     assert Counter(len(x) for x in out.values())
     return out
