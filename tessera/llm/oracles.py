@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tessera.llm.preference import CLOSE, OPEN
 from tessera.llm.words import LOWER, UPPER
 
 
@@ -77,6 +76,6 @@ PREFERENCE = f"""WITH a AS (SELECT conv_id, min(turn) AS first, max(turn) AS las
  b AS (SELECT c.conv_id, c.turn, c.role, c.text, r.role AS r_role, r.text AS r_text, c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text AS differs FROM conversations c LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn),
  p AS (SELECT *, min(CASE WHEN differs THEN turn END) OVER (PARTITION BY conv_id) AS parting FROM b),
  s AS (SELECT conv_id, CASE WHEN parting IS NULL OR turn < parting THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM p UNION ALL SELECT conv_id, 'rejected', turn, r_role, r_text FROM p WHERE turn >= parting AND r_role IS NOT NULL)
-SELECT conv_id, part, turn, role, '{OPEN}' || role || chr(10) || text || '{CLOSE.strip()}' || chr(10) AS rendered, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('{OPEN}' || role) + 1 ELSE 0 END AS INT) AS mask_from, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('{OPEN}' || role) + 1 + length(text) ELSE 0 END AS INT) AS mask_to FROM s"""
+SELECT conv_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|im_start|>' || role) + 1 ELSE 0 END AS INT) AS mask_from, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|im_start|>' || role) + 1 + length(text) ELSE 0 END AS INT) AS mask_to FROM s"""
 
 ORACLES = {"op4_secrets": SECRETS, "op5_quality": QUALITY, "op9_preference": PREFERENCE, "op10_decontaminate": CONTAMINATION}

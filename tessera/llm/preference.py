@@ -1,12 +1,14 @@
 """Preference formatting: the common prompt of a chosen and a rejected conversation, and their masked completions.
 
-Turns of both sides meet in a join on (pair, turn). The first turn at which role or text differ, or one side has none, ends the
-common prefix; what stands before is rendered once as prompt, what follows is each side's completion. Only what an assistant
+Turns are first reduced to hashes of role and text: these meet by (pair, turn), and the first turn at which they differ, or one side
+has none, ends the common prefix. What stands before is rendered once as prompt, what follows is each side's completion. Then every text
+meets its fate in one join on (pair, turn), so texts are shuffled once and no long conversation is a hot key. Only what an assistant
 says in a completion is to be learned: [mask_from, mask_to) are its code points in the rendered segment.
 
-The result is one row for each segment, so that a conversation of any length is never gathered into one row; rendering a
-pair's parts in turn order and joining them gives its texts. Null pairs and turns are no turns. Null roles and texts are
-rendered as empty and are equal to each other. Of rows that repeat a turn, the one with the smallest role and text counts.
+formatted() gives one row for each segment, so that a conversation of any length is never gathered into one row; paired() gathers
+each pair that differs into one row of prompt and completions, for pairs that fit one. Null pairs and turns are no turns. Null roles and
+texts are rendered as empty and are equal to each other. Of rows that repeat a turn, the one with the smallest hashes counts. Pairs
+whose sides are equal have a prompt only. Texts are compared by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -14,37 +16,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.staging import staged
+
 #: How a turn is written.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
+CHOSEN, REJECTED = 0, 1
+
+
+def _said(turns: DataFrame, store: int = CHOSEN) -> DataFrame:
+    """Rows (pair, store, turn, hash, role, text)."""
+    role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    told = turns.where("pair is not null and turn is not null").select("pair", F.lit(store).alias("store"), "turn", role.alias("role"), text.alias("text"))
+    return told.withColumn("hash", F.struct(F.xxhash64("role", "text").alias("a"), F.xxhash64("text", "role").alias("b")))
+
+
+def _light(turns: DataFrame, store: int = CHOSEN) -> DataFrame:
+    """Rows (pair, store, turn, hash, role): what is said at each turn, without its text."""
+    return _said(turns, store).groupBy("pair", "store", "turn").agg(F.min(F.struct("hash", "role")).alias("s")).select("pair", "store", "turn", "s.hash", "s.role")
+
+
+def _use(side: int, turn: Column) -> Column:
+    return F.struct(F.lit(side).alias("side"), turn.alias("at"))
 
 
-def _side(turns: DataFrame, name: str) -> DataFrame:
-    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.where("pair is not null and turn is not null").groupBy("pair", "turn").agg(F.min(said).alias(name))
+def _segments(stored: DataFrame, uses: DataFrame) -> DataFrame:
+    """Rendered segments. ``stored``: _said() rows; ``uses``: rows (pair, store, turn, hash, side, at) of what each of them stands for."""
+    uses = staged(uses, "uses")
+    said = lambda side: F.max(F.when(F.col("side") == side, F.col("hash")))
+    by_turn = uses.groupBy("pair", "at").agg(said(CHOSEN).alias("chosen"), said(REJECTED).alias("rejected"))
+    parting = by_turn.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy(F.col("pair").alias("of")).agg(F.min("at").alias("parting"))
+    common = F.col("parting").isNull() | (F.col("at") < F.col("parting"))
+    part = F.when(F.col("side") == CHOSEN, F.when(common, "prompt").otherwise("chosen")).when(~common, "rejected")
+    told = uses.join(parting, uses["pair"] == parting["of"], "left").select("pair", "store", "turn", part.alias("part"), "at").where("part is not null")
+    fates = told.groupBy(*(F.col(c).alias(f"f_{c}") for c in ("pair", "store", "turn"))).agg(F.collect_list(F.struct("part", "at")).alias("parts"))  # three at most
+    texts = stored.groupBy("pair", "store", "turn").agg(F.min(F.struct("hash", "role", "text")).alias("s"))
+    met = texts.join(fates, (texts["pair"] == fates["f_pair"]) & (texts["store"] == fates["f_store"]) & (texts["turn"] == fates["f_turn"]))
+    rows = met.select("pair", "s.role", "s.text", F.inline("parts"))
+    head = F.concat(F.lit(OPEN), F.col("role"), F.lit(MIDDLE))
+    learned = (F.col("part") != "prompt") & (F.col("role") == "assistant")
+    return rows.select(
+        "pair", "part", F.col("at").alias("turn"), "role", F.concat(head, F.col("text"), F.lit(CLOSE)).alias("rendered"),
+        F.when(learned, F.length(head)).otherwise(0).alias("mask_from"), F.when(learned, F.length(head) + F.length("text")).otherwise(0).alias("mask_to"),
+    )
 
 
 def formatted(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """From turns (pair, turn, role, text) of both sides: rows (pair, part, turn, role, rendered, mask_from, mask_to)."""
-    both = _side(chosen, "chosen").join(_side(rejected, "rejected"), ["pair", "turn"], "full")
-    differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    parting = both.groupBy("pair").agg(F.min(F.when(differs, F.col("turn"))).alias("parting")).where("parting is not null").withColumnRenamed("pair", "of")
-    known = both.join(parting, both.pair == parting.of, "left")
-    common = F.col("parting").isNull() | (F.col("turn") < F.col("parting"))
-    part = lambda name, said: F.struct(F.lit(name).alias("part"), said["role"].alias("role"), said["text"].alias("text"))
-    parts = F.when(common, F.array(part("prompt", F.col("chosen")))).otherwise(F.filter(F.array(F.when(F.col("chosen").isNotNull(), part("chosen", F.col("chosen"))), F.when(F.col("rejected").isNotNull(), part("rejected", F.col("rejected")))), lambda p: p.isNotNull()))
-    head = F.concat(F.lit(OPEN), F.col("p.role"), F.lit(MIDDLE))
-    learned: Column = (F.col("p.part") != "prompt") & (F.col("p.role") == "assistant")
-    return known.select("pair", "turn", F.explode(parts).alias("p")).select(
-        "pair", "p.part", "turn", "p.role", F.concat(head, F.col("p.text"), F.lit(CLOSE)).alias("rendered"),
-        F.when(learned, F.length(head)).otherwise(0).alias("mask_from"), F.when(learned, F.length(head) + F.length("p.text")).otherwise(0).alias("mask_to"),
-    )
+    sides = ((chosen, CHOSEN), (rejected, REJECTED))
+    uses = [_light(turns, side).withColumns({"side": F.lit(side), "at": F.col("turn")}).drop("role") for turns, side in sides]
+    stored = [_said(turns, side) for turns, side in sides]
+    return _segments(stored[0].unionByName(stored[1]), uses[0].unionByName(uses[1]))
+
+
+def self_formatted(turns: DataFrame) -> DataFrame:
+    """formatted() for conversations without a rejected side: there the last answer is replaced by the first one, or missing if it is the
+    only one. Each text still moves once."""
+    light = _light(turns)
+    answers = light.where("role = 'assistant'").groupBy(F.col("pair").alias("of")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    known = light.join(answers, light["pair"] == answers["of"], "left")
+    turn, first, last = F.col("turn"), F.col("first"), F.col("last")
+    uses = F.array(_use(CHOSEN, turn), F.when(last.isNull() | (turn != last), _use(REJECTED, turn)), F.when((turn == first) & (first < last), _use(REJECTED, last)))
+    used = known.select("pair", "store", "turn", "hash", F.inline(F.filter(uses, lambda u: u.isNotNull())))
+    return _segments(_said(turns), used)
+
+
+def paired(segments: DataFrame) -> DataFrame:
+    """Rows (pair, prompt, chosen, rejected, chosen_masks, rejected_masks), one for each pair whose sides differ; masks are ranges of
+    code points in the completion's text. A pair is gathered here: its texts must fit one row."""
+    rows = segments.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("turn", "part", "rendered", "mask_from", "mask_to"))).alias("all"))
+
+    def joined(part: str) -> Column:
+        return F.array_join(F.transform(F.filter("all", lambda s: s["part"] == part), lambda s: s["rendered"]), "")
 
+    def masks(part: str) -> Column:
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+        step = lambda acc, s: F.struct((acc["at"] + F.length(s["rendered"])).alias("at"), F.when(s["mask_to"] > s["mask_from"], F.concat(acc["out"], F.array(F.struct((acc["at"] + s["mask_from"]).alias("start"), (acc["at"] + s["mask_to"]).alias("stop"))))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(F.filter("all", lambda s: s["part"] == part), state, step)["out"]
 
-def self_rejected(turns: DataFrame) -> DataFrame:
-    """A rejected side for conversations that have none: the last answer is replaced by the first one, or missing if it is the only one."""
-    turns = turns.select("pair", "turn", "role", "text")
-    answers = turns.where("role = 'assistant' and pair is not null and turn is not null").groupBy("pair").agg(F.min_by(F.col("text"), F.struct("turn", F.xxhash64("text"))).alias("first_text"), F.min("turn").alias("first"), F.max("turn").alias("last")).withColumnRenamed("pair", "of")
-    joined = turns.join(answers, turns.pair == answers.of, "left")
-    is_last = (F.col("role") == "assistant") & (F.col("turn") == F.col("last"))
-    kept = joined.where(~F.coalesce(is_last & (F.col("first") == F.col("last")), F.lit(False)))
-    return kept.select("pair", "turn", "role", F.when(F.coalesce(is_last, F.lit(False)), F.col("first_text")).otherwise(F.col("text")).alias("text"))
+    return rows.where(F.exists("all", lambda s: s["part"] != "prompt")).select("pair", joined("prompt").alias("prompt"), joined("chosen").alias("chosen"), joined("rejected").alias("rejected"), masks("chosen").alias("chosen_masks"), masks("rejected").alias("rejected_masks"))

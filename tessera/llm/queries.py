@@ -66,7 +66,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("pair"), "turn", "role", "text")
-    return preference.formatted(turns, preference.self_rejected(turns)).withColumnRenamed("pair", "conv_id")
+    return preference.self_formatted(turns).withColumnRenamed("pair", "conv_id")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,15 +67,37 @@ def test_nothing_is_kept_inside_what_is_not():
         assert labels[n.parent.index] or not labels[n.index]
 
 
-def brute_pair(chosen, rejected):
-    def side(turns):
-        out = {}
-        for t, role, text in turns:
-            if t is not None:
-                out[t] = min(out.get(t, (role or "", text or "")), (role or "", text or ""))
-        return out
-
-    a, b = side(chosen), side(rejected)
+def spark_hash(*values):
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def side(turns):
+    """(role, text) of each turn; of repeated ones that with the smallest hashes."""
+    out = {}
+    for t, role, text in turns:
+        if t is not None:
+            said = (role or "", text or "")
+            key = lambda x: (spark_hash(*x), spark_hash(*x[::-1]))
+            out[t] = min(out.get(t, said), said, key=key)
+    return out
+
+
+def self_rejected(own):
+    answers = [t for t in sorted(own) if own[t][0] == "assistant"]
+    out = dict(own)
+    if len(answers) == 1:
+        del out[answers[0]]
+    elif answers:
+        out[answers[-1]] = own[answers[0]]
+    return out
+
+
+def brute_pair(a, b):
     parting = min((t for t in a.keys() | b.keys() if a.get(t) != b.get(t)), default=None)
     rows = []
     for part, own in (("chosen", a), ("rejected", b)):
@@ -89,43 +111,57 @@ def brute_pair(chosen, rejected):
     return sorted(rows)
 
 
-def check(chosen, rejected):
-    want = []
-    by = lambda df: {k: [(r.turn, r.role, r.text) for r in df.collect() if r.pair == k] for k in {r.pair for r in df.collect()} - {None}}
-    a, b = by(chosen), by(rejected)
-    for k in a.keys() | b.keys():
-        want += [(k, *x) for x in brute_pair(a.get(k, []), b.get(k, []))]
-    assert sorted(map(tuple, preference.formatted(chosen, rejected).collect())) == sorted(want)
+def by_pair(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r.pair].append((r.turn, r.role, r.text))
+    return {k: side(own) for k, own in out.items() if k is not None}
+
+
+def check(chosen, rejected=None):
+    a = by_pair(chosen)
+    b = by_pair(rejected) if rejected else {k: self_rejected(own) for k, own in a.items()}
+    want = [(k, *x) for k in a.keys() | b.keys() for x in brute_pair(a.get(k, {}), b.get(k, {}))]
+    got = preference.formatted(chosen, rejected) if rejected else preference.self_formatted(chosen)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    return got, want
 
 
 def test_preference_pairs(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("pair"), "turn", "role", "text")
-    check(turns, preference.self_rejected(turns))
-    more = turns.withColumns({c: F.lit("clash") for c in ("first", "last", "of", "first_text", "part", "parting", "chosen")})
-    check(more, preference.self_rejected(more))
+    check(turns)
+    more = turns.withColumns({c: F.lit("clash") for c in ("first", "last", "of", "store", "part", "parting", "chosen", "hash", "side", "at", "s")})
+    check(more)
+    check(more, turns.withColumn("text", F.when(F.col("turn") % 4 == 3, F.lower("text")).otherwise(F.col("text"))))
 
 
 def test_odd_preference_pairs(spark):
     kind = "pair long, turn long, role string, text string"
-    chosen = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (2, 0, "user", None), (2, 1, None, "x"), (3, 0, "assistant", "only"), (None, 0, "user", "x"), (4, None, "user", "x"), (5, 0, "user", "b"), (5, 0, "user", "a"), (5, 3, "assistant", "😀 z"), (6, 0, "user", "same")]
+    chosen = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (2, 0, "user", None), (2, 1, None, "x"), (3, 0, "assistant", "only"), (None, 0, "user", "x"), (4, None, "user", "x"), (5, 0, "user", "b"), (5, 0, "user", "a"), (5, 0, "user", "a"), (5, 3, "assistant", "😀 z"), (6, 0, "user", "same")]
     rejected = [(1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 2, "user", "more"), (2, 0, "user", ""), (2, 1, "", "x"), (5, 0, "user", "a"), (6, 0, "user", "same"), (7, 0, "assistant", "alone")]
     check(spark.createDataFrame(chosen, kind), spark.createDataFrame(rejected, kind))
     check(spark.createDataFrame([], kind), spark.createDataFrame(rejected, kind))
-    assert preference.formatted(spark.createDataFrame([], kind), spark.createDataFrame([], kind)).count() == 0
+    check(spark.createDataFrame(chosen + rejected, kind))
+    empty = spark.createDataFrame([], kind)
+    assert preference.formatted(empty, empty).count() == 0 and preference.self_formatted(empty).count() == 0
 
 
-def test_self_rejected_changes_the_last_answer_only(spark, sf):
+def test_paired_rows_hold_both_completions(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("pair"), "turn", "role", "text")
+    got, want = check(turns)
+    parts = defaultdict(lambda: defaultdict(list))
+    for k, part, turn, _, text, a, b in sorted(want, key=lambda x: (x[0], x[2])):
+        before = sum(len(x[0]) for x in parts[k][part])
+        parts[k][part].append((text, (before + a, before + b) if b else None))
+    rows = {r.pair: r for r in preference.paired(got).collect()}
+    assert set(rows) == {k for k, own in parts.items() if own["chosen"] or own["rejected"]}
+    for k, r in rows.items():
+        for part, text, masks in (("prompt", r.prompt, []), ("chosen", r.chosen, r.chosen_masks), ("rejected", r.rejected, r.rejected_masks)):
+            assert text == "".join(x for x, _ in parts[k][part])
+            assert [tuple(m) for m in masks] == [m for _, m in parts[k][part] if m and part != "prompt"]
+
+
+def test_texts_are_shuffled_once(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("pair"), "turn", "role", "text")
-    before, after = defaultdict(dict), defaultdict(dict)
-    for r in turns.collect():
-        before[r.pair][r.turn] = (r.role, r.text)
-    for r in preference.self_rejected(turns).collect():
-        after[r.pair][r.turn] = (r.role, r.text)
-    for k, own in before.items():
-        answers = [t for t in sorted(own) if own[t][0] == "assistant"]
-        want = dict(own)
-        if len(answers) == 1:
-            del want[answers[0]]
-        elif answers:
-            want[answers[-1]] = own[answers[0]]
-        assert after[k] == want
+    plan = preference.self_formatted(turns)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"partial_min\(struct\(hash.*?text", plan)) == 1 and len(re.findall("Scan parquet", plan)) == 4  # two of them of what was staged
