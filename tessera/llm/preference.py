@@ -7,8 +7,8 @@ says in a completion is to be learned: [mask_from, mask_to) are its code points
 
 formatted() gives one row for each segment, so that a conversation of any length is never gathered into one row; paired() gathers
 each pair that differs into one row of prompt and completions, for pairs that fit one. Null pairs and turns are no turns. Null roles and
-texts are rendered as empty and are equal to each other. Of rows that repeat a turn, the one with the smallest hashes counts. Pairs
-whose sides are equal have a prompt only. Texts are compared by two 64-bit hashes.
+texts are rendered as empty and are equal to each other. Of rows that repeat a turn, the one with the smallest hash counts. Pairs
+whose sides are equal have a prompt only. The two texts of a turn are compared by 63 bits of XXH64.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ CHOSEN, REJECTED = 0, 1
 
 
 def _said(turns: DataFrame, store: int = CHOSEN) -> DataFrame:
-    """Rows (pair, store, turn, hash, role, text)."""
+    """Rows (pair, store, turn, hash, role, text). A hash is odd where an assistant speaks."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     told = turns.where("pair is not null and turn is not null").select("pair", F.lit(store).alias("store"), "turn", role.alias("role"), text.alias("text"))
-    return told.withColumn("hash", F.struct(F.xxhash64("role", "text").alias("a"), F.xxhash64("text", "role").alias("b")))
+    return told.withColumn("hash", F.xxhash64("role", "text").bitwiseAND(F.lit(-2)).bitwiseOR((F.col("role") == "assistant").cast("long")))
 
 
 def _light(turns: DataFrame, store: int = CHOSEN) -> DataFrame:
-    """Rows (pair, store, turn, hash, role): what is said at each turn, without its text."""
-    return _said(turns, store).groupBy("pair", "store", "turn").agg(F.min(F.struct("hash", "role")).alias("s")).select("pair", "store", "turn", "s.hash", "s.role")
+    """Rows (pair, store, turn, hash): what is said at each turn, without its text."""
+    return _said(turns, store).groupBy("pair", "store", "turn").agg(F.min("hash").alias("hash"))
 
 
 def _use(side: int, turn: Column) -> Column:
@@ -63,7 +63,7 @@ def _segments(stored: DataFrame, uses: DataFrame) -> DataFrame:
 def formatted(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """From turns (pair, turn, role, text) of both sides: rows (pair, part, turn, role, rendered, mask_from, mask_to)."""
     sides = ((chosen, CHOSEN), (rejected, REJECTED))
-    uses = [_light(turns, side).withColumns({"side": F.lit(side), "at": F.col("turn")}).drop("role") for turns, side in sides]
+    uses = [_light(turns, side).withColumns({"side": F.lit(side), "at": F.col("turn")}) for turns, side in sides]
     stored = [_said(turns, side) for turns, side in sides]
     return _segments(stored[0].unionByName(stored[1]), uses[0].unionByName(uses[1]))
 
@@ -72,7 +72,7 @@ def self_formatted(turns: DataFrame) -> DataFrame:
     """formatted() for conversations without a rejected side: there the last answer is replaced by the first one, or missing if it is the
     only one. Each text still moves once."""
     light = _light(turns)
-    answers = light.where("role = 'assistant'").groupBy(F.col("pair").alias("of")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    answers = light.where(F.col("hash").bitwiseAND(F.lit(1)) == 1).groupBy(F.col("pair").alias("of")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
     known = light.join(answers, light["pair"] == answers["of"], "left")
     turn, first, last = F.col("turn"), F.col("first"), F.col("last")
     uses = F.array(_use(CHOSEN, turn), F.when(last.isNull() | (turn != last), _use(REJECTED, turn)), F.when((turn == first) & (first < last), _use(REJECTED, last)))

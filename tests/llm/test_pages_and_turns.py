@@ -77,12 +77,12 @@ def spark_hash(*values):
 
 
 def side(turns):
-    """(role, text) of each turn; of repeated ones that with the smallest hashes."""
+    """(role, text) of each turn; of repeated ones that with the smallest hash."""
     out = {}
     for t, role, text in turns:
         if t is not None:
             said = (role or "", text or "")
-            key = lambda x: (spark_hash(*x), spark_hash(*x[::-1]))
+            key = lambda x: spark_hash(*x) & -2 | (x[0] == "assistant")
             out[t] = min(out.get(t, said), said, key=key)
     return out
 
