@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, quality, secrets, simhash
 from tessera.llm.queries import TOKENIZER, tokenizer_path
-from tessera.plans.staging import staged
+from tessera.plans.staging import recorded, remove, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. When a stage's result is written, what it read and wrote on the way goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with recorded() as made:
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = staged(docs, f"stage-{name}")
         if k + 1 < len(STAGES):
-            docs = staged(docs, f"stage-{name}")
+            remove(spark, [*before, *made[:-1]])
+            before = made[-1:]
     return docs

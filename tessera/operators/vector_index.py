@@ -1,7 +1,8 @@
 """A flat vector index: rows of a DataFrame, exact search, labels that are dense from 0.
 
 Search never gathers the index. One query is a projection and a bounded top-k. Many queries are sent to the index in blocks of
-bounded size; every task keeps k rows a query, and only those are shuffled to be ranked.
+bounded size; every task keeps k rows a query, and only those are shuffled to be ranked. A vector that is null, of another length than
+the query's, or without a distance (a null or NaN entry, a zero vector under cosine) is never found.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import METRICS
-from tessera.plans.ranking import bucket_count, ranked
-from tessera.plans.staging import staged
+from tessera.plans.ranking import running
 
 DEFAULT_K = 4
 #: Fixed value: retrieved rows must be nearer than this (squared L2).
@@ -51,7 +51,7 @@ class FlatIndex:
         """The k nearest rows with ``distance`` and ``rank``, ties by label. ``keep`` filters what was found: fewer than k may stay.
         Ranks are those before that filter."""
         vector = F.lit([float(x) for x in query]).cast("array<double>") if query else F.array().cast("array<double>")
-        found = self.rows.withColumn("distance", self.distance(vector))
+        found = self.rows.where((F.size(self.embedding) == len(query)) & F.forall(self.embedding, lambda x: x.isNotNull())).withColumn("distance", self.distance(vector)).where("distance is not null and not isnan(distance)")
         order = (F.desc("distance") if self.descending else F.asc("distance")), F.asc(self.vec_id)
         best = found.orderBy(*order).limit(k)
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # k rows
@@ -81,25 +81,30 @@ class FlatIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
 
-            queries = shared.value
-            if not queries:
-                return
-            q = np.array([v for _, v in queries], dtype=float)
-            best_d, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), dtype=np.int64)
+            asked: dict[int, list] = {}
+            for name, v in shared.value:
+                if v:
+                    asked.setdefault(len(v), []).append((name, [np.nan if x is None else x for x in v]))
+            q = {n: np.array([v for _, v in own], dtype=float) for n, own in asked.items()}
+            best = {n: (np.empty((len(x), 0)), np.empty((len(x), 0), dtype=np.int64)) for n, x in q.items()}
             for batch in batches:
                 for i in range(0, batch.num_rows, 1024):
-                    part = batch.slice(i, 1024)
-                    x = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(float)
-                    d = np.concatenate([best_d, np.round(distances(q, x, metric, p), DIGITS)], 1)
-                    ids = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), (len(q), len(x)))], 1)
-                    order = np.lexsort((ids, -d if descending else d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
-            for i, (name, _) in enumerate(queries):
-                n = len(best_d[i])
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(best_i[i], pa.int64()), pa.array(best_d[i], pa.float64())], ["query_id", "vec_id", "distance"])
-
-        rows = self.rows.select(F.col(self.vec_id).cast("long"), F.col(self.embedding)).where(F.col(self.embedding).isNotNull())
+                    labels, vectors = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 1024).columns)
+                    sizes = np.fromiter(map(len, vectors), dtype=int, count=len(vectors))
+                    for n in set(sizes.tolist()) & q.keys():
+                        own, (best_d, best_i) = np.flatnonzero(sizes == n), best[n]
+                        x = np.stack(vectors[own]).astype(float)
+                        d = np.concatenate([best_d, np.round(distances(q[n], x, metric, p), DIGITS)], 1)
+                        ids = np.concatenate([best_i, np.broadcast_to(labels[own].astype(np.int64), (len(q[n]), len(x)))], 1)
+                        order = np.lexsort((ids, -d if descending else d), axis=1)[:, :k]  # NaN comes last
+                        best[n] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+            for n, own in asked.items():
+                for (name, _), d, ids in zip(own, *best[n]):
+                    d, ids = d[~np.isnan(d)], ids[~np.isnan(d)]
+                    if len(d):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(d), pa.int64()), pa.array(ids, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "distance"])
+
+        rows = self.rows.select(F.col(self.vec_id).cast("long"), F.col(self.embedding)).where(F.col(self.embedding).isNotNull() & F.col(self.vec_id).isNotNull())
         return rows.mapInArrow(run, "query_id long, vec_id long, distance double")
 
     def ntotal(self) -> DataFrame:
@@ -158,12 +163,8 @@ def distances(q, x, metric: str, p: float):
 
 
 def labelled(rows: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
-    """Dense labels from ``first`` on in the order of an integer column, without a window over all rows: the column's range
-    is cut into equal buckets, whose counts give each bucket's offset."""
-    rows = staged(rows.withColumn("__ts_key", F.col(order).cast("long")), "unlabelled")
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("__ts_key"), F.max("__ts_key")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // bucket_count(n)))
-    out = ranked(rows, [], F.floor((F.col("__ts_key").cast("double") - float(low or 0)) / float(width)), [F.col("__ts_key")], "__ts_label")
+    """Dense labels from ``first`` on in the order of a column, without a window over all rows. Rows that are equal in it are labelled in any order."""
+    out = running(rows.withColumn("__ts_key", F.col(order)), [], ["__ts_key"], F.lit(1).cast("long"), "__ts_label")
     kind = rows.schema[name].dataType if name in rows.columns else "long"
     return out.withColumn(name, (F.col("__ts_label") + first).cast(kind)).drop("__ts_key", "__ts_label")
 

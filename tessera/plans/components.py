@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.staging import staged
+from tessera.plans.staging import recorded, remove, staged
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -25,16 +25,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
     """For links (u, v): rows (node, root), root the smallest node that is reachable; roots themselves have no row.
 
-    Each round at least halves what is left of a path, so the bound on rounds is far beyond any input; reaching it raises.
+    Rounds go on until one changes nothing; each at least halves what is left of a path. A round's table goes when the next is written.
     """
-    edges, mark = staged(edges.where("u != v").distinct(), "links"), None
-    for k in range(rounds):
-        edges = staged(_small_star(_large_star(edges)), f"round{k}")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
-    raise RuntimeError("components did not settle")
+    spark = edges.sparkSession
+    with recorded() as paths:
+        edges, mark = staged(edges.where("u != v").distinct(), "links"), None
+        while True:
+            edges = staged(_small_star(_large_star(edges)), "round")
+            remove(spark, paths[:-1])
+            now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if now == mark:
+                return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            mark = now

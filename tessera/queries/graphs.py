@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import call_graph as G
 from tessera.operators.chunking import code_chunks
+from tessera.plans.ranking import with_next
 from tessera.queries import collector, table
 from tessera.sources import code
 
@@ -17,8 +18,8 @@ EDGES = "edges AS (SELECT ord, day, head_id, 'User ' || head_id AS head_label, t
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("ts")
-    after = F.lead("user_id").over(Window.partitionBy(day).orderBy("ts", "event_id")).cast("string")
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), day.alias("day"), F.col("user_id").cast("string").alias("head_id"), after.alias("tail_id")).where("tail_id is not null")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), day.alias("day"), "ts", F.col("user_id").cast("string").alias("head_id"))
+    e = with_next(e, ["day"], ["ts", "ord"], "head_id", "tail_id").where("tail_id is not null").select("ord", "day", "head_id", "tail_id")
     return e.withColumn("head_label", F.concat(F.lit("User "), "head_id")).withColumn("tail_label", F.concat(F.lit("User "), "tail_id"))
 
 

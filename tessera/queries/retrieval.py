@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import METRICS, cosine_distance
 from tessera.operators.vector_index import FlatIndex, make_index
+from tessera.plans.ranking import percentiles, running, with_next
 from tessera.queries import collector, table
 
 QUERIES, ORACLES, query = collector()
@@ -116,8 +117,8 @@ NEXT = f"n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, lead(CAST
 
 
 def with_distance(e: DataFrame) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return e.withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.lead("embedding").over(w)), 9))
+    after = with_next(e, ["label"], ["vec_id"], "embedding", "after")
+    return after.withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.col("after")), 9)).drop("after")
 
 
 @query("adjacent_distance", f"WITH {NEXT} SELECT vec_id, label, round(distance, 6) AS distance FROM g")
@@ -129,10 +130,9 @@ def adjacent_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a table rather than a document's array: chunks of each label's vectors, in the order of their ids."""
     d = with_distance(table(spark, sf_dir, "embeddings")).select("vec_id", "label", "distance")
-    limits = d.groupBy("label").agg(F.round(F.percentile("distance", F.lit(0.8)), 9).alias("t"))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    broken = d.join(limits, "label").withColumn("brk", F.when(F.col("distance") > F.col("t"), 1).otherwise(0))
-    return broken.select("vec_id", "label", F.coalesce(F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("chunk_id"))
+    limits = percentiles(d, ["label"], "distance", 0.8, "t").withColumn("t", F.round("t", 9))
+    broken = F.when(F.col("distance") > F.col("t"), F.lit(1)).otherwise(0).cast("long")
+    return running(d.join(limits, "label"), ["label"], ["vec_id"], broken, "chunk_id").select("vec_id", "label", "chunk_id")
 
 
 @query("distance_threshold_std", f"WITH {NEXT} SELECT label, round(avg(distance) + 0.5 * stddev_pop(distance), 6) AS threshold FROM g GROUP BY label")

@@ -28,7 +28,7 @@ def resolved(urls: DataFrame, default_branch: Callable[[str], str], url: str = "
     return named.withColumn("repo", F.col("repo").withField("branch", branch).withField("url_postfix", F.concat(F.lit("?ref="), branch)))
 
 
-def listed(spark: SparkSession, prefix: str, postfix: str, res_path: str, listing: Listing, max_depth: int = 64) -> DataFrame:
+def listed(spark: SparkSession, prefix: str, postfix: str, res_path: str, listing: Listing) -> DataFrame:
     """Rows (path, download_url) of all files below a path: folders are listed level by level, each level in parallel.
 
     A single file's listing is an object, a folder's an array; entries without a URL are left out.
@@ -42,15 +42,14 @@ def listed(spark: SparkSession, prefix: str, postfix: str, res_path: str, listin
                 rows += [(x["path"], x.get("type"), x.get("download_url")) for x in (found if isinstance(found, list) else [found])]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["path", "type", "download_url"])
 
-    level, out = spark.createDataFrame([(res_path,)], "path string"), None
-    for _ in range(max_depth):
+    level, out = spark.createDataFrame([(res_path,)], "path string"), None  # a tree: some level has no folders
+    while True:
         entries = staged(level.mapInArrow(run, "path string, type string, download_url string"), "listing")
         files = entries.where("type != 'dir' and download_url is not null").select("path", "download_url")
         out = files if out is None else out.unionByName(files)
         level = entries.where("type = 'dir'").select("path")
         if level.isEmpty():
             return out
-    raise RuntimeError("the listing is nested too deeply")
 
 
 def fetched(files: DataFrame, fetch: Fetch, res_path: str = "", parallel: int | None = None) -> DataFrame:

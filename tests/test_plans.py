@@ -3,6 +3,7 @@ import random
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import components, ranking, staging
@@ -53,5 +54,60 @@ def test_staged_tables_lie_in_the_shared_folder(spark):
 def test_a_session_without_the_setting_has_its_own_folder(tmp_path):
     code = "from pyspark.sql import SparkSession as S; from tessera.plans import staging as g; s = S.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); print('N', g.staged(s.range(3), 'x').count(), 'tessera-' in g.shared_folder(s))"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root, "SPARK_CONF_DIR": str(tmp_path)})
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root, "SPARK_CONF_DIR": str(tmp_path)})
+    said = run(code)
     assert "N 3 True" in said.stdout, said.stderr[-2000:]
+    said = run(code.replace("local[1]", "local-cluster[1,1,1024]"))
+    assert "spark.checkpoint.dir" in said.stderr and "N 3" not in said.stdout
+
+
+def test_written_tables_can_go(spark):
+    with staging.recorded() as made:
+        kept, gone = staging.staged(spark.range(3), "kept"), staging.staged(spark.range(4), "gone")
+    after = staging.staged(spark.range(1), "after")
+    assert len(made) == 2 and made[1] in gone.inputFiles()[0].replace("file:///", "file:/").replace("file:/", "/") or made[1] in gone.inputFiles()[0]
+    staging.remove(spark, made[1:])
+    assert kept.count() == 3 and after.count() == 1
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST"):
+        gone.collect()
+
+
+def series(groups=(None, "a", "b"), n=400):
+    """One group holds most rows; one key is far from all others."""
+    rnd = random.Random(8)
+    keys = rnd.sample(range(10 * n), n) + [1 << 60]
+    return [(groups[1] if rnd.random() < 0.8 else rnd.choice(groups), k, rnd.choice([None, rnd.random()])) for k in keys]
+
+
+def by_group(rows):
+    out = {}
+    for g, k, x in sorted(rows, key=lambda r: r[1]):
+        out.setdefault(g, []).append((k, x))
+    return out
+
+
+def test_neighbours_and_running_sums(spark):
+    rows = series()
+    df = spark.createDataFrame(rows, "g string, k long, x double")
+    after = {r.k: (r.y is None, r.y) for r in ranking.with_next(df, ["g"], ["k"], "x", "y").collect()}
+    sums = {r.k: r.s for r in ranking.running(df, ["g"], ["k"], F.col("k") % 7, "s").collect()}
+    assert len(after) == len(sums) == len(rows)
+    for own in by_group(rows).values():
+        total = 0
+        for (k, _), follow in zip(own, [*own[1:], (None, None)]):
+            assert after[k][1] == follow[1] and sums[k] == total
+            total += k % 7
+    assert ranking.with_next(df.limit(0), ["g"], ["k"], "x", "y").count() == ranking.running(df.limit(0), [], ["k"], F.lit(1), "s").count() == 0
+    labels = sorted((r.k, r.s) for r in ranking.running(df, [], ["k"], F.lit(1), "s").collect())
+    assert [s for _, s in labels] == list(range(len(rows)))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.8, 1.0])
+def test_percentiles_are_exact(spark, share):
+    import numpy as np
+
+    rows = series()
+    got = {r.g: r.p for r in ranking.percentiles(spark.createDataFrame(rows, "g string, k long, x double"), ["g"], "x", share, "p").collect()}
+    for g, own in by_group(rows).items():
+        values = [x for _, x in own if x is not None]
+        assert (not values and g not in got) or got[g] == pytest.approx(np.quantile(values, share))

@@ -442,3 +442,19 @@ def test_entry_without_the_llm_folder(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert said.returncode == 0, said.stderr
     assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[-2]) > 60
+
+
+def test_vectors_without_a_distance_are_never_found(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0]), (4, [0.5, 0.5]), (5, [None, 1.0]), (6, [nan, 1.0]), (7, []), (8, [0.0, 1.0, 2.0])]
+    index = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [(10, [1.0, 0.1]), (11, None), (12, [1.0]), (13, [])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    for metric, want in (("l2", [0, 4, 2]), ("cosine", [0, 4]), ("inner_product", [0, 4, 2]), ("jaccard", [0, 4, 2])):
+        flat = vector_index.make_index(index, metric=metric)
+        assert [r.vec_id for r in flat.search([1.0, 0.1], 9).orderBy("rank").collect()] == want, metric
+        found = {}
+        for r in flat.search_batch(queries, 9).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        assert found == {10: want, 12: [3]}, metric
+    assert vector_index.make_index(index).search([], 3).where("distance > 0").count() == 0
