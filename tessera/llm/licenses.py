@@ -1,13 +1,14 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Lines that speak of rights are cut into terms; each line is a sparse vector, weighted by the templates' inverse document
-frequency, and meets the templates in a join on the term (the templates are a fixed table of a few hundred terms). So does each
-window of a line that speaks of rights and is as long as a template or up to EXTRA terms longer, since other words of a line dilute
-its notice. A window counts for such a template only, and if it holds a mark of it: a term that fewest licences have. A file's own
-licence is its best line's or window's, from a cosine of THRESHOLD on. A directory's licence is the best of its licence files; a file
-without one takes that of the nearest directory above that has one, by a join on paths of distinct directories only.
-
-Nulls and empty texts have no lines. Rows without a path belong to no directory. Ties go to the smaller licence name. Repeated
+Of each whole text the lines and blocks (runs of lines without a blank one) that speak of rights are cut into terms, and so is the
+whole text of a licence file. Each is a sparse vector, weighted by the templates' inverse document frequency, and meets the templates
+in a join on the term (the templates are a fixed table of a few hundred terms). So does each window of a block that speaks of rights and
+is as long as a short template or up to EXTRA terms longer: other words beside a notice dilute it, and a notice may go on in the next
+line. A window counts for such a template only, and if it holds a mark of it: a term that fewest licences have. A file's own licence
+is its best unit's, from a cosine of THRESHOLD on. A directory's licence is the best of its licence files; a file without one takes that
+of the nearest directory above that has one, by a join on paths of distinct directories only.
+
+Nulls and empty texts have no units. Rows without a path belong to no directory. Ties go to the smaller licence name. Repeated
 rows are files like others.
 """
 
@@ -36,23 +37,42 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "Proprietary": ["All rights reserved", "Copyright. All rights reserved. No part may be reproduced without permission", "Proprietary and confidential"],
 }
-#: What a line that speaks of rights has.
-SPEAKS = r"(?i)licen[sc]e|spdx|copyright|all rights reserved|public domain|permission is hereby|redistribution and use|creative commons|\bcc0\b|\bcc by|proprietary"
+#: Texts of licences and of the notices that stand at the head of files.
+TEXTS = {
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "MIT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
+#: What a line or block that speaks of rights has.
+SPEAKS = r"(?i)licen[sc]e|spdx|copyright|all[\s#*/]+rights[\s#*/]+reserved|public[\s#*/]+domain|permission[\s#*/]+is[\s#*/]+hereby|hereby[\s#*/]+granted|redistribution[\s#*/]+and[\s#*/]+use|creative[\s#*/]+commons|\bcc0\b|\bcc[\s#*/]+by|proprietary"
 TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
 #: Terms, one of which is in whatever SPEAKS finds.
 SPEAKING_TERM = r"licen[sc]e|spdx|copyright|proprietary|redistribution|^(?:reserved|domain|hereby|commons|cc0.*|cc)$"
 THRESHOLD = 0.6
-#: Terms that a window has beyond a template's at most.
-EXTRA = 4
+#: Terms that a window has beyond a template's at most; terms of the longest template that windows meet.
+EXTRA, SHORT = 4, 24
+LINE, BLOCK, FILE = 0, 1, 2
 
 
 def terms_of(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
 
 
+def template_lines() -> list[tuple[str, str, str]]:
+    """(template, licence, text) of all templates."""
+    return [(f"{name} {k}", name, line) for name in sorted(TEMPLATES.keys() | TEXTS.keys()) for k, line in enumerate([*TEMPLATES.get(name, []), *TEXTS.get(name, [])])]
+
+
 def template_marks() -> dict[str, tuple[int, list[str]]]:
     """Number of terms and marks of each template."""
-    terms = {f"{name} {k}": (name, re.findall(TERM, line.lower())) for name, lines in TEMPLATES.items() for k, line in enumerate(lines)}
+    terms = {template: (name, re.findall(TERM, line.lower())) for template, name, line in template_lines()}
     holders: dict[str, set[str]] = {}
     for name, own in terms.values():
         for t in own:
@@ -61,19 +81,19 @@ def template_marks() -> dict[str, tuple[int, list[str]]]:
     return {template: (len(own), sorted({t for t in own if len(holders[t]) == fewest[template]})) for template, (_, own) in terms.items()}
 
 
-def windows_of(lines: DataFrame) -> DataFrame:
-    """Rows (row, line, at, size, terms) from rows (row, line, terms): the windows that a template may meet."""
+def windows_of(blocks: DataFrame) -> DataFrame:
+    """Rows (row, unit, at, size, terms) from rows (row, unit, terms): the windows that a short template may meet."""
     marks: dict[int, set[str]] = {}
     for size, own in template_marks().values():
-        for extra in range(EXTRA + 1):
+        for extra in range(EXTRA + 1) if size <= SHORT else ():
             marks.setdefault(size + extra, set()).update(own)
     longest = max(marks)
     terms = F.col("terms")
     speaking = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.get(terms, i).rlike(SPEAKING_TERM))
     starts = F.array_distinct(F.flatten(F.transform(speaking, lambda i: F.sequence(F.greatest(F.lit(0), i - longest + 1), i))))
-    # the longest window of each start first: rows must not hold their whole line
+    # the longest window of each start first: rows must not hold their whole block
     ahead = F.when(F.size(terms) > 0, F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(terms, i + 1, longest).alias("ahead"))))
-    ahead = lines.select("row", "line", F.inline(ahead))
+    ahead = blocks.select("row", "unit", F.inline(ahead))
 
     def window(size: int, own: set[str]) -> Column:
         terms = F.slice("ahead", 1, size)
@@ -81,39 +101,45 @@ def windows_of(lines: DataFrame) -> DataFrame:
         return F.when(meets, F.struct(F.lit(size).alias("size"), terms.alias("terms")))
 
     found = F.filter(F.array(*(window(size, own) for size, own in sorted(marks.items()))), lambda w: w.isNotNull())
-    return ahead.select("row", "line", "at", F.inline(found))
+    return ahead.select("row", "unit", "at", F.inline(found))
 
 
 def template_weights(spark) -> tuple[DataFrame, float]:
-    """Rows (term, template, licence, weight, idf, size, mark) of unit-length template vectors; the idf of a term that no template has."""
-    rows = [(f"{name} {k}", name, line) for name, lines in TEMPLATES.items() for k, line in enumerate(lines)]
+    """Rows (term, template, licence, weight, idf, of, mark) of unit-length template vectors, ``of`` the template's terms; the idf of a term
+    that no template has."""
+    rows = template_lines()
     table = spark.createDataFrame(rows, "template string, licence string, line string")
     tf = table.select("template", "licence", F.explode(terms_of(F.col("line"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = tf.groupBy("term").agg((F.log(F.lit(1.0 + len(rows)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     weighed = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    marks = spark.createDataFrame([(template, size, own) for template, (size, own) in template_marks().items()], "template string, size int, marks array<string>")
+    marks = spark.createDataFrame([(template, size, own) for template, (size, own) in template_marks().items()], "template string, of int, marks array<string>")
     weighed = weighed.join(norms, "template").join(marks, "template")
-    return weighed.select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("weight"), "idf", "size", F.array_contains("marks", F.col("term")).alias("mark")), math.log(1.0 + len(rows)) + 1
+    return weighed.select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("weight"), "idf", "of", F.array_contains("marks", F.col("term")).alias("mark")), math.log(1.0 + len(rows)) + 1
+
+
+def units_of(text: Column, is_licence_file: Column) -> Column:
+    """Array of struct(kind, x): the lines and blocks of a text that speak of rights, and a licence file's whole text."""
+    speaking = lambda parts, kind: F.transform(F.filter(parts, lambda x: x.rlike(SPEAKS)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+    whole = F.filter(F.array(F.struct(F.lit(FILE).alias("kind"), text.alias("x"))), lambda u: is_licence_file)
+    found = F.concat(speaking(F.split(text, "\n"), LINE), speaking(F.split(text, r"\n[\x20\t\r]*\n"), BLOCK), whole)
+    return F.coalesce(F.when(text.rlike(SPEAKS), found), F.array().cast("array<struct<kind:int,x:string>>"))
 
 
-def own_licences(lines: DataFrame, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
-    """Rows (row, licence, score) from rows (row, lines): the best line of each row that has one; with ``windows`` the best line
-    or window of a line."""
-    weights, unseen = template_weights(lines.sparkSession)
+def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (row, licence, score) from rows (row, units): the best unit or window of each row that has one."""
+    weights, unseen = template_weights(files.sparkSession)
     weights = staged(weights, "templates")  # fixed: a few hundred rows
-    unit = ["row", "line", "at", "size"]  # a whole line: size 0
-    each = lines.select("row", F.posexplode("lines").alias("line", "x")).select("row", "line", terms_of(F.col("x")).alias("terms"))
-    units = each.select("row", "line", F.lit(0).alias("at"), F.lit(0).alias("size"), "terms")
-    if windows:
-        units = units.union(windows_of(each))
-    tf = units.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = tf.join(F.broadcast(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight", F.col("size").alias("of"), "mark")).alias("in"))), "term", "left")
+    key = ["row", "unit", "at", "size"]  # a whole unit: size 0
+    each = files.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.kind", terms_of(F.col("u.x")).alias("terms"))
+    units = each.select("row", "unit", F.lit(0).alias("at"), F.lit(0).alias("size"), "terms").union(windows_of(each.where(F.col("kind") == BLOCK)))
+    tf = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    met = tf.join(F.broadcast(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight", "of", "mark")).alias("in"))), "term", "left")
     met = met.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norm = met.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = met.select(*unit, "w", F.inline("in")).where((F.col("size") == 0) | F.col("size").between(F.col("of"), F.col("of") + EXTRA))
-    dots = dots.groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.max("mark").alias("mark")).where((F.col("size") == 0) | F.col("mark"))
-    scored = dots.join(norm, unit).select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+    norm = met.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = met.select(*key, "w", F.inline("in")).where((F.col("size") == 0) | ((F.col("of") <= SHORT) & F.col("size").between(F.col("of"), F.col("of") + EXTRA)))
+    dots = dots.groupBy(*key, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.max("mark").alias("mark")).where((F.col("size") == 0) | F.col("mark"))
+    scored = dots.join(norm, key).select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
     return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
 
@@ -125,18 +151,19 @@ def parents(folder: Column) -> Column:
 
 
 def scanned(files: DataFrame, keep: list[str], path: Column, text: Column, is_licence_file: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns ``keep``, then own_licence, score, licence, inherited_from (a folder, or null), one row for each file. Kept columns of
-    these names give way."""
-    keep = [c for c in keep if c not in ("own_licence", "score", "licence", "inherited_from")]
-    speaking = F.when(text.rlike(SPEAKS), F.filter(F.split(text, "\n"), lambda x: x.rlike(SPEAKS))).otherwise(F.array().cast("array<string>"))
+    """Columns ``keep``, then own_licence, score, licence, inherited_from (a folder, or null) and steps_up (0 is the file's own folder), one row
+    for each file. Kept columns of these names give way."""
+    keep = [c for c in keep if c not in ("own_licence", "score", "licence", "inherited_from", "steps_up")]
     folder = F.array_join(F.filter(F.split(F.regexp_replace(path, "[^/]*$", ""), "/"), lambda x: x != ""), "/")
-    rows = files.select(*keep, folder.alias("__ts_folder"), F.coalesce(is_licence_file, F.lit(False)).alias("__ts_file"), F.coalesce(speaking, F.array().cast("array<string>")).alias("__ts_lines"))
+    is_file = F.coalesce(is_licence_file, F.lit(False))
+    rows = files.select(*keep, folder.alias("__ts_folder"), is_file.alias("__ts_file"), units_of(text, is_file).alias("__ts_units"))
     rows = staged(rows.withColumn("__ts_row", F.monotonically_increasing_id()), "speaking")
-    own = own_licences(rows.where(F.size("__ts_lines") > 0).select(F.col("__ts_row").alias("row"), F.col("__ts_lines").alias("lines")), threshold, windows=True).select(F.col("row").alias("__ts_of"), F.col("licence").alias("__ts_licence"), F.col("score").alias("__ts_score"))
-    found = staged(rows.drop("__ts_lines").join(own, rows["__ts_row"] == own["__ts_of"], "left").drop("__ts_of"), "own")
+    own = own_licences(rows.where(F.size("__ts_units") > 0).select(F.col("__ts_row").alias("row"), F.col("__ts_units").alias("units")), threshold).select(F.col("row").alias("__ts_of"), F.col("licence").alias("__ts_licence"), F.col("score").alias("__ts_score"))
+    found = staged(rows.drop("__ts_units").join(own, rows["__ts_row"] == own["__ts_of"], "left").drop("__ts_of"), "own")
     held = found.where("__ts_file and __ts_licence is not null and __ts_folder is not null").groupBy(F.col("__ts_folder").alias("holder")).agg(F.min(F.struct((-F.col("__ts_score")).alias("minus"), "__ts_licence")).alias("b")).select("holder", F.col("b.__ts_licence").alias("held"))
     folders = found.where("__ts_folder is not null").groupBy("__ts_folder").agg(F.count(F.lit(1)).alias("files"))
     climbed = folders.select(F.col("__ts_folder").alias("folder"), F.explode(parents(F.col("__ts_folder"))).alias("p")).select("folder", "p.*")
-    nearest = climbed.join(held, climbed.ancestor == held.holder).groupBy("folder").agg(F.min(F.struct("up", "holder", "held")).alias("n")).select(F.col("folder").alias("__ts_at"), F.col("n.holder").alias("__ts_holder"), F.col("n.held").alias("__ts_held"))
+    nearest = climbed.join(held, climbed.ancestor == held.holder).groupBy("folder").agg(F.min(F.struct("up", "holder", "held")).alias("n")).select(F.col("folder").alias("__ts_at"), F.col("n.holder").alias("__ts_holder"), F.col("n.held").alias("__ts_held"), F.col("n.up").alias("__ts_up"))
     out = found.join(nearest, found["__ts_folder"] == nearest["__ts_at"], "left")
-    return out.select(*keep, F.col("__ts_licence").alias("own_licence"), F.col("__ts_score").alias("score"), F.coalesce("__ts_licence", "__ts_held").alias("licence"), F.when(F.col("__ts_licence").isNull(), F.col("__ts_holder")).alias("inherited_from"))
+    inherits = F.col("__ts_licence").isNull()
+    return out.select(*keep, F.col("__ts_licence").alias("own_licence"), F.col("__ts_score").alias("score"), F.coalesce("__ts_licence", "__ts_held").alias("licence"), F.when(inherits, F.col("__ts_holder")).alias("inherited_from"), F.when(inherits, F.col("__ts_up")).alias("steps_up"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, html_extract, lattice_lm, licenses, preference, quality, secrets, sharding, simhash
@@ -24,11 +24,20 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def filed(doc_id: Column, source: Column, lang: Column) -> tuple[Column, Column]:
+    """Path of a document, and whether it is a licence file. Documents have no paths: the query files them four folders deep, by source,
+    language, and runs of 400 and 40 ids; every eighth is a licence file, in one of the four folders above it."""
+    folders = F.array(source, lang, F.concat(F.lit("d"), F.floor(doc_id / 400).cast("string")), F.concat(F.lit("e"), F.floor(doc_id / 40).cast("string")))
+    is_file = doc_id % 8 == 0
+    depth = F.when(is_file, F.floor(doc_id / 8) % 4 + 1).otherwise(4).cast("int")
+    name = F.concat(F.when(is_file, "LICENSE-").otherwise("f"), doc_id.cast("string"))
+    return F.concat_ws("/", F.slice(folders, F.lit(1), depth), name), is_file
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths: the query files them by source, language and runs of ids; any file may hold its folder's licence."""
     docs = documents(spark, sf_dir)
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string"), F.col("doc_id").cast("string"))
-    return licenses.scanned(docs, ["doc_id"], path, docs.text, F.lit(True))
+    path, is_file = filed(docs.doc_id, docs.source, docs.lang)
+    return licenses.scanned(docs, ["doc_id"], path, docs.text, is_file).withColumn("score", F.round("score", 6))
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

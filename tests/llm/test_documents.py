@@ -303,7 +303,7 @@ def test_contaminated_spans_can_go(spark, edge):
 def test_licences(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     path = F.concat(F.lit("src/lib/f"), F.col("doc_id").cast("string"))
-    clashing = docs.withColumns({c: F.lit("clash") for c in ("row", "licence", "score", "holder", "held", "folder", "of", "n")})
+    clashing = docs.withColumns({c: F.lit("clash") for c in ("row", "licence", "score", "holder", "held", "folder", "of", "n", "unit", "units", "kind", "at", "size", "up", "steps_up")})
     got = licenses.scanned(clashing, clashing.columns, path, F.col("text"), F.lit(True)).collect()
     assert len(got) == len(rows)
     own = {r.doc_id: r.own_licence for r in got}
@@ -327,7 +327,7 @@ def test_licences_come_from_the_nearest_folder(spark):
 def brute_cosine(line):
     import math
 
-    lines = [(name, x) for name, all_ in licenses.TEMPLATES.items() for x in all_]
+    lines = [(name, x) for _, name, x in licenses.template_lines()]
     terms = lambda s: Counter(re.findall(licenses.TERM, s.lower()))
     df = Counter(t for _, x in lines for t in terms(x))
     idf = lambda t: math.log((1 + len(lines)) / (1 + df[t])) + 1
@@ -339,9 +339,9 @@ def brute_cosine(line):
 
 def test_licence_cosines(spark, sf):
     lines = {x for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for x in r.text.split("\n") if re.search("licen", x, re.I)}
-    rows = [(k, [x]) for k, x in enumerate(sorted(lines))]
-    got = {r.row: (r.licence, r.score) for r in licenses.own_licences(spark.createDataFrame(rows, "row long, lines array<string>"), 0.0).collect()}
-    for k, (x,) in rows:
+    rows = [(k, [(licenses.LINE, x)]) for k, x in enumerate(sorted(lines))]
+    got = {r.row: (r.licence, r.score) for r in licenses.own_licences(spark.createDataFrame(rows, "row long, units array<struct<kind:int,x:string>>"), 0.0).collect()}
+    for k, ((_, x),) in rows:
         score, name = brute_cosine(x)
         assert got[k][1] == pytest.approx(score, abs=2e-9)
 
@@ -360,11 +360,46 @@ def test_notices_among_other_words(spark):
         "": None,
         "...": None,
     }
+    mit = next(x for x in licenses.TEXTS["MIT"])
+    wrapped = "\n".join("# " + " ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    want |= {
+        f"#!/bin/sh\n{wrapped}\n\n{prose * 20}": "MIT",
+        prose + "\n" + prose + "\n# Licensed under the\n# Apache License,\n# Version 2.0\n" + prose: "Apache-2.0",
+        "\n".join(licenses.TEXTS["GPL-3.0"][0].split()): "GPL-3.0",
+        f"{licenses.TEXTS['ISC'][0]}\n\n{prose * 50}": "ISC",
+    }
     files = spark.createDataFrame(list(enumerate(want)), "k int, text string")
     got = {r.text: r.own_licence for r in licenses.scanned(files, ["k", "text"], F.col("k").cast("string"), F.col("text"), F.lit(False)).collect()}
     assert got == want
 
 
+def test_inheritance_by_brute_force(spark):
+    """Every folder of a random tree; licences stand in few of its files."""
+    rnd = random.Random(5)
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "SPDX-License-Identifier: GPL-3.0"}
+    rows = []
+    for k in range(300):
+        folder = [rnd.choice("abc") for _ in range(rnd.randint(0, 4))]
+        is_file = rnd.random() < 0.1
+        name = rnd.choice([*notices, None]) if is_file else rnd.choice([*notices, *[None] * 20])
+        rows.append((k, "/".join([*folder, f"f{k}"]), notices.get(name, "words"), is_file, name))
+    held = {}
+    for _, path, _, is_file, name in rows:
+        if is_file and name:
+            folder = path.rpartition("/")[0]
+            held[folder] = min(held.get(folder, name), name)  # all scores are 1
+    files = spark.createDataFrame([r[:4] for r in rows], "k int, path string, text string, is_file boolean")
+    got = {r.k: (r.own_licence, r.licence, r.inherited_from, r.steps_up) for r in licenses.scanned(files, ["k"], F.col("path"), F.col("text"), F.col("is_file")).collect()}
+    seen = set()
+    for k, path, _, _, name in rows:
+        parts = path.split("/")[:-1]
+        up = next((i for i in range(len(parts) + 1) if "/".join(parts[: len(parts) - i]) in held), None)
+        holder = None if up is None else "/".join(parts[: len(parts) - up])
+        assert got[k] == (name, name or held.get(holder), None if name else holder, None if name else up)
+        seen.add(up)
+    assert {0, 1, 2} <= seen
+
+
 def test_hash_of_a_secret_is_of_its_value(spark):
     df = spark.createDataFrame([("token = 'abcdefghijkl", 0), ("AKIAX", 1)], "value string, kind int").select(secrets.secret_hash(F.struct("value", "kind")).alias("h"))
     assert [r.h for r in df.collect()] == [hashlib.sha256(x).hexdigest() for x in (b"abcdefghijkl", b"AKIAX")]
