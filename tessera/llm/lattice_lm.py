@@ -1,15 +1,16 @@
 """Language-model scores from a subword lattice: the marginal probability of a text over all its segmentations.
 
-The pieces are those of an existing vocabulary file. Their probabilities start from the vocabulary's own order (Zipf) and are
-then fitted by STEPS expectation-maximisation steps over every distinct word of the training documents, weighted by its count. A
-word's log10 probability is the forward recursion over its lattice in log space; letters that the vocabulary lacks are
-spelled with its byte pieces. A text's is the sum over its words plus the end's.
+The pieces are those of an existing vocabulary file. Their probabilities start from the vocabulary's own order (Zipf: a file of kind
+BPE has merge ranks for scores, no probabilities) and are then fitted by STEPS expectation-maximisation steps over every distinct word
+of the training documents, weighted by its count. A word's log10 probability is the forward recursion over its lattice in log space;
+letters that the vocabulary lacks are spelled with its byte pieces. A text's is the sum over its words plus the end's.
 
 Each distinct word of the corpus is counted and scored once, in a table that is dealt out by word. The at most HEAD_ROWS most
 frequent words are broadcast (a fixed bound); other words of a document meet the table in a join on the word, where none of them
 is hot, since all hot words are in the head.
 
-Null texts are empty: only the end is scored. Documents without an id are training ones. Repeated rows count each time.
+Sums over tasks are of fixed-point numbers, so that no result depends on the order in which tasks end. Null texts are empty: only the
+end is scored. Documents without an id are training ones. Repeated rows count each time.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ MISSING = 0.1
 STEPS = 2
 SPACE = "▁"
 NEG = -1e300
-#: A word's least probability that is not left to log space: far enough above the smallest double for its parts.
+#: A word whose probability is below this is fitted in log space: far enough above the smallest double for the word's parts.
 LEAST = 1e-250
+#: Fixed-point numbers have so many parts of one.
+PARTS = 10**10
 
 
 class Lattice:
@@ -88,18 +91,22 @@ class Lattice:
         """Add the expected uses of each piece in ``count`` words, by the forward and backward recursions."""
         word = SPACE + word
         edges = self.edges(word)
-        if len(word) <= 40 and (not edges or min(e[2] for e in edges) >= 0):
-            odds, ahead, back = self.odds, [0.0] * (len(word) + 1), [0.0] * (len(word) + 1)
-            ahead[0] = back[-1] = 1.0
-            for start, end, i in edges:
-                ahead[end] += ahead[start] * odds[i]
-            if ahead[-1] >= LEAST:
-                scale = count / ahead[-1]
-                for start, end, i in reversed(edges):
-                    x = odds[i] * back[end]
-                    back[start] += x
+        ahead, back = [0.0] * (len(word) + 1), [0.0] * (len(word) + 1)
+        ahead[0] = back[-1] = 1.0
+        odds = self.odds if self.letters.issuperset(word) else {i: self.odds[i] if i >= 0 else math.exp(self.weight(word, i)) for _, _, i in edges}
+        for start, end, i in edges:
+            ahead[end] += ahead[start] * odds[i]
+        if ahead[-1] >= LEAST:
+            scale = count / ahead[-1]
+            for start, end, i in reversed(edges):
+                x = odds[i] * back[end]
+                back[start] += x
+                if i >= 0:
                     into[i] += ahead[start] * x * scale
-                return
+                else:
+                    for k in self.spelled(word[-i - 1]):
+                        into[k] += ahead[start] * x * scale
+            return
         add = lambda x, y: max(x, y) + math.log1p(math.exp(min(x, y) - max(x, y))) if min(x, y) > NEG else max(x, y)
         ahead, back = [NEG] * (len(word) + 1), [NEG] * (len(word) + 1)
         ahead[0] = back[-1] = 0.0
@@ -182,24 +189,27 @@ def _head_scores(text: Column, shared) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         head = kept("head", shared.value[0], lambda: dict(zip(shared.value[1], zip(shared.value[2], shared.value[3], shared.value[4]))))
-        kind = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))])
+        kinds = {"n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
         for batch in slices(batches):
-            out = []
+            sums, words, times, ends = [], [], [], [0]
             for text in batch.cast(pa.binary()).to_pylist():
                 n = known = 0
                 base = score = 0.0
-                tail = []
                 for word, tf in Counter((text or b"").lower().split()).items():
                     n += tf
                     found = head.get(word)
                     if found is None:
-                        tail.append({"word": word.decode(), "tf": tf})
+                        words.append(word)
+                        times.append(tf)
                     else:
                         base += tf * found[0]
                         score += tf * found[1]
                         known += tf * found[2]
-                out.append({"n": n, "known": known, "base": base, "score": score, "tail": tail})
-            yield pa.array(out, kind)
+                sums.append((n, known, base, score))
+                ends.append(len(words))
+            tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "tf"])
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*sums), kinds.values())] or [pa.array([], kind) for kind in kinds.values()]
+            yield pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], [*kinds, "tail"])
         give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -233,8 +243,8 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     pieces, bytes_, logs = vocabulary(path)
     fitted = sc.broadcast((uuid.uuid4().hex, pieces, bytes_, logs))
     for _ in range(STEPS):
-        uses = counts.where("c > 0").select("word", "c").mapInArrow(_expectation(fitted), "id int, uses double").groupBy("id").agg(F.sum("uses").alias("uses"))
-        expected = dict(uses.collect())  # at most one row for each piece of the vocabulary
+        uses = counts.where("c > 0").select("word", "c").mapInArrow(_expectation(fitted), "id int, uses double").groupBy("id").agg(F.sum(F.col("uses").cast("decimal(30,6)")).cast("double").alias("uses"))
+        expected = dict(uses.orderBy("id").collect())  # at most one row for each piece of the vocabulary
         total = sum(expected.values()) + ends + MISSING * (len(logs) + 1)
         fitted = sc.broadcast((uuid.uuid4().hex, pieces, bytes_, [math.log((expected.get(i, 0.0) + MISSING) / total) for i in range(len(logs))]))
     end_score = math.log10((ends + MISSING) / total)
@@ -244,7 +254,8 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     head = sc.broadcast((uuid.uuid4().hex, top.column("word").cast(pa.binary()).to_pylist(), *(top.column(c).to_pylist() for c in ("base", "score", "known"))))
 
     part = staged(slim.select("doc_id", "held_out", F.monotonically_increasing_id().alias("row"), _head_scores(F.col("text"), head).alias("h")), "heads")
-    tail = part.select("row", F.inline("h.tail")).join(words, "word").groupBy("row").agg(F.sum(F.col("tf") * F.col("base")).alias("t_base"), F.sum(F.col("tf") * F.col("score")).alias("t_score"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("t_known"))
+    total_of = lambda c: (F.sum(F.round(F.col("tf") * F.col(c) * PARTS).cast("long")) / PARTS).alias(f"t_{c}")
+    tail = part.select("row", F.inline("h.tail")).join(words, "word").groupBy("row").agg(total_of("base"), total_of("score"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("t_known"))
     out = part.select("doc_id", "held_out", "row", "h.n", "h.known", "h.base", "h.score").join(tail.withColumnRenamed("row", "t_row"), F.col("row") == F.col("t_row"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     norm = math.log10(tokens + MISSING * (kinds + 1))

@@ -156,6 +156,67 @@ def test_lattice_prefers_real_words(spark, sf):
     assert better >= 0.9 * len(held)
 
 
+def segmentations(word, ids, bytes_):
+    """Every way to write a word as pieces, as lists of ids; a letter that is no piece is its bytes."""
+    if not word:
+        return [[]]
+    out = [[ids[word[:n]], *rest] for n in range(1, len(word) + 1) if word[:n] in ids for rest in segmentations(word[n:], ids, bytes_)]
+    if word[0] not in ids:
+        out += [[bytes_[b] for b in word[0].encode()] + rest for rest in segmentations(word[1:], ids, bytes_)]
+    return out
+
+
+def test_scores_by_all_segmentations(spark):
+    """The whole model on a small corpus: both steps of the fit and the scores from explicit lists of segmentations."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    pieces, bytes_, logs = lattice_lm.vocabulary(tokenizer_path(PIECES))
+    ids = dict(pieces)
+    rnd = random.Random(12)
+    words = ["the", "Then", "and", "sand", "ört", "é", "x9", "中a", "tion", "nation", "a", "😀"]
+    texts = {k: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 9))) for k in range(40)} | {99: None}
+    lowered = {k: "".join(c.lower() if c < "\x80" else c for c in t or "").split() for k, t in texts.items()}
+    train = [k for k in texts if zlib.crc32(str(k).encode()) % 10]
+    counts, ways = Counter(w for k in train for w in lowered[k]), {w: segmentations("▁" + w, ids, bytes_) for own in lowered.values() for w in own}
+    odds = [math.exp(x) for x in logs]
+    of = lambda w: sum(math.prod(odds[i] for i in s) for s in ways[w])
+    for _ in range(lattice_lm.STEPS):
+        uses = defaultdict(float)
+        for w, n in counts.items():
+            whole = of(w)
+            for s in ways[w]:
+                p = math.prod(odds[i] for i in s)
+                for i in s:
+                    uses[i] += n * p / whole
+        total = sum(uses.values()) + len(train) + 0.1 * (len(logs) + 1)
+        odds = [(uses[i] + 0.1) / total for i in range(len(logs))]
+    end = math.log10((len(train) + 0.1) / total)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for head_rows in (2, 1000):
+        got = {r.doc_id: r.score for r in lattice_lm.scores(docs, tokenizer_path(PIECES), head_rows=head_rows).collect()}
+        for k, own in lowered.items():
+            assert got[k] == pytest.approx(end + sum(math.log10(of(w)) for w in own), rel=1e-7)
+
+
+def test_rare_letters_in_a_large_corpus():
+    """39 rare letters whose odds are as small as in a corpus of 1e13 tokens: the fit stays finite, in log space or not."""
+    pieces, bytes_, logs = lattice_lm.vocabulary(tokenizer_path(PIECES))
+    rare = [p for p, _ in pieces if len(p) == 1][-39:]
+    for odds in (1e-5, 1e-9, 1e-13):
+        import math
+
+        lattice = lattice_lm.Lattice(pieces, bytes_, [math.log(odds)] * len(logs))
+        for word in ("".join(rare), "".join(rare) * 3, "".join(rare)[:20] + "\ue123"):
+            into = [0.0] * len(logs)
+            lattice.expect(word, 7, into)
+            assert all(math.isfinite(x) for x in into)
+            letters = dict(pieces)
+            assert sum(into) == pytest.approx(7 * (1 + len(word) + 2 * word.count("\ue123"))) or any(len(p) > 1 and p in "▁" + word for p in letters)
+            assert math.isfinite(lattice.log10(word))
+
+
 @pytest.mark.parametrize("log", [-1.0, -15.0, -18.75, -25.0, -700.0])
 def test_expected_uses_of_rare_pieces_are_finite(log):
     lattice = lattice_lm.Lattice([("▁", 0), ("q", 1), ("qq", 2)], [], [-1.0, log, -1e6])
