@@ -1,13 +1,13 @@
 """Near-duplicates by SimHash, with pigeonring filtering of candidates.
 
 A fingerprint's 64 bits are eight segments on a ring. If two fingerprints differ in at most two bits, some start exists from
-which every chain of k consecutive segments has at most floor(2k / 8) differences: none over one to three segments, one over
-four to seven. Three equal segments make the bucket key, the further chain budgets prune pairs in a bucket, and only then
-all 64 bits are compared. Only distinct fingerprints meet, so exact copies cost nothing.
+which every chain of k consecutive segments has at most floor(2k / 8) differences: none over three segments, one over seven. So the
+first three segments are equal, and of the next four at least the first two or the last two: 40 equal bits, which make a
+bucket key for each start and half. Fingerprints that are alone in all their buckets have no partner and go no further.
 
-A bucket of over HOT_BUCKET fingerprints is not paired. Its members are dealt to their 65 neighbourhood centres (themselves and
-each one-bit flip): two fingerprints differ in at most two bits just when they share a centre, and a centre has at most 65
-members. That finds every link of such buckets in linear work.
+The others are checked on all 64 bits without pairing the members of a bucket: each is dealt to its 65 neighbourhood centres (itself
+and each one-bit flip). Two fingerprints differ in at most two bits just when they share a centre, and a centre has at most 65
+members, so the work is linear whatever the buckets' sizes. Only distinct fingerprints meet: exact copies cost nothing.
 
 Nulls, empty and blank texts have fingerprint zero and are linked like others. Rows without an id have no say in a
 component's smallest id; a component without ids has a null one. Repeated rows are members like others.
@@ -28,10 +28,11 @@ from tessera.plans.staging import staged
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 2, 8
 SEGMENT_BITS = 64 // SEGMENTS
-#: Segments at a chain's start that must be equal: all k with 2k / 8 below 1.
+#: Segments at a chain's start that must be equal: all k with 2k / 8 below 1. Segments of each half of the next ones that may
+#: differ in one bit together: 2k / 8 is below 2 for the whole chain.
 EQUAL_SEGMENTS = -(-SEGMENTS // RADIUS) - 1
-KEY_BITS = EQUAL_SEGMENTS * SEGMENT_BITS
-HOT_BUCKET = 64
+HALF_SEGMENTS = (SEGMENTS - 1 - EQUAL_SEGMENTS) // 2
+EQUAL_BITS, HALF_BITS = EQUAL_SEGMENTS * SEGMENT_BITS, HALF_SEGMENTS * SEGMENT_BITS
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -72,32 +73,26 @@ def turned(value: Column, by: Column) -> Column:
     return F.call_function("shiftleft", value, by).bitwiseOR(F.call_function("shiftrightunsigned", value, F.lit(64) - by))
 
 
-def within_chain(a: Column, b: Column) -> Column:
-    """Whether all chains that start at the first segment, and then all bits, are within their budgets."""
-    x = a.bitwiseXOR(b)
-    ok = F.lit(True)
-    for k in range(EQUAL_SEGMENTS + 1, SEGMENTS):
-        ok = ok & (F.bit_count(F.shiftrightunsigned(x, 64 - k * SEGMENT_BITS)) <= k * RADIUS // SEGMENTS)
-    return ok & (F.bit_count(x) <= RADIUS)
+def chain_keys(fp: Column) -> Column:
+    """The keys of all chains: for each start, the equal segments and either half of the following ones."""
 
+    def key(at: int, half: int) -> Column:
+        r = turned(fp, F.lit(at * SEGMENT_BITS)) if at else fp
+        first = F.shiftrightunsigned(r, 64 - EQUAL_BITS)
+        second = F.shiftrightunsigned(r, 64 - EQUAL_BITS - (half + 1) * HALF_BITS).bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+        return F.shiftleft(first, HALF_BITS).bitwiseOR(second).bitwiseOR(F.lit((2 * at + half) << (EQUAL_BITS + HALF_BITS)))
 
-def links(prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    return F.array(*(key(at, half) for at in range(SEGMENTS) for half in (0, 1)))
+
+
+def links(prints: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp``: every two within the radius are joined, directly or over a third."""
-    start = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))
-    keyed = prints.select("fp", start.alias("at")).withColumn("r", turned(F.col("fp"), F.col("at") * SEGMENT_BITS))
-    keyed = keyed.select("fp", "r", (F.shiftrightunsigned("r", 64 - KEY_BITS) + F.shiftleft(F.col("at").cast("long"), KEY_BITS)).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = staged(keyed.join(sizes, "bucket"), "buckets")
-
-    cold = shared.where(F.col("n") <= hot_bucket)
-    a, b = cold.select("bucket", F.col("fp").alias("u"), F.col("r").alias("ru")), cold.select("bucket", F.col("fp").alias("v"), F.col("r").alias("rv"))
-    near = a.join(b, (a.bucket == b.bucket) & (a.ru < b.rv) & within_chain(a.ru, b.rv)).select("u", "v")
-
-    hot = shared.where(F.col("n") > hot_bucket).select("fp").distinct()
-    centres = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.when(i == 64, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    members = hot.select("fp", F.explode(centres).alias("centre")).groupBy("centre").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    stars = members.select("u", F.explode("all").alias("v")).where("u != v")
-    return near.union(stars)
+    keyed = prints.select("fp", F.explode(chain_keys(F.col("fp"))).alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    candidates = staged(keyed.join(shared, "bucket").select("fp").distinct(), "candidates")
+    centres = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63))) for i in range(64)))
+    members = candidates.select("fp", F.explode(centres).alias("centre")).groupBy("centre").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
+    return members.select("u", F.explode("all").alias("v")).where("u != v")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
