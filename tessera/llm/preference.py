@@ -47,11 +47,10 @@ def _segments(stored: DataFrame, uses: DataFrame) -> DataFrame:
     parting = by_turn.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy(F.col("pair").alias("of")).agg(F.min("at").alias("parting"))
     common = F.col("parting").isNull() | (F.col("at") < F.col("parting"))
     part = F.when(F.col("side") == CHOSEN, F.when(common, "prompt").otherwise("chosen")).when(~common, "rejected")
-    told = uses.join(parting, uses["pair"] == parting["of"], "left").select("pair", "store", "turn", part.alias("part"), "at").where("part is not null")
-    fates = told.groupBy(*(F.col(c).alias(f"f_{c}") for c in ("pair", "store", "turn"))).agg(F.collect_list(F.struct("part", "at")).alias("parts"))  # three at most
+    told = uses.join(parting, uses["pair"] == parting["of"], "left").select(*(F.col(c).alias(f"f_{c}") for c in ("pair", "store", "turn")), part.alias("part"), "at").where("part is not null")
     texts = stored.groupBy("pair", "store", "turn").agg(F.min(F.struct("hash", "role", "text")).alias("s"))
-    met = texts.join(fates, (texts["pair"] == fates["f_pair"]) & (texts["store"] == fates["f_store"]) & (texts["turn"] == fates["f_turn"]))
-    rows = met.select("pair", "s.role", "s.text", F.inline("parts"))
+    met = texts.join(told, (texts["pair"] == told["f_pair"]) & (texts["store"] == told["f_store"]) & (texts["turn"] == told["f_turn"]))
+    rows = met.select("pair", "s.role", "s.text", "part", "at")
     head = F.concat(F.lit(OPEN), F.col("role"), F.lit(MIDDLE))
     learned = (F.col("part") != "prompt") & (F.col("role") == "assistant")
     return rows.select(
