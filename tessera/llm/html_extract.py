@@ -1,11 +1,14 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, then hierarchical decoding.
 
-A page is parsed into elements with the implied end tags of HTML; content outside head and body opens the body, as in HTML. Each element that holds text has features of its tag, attribute
-tokens, depth, subtree density (text, links, blocks) and siblings; the trees give it the log odds of being main text. Decoding
-maximises the summed odds under one constraint: no element is kept inside one that is not. Kept elements' blocks are joined
-by a line break, white space inside a block is one space.
-
-The trees are trained on TRAINING_PAGES pages that this module makes from a seed, with known main text; that is the bound on
+A page is parsed into elements with the implied end tags of HTML, in time that is linear in its length whatever it holds; content
+outside head and body opens the body. A quoted attribute value ends at its quote; if there is none, its tag ends at the next ``>``.
+Each element that holds text has features of its tag, attribute tokens, depth, subtree density (text, links, blocks) and siblings;
+the trees give it the log odds of being main text. Tags and attribute tokens enter by evidence: hashed to a table of log odds that is
+learned from labelled pages, so that no list of good or bad names is given. Decoding maximises the summed odds under one constraint: no
+element is kept inside one that is not. Kept elements' blocks are joined by a line break, white space inside a block (Unicode's) is one
+space.
+
+Evidence and trees are trained on TRAINING_PAGES pages that this module makes from a seed, with known main text; that is the bound on
 the sample. They are trained once on the driver and broadcast.
 
 Null and empty pages have the empty text. Pages are never cut; nesting is handled without recursion. Repeated rows and
@@ -17,8 +20,10 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +33,7 @@ from tessera.functions.process_cache import kept
 from tessera.llm.boosting import Boosted
 from tessera.llm.words import slices
 
-TRAINING_PAGES, SEED = 1000, 11
+TRAINING_PAGES, SEED = 2000, 11
 
 #: Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,18 +47,17 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, set()),
 }
-#: Tokens of class, id and role that speak for main text or against it.
-GOOD = frozenset("article articlebody body content entry main maincontent post postbody postcontent story text prose".split())
-BAD = frozenset(
-    "ad ads adv advert advertisement advertising banner bar breadcrumb breadcrumbs byline carousel comment comments consent cookie cookies copyright dialog disqus discussion donate extra feedback foot footer form gdpr head header hidden hero login masthead menu meta modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination paywall popup privacy promo promoted recommended register related replies reply respond search share sharing shout side sidebar signup skip social sponsor sponsored subscribe subscription tags taboola tool toolbar topbar widget widgets".split()
-)
-BAD_TAGS = frozenset("nav footer aside form header menu dialog search button label fieldset".split())
-GOOD_TAGS = frozenset("article main".split())
-TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$))", re.S)
+#: An opening block closes an open p, unless one of these stands between.
+P_WALLS = "table td th li div section article blockquote button caption object".split()
+MARKUP = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+COMMENT_END = re.compile(r"--!?>")
+NAME = re.compile(r"[\s/]*+(?:[^\s/>][^\s/>=]*+)?\s*+(=\s*+)?")
+UNQUOTED = re.compile(r"[^\s>]*+")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-label)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SPACE = re.compile(r"[ \t\n\r\f]+")
 STOP = re.compile(r"[.!?。！？]")
+#: Buckets of the table of evidence, and how many elements a token must have been seen in for half of its weight.
+BUCKETS, DOUBT = 4096, 4
 
 
 class Node:
@@ -80,96 +84,148 @@ def _tokens(attributes: str) -> tuple[frozenset, bool]:
     return frozenset(found), hidden
 
 
+class Tags:
+    """Where the tags of a page end."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``, or the page's length."""
+        page, size = self.page, len(self.page)
+        simple = page.find(">", at)
+        if simple < 0:
+            return size
+        if page.find("'", at, simple) < 0 and page.count('"', at, simple) % 2 == 0:
+            return simple
+        while at < size and page[at] != ">":
+            m = NAME.match(page, at)
+            at = m.end()
+            if not m[1]:
+                continue
+            if page[at : at + 1] in self.last and at < size:
+                if self.last[page[at]] <= at:  # the quote is never closed
+                    return size if (end := page.find(">", at)) < 0 else end
+                at = page.find(page[at], at + 1) + 1
+            else:
+                at = UNQUOTED.match(page, at).end()
+        return at
+
+
+class Open:
+    """The open elements: a stack, and for each tag those of its name."""
+
+    def __init__(self, root: Node):
+        self.root, self.stack, self.blocks, self.named = root, [root], [], {}
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.named.setdefault(node.tag, []).append(node)
+        if node.tag in BLOCKS:
+            self.blocks.append(node)
+
+    def close(self, node: Node) -> None:
+        """Close an open element and all inside it."""
+        while True:
+            last = self.stack.pop()
+            self.named[last.tag].pop()
+            if last.tag in BLOCKS:
+                self.blocks.pop()
+            if last is node:
+                return
+
+    def depth(self, tags) -> int:
+        """Of the innermost open element of some tags; -1 if there is none."""
+        return max((own[-1].depth for t in tags if (own := self.named.get(t))), default=-1)
+
+    def innermost(self, tag: str, below: int = -1) -> Node | None:
+        own = self.named.get(tag)
+        return own[-1] if own and own[-1].depth > below else None
+
+    def outermost(self, tags, below: int) -> Node | None:
+        """The outermost open element of some tags that is deeper than ``below``."""
+        found = [own[k] for t in tags if (own := self.named.get(t)) and (k := bisect_right(own, below, key=lambda n: n.depth)) < len(own)]
+        return min(found, key=lambda n: n.depth, default=None)
+
+    def block_depth(self) -> int:
+        return self.blocks[-1].depth if self.blocks else -1
+
+
 def parsed(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Elements in page order, the root first, and runs of text with their element."""
     root = Node("html", None)
-    nodes, runs, here, at, end = [root], [], root, 0, len(page)
+    nodes, runs, at, end, tags, open_ = [root], [], int(page.startswith("\ufeff")), len(page), Tags(page), Open(root)
     body = None
 
-    def content() -> Node:
-        """Where content goes: content in the root or an open head is the body's."""
+    def content() -> None:
+        """Make way for content: in the root or an open head it is the body's."""
         nonlocal body
+        here = open_.stack[-1]
         if here is not root and (here.tag != "head" or here.parent is not root):
-            return here
+            return
+        if here is not root:
+            open_.close(here)
         if not body:
             body = Node("body", root)
             root.children.append(body)
             nodes.append(body)
-        return body
+        open_.push(body)
 
     while at < end:
-        m = TAG.search(page, at)
+        m = MARKUP.search(page, at)
         upto = m.start() if m else end
         if upto > at:
-            if page[at:upto].strip(" \t\n\r\f\ufeff"):
-                here = content()
-            runs.append((here, page[at:upto]))
+            if not page[at:upto].isspace():
+                content()
+            runs.append((open_.stack[-1], page[at:upto]))
         if not m:
             break
-        at = m.end()
-        tag = m[2]
-        if not tag:
+        if not m[3]:
+            stop = COMMENT_END.search(page, m.end() - 2) if m[1] else None  # <!--> is a whole comment
+            closed = stop.end() if stop else end if m[1] else page.find(">", m.end()) + 1
+            at = closed or end
             continue
-        tag = tag.lower()
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                if tag not in BLOCKS and node.tag in BLOCKS:  # an inline end tag does not close a block
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
+        tag, begin = m[3].lower(), m.end()
+        stop = tags.end(begin)
+        attributes, at = page[begin:stop], stop + 1
+        if m[2]:
+            # an inline end tag does not close a block
+            if node := open_.innermost(tag, -1 if tag in BLOCKS else open_.block_depth()):
+                open_.close(node)
             continue
         if tag == "html" or tag == "head" and body:
             continue
         if tag not in HEAD_TAGS and tag != "body":
-            here = content()
-        if tag in ENDS_P:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in ("table", "td", "th", "li", "div", "section", "article", "blockquote", "button", "caption", "object"):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
+            content()
+        if tag in ENDS_P and (node := open_.innermost("p", open_.depth(P_WALLS))):
+            open_.close(node)
         if tag in CLOSES:
             ends, walls = CLOSES[tag]
-            node, last = here, None
-            while node is not root and node.tag not in walls:
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last:
-                here = last.parent
-        if tag == "a":
-            node = here
-            while node is not root and node.tag != "a" and node.tag not in BLOCKS:
-                node = node.parent
-            if node.tag == "a":
-                here = node.parent
-        tokens, hidden = _tokens(m[3])
+            if node := open_.outermost(ends, open_.depth(walls)):
+                open_.close(node)
+        if tag == "a" and (node := open_.innermost("a", open_.block_depth())):
+            open_.close(node)
+        tokens, hidden = _tokens(attributes)
         if tag == "body":
             if body:  # its attributes are the open body's
                 body.tokens, body.hidden = body.tokens | tokens, body.hidden or hidden
             else:
-                here = content()
+                content()
                 body.tokens, body.hidden = tokens, hidden
             continue
+        here = open_.stack[-1]
         node = Node(tag, here, tokens, hidden)
         here.children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":
-            runs.append((node, "")) if tag in ("br", "hr") else None
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":
+            if tag in ("br", "hr"):
+                runs.append((node, ""))
             continue
         nodes.append(node)
-        if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
-            if tag in ("title", "textarea") or not close and tag != "script" and tag != "style":
-                pass
-            at = close.start() if close else end
-            if close:
-                stop = page.find(">", at)
-                at = stop + 1 if stop >= 0 else end
+        if tag in RAW:  # what stands in it is no content
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(page, at)
+            at = end if not close else (page.find(">", close.end()) + 1 or end)
             continue
-        here = node
+        open_.push(node)
     return nodes, runs
 
 
@@ -187,8 +243,7 @@ def blocks_of(nodes: list[Node], runs: list[tuple[Node, str]]) -> list[tuple[Nod
     now, pieces = None, []
 
     def close():
-        text = SPACE.sub(" ", "".join(pieces)).strip(" ")
-        if text and not text.isspace():
+        if text := " ".join("".join(pieces).split()):
             out.append((now, text))
 
     for node, text in runs:
@@ -210,11 +265,17 @@ def blocks_of(nodes: list[Node], runs: list[tuple[Node, str]]) -> list[tuple[Nod
     return out
 
 
-FEATURES = 24
+def hints(node: Node) -> list[int]:
+    """Buckets of a node's attribute tokens."""
+    return [crc32(t.encode()) % BUCKETS for t in sorted(node.tokens)]
+
 
+def tag_hint(node: Node) -> int:
+    return crc32(f"<{node.tag}>".encode()) % BUCKETS
 
-def features(nodes: list[Node], runs: list[tuple[Node, str]], blocks: list[tuple[Node, str]]) -> list[list[float]]:
-    """One row for each element."""
+
+def features(nodes: list[Node], runs: list[tuple[Node, str]], blocks: list[tuple[Node, str]], evidence: list[float]) -> list[list[float]]:
+    """One row for each element. ``evidence``: log odds of each bucket of hints."""
     from math import log1p
 
     in_link = [False] * len(nodes)
@@ -242,30 +303,26 @@ def features(nodes: list[Node], runs: list[tuple[Node, str]], blocks: list[tuple
             up.stops += n.stops
             up.elements += n.elements
     total = max(1, nodes[0].text)
-    marks = [(0, 0, 0, 0)] * len(nodes)
+    above = [(0.0, 0.0, 0.0)] * len(nodes)  # of what encloses a node: summed evidence of tokens, of tags, least evidence
     out = []
     place: dict[int, int] = {}
     tags: dict[int, Counter] = {}
     for n in nodes:
-        good, bad = len(n.tokens & GOOD), len(n.tokens & BAD)
-        good_tag, bad_tag = n.tag in GOOD_TAGS, n.tag in BAD_TAGS
+        own, by_tag = [evidence[h] for h in hints(n)] or [0.0], evidence[tag_hint(n)]
         up = n.parent
         if up:
-            a = marks[up.index]
-            marks[n.index] = (a[0] + good, a[1] + bad, a[2] + good_tag, a[3] + bad_tag)
             k = place[up.index] = place.get(up.index, -1) + 1
             siblings = len(up.children)
             if up.index not in tags:
                 tags[up.index] = Counter(c.tag for c in up.children)
             alike = tags[up.index][n.tag]
-            of_parent = n.text / max(1, up.text)
+            of_parent, outer = n.text / max(1, up.text), above[up.index]
         else:
-            marks[n.index] = (good, bad, int(good_tag), int(bad_tag))
-            k, siblings, alike, of_parent = 0, 1, 1, 1.0
-        above = marks[up.index] if up else (0, 0, 0, 0)
+            k, siblings, alike, of_parent, outer = 0, 1, 1, 1.0, (0.0, 0.0, 0.0)
+        above[n.index] = (outer[0] + sum(own), outer[1] + by_tag, min(outer[2], min(own), by_tag))
         out.append(
             [
-                n.depth, good, bad, good_tag, bad_tag, *above, n.tag == "p", n.tag in ("h1", "h2", "h3", "h4"), n.tag in ("li", "ul", "ol", "dl"), n.tag in ("div", "section"), log1p(n.text), n.links / max(1, n.text), log1p(n.text / n.elements),
+                n.depth, sum(own), min(own), max(own), by_tag, *outer, n.tag == "p", n.tag in ("h1", "h2", "h3", "h4"), n.tag in ("li", "ul", "ol", "dl"), n.tag in ("div", "section"), log1p(n.text), n.links / max(1, n.text), log1p(n.text / n.elements),
                 n.paragraphs / max(1, n.blocks), n.stops * 100 / max(1, n.text), log1p(n.text / max(1, n.blocks)), k / siblings, alike / siblings, log1p(siblings), of_parent, n.text / total,
             ]
         )
@@ -289,22 +346,23 @@ def decoded(nodes: list[Node], odds: list[float]) -> list[bool]:
     return labels
 
 
-def extract(pages: list[str], model: Boosted) -> list[str]:
+def extract(pages: list[str], model: tuple[Boosted, list[float]]) -> list[str]:
     """The main text of each page."""
     import numpy as np
 
+    trees, evidence = model
     done, rows = [], []
     for page in pages:
         nodes, runs = parsed(page)
         blocks = blocks_of(nodes, runs)
         done.append((nodes, blocks))
-        rows += features(nodes, runs, blocks)
-    odds = model.logit(np.array(rows, dtype=float)).tolist() if rows else []
+        rows += features(nodes, runs, blocks, evidence)
+    odds = trees.logit(np.array(rows, dtype=float)).tolist() if rows else []
     out, at = [], 0
     for nodes, blocks in done:
         labels = decoded(nodes, odds[at : at + len(nodes)])
         at += len(nodes)
-        out.append("\n".join(text for node, text in blocks if labels[node.index] and node.index))
+        out.append("\n".join(text for node, text in blocks if labels[node.index]))
     return out
 
 
@@ -349,23 +407,23 @@ def made_page(rnd: random.Random) -> tuple[str, list[tuple[str, bool]]]:
         if kind == 0:
             return f"<aside>{rnd.choice([note(), links(rnd.randint(1, 8))])}</aside>"
         if kind == 1:
-            return named(["sidebar", "related", "widget", "recommended"], rnd.choice([links, note])(rnd.randint(1, 6)))
+            return named(["sidebar", "related", "widget", "recommended", "aside", "promoted", "outbrain", "taboola", "carousel", "more-links"], rnd.choice([links, note])(rnd.randint(1, 6)))
         if kind in (2, 3):
-            return named(["ad", "ads", "advert", "sponsored", "promo", "banner"], rnd.choice([note, bare])(1), ["div"])
+            return named(["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "banner", "adv", "donate"], rnd.choice([note, bare])(1), ["div"])
         if kind == 4:
-            return named(["cookie-notice", "consent", "notice", "gdpr", "popup", "cookie-banner"], rnd.choice([note, bare])(1), ["div", "section"])
+            return named(["cookie-notice", "consent", "notice", "gdpr", "popup", "cookie-banner", "notification", "modal", "overlay", "privacy", "paywall", "dialog"], rnd.choice([note, bare])(1), ["div", "section"])
         if kind == 5:
-            return named(["newsletter", "subscribe", "signup"], f"<form>{note(1)}<input name=q><button>Go</button></form>", ["div"])
+            return named(["newsletter", "subscribe", "signup", "login", "register", "subscription"], f"<form>{note(1)}<input name=q><button>Go</button></form>", ["div"])
         if kind == 6:
             return f"<form action=/s><label>{bare(1)}</label><input></form>"
         if kind == 7:
-            return named(["comments", "comment-list", "replies", "discussion"], "".join(named(["comment", "reply"], note(1), ["div", "li"]) for _ in range(rnd.randint(1, 4))), ["div", "section"])
+            return named(["comments", "comment-list", "replies", "discussion", "respond", "disqus", "feedback", "shout"], "".join(named(["comment", "reply"], note(1), ["div", "li"]) for _ in range(rnd.randint(1, 4))), ["div", "section"])
         if kind == 8:
-            return named(["share", "social", "tags", "breadcrumb", "pagination"], links(rnd.randint(1, 5)))
-        return named(["menu", "nav", "navbar", "navigation"], links(rnd.randint(1, 9)))
+            return named(["share", "sharing", "social", "tags", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "tools"], links(rnd.randint(1, 5)))
+        return named(["menu", "nav", "navbar", "navigation", "topbar", "masthead", "skip-links"], links(rnd.randint(1, 9)))
 
     def body():
-        out = block("h1", sentence(rnd.randint(2, 9), rnd.random() < 0.5), True) if rnd.random() < 0.9 else ""
+        out = block(rnd.choice(["h1", "h1", "h2"]), sentence(rnd.randint(2, 9), rnd.random() < 0.5), True) if rnd.random() < 0.9 else ""
         for _ in range(rnd.choice([1, 2, 3, 5, 8, 12, 20])):
             kind = rnd.random()
             if kind < 0.75:
@@ -391,14 +449,20 @@ def made_page(rnd: random.Random) -> tuple[str, list[tuple[str, bool]]]:
     html += "".join(noise() for _ in range(rnd.randint(0, 3)))
     wrap = rnd.random()
     inner = body()
-    if wrap < 0.45:
+    tag = rnd.choice(["div", "div", "div", "section"])
+    if wrap < 0.35:
         inner = f"<article>{inner}</article>"
-    elif wrap < 0.6:
+    elif wrap < 0.5:
         inner = f"<main>{inner}{noise() if rnd.random() < 0.3 else ''}</main>"
-    elif wrap < 0.85:
-        inner = f'<div {rnd.choice(["class", "id"])}="{rnd.choice(["content", "post-content", "entry", "article-body", "main", "story", "post"])}">{inner}</div>'
+    elif wrap < 0.75:
+        name = rnd.choice(["content", "post-content", "entry", "article-body", "main", "story", "post", "page-content", "post__text", "prose", "body", "articleBody", "mainContent"])
+        inner = f'<{tag} {rnd.choice(["class", "id"])}="{rnd.choice([name, name, f"{name} {word()}", f"{word()}-{name}"])}">{inner}</{tag}>'
+    elif wrap < 0.8:
+        inner = f"<table><tr><td>{inner}</td></tr></table>"
+    elif wrap < 0.9:
+        inner = f"<{tag}>{inner}</{tag}>"
     else:
-        inner = f'<div class="{word()}">{inner}</div>'
+        inner = f'<{tag} class="{word()}">{inner}</{tag}>'
     html += f"<div>{inner}</div>" if rnd.random() < 0.3 else inner
     html += "".join(noise() for _ in range(rnd.randint(0, 3)))
     if rnd.random() < 0.85:
@@ -406,39 +470,63 @@ def made_page(rnd: random.Random) -> tuple[str, list[tuple[str, bool]]]:
     return html + rnd.choice(["</body></html>", "</body></html>", ""]), blocks
 
 
-def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Boosted:
-    """Trees fitted to made pages. An element is main text if most of its subtree's text is."""
+def labelled(page: str, truth: list[tuple[str, bool]]) -> tuple[list[Node], list, list, list]:
+    """Elements, runs and blocks of a page, and each element's label: whether it is main text, or None without text. An element is main
+    text if most of its subtree's text is."""
+    wanted = dict(truth)
+    nodes, runs = parsed(page)
+    blocks = blocks_of(nodes, runs)
+    good, size = [0] * len(nodes), [0] * len(nodes)
+    elements = [1] * len(nodes)
+    for node, text in blocks:
+        good[node.index] += wanted.get(text, False) * len(text)
+        size[node.index] += len(text)
+    for n in reversed(nodes[1:]):
+        good[n.parent.index] += good[n.index]
+        size[n.parent.index] += size[n.index]
+        elements[n.parent.index] += elements[n.index]
+    # what encloses the main text must be kept, or nothing in it could be
+    main = lambda i, n: good[i] > 0 and (2 * good[i] > size[i] or n.tag == "body" or elements[i] > 12)
+    return nodes, runs, blocks, [main(n.index, n) if n.parent and size[n.index] else None for n in nodes]
+
+
+def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> tuple[Boosted, list[float]]:
+    """Evidence of hints from one half of the made pages, and trees fitted to the other half with it."""
+    import math
+
     import numpy as np
 
-    rnd, rows, labels = random.Random(seed), [], []
-    for _ in range(pages):
-        page, truth = made_page(rnd)
-        wanted: dict[str, bool] = {}
-        for text, main in truth:
-            wanted[text] = main
-        nodes, runs = parsed(page)
-        blocks = blocks_of(nodes, runs)
-        found = features(nodes, runs, blocks)
-        good, size = [0] * len(nodes), [0] * len(nodes)
-        for node, text in blocks:
-            good[node.index] += wanted.get(text, False) * len(text)
-            size[node.index] += len(text)
-        for n in reversed(nodes[1:]):
-            good[n.parent.index] += good[n.index]
-            size[n.parent.index] += size[n.index]
-        for n in nodes[1:]:
-            if size[n.index]:
-                rows.append(found[n.index])
-                # what encloses the main text must be kept, or nothing in it could be
-                labels.append(good[n.index] > 0 and (2 * good[n.index] > size[n.index] or n.tag == "body" or n.elements > 12))
-    return Boosted().fit(np.array(rows, dtype=float), np.array(labels, dtype=float))
+    rnd = random.Random(seed)
+    made = [labelled(*made_page(rnd)) for _ in range(pages)]
+    seen = [[0, 0] for _ in range(BUCKETS)]
+    for nodes, _, _, labels in made[::2]:
+        for n, label in zip(nodes, labels):
+            if label is not None:
+                for h in {*hints(n), tag_hint(n)}:
+                    seen[h][label] += 1
+    bad, good = (sum(x[k] for x in seen) or 1 for k in (0, 1))
+    rate = good / (good + bad)
+    odds = lambda b, g: math.log((g + DOUBT * rate) / (b + DOUBT * (1 - rate))) - math.log(rate / (1 - rate))
+    evidence = [odds(*x) for x in seen]
+    rows, wanted = [], []
+    for nodes, runs, blocks, labels in made[1::2]:
+        for row, label in zip(features(nodes, runs, blocks, evidence), labels):
+            if label is not None:
+                rows.append(row)
+                wanted.append(label)
+    return Boosted().fit(np.array(rows, dtype=float), np.array(wanted, dtype=float)), evidence
+
+
+def trained_once() -> tuple[Boosted, list[float]]:
+    """trained(), kept by the process."""
+    return kept("html-trees", (TRAINING_PAGES, SEED), trained)
 
 
 def main_text(html: Column, shared) -> Column:
     """The main text of a column of pages; ``shared`` is a broadcast state of the trees."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = Boosted.of(shared.value)
+        model = Boosted.of(shared.value[0]), shared.value[1]
         for batch in slices(batches, 128):
             yield pa.array(extract([p or "" for p in batch.to_pylist()], model), pa.string())
 
@@ -449,6 +537,6 @@ def main_text(html: Column, shared) -> Column:
 def extracted(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """Columns ``keep``, then the main text, one row for each page. A kept column ``text`` gives way."""
     keep = [c for c in keep if c != "text"]
-    model = kept("html-trees", (TRAINING_PAGES, SEED), trained)
-    shared = pages.sparkSession.sparkContext.broadcast(model.state())
+    model = trained_once()
+    shared = pages.sparkSession.sparkContext.broadcast((model[0].state(), model[1]))
     return pages.select(*keep, main_text(F.col(html), shared).alias("text"))
