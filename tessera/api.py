@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import models
 from tessera.functions.text import find_positions, not_blank
-from tessera.functions.urls import suffix
+from tessera.functions.urls import file_name, is_supported, suffix
 from tessera.operators import answering, call_graph, catalog, chunking, embedding
 from tessera.operators.vector_index import DEFAULT_K, MAX_DISTANCE
-from tessera.sources import code, files, store
+from tessera.sources import code, files, remote, store
 from tessera.streaming.deltas import cancel, cancellable
 
 #: Stored configuration of a new application.
@@ -29,26 +29,48 @@ class Engine:
     embed: models.Embedder = models.letter_vector
     speak: Callable = models.echo
     model_name: str = "gpt-3.5-turbo"
-    settings: dict[str, str] = field(default_factory=dict)
+    read_pdf: Callable | None = None
+    host: dict[str, Callable] = field(default_factory=dict)
 
     @property
     def vectors(self) -> str:
         return f"{self.root}/vectors"
 
     def ingest(self, path: str, name: str, kind: str = "code", signal: str = "") -> int:
-        """Read, cut, embed and store a resource; a name that is stored already is refused. The number of chunks."""
+        """Read, cut, embed and store a resource; a name that is stored already is refused. The number of chunks. Kinds: ``code`` (a tree or
+        a file), ``text``, ``pdf``, ``zip`` (archives of code) and ``remote`` (a repository's URL)."""
         if store.exists(self.spark, self.vectors, name):
             raise FileExistsError(name)
-        if kind == "text":
-            found = files.text_files(self.spark, path)
-            chunks = chunking.chunked(found.select("source", "file_name", F.col("content").alias("text")), embed=self.embed)
+        if kind in ("text", "pdf"):
+            found = files.text_files(self.spark, path) if kind == "text" else files.pdf_pages(self.spark, path, reader=self.read_pdf).withColumnRenamed("text", "content")
+            label = [F.concat_ws("#", "source", "page_label").alias("source")] if kind == "pdf" else ["source"]
+            chunks = chunking.chunked(found.select(*label, "file_name", F.col("content").alias("text")), embed=self.embed)
         else:
-            found = files.documents(self.spark, path, kind)
+            found = self.repository(path) if kind == "remote" else files.zip_code_files(self.spark, path) if kind == "zip" else files.documents(self.spark, path, kind)
             chunks = chunking.code_chunks(found, code.top_level_parts)
         rows = chunks.where(not_blank(F.col("page_content"))).withColumn("vec_id", F.xxhash64("source", "chunk_no")).withColumn("embedding", self.embed(F.col("page_content")))
         cancellable(self.spark, signal or f"ingest-{name}", lambda: store.save(rows, self.vectors, name))
         return store.load(self.spark, self.vectors, name).count()
 
+    def repository(self, url: str) -> DataFrame:
+        """Rows (source, file_name, suffix, content) of the supported files of a repository, by the engine's host callables."""
+        if not self.host:
+            raise ValueError("no code host: Engine(host=...) takes listing, fetch, default_branch and archive")
+        found = remote.repository_files(self.spark, url, **self.host)
+        return found.where(is_supported(F.col("path"))).select(F.col("path").alias("source"), file_name(F.col("path")).alias("file_name"), suffix(F.col("path")).alias("suffix"), F.decode("content", "UTF-8").alias("content"))
+
+    def download(self, url: str, folder: str) -> DataFrame:
+        """Write a repository's files below a folder: rows (path, size)."""
+        return files.written(remote.repository_files(self.spark, url, **self.host).select("path", "content"), folder)
+
+    def say(self, prompts: DataFrame, speak: Callable) -> DataFrame:
+        """What a model says to prompts (stream_id, prompt), piece by piece: rows (stream_id, seq, chunk)."""
+        return models.deltas(prompts, speak)
+
+    def models(self, bases: DataFrame, get: Callable, prefixes: tuple[str, ...] = ("gpt",)) -> DataFrame:
+        """Models that servers list, by prefixes of their names."""
+        return models.with_prefix(remote.models(bases, get), prefixes)
+
     def chat(self, name: str, question: str, history: list[tuple[str, str]] = (), k: int = DEFAULT_K, max_distance: float = MAX_DISTANCE) -> dict:
         """The answer and the contents it drew from."""
         past = "\n".join(f"Human: {q}\nAssistant: {a}" for q, a in history)
@@ -79,7 +101,10 @@ class Engine:
         """Definitions, calls, first-met nodes and the graph's text of a file or tree."""
         found = files.code_files(self.spark, path)
         calls = code.code_calls(found)
-        return {"code": found, "definitions": code.code_definitions(found), "calls": calls, "code_mapping": call_graph.code_mapping(calls), "dot": call_graph.dot(calls, ["ord"], ["filepath"])}
+        return {
+            "code": found, "definitions": code.code_definitions(found), "calls": calls, "code_mapping": call_graph.code_mapping(calls), "dot": call_graph.dot(calls, ["ord"], ["filepath"]),
+            "places": code.node_places(found), "cross_file": code.cross_file_calls(found),
+        }
 
     def search_calls(self, calls: DataFrame, keyword: str = "", level: int = 1) -> DataFrame:
         """One row (dot): the graph around a keyword; empty if nothing matches or the level is below one."""
@@ -101,10 +126,13 @@ class Engine:
         return texts.withColumn("positions", find_positions(F.col(text), F.lit(wanted), match_case))
 
     def set(self, key: str, value: str) -> None:
-        self.settings[key if key.startswith(catalog.KEY_PREFIX) else catalog.KEY_PREFIX + key] = value
+        """Store a setting; other sessions over the same root read it."""
+        changes = self.spark.createDataFrame([(key, value)], "key string, value string").withColumn("key", catalog.prefixed(F.col("key")))
+        store.put_settings(self.spark, f"{self.root}/settings", changes)
 
     def get(self, key: str, default: str = "") -> str:
-        return self.settings.get(key if key.startswith(catalog.KEY_PREFIX) else catalog.KEY_PREFIX + key) or default
+        row = store.settings(self.spark, f"{self.root}/settings").where(F.col("key") == catalog.prefixed(F.lit(key))).first()
+        return row.value if row and row.value else default
 
     def code_chat(self, messages: DataFrame) -> DataFrame:
         """Answers to conversations (conv_id, turn, role, text) from their last messages, as alternating roles."""

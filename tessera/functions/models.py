@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -73,6 +73,51 @@ def language_model(function: Callable[[str], str]) -> Callable[[Column], Column]
     return F.arrow_udf(run, "string").asNondeterministic()
 
 
+def retrying(function: Callable, attempts: int = 3, wait: float = 0.0) -> Callable:
+    """A callable that tries again when it fails; the last failure is raised with a plain name."""
+
+    def run(*args):
+        import time
+
+        for k in range(attempts):
+            try:
+                return function(*args)
+            except Exception as error:
+                if k + 1 == attempts:
+                    raise plain_error(error) from error
+                time.sleep(wait * 2**k)
+
+    return run
+
+
+def provider(name: str, makers: dict[str, Callable[..., Callable[[str], str]]], **settings) -> Callable[[Column], Column]:
+    """A language model by its provider's name: ``makers`` makes prompt-to-text callables of settings."""
+    if name not in makers:
+        raise ValueError(f"unknown provider {name}")
+    return language_model(makers[name](**settings))
+
+
+def deltas(prompts: DataFrame, speak: Callable[[str], Iterator[str]], stream_id: str = "stream_id", prompt: str = "prompt") -> DataFrame:
+    """Rows (stream_id, seq, chunk): what a model says to each prompt, piece by piece, in the order in which it comes. Null prompts and empty
+    pieces give no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                pieces = [] if text is None else [p for p in speak(text) if p]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces), pa.string()), pa.array(range(len(pieces)), pa.int64()), pa.array(pieces, pa.string())], ["stream_id", "seq", "chunk"])
+
+    return prompts.select(F.col(stream_id).cast("string"), prompt).mapInArrow(run, "stream_id string, seq long, chunk string")
+
+
+def with_prefix(ids: DataFrame, prefixes: tuple[str, ...] = ("gpt",), column: str = "id") -> DataFrame:
+    """Models whose name begins with one of the prefixes."""
+    ok = F.lit(False)
+    for p in prefixes:
+        ok = ok | F.col(column).startswith(p)
+    return ids.where(ok)
+
+
 def plain_error(error: Exception) -> Exception:
     """Client errors by two names that callers can tell apart."""
     name = type(error).__name__.lower()

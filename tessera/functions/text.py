@@ -14,6 +14,12 @@ MERGE_BELOW = 50
 SPACE = r"(?U)\s"
 
 
+def same_json(a: Column, b: Column) -> Column:
+    """Whether two JSON texts say the same, whatever the order of their keys; two nulls do, and what is no JSON only equals the same text."""
+    plain = lambda x: F.coalesce(F.to_json(F.try_parse_json(x)), x)
+    return plain(a).eqNullSafe(plain(b))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once a row, though the body's lambdas name it often."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -57,13 +57,14 @@ def chunks(pieces: Column, distances: Column, percent: float = PERCENTILE) -> Co
     return F.when(F.size(distances) > 0, let(distances, cut)).otherwise(F.array(F.array_join(pieces, " ")))
 
 
-def chunked(docs: DataFrame, text: str = "text", embed: Embedder = letter_vector, percent: float = PERCENTILE, buffer: int = BUFFER) -> DataFrame:
-    """One row for each chunk of each document that is not blank: its columns but the text, then chunk_no and page_content.
+def chunked(docs: DataFrame, text: str = "text", embed: Embedder = letter_vector, percent: float = PERCENTILE, buffer: int = BUFFER, split: Callable[[Column], Column] = split_sentences) -> DataFrame:
+    """One row for each chunk of each document that is not blank: its columns but the text, then chunk_no and page_content. ``split`` makes
+    an array of sentences of a text.
 
     Sentences, groups, vectors, distances and breaks are columns of the document's row; chunks are trimmed, blank ones left out.
     """
     keep = [c for c in docs.columns if c not in (text, "chunk_no", "page_content")]
-    rows = docs.where(not_blank(F.col(text))).select(*keep, split_sentences(F.col(text)).alias("__ts_pieces"))
+    rows = docs.where(not_blank(F.col(text))).select(*keep, split(F.col(text)).alias("__ts_pieces"))
     rows = rows.withColumn("__ts_vectors", embed.each(sentence_groups(F.col("__ts_pieces"), buffer)))
     made = let(F.col("__ts_vectors"), lambda v: let(adjacent_distances(v), lambda d: chunks(F.col("__ts_pieces"), d, percent)))
     return rows.select(*keep, F.posexplode(F.filter(F.transform(made, trim), lambda c: c != "")).alias("chunk_no", "page_content"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.tokens import BATCH_LIMIT, approximate_tokens
+from tessera.plans.ranking import running
 
 CONCURRENCY = 2
 
@@ -51,8 +52,8 @@ def reassociated(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 def task_batches(rows: DataFrame, order: str, size: int, name: str = "batch", group: list[str] | None = None) -> DataFrame:
     """``rows`` with the number of its run of ``size`` rows, in order, inside each group."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(order)
-    return rows.withColumn(name, F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    placed = running(rows, group or [], [order], F.lit(1).cast("long"), "__ts_place")
+    return placed.withColumn(name, F.floor(F.col("__ts_place") / size).cast("int")).drop("__ts_place")
 
 
 def document_id(*columns: str) -> Column:

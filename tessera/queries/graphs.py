@@ -95,7 +95,7 @@ def sources(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("a.py", ".py", PYTHON), ("b.ts", ".ts", SCRIPT), ("c.rb", ".rb", "def x; end"), ("n.py", ".py", None)], "source string, suffix string, content string")
 
 
-@query("code_defs", "SELECT * FROM (VALUES ('a.py', 'Class', 'A', 1), ('a.py', 'Constructor', 'A.__init__', 2), ('a.py', 'Method', 'A.b', 5), ('a.py', 'Function', 'f', 9), ('b.ts', 'Class', 'B', 1), ('b.ts', 'Constructor', 'B.constructor', 2), ('b.ts', 'Method', 'B.go', 3), ('b.ts', 'Function', 'g', 5), ('b.ts', 'Function', 'h', 6)) t(filepath, type, name, line)")
+@query("code_defs", "SELECT * FROM (VALUES ('a.py', 'Class', 'A', 1), ('a.py', 'Constructor', 'A.__init__', 2), ('a.py', 'Method', 'A.b', 5), ('a.py', 'Function', 'f', 9), ('b.ts', 'Class', 'B', 1), ('b.ts', 'Constructor', 'B.constructor', 2), ('b.ts', 'Method', 'B.go', 3), ('b.ts', 'Function', 'g', 5), ('b.ts', 'Function', 'h', 6), ('c.rb', 'Function', 'x', 1)) t(filepath, type, name, line)")
 def code_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.code_definitions(sources(spark)).select("filepath", "type", "name", F.col("start.line").alias("line"))
 
@@ -105,7 +105,99 @@ def code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.code_calls(sources(spark)).select("filepath", "head_label", "tail_label")
 
 
-@query("code_chunks")
+#: A file of each language for every part, by its key modulo their number: ~ stands for the key.
+TEMPLATES = [
+    (".py", "# part ~\nimport os\n\n@cache\ndef a~(x):\n    return b~(x)\n\n\nclass K~:\n    def m~(self):\n        return a~(1)\n\n\ndef b~(x):\n    return x\n"),
+    (".js", "// part ~\nclass K~ {\n  static m~() { return a~('b~('); }\n}\nfunction a~(x = {y: 1}) { return b~(x); }\nconst b~ = (x) => x;\n"),
+    (".ts", "import { z } from './z';\nexport class K~<T> {\n  m~(x: T): void { a~(x); }\n}\nexport function a~(x: {y: number}): number { return b~(x); }\nconst b~ = async (x: number): Promise<number> => { return z(x); };\n"),
+    (".java", "package p;\npublic class K~ {\n  K~(int x) { a~(x); }\n  /* int no() { } */\n  int a~(int x) throws E { if (x > 0) { return b~(x); } return 0; }\n  static int b~(int x) { return x; }\n}\n"),
+    (".cs", "#region x\nnamespace N {\n  class K~ : Q {\n    public K~(int x) : base(x) { a~(x); }\n    int a~(int x) { return b~(x); }\n    int b~(int x) { return x; }\n  }\n}\n"),
+    (".cpp", "#include <p>\nint b~(int x) { return x; }\nint K~::m~(int x) const { return b~(x); }\nint a~(int x) { return b~(x); }\n"),
+    (".go", "package p\n\ntype K~ struct {\n\tx int\n}\n\nfunc (k *K~) m~(x int) int { return a~(x) }\n\nfunc a~(x int) int {\n\treturn b~(x)\n}\n\nfunc b~(x int) int { return x }\n"),
+    (".php", "<?php\n// part ~\nclass K~ {\n  public function m~($x) { return a~($x); }\n}\nfunction a~($x) { return b~($x); }\nfunction b~($x) { return $x; }\n"),
+    (".rb", "# part ~\nclass K~\n  def m~(x)\n    if x\n      a~(x)\n    end\n  end\nend\ndef a~(x)\n  b~(x)\nend\ndef b~(x)\n  x\nend\n"),
+]
+#: What they define (kind, name, line), and the calls inside them.
+DEFINED = [
+    [("Function", "a~", 5), ("Class", "K~", 9), ("Method", "K~.m~", 10), ("Function", "b~", 14)],
+    [("Class", "K~", 2), ("Method", "K~.static.m~", 3), ("Function", "a~", 5), ("Function", "b~", 6)],
+    [("Class", "K~", 2), ("Method", "K~.m~", 3), ("Function", "a~", 5), ("Function", "b~", 6)],
+    [("Class", "K~", 2), ("Constructor", "K~.K~", 3), ("Method", "K~.a~", 5), ("Method", "K~.b~", 6)],
+    [("Class", "K~", 3), ("Constructor", "K~.K~", 4), ("Method", "K~.a~", 5), ("Method", "K~.b~", 6)],
+    [("Function", "b~", 2), ("Method", "K~.m~", 3), ("Function", "a~", 4)],
+    [("Class", "K~", 3), ("Method", "K~.m~", 7), ("Function", "a~", 9), ("Function", "b~", 13)],
+    [("Class", "K~", 3), ("Method", "K~.m~", 4), ("Function", "a~", 6), ("Function", "b~", 7)],
+    [("Class", "K~", 2), ("Method", "K~.m~", 3), ("Function", "a~", 9), ("Function", "b~", 12)],
+]
+CALLED = [
+    [("a~", "b~"), ("K~.m~", "a~")], [("K~.static.m~", "a~"), ("a~", "b~")], [("K~.m~", "a~"), ("a~", "b~")], [("K~.K~", "K~.a~"), ("K~.a~", "K~.b~")], [("K~.K~", "K~.a~"), ("K~.a~", "K~.b~")],
+    [("K~.m~", "b~"), ("a~", "b~")], [("K~.m~", "a~"), ("a~", "b~")], [("K~.m~", "a~"), ("a~", "b~")], [("K~.m~", "a~"), ("a~", "b~")],
+]
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (source, suffix, content): one file for each part."""
+    n, key = len(TEMPLATES), F.col("p_partkey").cast("string")
+    pick = lambda i: F.element_at(F.array(*(F.lit(t[i]) for t in TEMPLATES)), (F.col("p_partkey") % n).cast("int") + 1)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("f"), key, pick(0)).alias("source"), pick(0).alias("suffix"), F.replace(pick(1), F.lit("~"), key).alias("content"))
+
+
+def of_parts(rows: list[list[tuple]], columns: str, select: str) -> str:
+    values = ", ".join(f"({k}, '{TEMPLATES[k][0]}', " + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for k, own in enumerate(rows) for r in own)
+    return f"SELECT 'f' || p_partkey || suffix AS filepath, {select} FROM part JOIN (VALUES {values}) t(k, suffix, {columns}) ON p_partkey % {len(rows)} = k"
+
+
+KEYED = "replace({0}, '~', CAST(p_partkey AS VARCHAR)) AS {0}"
+
+
+@query("code_defs_by_language", of_parts(DEFINED, "type, name, line", f"type, {KEYED.format('name')}, CAST(line AS INT) AS line"))
+def code_defs_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.code_definitions(generated(spark, sf_dir)).select("filepath", "type", "name", F.col("start.line").alias("line"))
+
+
+@query("code_calls_by_language", of_parts(CALLED, "head_label, tail_label", f"{KEYED.format('head_label')}, {KEYED.format('tail_label')}"))
+def code_calls_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.code_calls(generated(spark, sf_dir)).select("filepath", "head_label", "tail_label")
+
+
+@query("code_places", of_parts([[d for d in own if d[0] != "Class"] for own in DEFINED], "type, label, line", f"{KEYED.format('label')}, CAST(line AS BIGINT) AS line"))
+def code_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the nodes of a call graph stand."""
+    return code.node_places(generated(spark, sf_dir)).select("filepath", "label", "line")
+
+
+@query(
+    "cross_file_calls",
+    """SELECT 's' || s_suppkey || '/a.ts' AS filepath, 'go' AS head_label, unnest(['run', 'walk', 'rest']) AS tail_label, unnest(['s' || s_suppkey || '/lib/b.ts', 's' || s_suppkey || '/lib/b.ts', 's' || s_suppkey || '/c.js']) AS target FROM supplier""",
+)
+def cross_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three files for each supplier: calls of an imported name, of one that has another name here, and behind a module's name."""
+    contents = {
+        "a.ts": "import { run, walk as stroll } from './lib/b';\nimport * as c from './c';\nimport { run as none } from 'react';\nfunction go() { run(1); stroll(2); c.rest(3); none(4); c.missing(5); own(6); }\nfunction own(x) { return x; }\n",
+        "lib/b.ts": "export function run(x) { return x; }\nexport const walk = (x) => x;\nfunction own(x) { return x; }\n", "c.js": "export function rest(x) { return x; }\n",
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("content")) for k, v in contents.items())))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", each.alias("f"))
+    rows = rows.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("/"), F.col("f.name")).alias("source"), F.regexp_extract("f.name", r"(\.\w+)$", 1).alias("suffix"), F.col("f.content").alias("content"))
+    found = code.cross_file_calls(rows)
+    return found.select("filepath", "head_label", "tail_label", F.url_decode(F.regexp_extract("tail_id", "^([^/]*)/", 1)).alias("target"))
+
+
+#: The top-level pieces of each file, comments included.
+PIECES = [
+    ["# part ~", "import os", "@cache\ndef a~(x):\n    return b~(x)", "class K~:\n    def m~(self):\n        return a~(1)", "def b~(x):\n    return x"],
+    ["// part ~", "class K~ {\n  static m~() { return a~('b~('); }\n}", "function a~(x = {y: 1}) { return b~(x); }", "const b~ = (x) => x;"],
+    ["import { z } from './z';", "export class K~<T> {\n  m~(x: T): void { a~(x); }\n}", "export function a~(x: {y: number}): number { return b~(x); }", "const b~ = async (x: number): Promise<number> => { return z(x); };"],
+    ["package p;", "public class K~ {\n  K~(int x) { a~(x); }\n  /* int no() { } */\n  int a~(int x) throws E { if (x > 0) { return b~(x); } return 0; }\n  static int b~(int x) { return x; }\n}"],
+    ["#region x", "namespace N {\n  class K~ : Q {\n    public K~(int x) : base(x) { a~(x); }\n    int a~(int x) { return b~(x); }\n    int b~(int x) { return x; }\n  }\n}"],
+    ["#include <p>", "int b~(int x) { return x; }", "int K~::m~(int x) const { return b~(x); }", "int a~(int x) { return b~(x); }"],
+    ["package p", "type K~ struct {\n\tx int\n}", "func (k *K~) m~(x int) int { return a~(x) }", "func a~(x int) int {\n\treturn b~(x)\n}", "func b~(x int) int { return x }"],
+    ["<?php", "// part ~", "class K~ {\n  public function m~($x) { return a~($x); }\n}", "function a~($x) { return b~($x); }", "function b~($x) { return $x; }"],
+    ["# part ~", "class K~\n  def m~(x)\n    if x\n      a~(x)\n    end\n  end\nend", "def a~(x)\n  b~(x)\nend", "def b~(x)\n  x\nend"],
+]
+
+
+@query("code_chunks", of_parts([[("\n" + "\n".join(own).replace("'", "''"),)] for own in PIECES], "page_content", f"CAST(0 AS INT) AS chunk_no, {KEYED.format('page_content')}").replace("AS filepath", "AS source"))
 def code_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-level pieces packed into chunks of twenty tokens."""
-    return code_chunks(sources(spark), code.top_level_parts, limit=20)
+    """Top-level pieces of files of all languages, each file small enough for one chunk."""
+    return code_chunks(generated(spark, sf_dir), code.top_level_parts)

@@ -73,6 +73,7 @@ def config_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", C.proxy(enabled, F.lit("p")).alias("proxy"), C.embedding_config(own, F.lit(""), F.lit("chat"), F.lit("u"))["api_key"].alias("api_key"))
 
 
+#: What a valid URL is, with repetitions nested, as RE2 may have them.
 URL_SQL = r"(?i)^(https?://)?(([a-z\d]([a-z\d-]*[a-z\d])?\.)+[a-z]{2,}|((\d{1,3}\.){3}\d{1,3}))(:\d{2,5})?(/[-a-z\d%_.~+]*)*(\?[;&a-z\d%_.~+=-]*)?(#[-a-z\d_]*)?$"
 
 
@@ -124,12 +125,12 @@ def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.file_tree(table(spark, sf_dir, "documents").select(path.alias("path")))
 
 
-@query("zip_entries")
+@query("zip_entries", "SELECT * FROM (VALUES ('one.zip', 'repo/a.py', 'x = 1'), ('one.zip', 'repo/sub/b.ts', 'let y'), ('broken.zip', NULL, NULL)) t(path, entry_path, text)")
 def zip_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive made here, opened on the executors, its root folder renamed."""
+    """An archive made here, opened on the executors, its root folder renamed; one that cannot be read, and one that is missing."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("root-main/a.py", "x = 1")
         z.writestr("root-main/sub/b.ts", "let y")
-    archives = spark.createDataFrame([("one.zip", bytearray(out.getvalue()))], "path string, content binary")
-    return S.zip_entries(archives, "repo").select("entry_path", F.decode("content", "UTF-8").alias("text"))
+    archives = spark.createDataFrame([("one.zip", bytearray(out.getvalue())), ("broken.zip", bytearray(b"PK no archive")), ("none.zip", None)], "path string, content binary")
+    return S.zip_entries(archives, "repo").select("path", "entry_path", F.decode("content", "UTF-8").alias("text"))

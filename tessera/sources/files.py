@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import not_blank
 from tessera.functions.urls import SUFFIXES, file_name, is_supported, suffix
+from tessera.plans.staging import staged
 
 
 def plain(path: Column) -> Column:
@@ -63,18 +65,33 @@ def as_chunks(files: DataFrame) -> DataFrame:
 
 def zip_entries(archives: DataFrame, rename_root: str | None = None) -> DataFrame:
     """Rows (path, entry_path, content) of the files in archives (path, content), one archive at a time in a task. The entries'
-    common first folder takes the name ``rename_root``."""
+    common first folder takes the name ``rename_root``. A null or empty archive has no rows; one that cannot be read has a row without an
+    entry, and so has an entry that is broken without its content."""
+
+    def row(path, name, content):
+        return pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([name], pa.string()), pa.array([content], pa.binary())], ["path", "entry_path", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                if not content:
+                    continue
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    yield row(path, None, None)
+                    continue
+                with archive:
                     for item in archive.infolist():
                         if not item.is_dir():
                             name = item.filename
                             if rename_root and "/" in name:
                                 name = f"{rename_root}/{name.split('/', 1)[1]}"
-                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([archive.read(item)], pa.binary())], ["path", "entry_path", "content"])
+                            try:
+                                found = archive.read(item)
+                            except (zipfile.BadZipFile, zlib.error, RuntimeError):  # broken or encrypted
+                                found = None
+                            yield row(path, name, found)
 
     return archives.select("path", "content").mapInArrow(run, "path string, entry_path string, content binary")
 
@@ -106,6 +123,39 @@ def pdf_pages(spark: SparkSession, path: str, whole: bool = False, reader: Calla
     return _binary(spark, path, "*.pdf").select(plain(F.col("path")), "content").mapInArrow(run, "source string, file_name string, page_label string, text string")
 
 
+def zip_code_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """Rows (source, file_name, suffix, content) of the supported files in archives; a source is the archive's path and the entry's."""
+    source = F.concat_ws("/", plain(F.col("path")), "entry_path")
+    rows = zip_files(spark, path).where("content is not null").select(source.alias("source"), file_name(source).alias("file_name"), suffix(source).alias("suffix"), F.decode("content", "UTF-8").alias("content"))
+    return rows.where(is_supported(F.col("source"), suffixes) & ~F.col("file_name").startswith("."))
+
+
+def written(files: DataFrame, folder: str, parallel: int | None = None) -> DataFrame:
+    """Write rows (path, content) as files below a folder, on any file system that pyarrow knows; rows (path, size) of what was written.
+    A path that would leave the folder raises. ``parallel`` bounds the writers at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from posixpath import dirname, normpath
+
+        from pyarrow import fs
+
+        target, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            paths, sizes = batch.column(0).to_pylist(), []
+            for path, content in zip(paths, batch.column(1).to_pylist()):
+                name = normpath("/" + (path or ""))[1:]
+                if not name or ".." in (path or "").split("/"):
+                    raise ValueError(f"no path inside the folder: {path!r}")
+                target.create_dir(dirname(f"{root}/{name}"), recursive=True)
+                with target.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content or b"")
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    rows = files.select("path", "content")
+    return staged((rows.repartition(parallel) if parallel else rows).mapInArrow(run, "path string, size long"), "written")
+
+
 def file_tree(paths: DataFrame, path: str = "path") -> DataFrame:
     """Rows (filepath, parent, filename, type, depth): every file and every folder above one, once."""
     parts = F.filter(F.split(F.col(path), "/"), lambda x: x != "")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tessera.operators.catalog import upserted
+
 
 def _rows(spark: SparkSession, store: str) -> DataFrame | None:
     try:
@@ -42,12 +44,44 @@ def delete(spark: SparkSession, store: str, resource: str) -> None:
     spark.catalog.refreshByPath(store)
 
 
-def to_bytes(rows: DataFrame) -> bytes:
-    """A small index as Arrow bytes (it passes through the driver)."""
+#: Bytes of an index up to which it may pass through the driver.
+MOST_BYTES = 256_000_000
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (key, value) of a stored key-value table; none if nothing is stored."""
+    versions = _versions(spark, path)
+    return spark.read.schema("key string, value string").parquet(f"{path}/{versions[-1]}") if versions else spark.createDataFrame([], "key string, value string")
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    done = [n for n in names if n.startswith("v") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(done, key=lambda n: int(n[1:]))
+
+
+def put_settings(spark: SparkSession, path: str, changes: DataFrame) -> None:
+    """Write a new version of a key-value table with rows (key, value) in place of older ones. A version counts when it is whole; older
+    ones than the last two go."""
+    versions = _versions(spark, path)
+    upserted(settings(spark, path), changes).coalesce(1).write.parquet(f"{path}/v{int(versions[-1][1:]) + 1 if versions else 0}")
+    for old in versions[:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def to_bytes(rows: DataFrame, most: int = MOST_BYTES) -> bytes:
+    """A small index as Arrow bytes. It passes through the driver, so its size is measured first; a larger one raises (its table is
+    stored by save())."""
     import io
 
     import pyarrow as pa
 
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"an index of {size} bytes does not pass through the driver")
     out, table = io.BytesIO(), rows.toArrow()
     with pa.ipc.new_stream(out, table.schema) as writer:
         writer.write_table(table)

@@ -52,11 +52,49 @@ def test_lookups(engine, spark):
     assert {r.suffix for r in engine.suffixes(f"{engine.here}/src").collect()} == {".py", ".ts"}
     assert engine.find(spark.createDataFrame([("aXa",)], "text string"), "A").first().positions == [1, 3]
     engine.set("proxy", "p")
-    assert engine.get("proxy") == "p" and engine.get("none", "d") == "d" and engine.cancel("none") == []
+    for k in range(4):
+        engine.set("model", f"m{k}")
+    other = api.Engine(spark, engine.root)
+    assert other.get("proxy") == "p" and other.get("@tessera/model") == "m3" and engine.get("none", "d") == "d" and engine.cancel("none") == []
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "more")], "conv_id long, turn long, role string, text string")
     assert engine.code_chat(turns).first().prompt == "user: hi\nassistant: yo\nuser: more"
 
 
+def test_other_kinds_of_resources(engine, spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("r/a.py", "def one():\n    return two()\n\n\ndef two():\n    return 2\n")
+        z.writestr("r/readme.md", "no code")
+    assert engine.ingest(str(tmp_path), "zipped", "zip") == 1
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf/p.pdf").write_bytes(b"first page. \x0c second page.")
+    engine.read_pdf = lambda content: [(str(k + 1), t) for k, t in enumerate(content.decode().split("\x0c"))]
+    assert engine.ingest(str(tmp_path / "pdf"), "pages", "pdf") == 2
+    tree = {"src": [{"path": "src/a.py", "type": "file", "download_url": "u1"}, {"path": "src/sub", "type": "dir"}], "src/sub": [{"path": "src/sub/b.ts", "type": "file", "download_url": "u2"}, {"path": "src/sub/n.md", "type": "file", "download_url": "u3"}]}
+    contents = {"u1": b"def f(): pass\n", "u2": b"function g() { return 1; }\n", "u3": b"notes"}
+    prefix = "https://api.github.com/repos/me/it/contents/"
+    engine.host = {"listing": lambda url: tree[url.removeprefix(prefix).split("?")[0]], "fetch": contents.__getitem__, "default_branch": lambda url: "main"}
+    assert engine.ingest("https://github.com/me/it/tree/main/src", "far", "remote") == 2
+    assert sorted(map(tuple, engine.download("https://github.com/me/it/tree/main/src", f"file://{tmp_path}/down").collect())) == [("a.py", 14), ("sub/b.ts", 27), ("sub/n.md", 5)]
+    assert {r.filename for r in engine.resources().collect()} >= {"zipped", "pages", "far"}
+    with pytest.raises(ValueError, match="no code host"):
+        api.Engine(spark, engine.root).repository("https://github.com/me/it")
+    said = engine.say(spark.createDataFrame([("s", "a b")], "stream_id string, prompt string"), str.split)
+    assert [r.chunk for r in said.orderBy("seq").collect()] == ["a", "b"]
+    listed = engine.models(spark.createDataFrame([("https://x.y/v1",)], "base_url string"), lambda url: (200, {"data": [{"id": "gpt-9"}, {"id": "other"}]}))
+    assert [r.id for r in listed.collect()] == ["gpt-9"]
+
+
+def test_an_index_through_the_driver_is_measured(spark):
+    from tessera.sources import store
+
+    rows = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert store.from_bytes(spark, store.to_bytes(rows)).collect() == rows.collect()
+    with pytest.raises(ValueError, match="does not pass"):
+        store.to_bytes(rows, most=10)
+
+
 def test_embedding_batches(spark):
     def embed(texts):
         assert sum(map(len, texts)) <= 10 or len(texts) == 1

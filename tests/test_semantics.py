@@ -378,11 +378,93 @@ def test_files(spark, tmp_path):
 
 def test_code():
     js = "// function no() {}\nclass A {\n  constructor() { this.m(); }\n  static m() { return go('function no()'); }\n}\nfunction go(x) { return x; }\nconst cb = list.map((y) => y);\nconst k = (z) => go(z);\n"
-    assert [(d["type"], d["name"], d["start"]["line"]) for d in code.definitions_in(js, ".js")] == [("Class", "A", 2), ("Constructor", "A.constructor", 3), ("Method", "A.m", 4), ("Function", "go", 6), ("Function", "k", 8)]
-    assert [(e["head"]["name"], e["tail"]["name"]) for e in code.calls_in(js, ".js")] == [("A.constructor", "A.m"), ("A.m", "go"), ("k", "go")]
+    assert [(d["type"], d["name"], d["start"]["line"]) for d in code.definitions_in(js, ".js")] == [("Class", "A", 2), ("Constructor", "A.constructor", 3), ("Method", "A.static.m", 4), ("Function", "go", 6), ("Function", "k", 8)]
+    assert [(e["head"]["name"], e["tail"]["name"]) for e in code.calls_in(js, ".js")] == [("A.constructor", "A.static.m"), ("A.static.m", "go"), ("k", "go")]
     assert code.definitions_in("def broken(", ".py") == [] and code.definitions_in("fn x() {}", ".go") == [] and code.top_level_parts("x", ".md") is None
 
 
+def test_names_of_script_functions():
+    js = "const o = { run() { go(1); }, fly: function() { k(2); }, h: (a) => { go(a); } };\nclass A { f = (x) => { go(x); }\n static g = async (x) => x; get z() { return 1; } }\nlet r = /\"x{/; var v = function () { go(3); };\nlist.forEach(function (x) { go(x); });\nlist.map((y) => { return y; });\nexport default async function* last(a = {b: 1}) { if (a) { go(2); } }\n"
+    assert [(d["type"], d["name"]) for d in code.definitions_in(js, ".js")] == [("Function", "run"), ("Function", "fly"), ("Function", "h"), ("Class", "A"), ("Method", "A.f"), ("Method", "A.static.g"), ("Method", "A.z"), ("Function", "v"), ("Function", "last")]
+    for suffix in (".js", ".py", ".java", ".cs", ".cpp", ".go", ".php", ".rb", ".ts"):
+        for text in ("", "{", "}", "class", "def f(", "/* never closed {", "'", "func f() {", ")" * 50, "({[" * 50 + "}", "x" * 10_000, "\n\n"):
+            code.definitions_in(text, suffix), code.calls_in(text, suffix), code.imports_in(text, suffix)
+            assert "".join("".join(code.top_level_parts(text, suffix)).split()) == "".join(text.split())
+
+
+def test_code_is_scanned_in_linear_time():
+    import time
+
+    texts = {".ts": lambda n: "function f(x) { return { a: [1, (2)] }; }\n" * n, ".java": lambda n: "class A { int m(int x) { if (x) { return m(x); } } }\n" * n, ".go": lambda n: "func f(x int) int { return f(x) }\n" * n, ".rb": lambda n: "def f(x)\n f(x)\nend\n" * n, ".py": lambda n: "def f(x): # c\n    return f(x)\n" * n, ".js": lambda n: "(" * n + "{" * n}
+    for suffix, text in texts.items():
+        took = []
+        for n in (1_000, 4_000):
+            began = time.process_time()
+            code.calls_in(text(n), suffix), code.top_level_parts(text(n), suffix)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.3, (suffix, took)
+
+
+def test_python_pieces_keep_decorators_and_comments():
+    text = "# head\n'doc'\nimport os  # why\n\n@a.b(1)\n@c\n# inner\nasync def f(x):\n    # body\n    return 'é'\n# between\nx = 1; y = 2\n@d\nclass K:\n    pass\n"
+    assert code.top_level_parts(text, ".py") == ["# head", "'doc'", "import os", "# why", "@a.b(1)\n@c\n# inner\nasync def f(x):\n    # body\n    return 'é'", "# between", "x = 1", "y = 2", "@d\nclass K:\n    pass"]
+    assert code.top_level_parts("def broken(", ".py") == ["def broken("] and code.top_level_parts("  \n", ".py") == []
+
+
+def test_odd_archives(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("r/good.py", "x = 1")
+        z.writestr("r/bad.py", "y" * 1000)
+        z.writestr("r/.hidden.py", "z")
+    content = bytearray(out.getvalue())
+    at = content.find(b"r/bad.py") + len(b"r/bad.py")
+    content[at : at + 4] = b"\xff\xff\xff\xff"
+    rows = spark.createDataFrame([("a", content), ("b", None), ("c", bytearray()), ("d", bytearray(b"junk"))], "path string, content binary")
+    got = sorted(((r.path, r.entry_path, r.content and bytes(r.content)) for r in files.zip_entries(rows, "n").collect()), key=str)
+    assert got == [("a", "n/.hidden.py", b"z"), ("a", "n/bad.py", None), ("a", "n/good.py", b"x = 1"), ("d", None, None)]
+
+
+def test_written_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.txt", bytearray(b"one")), ("c.txt", None)], "path string, content binary")
+    assert sorted(map(tuple, files.written(rows, f"file://{tmp_path}/out").collect())) == [("a/b.txt", 3), ("c.txt", 0)]
+    assert (tmp_path / "out/a/b.txt").read_text() == "one" and (tmp_path / "out/c.txt").read_text() == ""
+    for bad in ("../x", "a/../../x", ""):
+        with pytest.raises(Exception, match="no path inside"):
+            files.written(spark.createDataFrame([(bad, bytearray(b"x"))], "path string, content binary"), f"file://{tmp_path}/out").collect()
+
+
+def test_json_texts_are_compared_by_value(spark):
+    rows = [('{"a": 1, "b": [1, {"c": null}]}', '{"b":[1,{"c":null}],"a":1}', True), ('{"a": 1}', '{"a": 2}', False), (None, None, True), (None, "{}", False), ("no json", "no json", True), ("[1, 2]", "[2, 1]", False)]
+    got = spark.createDataFrame(rows, "a string, b string, same boolean").select("same", T.same_json(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.same == r.got for r in got)
+
+
+def test_models_stream_and_are_switched(spark):
+    prompts = spark.createDataFrame([("p", "one two three"), ("q", None), ("r", "")], "stream_id string, prompt string")
+    pieces = models.deltas(prompts, lambda text: (w + " " for w in text.split()))
+    assert sorted(map(tuple, pieces.collect())) == [("p", 0, "one "), ("p", 1, "two "), ("p", 2, "three ")]
+    assert [(r.stream_id, r.content) for r in deltas.accumulated(pieces).collect()] == [("p", "one two three ")]
+    makers = {"upper": lambda mark: lambda text: text.upper() + mark, "lower": lambda mark: lambda text: text.lower() + mark}
+    row = prompts.where("stream_id = 'p'").select(models.provider("upper", makers, mark="!")(F.col("prompt")).alias("a"), models.provider("lower", makers, mark="?")(F.col("prompt")).alias("b")).first()
+    assert tuple(row) == ("ONE TWO THREE!", "one two three?")
+    with pytest.raises(ValueError, match="unknown provider"):
+        models.provider("none", makers)
+    tries = []
+
+    def flaky(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise ConnectionError("no")
+        return x
+
+    assert models.retrying(flaky)(7) == 7 and tries == [7, 7, 7]
+    with pytest.raises(ZeroDivisionError):
+        models.retrying(lambda: 1 / 0, attempts=2)()
+    ids = spark.createDataFrame([("gpt-4",), ("ada",), (None,)], "id string")
+    assert [r.id for r in models.with_prefix(ids).collect()] == ["gpt-4"]
+
+
 def test_store(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
