@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,7 @@ from tessera.plans.staging import staged
 #: Most frequent words that are broadcast.
 HEAD_ROWS = 200_000
 #: Distinct words that a task counts before it hands them on.
-COUNTED_ROWS = 400_000
+COUNTED_ROWS = 600_000
 MISSING = 0.1
 #: Expectation-maximisation steps.
 STEPS = 2
@@ -185,35 +186,34 @@ def word_scores(word: Column, shared) -> Column:
 
 
 def _head_scores(text: Column, shared) -> Column:
-    """Counts and sums over a text's frequent words; its other words with their numbers."""
+    """Counts and sums over a text's frequent words; its other words, as often as they stand there."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        head = kept("head", shared.value[0], lambda: dict(zip(shared.value[1], zip(shared.value[2], shared.value[3], shared.value[4]))))
-        kinds = {"n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+        import numpy as np
+
+        numbers, base, score, known = kept("head", shared.value[0], lambda: _head(*shared.value[1:]))
         for batch in slices(batches):
-            sums, words, times, ends = [], [], [], [0]
-            for text in batch.cast(pa.binary()).to_pylist():
-                n = known = 0
-                base = score = 0.0
-                for word, tf in Counter((text or b"").lower().split()).items():
-                    n += tf
-                    found = head.get(word)
-                    if found is None:
-                        words.append(word)
-                        times.append(tf)
-                    else:
-                        base += tf * found[0]
-                        score += tf * found[1]
-                        known += tf * found[2]
-                sums.append((n, known, base, score))
-                ends.append(len(words))
-            tail = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "tf"])
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*sums), kinds.values())] or [pa.array([], kind) for kind in kinds.values()]
-            yield pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)], [*kinds, "tail"])
+            words = [(t or b"").lower().split() for t in batch.cast(pa.binary()).to_pylist()]
+            sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            flat = list(chain.from_iterable(words))
+            ids = np.fromiter(map(numbers.get, flat, repeat(len(numbers))), dtype=np.int64, count=len(flat))  # the last row: a word of the tail
+            doc, tail = np.repeat(np.arange(len(words)), sizes), np.flatnonzero(ids == len(numbers))
+            summed = lambda values: np.bincount(doc, weights=values[ids], minlength=len(words))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[tail], minlength=len(words)))]) if len(words) else [0]
+            others = pa.array([flat[i] for i in tail.tolist()], pa.binary()).cast(pa.string())
+            columns = [pa.array(sizes), pa.array(summed(known).astype(np.int64)), pa.array(summed(base)), pa.array(summed(score)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)]
+            yield pa.StructArray.from_arrays(columns, ["n", "known", "base", "score", "tail"])
         give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "n long, known long, base double, score double, tail array<struct<word:string,tf:long>>").asNondeterministic()(text)
+    return F.arrow_udf(run, "n long, known long, base double, score double, tail array<string>").asNondeterministic()(text)
+
+
+def _head(words: list[bytes], *columns: list) -> tuple:
+    """Numbers of the frequent words, and columns of their values with a zero behind."""
+    import numpy as np
+
+    return dict(zip(words, range(len(words)))), *(np.array([*c, 0], dtype=float) for c in columns)
 
 
 def head_cut(words: DataFrame, head_rows: int) -> int:
@@ -244,7 +244,7 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     fitted = sc.broadcast((uuid.uuid4().hex, pieces, bytes_, logs))
     for _ in range(STEPS):
         uses = counts.where("c > 0").select("word", "c").mapInArrow(_expectation(fitted), "id int, uses double").groupBy("id").agg(F.sum(F.col("uses").cast("decimal(30,6)")).cast("double").alias("uses"))
-        expected = dict(uses.orderBy("id").collect())  # at most one row for each piece of the vocabulary
+        expected = dict(sorted(uses.collect()))  # at most one row for each piece of the vocabulary
         total = sum(expected.values()) + ends + MISSING * (len(logs) + 1)
         fitted = sc.broadcast((uuid.uuid4().hex, pieces, bytes_, [math.log((expected.get(i, 0.0) + MISSING) / total) for i in range(len(logs))]))
     end_score = math.log10((ends + MISSING) / total)
@@ -254,8 +254,8 @@ def scores(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     head = sc.broadcast((uuid.uuid4().hex, top.column("word").cast(pa.binary()).to_pylist(), *(top.column(c).to_pylist() for c in ("base", "score", "known"))))
 
     part = staged(slim.select("doc_id", "held_out", F.monotonically_increasing_id().alias("row"), _head_scores(F.col("text"), head).alias("h")), "heads")
-    total_of = lambda c: (F.sum(F.round(F.col("tf") * F.col(c) * PARTS).cast("long")) / PARTS).alias(f"t_{c}")
-    tail = part.select("row", F.inline("h.tail")).join(words, "word").groupBy("row").agg(total_of("base"), total_of("score"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("t_known"))
+    total_of = lambda c: (F.sum(F.round(F.col(c) * PARTS).cast("long")) / PARTS).alias(f"t_{c}")
+    tail = part.select("row", F.explode("h.tail").alias("word")).join(words, "word").groupBy("row").agg(total_of("base"), total_of("score"), F.count_if(F.col("c") > 0).alias("t_known"))
     out = part.select("doc_id", "held_out", "row", "h.n", "h.known", "h.base", "h.score").join(tail.withColumnRenamed("row", "t_row"), F.col("row") == F.col("t_row"), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     norm = math.log10(tokens + MISSING * (kinds + 1))
