@@ -24,7 +24,8 @@ def search_calls(edges: DataFrame, keyword: str, level: int) -> DataFrame:
     frontier = edges.select(F.inline(F.filter(ends, lambda e: e.isNotNull()))).groupBy("id").agg(F.min("path").alias("path"))
     out = None
     for step in range(1, level + 1):
-        frontier = staged(frontier, "frontier")  # a step's plan does not hold the steps before it
+        if step > 1:  # a step's plan does not hold the steps before it
+            frontier = staged(frontier, "frontier")
         met = edges.join(frontier, edges["head_id"] == frontier["id"]).select(*(edges[c] for c in edges.columns), F.lit(step).alias("level"), F.concat(frontier["path"], F.array(edges["ord"].cast("long"))).alias("path"))
         out = met if out is None else out.unionByName(met)
         frontier = met.groupBy(F.col("tail_id").alias("id")).agg(F.min("path").alias("path"))

@@ -1,7 +1,8 @@
 """Ranks, running sums and neighbours over any number of rows without a window over a whole (hot) group.
 
-Rows are dealt into order-preserving buckets: about sqrt(n) of a number that is uniform by construction, or ranges of any columns,
-whose bounds Spark samples. A window looks at the rows of one bucket; what the buckets before it hold is summed up in order.
+Rows are dealt into order-preserving buckets: about sqrt(n) of a number that is uniform by construction, those of an expression that the
+caller knows to spread the rows, or else ranges whose bounds Spark samples (these rows are written first, so that all that follows sees
+the same ranges). A window looks at the rows of one bucket; what the buckets before it hold is summed up in order.
 """
 
 from __future__ import annotations
@@ -38,8 +39,11 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column]
     return df.join(offsets, same).select(*(df[c] for c in keep), (F.col(OFFSET) + F.col("__ts_rn") - 1).cast("long").alias(name))
 
 
-def ranged(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """``df``, written, with a bucket column: ranges of (groups, order). Rows of equal keys are in one bucket."""
+def ranged(df: DataFrame, groups: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
+    """``df`` with a bucket column: ``bucket``, which must not decrease along the order, or ranges of (groups, order). Rows of equal keys
+    are in one bucket."""
+    if bucket is not None:
+        return df.withColumn(BUCKET, bucket)
     keys = [*groups, *order] or [F.lit(0)]
     return staged(df.repartitionByRange(*keys).withColumn(BUCKET, F.spark_partition_id()), "ranged")
 
@@ -51,10 +55,10 @@ def _same(left: DataFrame, right: DataFrame, groups: list[str]) -> Column:
     return ok
 
 
-def running(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+def running(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str, bucket: Column | None = None) -> DataFrame:
     """``df`` with column ``name``: the sum of ``value`` (a long) over the rows before this one in its group, in the order of columns
     that must tell rows apart, or else rows of equal keys come in any order."""
-    rows = ranged(df.withColumn("__ts_value", value), groups, order)
+    rows = ranged(df.withColumn("__ts_value", value), groups, order, bucket)
     sums = rows.groupBy(*(F.col(g).alias(f"__ts_g_{g}") for g in groups), F.col(BUCKET).alias("__ts_b")).agg(F.sum("__ts_value").alias("__ts_sum"))
     before = Window.partitionBy(*([f"__ts_g_{g}" for g in groups] or [F.lit(0)])).orderBy("__ts_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     offsets = sums.withColumn(OFFSET, F.coalesce(F.sum("__ts_sum").over(before), F.lit(0)))
@@ -63,9 +67,9 @@ def running(df: DataFrame, groups: list[str], order: list[str], value: Column, n
     return rows.join(offsets, _same(rows, offsets, groups)).select(*(rows[c] for c in df.columns if c != name), (F.col(OFFSET) + F.col("__ts_inside")).cast("long").alias(name))
 
 
-def with_next(df: DataFrame, groups: list[str], order: list[str], column: str, name: str) -> DataFrame:
+def with_next(df: DataFrame, groups: list[str], order: list[str], column: str, name: str, bucket: Column | None = None) -> DataFrame:
     """``df`` with column ``name``: ``column`` of the next row of its group, null for the last."""
-    rows = ranged(df, groups, order)
+    rows = ranged(df, groups, order, bucket)
     inside = Window.partitionBy(*groups, BUCKET).orderBy(*order)
     first = F.min_by(F.struct(column), F.struct(*order))
     firsts = rows.groupBy(*(F.col(g).alias(f"__ts_g_{g}") for g in groups), F.col(BUCKET).alias("__ts_b")).agg(first.alias("__ts_first"))
@@ -76,10 +80,10 @@ def with_next(df: DataFrame, groups: list[str], order: list[str], column: str, n
     return rows.join(firsts, _same(rows, firsts, groups)).select(*(rows[c] for c in df.columns if c != name), found.alias(name))
 
 
-def percentiles(df: DataFrame, groups: list[str], value: str, share: float, name: str) -> DataFrame:
+def percentiles(df: DataFrame, groups: list[str], value: str, share: float, name: str, bucket: Column | None = None) -> DataFrame:
     """Rows (groups, ``name``): the exact percentile of each group's values that are not null, between two neighbours in proportion."""
     kept = df.where(F.col(value).isNotNull()).select(*groups, value)
-    placed = running(kept, groups, [value], F.lit(1).cast("long"), "__ts_place")
+    placed = running(kept, groups, [value], F.lit(1).cast("long"), "__ts_place", bucket)
     sizes = kept.groupBy(*(F.col(g).alias(f"__ts_g_{g}") for g in groups)).agg((F.count(F.lit(1)) - 1).alias("__ts_top"))
     same = F.lit(True)
     for g in groups:

@@ -19,7 +19,7 @@ EDGES = "edges AS (SELECT ord, day, head_id, 'User ' || head_id AS head_label, t
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("ts")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), day.alias("day"), "ts", F.col("user_id").cast("string").alias("head_id"))
-    e = with_next(e, ["day"], ["ts", "ord"], "head_id", "tail_id").where("tail_id is not null").select("ord", "day", "head_id", "tail_id")
+    e = with_next(e, ["day"], ["ts", "ord"], "head_id", "tail_id", F.hour("ts") * 6 + F.floor(F.minute("ts") / 10)).where("tail_id is not null").select("ord", "day", "head_id", "tail_id")
     return e.withColumn("head_label", F.concat(F.lit("User "), "head_id")).withColumn("tail_label", F.concat(F.lit("User "), "tail_id"))
 
 

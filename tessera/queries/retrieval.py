@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import METRICS, cosine_distance
@@ -116,8 +116,13 @@ def index_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEXT = f"n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM embeddings), g AS (SELECT vec_id, label, round({SQL['cosine'].replace('a.v', 'v').replace('b.v', 'w')}, 9) AS distance FROM n)"
 
 
+#: Labels of an index are dense: runs of them spread the rows of any group.
+def id_run() -> Column:
+    return F.floor(F.col("vec_id") / 4096)
+
+
 def with_distance(e: DataFrame) -> DataFrame:
-    after = with_next(e, ["label"], ["vec_id"], "embedding", "after")
+    after = with_next(e, ["label"], ["vec_id"], "embedding", "after", id_run())
     return after.withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.col("after")), 9)).drop("after")
 
 
@@ -130,9 +135,9 @@ def adjacent_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a table rather than a document's array: chunks of each label's vectors, in the order of their ids."""
     d = with_distance(table(spark, sf_dir, "embeddings")).select("vec_id", "label", "distance")
-    limits = percentiles(d, ["label"], "distance", 0.8, "t").withColumn("t", F.round("t", 9))
+    limits = percentiles(d, ["label"], "distance", 0.8, "t", F.floor(F.col("distance") * 10_000)).withColumn("t", F.round("t", 9))
     broken = F.when(F.col("distance") > F.col("t"), F.lit(1)).otherwise(0).cast("long")
-    return running(d.join(limits, "label"), ["label"], ["vec_id"], broken, "chunk_id").select("vec_id", "label", "chunk_id")
+    return running(d.join(limits, "label"), ["label"], ["vec_id"], broken, "chunk_id", id_run()).select("vec_id", "label", "chunk_id")
 
 
 @query("distance_threshold_std", f"WITH {NEXT} SELECT label, round(avg(distance) + 0.5 * stddev_pop(distance), 6) AS threshold FROM g GROUP BY label")
