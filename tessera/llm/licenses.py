@@ -2,10 +2,10 @@
 
 Of each whole text the lines and blocks (runs of lines without a blank one) that speak of rights are cut into terms, and so is the
 whole text of a licence file. Each is a sparse vector, weighted by the templates' inverse document frequency, and meets the templates
-in a join on the term (the templates are a fixed table of a few hundred terms). So does each window of a block that speaks of rights and
-is as long as a short template or up to EXTRA terms longer: other words beside a notice dilute it, and a notice may go on in the next
-line. A window counts for such a template only, and if it holds a mark of it: a term that fewest licences have. A file's own licence
-is its best unit's, from a cosine of THRESHOLD on. A directory's licence is the best of its licence files; a file without one takes that
+in a join on the term (the templates are a fixed table of a few hundred terms). Other words beside a notice dilute it, and a notice
+may go on in the next line; so each short template also meets windows of a block: they begin and end with a term of it, are up to
+EXTRA terms longer, and hold a mark of it, a term that fewest licences have. A file's own licence is its best unit's or window's, from
+a cosine of THRESHOLD on. A directory's licence is the best of its licence files; a file without one takes that
 of the nearest directory above that has one, by a join on paths of distinct directories only.
 
 Nulls and empty texts have no units. Rows without a path belong to no directory. Ties go to the smaller licence name. Repeated
@@ -20,6 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import let
 from tessera.plans.staging import staged
 
 #: Phrases by which licences are announced.
@@ -53,8 +54,6 @@ TEXTS = {
 #: What a line or block that speaks of rights has.
 SPEAKS = r"(?i)licen[sc]e|spdx|copyright|all[\s#*/]+rights[\s#*/]+reserved|public[\s#*/]+domain|permission[\s#*/]+is[\s#*/]+hereby|hereby[\s#*/]+granted|redistribution[\s#*/]+and[\s#*/]+use|creative[\s#*/]+commons|\bcc0\b|\bcc[\s#*/]+by|proprietary"
 TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
-#: Terms, one of which is in whatever SPEAKS finds.
-SPEAKING_TERM = r"licen[sc]e|spdx|copyright|proprietary|redistribution|^(?:reserved|domain|hereby|commons|cc0.*|cc)$"
 THRESHOLD = 0.6
 #: Terms that a window has beyond a template's at most; terms of the longest template that windows meet.
 EXTRA, SHORT = 4, 24
@@ -70,52 +69,46 @@ def template_lines() -> list[tuple[str, str, str]]:
     return [(f"{name} {k}", name, line) for name in sorted(TEMPLATES.keys() | TEXTS.keys()) for k, line in enumerate([*TEMPLATES.get(name, []), *TEXTS.get(name, [])])]
 
 
-def template_marks() -> dict[str, tuple[int, list[str]]]:
-    """Number of terms and marks of each template."""
+def template_marks() -> dict[str, tuple[list[str], list[str]]]:
+    """Terms and marks of each template."""
     terms = {template: (name, re.findall(TERM, line.lower())) for template, name, line in template_lines()}
     holders: dict[str, set[str]] = {}
     for name, own in terms.values():
         for t in own:
             holders.setdefault(t, set()).add(name)
     fewest = {template: min(len(holders[t]) for t in own) for template, (_, own) in terms.items()}
-    return {template: (len(own), sorted({t for t in own if len(holders[t]) == fewest[template]})) for template, (_, own) in terms.items()}
+    return {template: (own, sorted({t for t in own if len(holders[t]) == fewest[template]})) for template, (_, own) in terms.items()}
 
 
 def windows_of(blocks: DataFrame) -> DataFrame:
-    """Rows (row, unit, at, size, terms) from rows (row, unit, terms): the windows that a short template may meet."""
-    marks: dict[int, set[str]] = {}
-    for size, own in template_marks().values():
-        for extra in range(EXTRA + 1) if size <= SHORT else ():
-            marks.setdefault(size + extra, set()).update(own)
-    longest = max(marks)
-    terms = F.col("terms")
-    speaking = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.get(terms, i).rlike(SPEAKING_TERM))
-    starts = F.array_distinct(F.flatten(F.transform(speaking, lambda i: F.sequence(F.greatest(F.lit(0), i - longest + 1), i))))
-    # the longest window of each start first: rows must not hold their whole block
-    ahead = F.when(F.size(terms) > 0, F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(terms, i + 1, longest).alias("ahead"))))
-    ahead = blocks.select("row", "unit", F.inline(ahead))
-
-    def window(size: int, own: set[str]) -> Column:
-        terms = F.slice("ahead", 1, size)
-        meets = (F.size("ahead") >= size) & F.arrays_overlap(terms, F.array(*(F.lit(t) for t in sorted(own)))) & F.exists(terms, lambda t: t.rlike(SPEAKING_TERM))
-        return F.when(meets, F.struct(F.lit(size).alias("size"), terms.alias("terms")))
-
-    found = F.filter(F.array(*(window(size, own) for size, own in sorted(marks.items()))), lambda w: w.isNotNull())
-    return ahead.select("row", "unit", "at", F.inline(found))
+    """Rows (row, unit, template, at, size, terms) from rows (row, unit, terms): the windows that a short template may meet."""
+    short = {template: (own, marks) for template, (own, marks) in template_marks().items() if len(own) <= SHORT}
+    words = lambda own: F.array(*(F.lit(t) for t in sorted(set(own))))
+    terms, longest = F.col("terms"), max(len(own) for own, _ in short.values()) + EXTRA
+    marked = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.array_contains(words(m for _, marks in short.values() for m in marks), F.get(terms, i)))
+    around = F.array_sort(F.array_distinct(F.flatten(F.transform(marked, lambda i: F.sequence(F.greatest(F.lit(0), i - longest + 1), F.least(F.size(terms) - 1, i + longest - 1))))))
+    places = blocks.select("row", "unit", "terms", F.when(F.size(terms) > 0, around).alias("places")).where(F.size("places") > 0)
+
+    def windows(template: str, own: list[str], marks: list[str]) -> Column:
+        def pairs(ends: Column) -> Column:
+            window = lambda a, b: F.struct(F.lit(template).alias("template"), a.alias("at"), (b - a + 1).alias("size"), F.slice(terms, a + 1, b - a + 1).alias("terms"))
+            return F.flatten(F.transform(ends, lambda a: F.transform(F.filter(ends, lambda b: (b >= a) & (b < a + len(own) + EXTRA)), lambda b: window(a, b))))
+
+        ends = F.filter("places", lambda i: F.array_contains(words(own), F.get(terms, i)))
+        return F.filter(let(ends, pairs), lambda w: F.arrays_overlap(w["terms"], words(marks)))
+
+    return places.select("row", "unit", F.inline(F.concat(*(windows(t, own, marks) for t, (own, marks) in short.items()))).alias("template", "at", "size", "terms"))
 
 
 def template_weights(spark) -> tuple[DataFrame, float]:
-    """Rows (term, template, licence, weight, idf, of, mark) of unit-length template vectors, ``of`` the template's terms; the idf of a term
-    that no template has."""
+    """Rows (term, template, licence, weight, idf) of unit-length template vectors; the idf of a term that no template has."""
     rows = template_lines()
     table = spark.createDataFrame(rows, "template string, licence string, line string")
     tf = table.select("template", "licence", F.explode(terms_of(F.col("line"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = tf.groupBy("term").agg((F.log(F.lit(1.0 + len(rows)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     weighed = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    marks = spark.createDataFrame([(template, size, own) for template, (size, own) in template_marks().items()], "template string, of int, marks array<string>")
-    weighed = weighed.join(norms, "template").join(marks, "template")
-    return weighed.select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("weight"), "idf", "of", F.array_contains("marks", F.col("term")).alias("mark")), math.log(1.0 + len(rows)) + 1
+    return weighed.join(norms, "template").select("term", "template", "licence", (F.col("w") / F.col("norm")).alias("weight"), "idf"), math.log(1.0 + len(rows)) + 1
 
 
 def units_of(text: Column, is_licence_file: Column) -> Column:
@@ -130,15 +123,15 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (row, licence, score) from rows (row, units): the best unit or window of each row that has one."""
     weights, unseen = template_weights(files.sparkSession)
     weights = staged(weights, "templates")  # fixed: a few hundred rows
-    key = ["row", "unit", "at", "size"]  # a whole unit: size 0
+    key = ["row", "unit", "meets", "at", "size"]  # a whole unit meets all templates
     each = files.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.kind", terms_of(F.col("u.x")).alias("terms"))
-    units = each.select("row", "unit", F.lit(0).alias("at"), F.lit(0).alias("size"), "terms").union(windows_of(each.where(F.col("kind") == BLOCK)))
+    units = each.select("row", "unit", F.lit("").alias("meets"), F.lit(0).alias("at"), F.lit(0).alias("size"), "terms").union(windows_of(each.where(F.col("kind") == BLOCK)))
     tf = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    met = tf.join(F.broadcast(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight", "of", "mark")).alias("in"))), "term", "left")
+    met = tf.join(F.broadcast(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight")).alias("in"))), "term", "left")
     met = met.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     norm = met.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = met.select(*key, "w", F.inline("in")).where((F.col("size") == 0) | ((F.col("of") <= SHORT) & F.col("size").between(F.col("of"), F.col("of") + EXTRA)))
-    dots = dots.groupBy(*key, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.max("mark").alias("mark")).where((F.col("size") == 0) | F.col("mark"))
+    dots = met.select(*key, "w", F.inline("in")).where((F.col("meets") == "") | (F.col("meets") == F.col("template")))
+    dots = dots.groupBy(*key, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norm, key).select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
     return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))

@@ -81,22 +81,21 @@ PREFERENCE = f"""WITH a AS (SELECT conv_id, min(turn) AS first, max(turn) AS las
 SELECT conv_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|im_start|>' || role) + 1 ELSE 0 END AS INT) AS mask_from, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|im_start|>' || role) + 1 + length(text) ELSE 0 END AS INT) AS mask_to FROM s"""
 
 TERMS = "regexp_extract_all(lower({}), '[A-Za-z0-9]+(?:\\.[0-9]+)*')"
-SPEAKING = "list_filter({}, lambda x: regexp_matches(x, 'licen[sc]e|spdx|copyright|proprietary|redistribution|^(?:reserved|domain|hereby|commons|cc0.*|cc)$'))"
 SPEAKS = text(licenses.SPEAKS)
 LICENCES = f"""WITH tpl(template, licence, line) AS (VALUES {", ".join("(" + ", ".join(map(text, x)) + ")" for x in licenses.template_lines())}),
  tt AS (SELECT template, licence, term, count(*) AS tf FROM (SELECT template, licence, unnest({TERMS.format("line")}) AS term FROM tpl) GROUP BY ALL),
  idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM tpl)) / (1 + count(*))) + 1 AS idf, count(DISTINCT licence) AS holders FROM tt GROUP BY term),
  tw AS (SELECT template, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight, sum(tf) OVER (PARTITION BY template) AS size, holders = min(holders) OVER (PARTITION BY template) AS mark FROM tt JOIN idf USING (term)),
- wanted AS (SELECT CAST(size + extra AS INT) AS size, list(DISTINCT term) AS terms FROM tw, unnest(range(0, 5)) AS x(extra) WHERE mark AND size <= 24 GROUP BY 1),
  f AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 8 = 0 AS is_file, list_filter([source, lang, 'd' || (doc_id // 400), 'e' || (doc_id // 40)][1:CASE WHEN doc_id % 8 = 0 THEN doc_id // 8 % 4 + 1 ELSE 4 END], lambda x: x IS NOT NULL) AS folder FROM documents),
  u AS (SELECT doc_id, unnest(list_concat(list_transform(string_split(text, chr(10)), lambda x: {{'kind': 0, 'x': x}}), list_transform(string_split_regex(text, '\\n[\\x20\\t\\r]*\\n'), lambda x: {{'kind': 1, 'x': x}}), CASE WHEN is_file THEN [{{'kind': 2, 'x': text}}] ELSE [] END)) AS u FROM f WHERE regexp_matches(text, {SPEAKS})),
  n AS (SELECT row_number() OVER () AS unit, doc_id, u.kind AS kind, {TERMS.format("u.x")} AS terms FROM u WHERE u.kind = 2 OR regexp_matches(u.x, {SPEAKS})),
- w AS (SELECT unit, doc_id, 0 AS spot, 0 AS size, terms FROM n UNION ALL
-   SELECT unit, doc_id, spot, size, piece FROM (SELECT unit, doc_id, spot, wanted.size, n.terms[spot:spot + wanted.size - 1] AS piece, wanted.terms AS marks FROM (SELECT *, unnest(range(1, len(terms) + 1)) AS spot FROM n WHERE kind = 1) n, wanted WHERE spot + wanted.size - 1 <= len(n.terms)) WHERE list_has_any(piece, marks) AND len({SPEAKING.format("piece")}) > 0),
- tf AS (SELECT unit, doc_id, spot, size, term, count(*) AS tf FROM (SELECT unit, doc_id, spot, size, unnest(terms) AS term FROM w) GROUP BY ALL),
- v AS (SELECT tf.*, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM tpl)) + 1) AS w FROM tf LEFT JOIN idf USING (term)), norm AS (SELECT unit, spot, size, sqrt(sum(w * w)) AS norm FROM v GROUP BY ALL),
- dots AS (SELECT v.unit, v.doc_id, v.spot, v.size, template, licence, sum(w * weight) AS dot, bool_or(mark) AS mark FROM v JOIN tw USING (term) WHERE v.size = 0 OR (tw.size <= 24 AND v.size BETWEEN tw.size AND tw.size + 4) GROUP BY ALL),
- s AS (SELECT doc_id, licence, round(dot / norm, 9) AS score FROM dots JOIN norm USING (unit, spot, size) WHERE size = 0 OR mark),
+ ends AS (SELECT unit, doc_id, i, template, tw.size, mark FROM (SELECT unit, doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM n WHERE kind = 1) x JOIN tw USING (term) WHERE tw.size <= 24),
+ w AS (SELECT unit, doc_id, '' AS meets, 0 AS spot, 0 AS size, terms FROM n UNION ALL
+   SELECT DISTINCT a.unit, a.doc_id, a.template, a.i, b.i - a.i + 1, n.terms[a.i:b.i] FROM ends a JOIN ends b ON a.unit = b.unit AND a.template = b.template AND b.i BETWEEN a.i AND a.i + a.size + 3 JOIN ends m ON m.mark AND m.unit = a.unit AND m.template = a.template AND m.i BETWEEN a.i AND b.i JOIN n ON n.unit = a.unit),
+ tf AS (SELECT unit, doc_id, meets, spot, size, term, count(*) AS tf FROM (SELECT unit, doc_id, meets, spot, size, unnest(terms) AS term FROM w) GROUP BY ALL),
+ v AS (SELECT tf.*, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM tpl)) + 1) AS w FROM tf LEFT JOIN idf USING (term)), norm AS (SELECT unit, meets, spot, size, sqrt(sum(w * w)) AS norm FROM v GROUP BY ALL),
+ dots AS (SELECT v.unit, v.doc_id, v.meets, v.spot, v.size, template, licence, sum(w * weight) AS dot FROM v JOIN tw USING (term) WHERE meets IN ('', template) GROUP BY ALL),
+ s AS (SELECT doc_id, licence, round(dot / norm, 9) AS score FROM dots JOIN norm USING (unit, meets, spot, size)),
  own AS (SELECT doc_id, score, licence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS k FROM s WHERE score >= 0.6) WHERE k = 1),
  held AS (SELECT folder, licence FROM (SELECT folder, licence, row_number() OVER (PARTITION BY folder ORDER BY score DESC, licence) AS k FROM f JOIN own USING (doc_id) WHERE is_file) WHERE k = 1),
  near AS (SELECT doc_id, up, held.folder AS holder, held.licence, row_number() OVER (PARTITION BY doc_id ORDER BY up) AS k FROM (SELECT doc_id, folder, unnest(range(0, len(folder) + 1)) AS up FROM f) x JOIN held ON held.folder = x.folder[1:len(x.folder) - up])
