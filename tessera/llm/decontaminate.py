@@ -1,8 +1,9 @@
 """Benchmark decontamination with a broadcast hash set of the test items' word windows.
 
 Windows of 13 words (a shorter item is one window) are numbered by the benchmark's own words, hashed, and broadcast in
-blocks of bounded size; each block costs one pass. A pass numbers a text's words, looks only at runs of known words, tests
-their rolling hashes against the set and verifies each hit word by word.
+blocks of bounded size; each block costs one reading of the texts. It numbers a text's words, looks only at runs of known words, tests
+their rolling hashes against the set and verifies each hit word by word. With more than one block the documents are written once; of
+every further block only the hits are kept, and meet the documents at the end.
 
 Nulls have no words. An item without words never occurs. An item whose id is null still marks words, but has no name to list.
 Repeated items and rows are judged each by itself; a hit that several windows cover counts once.
@@ -120,16 +121,17 @@ def scanned(text: Column, shared) -> Column:
     return F.arrow_udf(run, DIGEST).asNondeterministic()(text)
 
 
-def merged(a: Column, b: Column) -> Column:
-    """Two blocks' digests of one text as one."""
-    spans = F.array_sort(F.concat(a["spans"], b["spans"]))
+def merged(first: Column, others: Column) -> Column:
+    """The digests of one text by several blocks as one; ``others`` is an array."""
+    spans = F.array_sort(F.concat(first["spans"], F.flatten(F.transform(others, lambda d: d["spans"]))))
     whole = F.aggregate(
         spans,
         F.array().cast("array<struct<start:int,stop:int>>"),
         lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))),
     )
     covered = F.aggregate(whole, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return F.struct(a["n_words"].alias("n_words"), covered.alias("n_hit"), F.array_sort(F.array_union(a["items"], b["items"])).alias("items"), whole.alias("spans"))
+    items = F.array_sort(F.array_distinct(F.concat(first["items"], F.flatten(F.transform(others, lambda d: d["items"])))))
+    return F.struct(first["n_words"].alias("n_words"), covered.alias("n_hit"), items.alias("items"), whole.alias("spans"))
 
 
 def with_digest(docs: DataFrame, benchmark: DataFrame, name: str = "contamination", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -137,16 +139,24 @@ def with_digest(docs: DataFrame, benchmark: DataFrame, name: str = "contaminatio
     that name gives way."""
     import uuid
 
-    sc, digest = docs.sparkSession.sparkContext, None
-    docs = docs.drop(name)
+    sc, columns = docs.sparkSession.sparkContext, [c for c in docs.columns if c != name]
+    found = hits = None
     for block in blocks(benchmark, text="text", block_bytes=block_bytes):
         shared = sc.broadcast((uuid.uuid4().hex, block, window))
-        if digest is None:
-            digest = docs.withColumn(name, scanned(docs[text], shared))
-        else:  # a further block: earlier ones are written, so that one worker holds one block at a time
-            digest = staged(digest, "contamination")
-            digest = digest.withColumn("__ts_block", scanned(digest[text], shared)).withColumn(name, merged(F.col(name), F.col("__ts_block"))).drop("__ts_block")
-    return digest if digest is not None else docs.withColumn(name, scanned(docs[text], sc.broadcast((uuid.uuid4().hex, [], window))))
+        if found is None:
+            found = docs.select(*columns, scanned(docs[text], shared).alias("__ts_digest"))
+            continue
+        if hits is None:
+            found = staged(found.withColumn("__ts_row", F.monotonically_increasing_id()), "contamination")
+        more = staged(found.select("__ts_row", scanned(F.col(text), shared).alias("d")).where("d.n_hit > 0"), "hits")
+        hits = more if hits is None else hits.unionByName(more)
+    if found is None:
+        found = docs.select(*columns, scanned(docs[text], sc.broadcast((uuid.uuid4().hex, [], window))).alias("__ts_digest"))
+    if hits is None:
+        return found.withColumnRenamed("__ts_digest", name)
+    gathered = hits.groupBy(F.col("__ts_row").alias("__ts_of")).agg(F.collect_list("d").alias("__ts_more"))  # a row a block at most
+    met = found.join(gathered, F.col("__ts_row") == F.col("__ts_of"), "left")
+    return met.select(*columns, F.when(F.col("__ts_more").isNull(), F.col("__ts_digest")).otherwise(merged(F.col("__ts_digest"), F.col("__ts_more"))).alias(name))
 
 
 def is_contaminated(digest: Column) -> Column:

@@ -36,6 +36,34 @@ def test_shards_hold_the_mixture(docs):
     assert multiset(sharding.interleaved(docs, shards).collect()) == multiset(rows)
 
 
+def seeded_hash(seed, *values):
+    import struct
+
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    for v in values:
+        h = h if v is None else xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h >> 1
+
+
+def test_shards_follow_the_seeded_order(docs):
+    """The whole order by brute force: rows of a source by their hash, all rows by the fraction of their source before them."""
+    shards = 7
+    rows = [(r.doc_id, r.source, len((r.text or "").encode()) + 1, None if r.text is None else zlib.crc32(r.text.encode())) for r in docs.collect()]
+    first = lambda x: (x is not None, x or 0)
+    key = lambda r: (seeded_hash(sharding.SEED, r[0], r[3], r[2]), first(r[0]), first(r[3]), r[2])
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    ordered = [((2 * k + 1) / (2.0 * len(own)), (source is not None, source or ""), key(r), r) for source, own in by.items() for k, r in enumerate(sorted(own, key=key))]
+    want, n = [], len(rows)
+    for position, (*_, r) in enumerate(sorted(ordered, key=lambda x: x[:3])):
+        shard = (shards * (position + 1) - 1) // n
+        want.append((*r, shard, position - shard * n // shards))
+    assert multiset(map(tuple, sharding.interleaved(docs, shards).collect())) == multiset(want)
+
+
 def test_written_shards_are_in_slot_order(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
