@@ -17,18 +17,21 @@ def search_calls(edges: DataFrame, keyword: str, level: int) -> DataFrame:
     ``path``, the order in which they are met.
 
     Nodes that match as head or tail are the start. Each step goes from heads to tails; a step's nodes are distinct, but nodes of
-    earlier steps are met again, so a cycle repeats its edges. A null label matches an empty keyword only.
+    earlier steps are met again, so a cycle repeats its edges. A null label matches an empty keyword only. Columns ``level`` and
+    ``path`` of the edges give way.
     """
+    edges = edges.drop("level", "path")
     match = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lower(F.lit(keyword)))
     ends = F.array(F.when(match("head_label"), F.struct(F.col("head_id").alias("id"), F.array((F.col("ord") * 2).cast("long")).alias("path"))), F.when(match("tail_label"), F.struct(F.col("tail_id").alias("id"), F.array((F.col("ord") * 2 + 1).cast("long")).alias("path"))))
-    frontier = edges.select(F.inline(F.filter(ends, lambda e: e.isNotNull()))).groupBy("id").agg(F.min("path").alias("path"))
+    begun = edges.select(F.inline(F.filter(ends, lambda e: e.isNotNull()))).groupBy("id").agg(F.min("path").alias("path"))
+    frontier = begun.select(F.col("id").alias("__ts_id"), F.col("path").alias("__ts_path"))
     out = None
     for step in range(1, level + 1):
         if step > 1:  # a step's plan does not hold the steps before it
             frontier = staged(frontier, "frontier")
-        met = edges.join(frontier, edges["head_id"] == frontier["id"]).select(*(edges[c] for c in edges.columns), F.lit(step).alias("level"), F.concat(frontier["path"], F.array(edges["ord"].cast("long"))).alias("path"))
+        met = edges.join(frontier, edges["head_id"] == frontier["__ts_id"]).select(*(edges[c] for c in edges.columns), F.lit(step).alias("level"), F.concat(frontier["__ts_path"], F.array(edges["ord"].cast("long"))).alias("path"))
         out = met if out is None else out.unionByName(met)
-        frontier = met.groupBy(F.col("tail_id").alias("id")).agg(F.min("path").alias("path"))
+        frontier = met.groupBy(F.col("tail_id").alias("__ts_id")).agg(F.min("path").alias("__ts_path"))
     if out is None:
         return edges.limit(0).withColumn("level", F.lit(0)).withColumn("path", F.array().cast("array<bigint>"))
     return out

@@ -540,3 +540,27 @@ def test_vectors_without_a_distance_are_never_found(spark):
             found.setdefault(r.query_id, []).append(r.vec_id)
         assert found == {10: want, 12: [3]}, metric
     assert vector_index.make_index(index).search([], 3).where("distance > 0").count() == 0
+
+
+def test_further_columns_may_have_any_names(spark):
+    """Graph search, rendering, lookups, the catalog and the index beside columns with the names that they use."""
+    names = ("id", "level", "path", "text", "lines", "first", "label", "n", "o", "rank", "distance", "b", "by", "side", "found", "m0", "key2", "query_id", "v", "removed")
+    clash = lambda df: df.withColumns({c: F.lit("clash") for c in names if c not in df.columns})
+    edges = spark.createDataFrame([(0, "a", "A", "b", "B"), (1, "b", "B", "c", None), (2, "c", None, "a", "A")], "ord long, head_id string, head_label string, tail_id string, tail_label string")
+    plain, odd = call_graph.search_calls(edges, "a", 2), call_graph.search_calls(clash(edges), "a", 2)
+    assert sorted((r.level, r.ord, r.path) for r in odd.collect()) == sorted((r.level, r.ord, r.path) for r in plain.collect())
+    assert call_graph.dot(clash(edges), ["ord"]).first().dot == call_graph.dot(edges, ["ord"]).first().dot
+    assert sorted(call_graph.code_mapping(clash(edges)).collect()) == sorted(call_graph.code_mapping(edges).collect())
+    vectors = spark.createDataFrame([(3, [1.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    index = vector_index.FlatIndex(clash(vectors))
+    assert [(r.vec_id, r["rank"]) for r in index.search([1.0, 0.1], 2).orderBy("rank").collect()] == [(3, 1), (7, 2)]
+    asked = clash(vectors).withColumn("query_id", F.col("vec_id"))
+    assert [tuple(r)[:3] for r in index.search_batch(asked, 1).orderBy("query_id").collect()] == [(3, 1, 3), (7, 1, 7)]
+    left, removed = index.remove(clash(vectors).where("vec_id = 3"))
+    assert removed.first().removed == 1 and [r.vec_id for r in left.rows.collect()] == [0]
+    assert sorted(r.vec_id for r in index.add(clash(vectors), "vec_id").rows.collect()) == [2, 3, 3, 7]
+    files_ = spark.createDataFrame([("d", "docstore.json"), ("d", "faiss.index"), ("e", "docstore.json")], "dir string, file string").withColumn("birthtime", F.lit("2020-01-01").cast("timestamp"))
+    docs = spark.createDataFrame([("f",), ("d",)], "filename string").withColumn("birthtime", F.lit("2020-01-02").cast("timestamp"))
+    assert [(r.filename, r.embedding) for r in catalog.resources(clash(docs), clash(files_)).collect()] == [("d", True), ("f", False)]
+    store_ = spark.createDataFrame([("k", "1"), ("l", "2")], "key string, value string")
+    assert sorted(map(tuple, catalog.upserted(clash(store_), clash(store_.where("key = 'k'")).withColumn("value", F.lit("9"))).collect())) == [("k", "9"), ("l", "2")]
