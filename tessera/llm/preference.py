@@ -23,33 +23,33 @@ OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 CHOSEN, REJECTED = 0, 1
 
 
-def _said(turns: DataFrame, store: int = CHOSEN) -> DataFrame:
-    """Rows (pair, store, turn, hash, role, text). A hash is odd where an assistant speaks."""
+def _said(turns: DataFrame) -> DataFrame:
+    """Rows (pair, turn, hash, role, text). A hash is odd where an assistant speaks."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    told = turns.where("pair is not null and turn is not null").select("pair", F.lit(store).alias("store"), "turn", role.alias("role"), text.alias("text"))
+    told = turns.where("pair is not null and turn is not null").select("pair", "turn", role.alias("role"), text.alias("text"))
     return told.withColumn("hash", F.xxhash64("role", "text").bitwiseAND(F.lit(-2)).bitwiseOR((F.col("role") == "assistant").cast("long")))
 
 
-def _light(turns: DataFrame, store: int = CHOSEN) -> DataFrame:
-    """Rows (pair, store, turn, hash): what is said at each turn, without its text."""
-    return _said(turns, store).groupBy("pair", "store", "turn").agg(F.min("hash").alias("hash"))
+def _light(turns: DataFrame) -> DataFrame:
+    """Rows (pair, turn, hash): what is said at each turn, without its text."""
+    return _said(turns).groupBy("pair", "turn").agg(F.min("hash").alias("hash"))
 
 
 def _use(side: int, turn: Column) -> Column:
     return F.struct(F.lit(side).alias("side"), turn.alias("at"))
 
 
-def _segments(stored: DataFrame, uses: DataFrame) -> DataFrame:
-    """Rendered segments. ``stored``: _said() rows; ``uses``: rows (pair, store, turn, hash, side, at) of what each of them stands for."""
+def _segments(stored: DataFrame, uses: DataFrame, key: list[str]) -> DataFrame:
+    """Rendered segments. ``stored``: _said() rows; ``uses``: rows (key, hash, side, at) of what each of them stands for."""
     uses = staged(uses, "uses")
     said = lambda side: F.max(F.when(F.col("side") == side, F.col("hash")))
     by_turn = uses.groupBy("pair", "at").agg(said(CHOSEN).alias("chosen"), said(REJECTED).alias("rejected"))
     parting = by_turn.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy(F.col("pair").alias("of")).agg(F.min("at").alias("parting"))
     common = F.col("parting").isNull() | (F.col("at") < F.col("parting"))
     part = F.when(F.col("side") == CHOSEN, F.when(common, "prompt").otherwise("chosen")).when(~common, "rejected")
-    told = uses.join(parting, uses["pair"] == parting["of"], "left").select(*(F.col(c).alias(f"f_{c}") for c in ("pair", "store", "turn")), part.alias("part"), "at").where("part is not null")
-    texts = stored.groupBy("pair", "store", "turn").agg(F.min(F.struct("hash", "role", "text")).alias("s"))
-    met = texts.join(told, (texts["pair"] == told["f_pair"]) & (texts["store"] == told["f_store"]) & (texts["turn"] == told["f_turn"]))
+    told = uses.join(parting, uses["pair"] == parting["of"], "left").select(*(uses[c].alias(f"f_{c}") for c in key), part.alias("part"), "at").where("part is not null")
+    texts = stored.groupBy(*key).agg(F.min(F.struct("hash", "role", "text")).alias("s"))
+    met = texts.join(told, [texts[c] == told[f"f_{c}"] for c in key])
     rows = met.select("pair", "s.role", "s.text", "part", "at")
     head = F.concat(F.lit(OPEN), F.col("role"), F.lit(MIDDLE))
     learned = (F.col("part") != "prompt") & (F.col("role") == "assistant")
@@ -62,9 +62,9 @@ def _segments(stored: DataFrame, uses: DataFrame) -> DataFrame:
 def formatted(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """From turns (pair, turn, role, text) of both sides: rows (pair, part, turn, role, rendered, mask_from, mask_to)."""
     sides = ((chosen, CHOSEN), (rejected, REJECTED))
-    uses = [_light(turns, side).withColumns({"side": F.lit(side), "at": F.col("turn")}) for turns, side in sides]
-    stored = [_said(turns, side) for turns, side in sides]
-    return _segments(stored[0].unionByName(stored[1]), uses[0].unionByName(uses[1]))
+    uses = [_light(turns).withColumns({"store": F.lit(side), "side": F.lit(side), "at": F.col("turn")}) for turns, side in sides]
+    stored = [_said(turns).withColumn("store", F.lit(side)) for turns, side in sides]
+    return _segments(stored[0].unionByName(stored[1]), uses[0].unionByName(uses[1]), ["pair", "store", "turn"])
 
 
 def self_formatted(turns: DataFrame) -> DataFrame:
@@ -75,8 +75,8 @@ def self_formatted(turns: DataFrame) -> DataFrame:
     known = light.join(answers, light["pair"] == answers["of"], "left")
     turn, first, last = F.col("turn"), F.col("first"), F.col("last")
     uses = F.array(_use(CHOSEN, turn), F.when(last.isNull() | (turn != last), _use(REJECTED, turn)), F.when((turn == first) & (first < last), _use(REJECTED, last)))
-    used = known.select("pair", "store", "turn", "hash", F.inline(F.filter(uses, lambda u: u.isNotNull())))
-    return _segments(_said(turns), used)
+    used = known.select("pair", "turn", "hash", F.inline(F.filter(uses, lambda u: u.isNotNull())))
+    return _segments(_said(turns), used, ["pair", "turn"])
 
 
 def paired(segments: DataFrame) -> DataFrame:

@@ -231,5 +231,11 @@ def test_paired_rows_hold_both_completions(spark, sf):
 
 def test_texts_are_shuffled_once(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("pair"), "turn", "role", "text")
-    plan = preference.self_formatted(turns)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = preference.self_formatted(turns)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[: plan.index("SortAggregate")]
+    assert "SortMergeJoin" in above and "Exchange" not in above  # between the join and what gathers the texts
     assert len(re.findall(r"partial_min\(struct\(hash.*?text", plan)) == 1 and len(re.findall("Scan parquet", plan)) == 3  # two of them of what was staged
