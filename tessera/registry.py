@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.queries import conversations, graphs, ingestion, resources, retrieval
+from tessera.queries import conversations, graphs, ingestion, resources, retrieval, storage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (retrieval, ingestion, conversations, resources, graphs):
+for module in (retrieval, ingestion, conversations, resources, graphs, storage):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
 
