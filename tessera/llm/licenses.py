@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,22 +82,38 @@ def template_marks() -> dict[str, tuple[list[str], list[str]]]:
     return {template: (own, sorted({t for t in own if len(holders[t]) == fewest[template]})) for template, (_, own) in terms.items()}
 
 
-def windows_of(blocks: DataFrame) -> DataFrame:
-    """Rows (row, unit, template, at, size, terms) from rows (row, unit, terms): the windows that a short template may meet."""
+def least_shared(threshold: float) -> dict[str, int]:
+    """How many different terms of each template a unit must have at least for a cosine of ``threshold``: a cosine is at most the length
+    of the part of the template's unit vector that is shared."""
+    own = {template: Counter(re.findall(TERM, line.lower())) for template, _, line in template_lines()}
+    holders = Counter(t for terms in own.values() for t in terms)
+    out = {}
+    for template, terms in own.items():
+        squares = sorted(((n * (math.log((1.0 + len(own)) / (1 + holders[t])) + 1)) ** 2 for t, n in terms.items()), reverse=True)
+        upto = list(accumulate(squares))
+        out[template] = next(k + 1 for k, x in enumerate(upto) if x >= (threshold - 1e-6) ** 2 * upto[-1] - 1e-9)
+    return out
+
+
+def windows_of(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Rows (row, unit, template, at, size, terms) from rows (row, unit, terms): the windows that may have a cosine of ``threshold`` to a
+    short template. The work is linear in a block's length."""
     short = {template: (own, marks) for template, (own, marks) in template_marks().items() if len(own) <= SHORT}
+    shared = least_shared(threshold)
     words = lambda own: F.array(*(F.lit(t) for t in sorted(set(own))))
     terms, longest = F.col("terms"), max(len(own) for own, _ in short.values()) + EXTRA
     marked = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.array_contains(words(m for _, marks in short.values() for m in marks), F.get(terms, i)))
     around = F.array_sort(F.array_distinct(F.flatten(F.transform(marked, lambda i: F.sequence(F.greatest(F.lit(0), i - longest + 1), F.least(F.size(terms) - 1, i + longest - 1))))))
-    places = blocks.select("row", "unit", "terms", F.when(F.size(terms) > 0, around).alias("places")).where(F.size("places") > 0)
+    places = blocks.select("row", "unit", "terms", F.when(F.size(terms) > 0, around).alias("places"))
 
     def windows(template: str, own: list[str], marks: list[str]) -> Column:
         def pairs(ends: Column) -> Column:
             window = lambda a, b: F.struct(F.lit(template).alias("template"), a.alias("at"), (b - a + 1).alias("size"), F.slice(terms, a + 1, b - a + 1).alias("terms"))
-            return F.flatten(F.transform(ends, lambda a: F.transform(F.filter(ends, lambda b: (b >= a) & (b < a + len(own) + EXTRA)), lambda b: window(a, b))))
+            # in order: from each end only so many others are within reach
+            return F.flatten(F.transform(ends, lambda a, k: F.transform(F.filter(F.slice(ends, k + 1, len(own) + EXTRA), lambda b: b < a + len(own) + EXTRA), lambda b: window(a, b))))
 
-        ends = F.filter("places", lambda i: F.array_contains(words(own), F.get(terms, i)))
-        return F.filter(let(ends, pairs), lambda w: F.arrays_overlap(w["terms"], words(marks)))
+        ends = F.filter(F.coalesce("places", F.array().cast("array<int>")), lambda i: F.array_contains(words(own), F.get(terms, i)))
+        return F.filter(let(ends, pairs), lambda w: (F.size(F.array_intersect(w["terms"], words(own))) >= shared[template]) & F.arrays_overlap(w["terms"], words(marks)))
 
     return places.select("row", "unit", F.inline(F.concat(*(windows(t, own, marks) for t, (own, marks) in short.items()))).alias("template", "at", "size", "terms"))
 
@@ -125,7 +143,8 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weights = staged(weights, "templates")  # fixed: a few hundred rows
     key = ["row", "unit", "meets", "at", "size"]  # a whole unit meets all templates
     each = files.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", "u.kind", terms_of(F.col("u.x")).alias("terms"))
-    units = each.select("row", "unit", F.lit("").alias("meets"), F.lit(0).alias("at"), F.lit(0).alias("size"), "terms").union(windows_of(each.where(F.col("kind") == BLOCK)))
+    each = staged(each, "terms")  # few texts speak of rights
+    units = each.select("row", "unit", F.lit("").alias("meets"), F.lit(0).alias("at"), F.lit(0).alias("size"), "terms").union(windows_of(each.where(F.col("kind") == BLOCK), threshold))
     tf = units.select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     met = tf.join(F.broadcast(weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "licence", "weight")).alias("in"))), "term", "left")
     met = met.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
