@@ -14,6 +14,16 @@ def kept(slot, version, build):
     return found[1]
 
 
+def only(*slots: str) -> None:
+    """Drop what other operators keep in this worker: its memory holds the tables of one operator at a time."""
+    store = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept")).__dict__
+    others = [k for k in store if not k.startswith("__") and k not in slots]
+    for k in others:
+        del store[k]
+    if others:
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: an idle worker should not hold what its last task needed."""
     import ctypes
