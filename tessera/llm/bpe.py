@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import kept
+from tessera.functions.process_cache import give_back, kept, only
 from tessera.llm.words import slices
 
 #: Entries of each of a worker's tables. A full one makes room or takes no more, which costs time and never changes a result.
-CACHE_ROWS = 300_000
+CACHE_ROWS = 200_000
 #: Rows and characters of text that are encoded together; a longer text is encoded alone.
-SLICE_ROWS, SLICE_CHARS = 512, 2_000_000
+SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
 #: Byte that stands for the end of a word; UTF-8 has no such byte.
 END = 0xFF
 #: ASCII marks that the pretokenizer's pattern never parts from each other, nor joins with letters.
@@ -378,6 +378,7 @@ def encoded(text: Column, shared) -> Column:
     """struct(ids array<int>, decoded string) of a text column; ``shared`` comes from tokenizer_file()."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("bpe")
         encoder = _encoder(shared)
         for batch in slices(batches, SLICE_ROWS):
             texts, at, size, done = [t or "" for t in batch.to_pylist()], 0, 0, []
@@ -387,6 +388,7 @@ def encoded(text: Column, shared) -> Column:
                     at, size = k, 0
                 size += len(t)
             yield pa.concat_arrays([*done, encoder.encode(texts[at:])])
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "ids array<int>, decoded string").asNondeterministic()(text)

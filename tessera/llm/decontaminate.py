@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import kept
+from tessera.functions.process_cache import kept, only
 from tessera.llm.words import slices
 from tessera.plans.staging import staged
 
@@ -110,6 +110,7 @@ def scanned(text: Column, shared) -> Column:
     """Digest of each text against one broadcast block of items."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("windows")
         windows = kept("windows", shared.value[0], lambda: Windows(shared.value[1], shared.value[2]))
         for batch in slices(batches):
             out = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import kept
+from tessera.functions.process_cache import kept, only
 from tessera.llm.boosting import Boosted
 from tessera.llm.words import slices
 
@@ -526,6 +526,7 @@ def main_text(html: Column, shared) -> Column:
     """The main text of a column of pages; ``shared`` is a broadcast state of the trees."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only()
         model = Boosted.of(shared.value[0]), shared.value[1]
         for batch in slices(batches, 128):
             yield pa.array(extract([p or "" for p in batch.to_pylist()], model), pa.string())

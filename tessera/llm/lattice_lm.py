@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import give_back, kept
+from tessera.functions.process_cache import give_back, kept, only
 from tessera.llm.quality import bucket
 from tessera.llm.words import slices
 from tessera.plans.staging import staged
@@ -135,6 +135,7 @@ def vocabulary(path: str) -> tuple[list[tuple[str, int]], list[int], list[float]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only()
     trained: Counter = Counter()
     others: Counter = Counter()
 
@@ -162,6 +163,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expectation(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("lattice")
         lattice = kept("lattice", shared.value[0], lambda: Lattice(*shared.value[1:]))
         into = [0.0] * len(lattice.logs)
         for batch in batches:
@@ -177,6 +179,7 @@ def word_scores(word: Column, shared) -> Column:
     """log10 probability of each word."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only("lattice")
         lattice = kept("lattice", shared.value[0], lambda: Lattice(*shared.value[1:]))
         for batch in batches:
             yield pa.array([lattice.log10(w) for w in batch.to_pylist()], pa.float64())
@@ -191,6 +194,7 @@ def _head_scores(text: Column, shared) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
+        only("head")
         numbers, base, score, known = kept("head", shared.value[0], lambda: _head(*shared.value[1:]))
         for batch in slices(batches):
             words = [(t or b"").lower().split() for t in batch.cast(pa.binary()).to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import give_back
+from tessera.functions.process_cache import give_back, only
 from tessera.llm.words import slices
 from tessera.plans.components import roots
 from tessera.plans.staging import staged
@@ -60,6 +60,7 @@ def fingerprint(text: Column) -> Column:
     """Fingerprints of a text column, as signed longs."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only()
         for batch in slices(batches):
             yield pa.array([simhash(t) if t else 0 for t in batch.cast(pa.binary()).to_pylist()], pa.int64())
         give_back()
