@@ -19,8 +19,9 @@ from tessera.plans.ranking import running
 DEFAULT_K = 4
 #: Fixed value: retrieved rows must be nearer than this (squared L2).
 MAX_DISTANCE = 0.6
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 2_000
+#: Queries that are broadcast at once, and those that a worker compares at once: the first bounds the readings of the index, the
+#: second a worker's memory.
+QUERY_BLOCK, QUERY_SLICE = 20_000, 2_000
 #: Distances are rounded to so many digits, so that equal vectors tie whatever order their terms were summed in.
 DIGITS = 9
 
@@ -85,21 +86,24 @@ class FlatIndex:
             for name, v in shared.value:
                 if v:
                     asked.setdefault(len(v), []).append((name, [np.nan if x is None else x for x in v]))
-            q = {n: np.array([v for _, v in own], dtype=float) for n, own in asked.items()}
-            best = {n: (np.empty((len(x), 0)), np.empty((len(x), 0), dtype=np.int64)) for n, x in q.items()}
+            parts = [own[i : i + QUERY_SLICE] for own in asked.values() for i in range(0, len(own), QUERY_SLICE)]
+            q = [np.array([v for _, v in own], dtype=float) for own in parts]
+            best = [(np.empty((len(x), 0)), np.empty((len(x), 0), dtype=np.int64)) for x in q]
             for batch in batches:
                 for i in range(0, batch.num_rows, 1024):
                     labels, vectors = (c.to_numpy(zero_copy_only=False) for c in batch.slice(i, 1024).columns)
                     sizes = np.fromiter(map(len, vectors), dtype=int, count=len(vectors))
-                    for n in set(sizes.tolist()) & q.keys():
-                        own, (best_d, best_i) = np.flatnonzero(sizes == n), best[n]
-                        x = np.stack(vectors[own]).astype(float)
-                        d = np.concatenate([best_d, np.round(distances(q[n], x, metric, p), DIGITS)], 1)
-                        ids = np.concatenate([best_i, np.broadcast_to(labels[own].astype(np.int64), (len(q[n]), len(x)))], 1)
-                        order = np.lexsort((ids, -d if descending else d), axis=1)[:, :k]  # NaN comes last
-                        best[n] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
-            for n, own in asked.items():
-                for (name, _), d, ids in zip(own, *best[n]):
+                    rows = {n: np.flatnonzero(sizes == n) for n in set(sizes.tolist()) & asked.keys()}
+                    stacked = {n: np.stack(vectors[own]).astype(float) for n, own in rows.items()}
+                    for part, (x_q, (best_d, best_i)) in enumerate(zip(q, best)):
+                        n = x_q.shape[1]
+                        if n in rows:
+                            d = np.concatenate([best_d, np.round(distances(x_q, stacked[n], metric, p), DIGITS)], 1)
+                            ids = np.concatenate([best_i, np.broadcast_to(labels[rows[n]].astype(np.int64), (len(x_q), len(rows[n])))], 1)
+                            order = np.lexsort((ids, -d if descending else d), axis=1)[:, :k]  # NaN comes last
+                            best[part] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+            for own, found in zip(parts, best):
+                for (name, _), d, ids in zip(own, *found):
                     d, ids = d[~np.isnan(d)], ids[~np.isnan(d)]
                     if len(d):
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(d), pa.int64()), pa.array(ids, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "distance"])

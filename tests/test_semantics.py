@@ -526,6 +526,17 @@ def test_entry_without_the_llm_folder(tmp_path):
     assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[-2]) > 60
 
 
+def test_many_queries_go_in_blocks_and_slices(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.normal(size=4).tolist()) for i in range(60)]
+    index = vector_index.FlatIndex(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    want = sorted(map(tuple, index.search_batch(queries, 3).collect()))
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 25)
+    monkeypatch.setattr(vector_index, "QUERY_SLICE", 4)
+    assert sorted(map(tuple, index.search_batch(queries, 3).collect())) == want and len(want) == 180
+
+
 def test_vectors_without_a_distance_are_never_found(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0]), (4, [0.5, 0.5]), (5, [None, 1.0]), (6, [nan, 1.0]), (7, []), (8, [0.0, 1.0, 2.0])]
