@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import give_back, kept, only
+from tessera.functions.process_cache import give_back, kept, only, uncollected
 from tessera.llm.words import slices
 
 #: Entries of each of a worker's tables. A full one makes room or takes no more, which costs time and never changes a result.
-CACHE_ROWS = 200_000
+CACHE_ROWS = 400_000
 #: Rows and characters of text that are encoded together; a longer text is encoded alone.
-SLICE_ROWS, SLICE_CHARS = 256, 2_000_000
+SLICE_ROWS, SLICE_CHARS = 1024, 4_000_000
 #: Byte that stands for the end of a word; UTF-8 has no such byte.
 END = 0xFF
 #: ASCII marks that the pretokenizer's pattern never parts from each other, nor joins with letters.
@@ -382,12 +382,14 @@ def encoded(text: Column, shared) -> Column:
         encoder = _encoder(shared)
         for batch in slices(batches, SLICE_ROWS):
             texts, at, size, done = [t or "" for t in batch.to_pylist()], 0, 0, []
-            for k, t in enumerate(texts):
-                if size + len(t) > SLICE_CHARS and k > at:
-                    done.append(encoder.encode(texts[at:k]))
-                    at, size = k, 0
-                size += len(t)
-            yield pa.concat_arrays([*done, encoder.encode(texts[at:])])
+            with uncollected():
+                for k, t in enumerate(texts):
+                    if size + len(t) > SLICE_CHARS and k > at:
+                        done.append(encoder.encode(texts[at:k]))
+                        at, size = k, 0
+                    size += len(t)
+                done.append(encoder.encode(texts[at:]))
+            yield pa.concat_arrays(done)
         give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
