@@ -27,7 +27,7 @@ def search_calls(edges: DataFrame, keyword: str, level: int) -> DataFrame:
     frontier = begun.select(F.col("id").alias("__ts_id"), F.col("path").alias("__ts_path"))
     out = None
     for step in range(1, level + 1):
-        if step > 1:  # a step's plan does not hold the steps before it
+        if step > 2:  # a step's plan does not hold all steps before it
             frontier = staged(frontier, "frontier")
         met = edges.join(frontier, edges["head_id"] == frontier["__ts_id"]).select(*(edges[c] for c in edges.columns), F.lit(step).alias("level"), F.concat(frontier["__ts_path"], F.array(edges["ord"].cast("long"))).alias("path"))
         out = met if out is None else out.unionByName(met)

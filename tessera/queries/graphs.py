@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import call_graph as G
 from tessera.operators.chunking import code_chunks
 from tessera.plans.ranking import with_next
+from tessera.plans.staging import staged
 from tessera.queries import collector, table
 from tessera.sources import code
 
@@ -34,7 +35,7 @@ def bfs_sql(level: int) -> str:
 
 def bfs(level: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = G.search_calls(edges(spark, sf_dir), "USER 14", level)
+        found = G.search_calls(staged(edges(spark, sf_dir), "edges"), "USER 14", level)  # each step reads them
         return found.select("level", "ord", "head_id", "tail_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
 
     return run
