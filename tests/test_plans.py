@@ -111,3 +111,31 @@ def test_percentiles_are_exact(spark, share):
     for g, own in by_group(rows).items():
         values = [x for _, x in own if x is not None]
         assert (not values and g not in got) or got[g] == pytest.approx(np.quantile(values, share))
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """In a process of its own, as a worker is."""
+    code = """
+import gc
+from tessera.functions.process_cache import kept, only, uncollected
+made = []
+build = lambda x: (made.append(x), x)[1]
+assert kept("a", 1, lambda: build("a1")) == kept("a", 1, lambda: build("never")) == "a1"
+assert kept("a", 2, lambda: build("a2")) == "a2" and made == ["a1", "a2"]
+only("a", "b")
+assert kept("a", 2, lambda: build("never")) == "a2"
+only("b")
+assert kept("a", 2, lambda: build("again")) == "again"
+with uncollected():
+    assert not gc.isenabled()
+assert gc.isenabled()
+try:
+    with uncollected():
+        raise KeyError
+except KeyError:
+    assert gc.isenabled()
+print("good")
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root})
+    assert "good" in said.stdout, said.stderr[-2000:]
