@@ -102,4 +102,23 @@ LICENCES = f"""WITH tpl(template, licence, line) AS (VALUES {", ".join("(" + ",
 SELECT f.doc_id, own.licence AS own_licence, round(own.score, 6) AS score, coalesce(own.licence, near.licence) AS licence, CASE WHEN own.licence IS NULL THEN array_to_string(holder, '/') END AS inherited_from, CASE WHEN own.licence IS NULL THEN CAST(up AS INT) END AS steps_up
 FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near ON f.doc_id = near.doc_id AND near.k = 1"""
 
-ORACLES = {"op2_licenses": LICENCES, "op4_secrets": SECRETS, "op5_quality": QUALITY, "op9_preference": PREFERENCE, "op10_decontaminate": CONTAMINATION}
+PHRASES = f"""WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL)),
+ g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 6) r(k) WHERE len(w) >= k),
+ f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+ inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS a FROM c, range(2, 5) x(m), range(1, 5) y(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+ kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE inside.a IS NULL OR 100 * inside.a < 100 * c.a),
+ cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS before, array_to_string(w[j + 1:k], ' ') AS after FROM kept, range(1, 5) z(j) WHERE j < k),
+ s AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, l.f AS l, r.f AS r, n.n, CAST(1000 * CAST(cuts.a AS HUGEINT) * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = before JOIN f r ON r.lang = cuts.lang AND r.phrase = after JOIN n ON n.lang = cuts.lang),
+ best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000"""
+
+NEGATIVES = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+ORACLES = {"op2_licenses": LICENCES, "op4_secrets": SECRETS, "op5_quality": QUALITY, "op9_preference": PREFERENCE, "op10_decontaminate": CONTAMINATION, "op11_phrases": PHRASES, "op13_hard_negatives": NEGATIVES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, html_extract, lattice_lm, licenses, preference, quality, secrets, sharding, simhash
+from tessera.llm import bpe, decontaminate, hard_negatives, html_extract, lattice_lm, licenses, phrases, preference, quality, secrets, sharding, simhash, toxicity
 from tessera.llm.oracles import ORACLES
 from tessera.llm.words import documents
 
@@ -84,4 +84,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hit["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"), F.size(hit["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"), decontaminate.is_contaminated(hit).alias("contaminated"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_licenses": op2_licenses, "op3_main_text": op3_main_text, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op9_preference": op9_preference, "op10_decontaminate": op10_decontaminate}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.scored(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), name="score")
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = hard_negatives.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mined(rows, F.col("id") % 50 == 0)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_licenses": op2_licenses, "op3_main_text": op3_main_text, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op9_preference": op9_preference, "op10_decontaminate": op10_decontaminate, "op11_phrases": op11_phrases, "op12_toxicity": op12_toxicity, "op13_hard_negatives": op13_hard_negatives}
