@@ -7,6 +7,7 @@ the query's, or without a distance (a null or NaN entry, a zero vector under cos
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -173,8 +174,13 @@ def labelled(rows: DataFrame, order: str, name: str, first: int = 0) -> DataFram
     return out.withColumn(name, (F.col("__ts_label") + first).cast(kind)).drop("__ts_key", "__ts_label")
 
 
-def make_index(rows: DataFrame, descriptor: str = "Flat", metric: str = "l2", p: float = 3.0) -> FlatIndex:
-    """An index by its descriptor: ``Flat`` is the only kind."""
-    if descriptor != "Flat":
+def make_index(rows: DataFrame, descriptor: str = "Flat", metric: str = "l2", p: float = 3.0):
+    """An index by its descriptor: ``Flat``, or ``IVF<n>,Flat`` for n trained cells (train() and build() come before a search)."""
+    from tessera.operators.cell_index import CellIndex
+
+    if descriptor == "Flat":
+        return FlatIndex(rows, metric, p)
+    cells = re.fullmatch(r"IVF([1-9][0-9]*),Flat", descriptor)
+    if not cells:
         raise ValueError(f"unsupported index descriptor {descriptor}")
-    return FlatIndex(rows, metric, p)
+    return CellIndex(rows, int(cells[1]), metric)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.models import letter_vector
 from tessera.functions.vectors import METRICS, cosine_distance
 from tessera.operators.vector_index import FlatIndex, make_index
 from tessera.plans.ranking import percentiles, running, with_next
+from tessera.plans.staging import staged
 from tessera.queries import collector, table
 
 QUERIES, ORACLES, query = collector()
@@ -33,6 +35,8 @@ SQL = {
     "jaccard": f"{summed(f'least({X}, {Y})')} / {summed(f'greatest({X}, {Y})')}",
     "jensen_shannon": "0.5 * " + summed(f"CASE WHEN {X} > 0 THEN {X} * ln({X} / (({X} + {Y}) / 2)) ELSE 0 END + CASE WHEN {Y} > 0 THEN {Y} * ln({Y} / (({X} + {Y}) / 2)) ELSE 0 END"),
 }
+#: Counts of the small letters of t.
+LETTERS = "list_transform(string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ','), lambda c: CAST(length(t) - length(replace(t, c, '')) AS DOUBLE))"
 PLAIN = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 SHARES = "SELECT vec_id, list_transform(w, lambda x: x / list_sum(w)) AS v FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)) AS w FROM embeddings)"
 
@@ -82,6 +86,39 @@ for _metric in METRICS:
     query("knn_batch" if _metric == "l2" else f"knn_{_metric}", batch_sql(_metric, _rows))(batch_query(_metric))
 
 
+@query("index_trained_batch", batch_sql("l2", PLAIN))
+def index_trained_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions as knn_batch, from cells that are trained on all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return make_index(e, "IVF32,Flat").train().build().search_batch(queries).withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+@query("knn_join", f"WITH e AS ({PLAIN}), d AS (SELECT b.vec_id AS query_id, a.vec_id, round({SQL['l2']}, 9) AS x FROM e a, e b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id) AS rank FROM d) SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(x, 6) + 0 AS distance FROM r WHERE rank <= 4")
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four nearest of every vector, all against all."""
+    e = table(spark, sf_dir, "embeddings")
+    index = make_index(e, "IVF32,Flat").train().build()
+    return index.nearest_join(e.withColumnRenamed("vec_id", "query_id")).withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+def letter_index(spark: SparkSession, sf_dir: str):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), letter_vector(F.col("text")).alias("embedding"))
+    vectors = staged(docs, "letters")
+    return vectors, make_index(vectors, "IVF64,Flat", "cosine").train().build()
+
+
+@query(
+    "knn_join_documents",
+    f"""WITH w AS (SELECT doc_id AS vec_id, {LETTERS} AS v FROM (SELECT doc_id, lower(text) AS t FROM documents)), e AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS v FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM w) WHERE n > 0),
+ d AS (SELECT b.vec_id AS query_id, a.vec_id, round(1 - list_inner_product(a.v, b.v), 9) AS x FROM e a, e b), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x, vec_id) AS rank FROM d) SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(x, 6) + 0 AS distance FROM r WHERE rank <= 3""",
+)
+def knn_join_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest documents of every document by their letters: clustered vectors, of which most cells are never compared."""
+    vectors, index = letter_index(spark, sf_dir)
+    return index.nearest_join(vectors.withColumnRenamed("vec_id", "query_id"), 3).withColumn("distance", F.round("distance", 6) + 0.0)
+
+
 @query("index_stats", "SELECT count(*) AS ntotal, CAST(max(len(embedding)) AS BIGINT) AS dimension FROM embeddings")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FlatIndex(table(spark, sf_dir, "embeddings")).ntotal()

@@ -2,6 +2,7 @@ import os
 import random
 import subprocess
 import sys
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,8 +58,18 @@ def test_a_session_without_the_setting_has_its_own_folder(tmp_path):
     run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root, "SPARK_CONF_DIR": str(tmp_path)})
     said = run(code)
     assert "N 3 True" in said.stdout, said.stderr[-2000:]
-    said = run(code.replace("local[1]", "local-cluster[1,1,1024]"))
-    assert "spark.checkpoint.dir" in said.stderr and "N 3" not in said.stdout
+
+
+def test_a_cluster_without_the_setting_is_refused():
+    """A stand-in session: only its settings and master are asked."""
+    unset = types.SimpleNamespace(get=lambda name, default=None: default)
+    session = lambda master: types.SimpleNamespace(conf=unset, sparkContext=types.SimpleNamespace(getConf=lambda: unset, master=master, applicationId="test-app"))
+    for master in ("local-cluster[1,1,1024]", "spark://host:7077", "yarn", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            staging.shared_folder(session(master))
+    named = session("yarn")
+    named.conf = types.SimpleNamespace(get=lambda name, default=None: "hdfs:///shared")
+    assert staging.shared_folder(named) == "hdfs:///shared"
 
 
 def test_written_tables_can_go(spark):
