@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import tokens as K
 from tessera.functions.urls import file_name, is_supported, suffix
-from tessera.operators import chunking
+from tessera.operators import chunking, trigram_index
+from tessera.operators.token_batching import batched
 from tessera.queries import collector, table
 
 QUERIES, ORACLES, query = collector()
@@ -111,6 +112,29 @@ def text_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.find_count(text, F.lit("THE")).alias("matches"), F.get(T.find_positions(text, F.lit("THE")), 0).alias("first_at"))
 
 
+@query("text_find_indexed", "SELECT w AS wanted, doc_id, CAST((length(t) - length(replace(t, lower(w), ''))) / length(w) AS INT) AS matches, CAST(instr(t, lower(w)) AS INT) AS first_at FROM (SELECT doc_id, lower(text) AS t FROM documents), (VALUES ('THE'), ('er'), ('z'), ('tion of'), ('ing the ')) v(w) WHERE contains(t, lower(w))")
+def text_find_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted texts in all documents, from an index of trigrams; no text is read after it is written."""
+    index = trigram_index.build(table(spark, sf_dir, "documents"))
+    return trigram_index.counted(index, ["THE", "er", "z", "tion of", "ing the "]).withColumnRenamed("key", "doc_id")
+
+
+LINES = "l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
+
+
+@query(
+    "token_batches_table",
+    f"""WITH RECURSIVE {LINES}, n AS (SELECT doc_id, pos, CAST(ceil(length(line) / 4.0) AS BIGINT) AS n FROM l), s AS (SELECT doc_id, pos, n, row_number() OVER o AS i, sum(n) OVER o AS s FROM n WINDOW o AS (ORDER BY doc_id, pos ROWS UNBOUNDED PRECEDING)),
+ u AS (SELECT s, max(i) AS i FROM s GROUP BY s), p AS MATERIALIZED (SELECT y.i, greatest(coalesce(u.i, 0) + 1, y.i + 1) AS nx FROM s y ASOF LEFT JOIN u ON y.s - y.n + 8191 >= u.s),
+ r AS (SELECT CAST(1 AS BIGINT) AS i, 0 AS k UNION ALL SELECT nx, k + 1 FROM r JOIN p ON p.i = r.i WHERE nx <= (SELECT count(*) FROM s))
+ SELECT doc_id, CAST(pos AS INT) AS pos, max(r.k) OVER (ORDER BY s.i ROWS UNBOUNDED PRECEDING) + CAST((SELECT max(n) FROM s WHERE i = 1) > 8191 AS INT) AS batch FROM s LEFT JOIN r ON s.i = r.i""",
+)
+def token_batches_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of all lines of all documents, as one pass over the table in order gives them."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return batched(lines.withColumn("n", K.approximate_tokens(F.col("line"))).drop("line"), ["doc_id", "pos"], F.col("n")).select("doc_id", "pos", "batch")
+
+
 @query("unicode_escape", r"SELECT doc_id, replace(replace(text || ' 中文', '中', '\u4e2d'), '文', '\u6587') AS escaped, text || ' 中文' AS back FROM documents")
 def unicode_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", T.escaped_cjk(F.concat("text", F.lit(" 中文"))).alias("escaped"))

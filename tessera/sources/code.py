@@ -92,13 +92,15 @@ def blanked(code: str, lang: str) -> tuple[str, list[tuple[int, int]]]:
 
 def brackets(blank: str) -> dict[int, int]:
     """The closing bracket of each opening one, and the other way round; what is never closed ends with the text."""
-    pairs, stack, closes = {}, [], {")": "(", "]": "[", "}": "{"}
+    pairs, stack, closes, opened = {}, [], {")": "(", "]": "[", "}": "{"}, {"(": 0, "[": 0, "{": 0}
     for m in re.finditer(r"[][(){}]", blank):
         if m[0] in "([{":
             stack.append((m[0], m.start()))
-        elif any(kind == closes[m[0]] for kind, _ in stack[-3:]):  # at most two were left open before it
+            opened[m[0]] += 1
+        elif opened[closes[m[0]]]:  # those left open before it end with it
             while stack:
                 kind, at = stack.pop()
+                opened[kind] -= 1
                 pairs[at] = m.start()
                 if kind == closes[m[0]]:
                     pairs[m.start()] = at
@@ -230,13 +232,17 @@ def brace_definitions(code: str, lang: str) -> list[dict]:
             begin = at + 1
     if lang in SCRIPTS:  # functions of one expression
         holders = sorted((d["from"], d["to"], d["type"], d["name"]) for d in out)
+        over, known = [], 0  # definitions over the place, outermost first
         for m in ARROW.finditer(blank):
+            while known < len(holders) and holders[known][0] <= m.start():
+                over = [*(h for h in over if h[1] > holders[known][0]), holders[known]]
+                known += 1
+            over = [h for h in over if h[1] > m.start()]
             opening = max((i for i in (blank.rfind("(", 0, m.start()),) if i >= 0), default=-1)
             if m["name"] in WORDS or opening >= 0 and pairs.get(opening, -1) > m.start() and m["by"] == ":":
                 continue
-            k = bisect.bisect_right(holders, (m.start(), len(blank) + 1)) - 1
-            owner = next((h for h in reversed(holders[max(0, k - 50) : k + 1]) if h[2] == "Class" and h[0] <= m.start() < h[1]), None)
-            direct = owner and not any(h[2] != "Class" and h[0] <= m.start() < h[1] and h[0] > owner[0] for h in holders[max(0, k - 50) : k + 1])
+            owner = next((h for h in reversed(over) if h[2] == "Class"), None)
+            direct = owner and over[-1] is owner
             end = next((x.start() for x in re.compile(r"[;\n]").finditer(blank, m.end()) if not open_at(pairs, blank, m.end(), x.start())), len(blank))
             name = ("static." if m["static"] else "") + m["name"]
             line = blank.rfind("\n", 0, m.start()) + 1
@@ -375,6 +381,7 @@ def brace_parts(code: str, lang: str) -> list[str]:
     comment_starts = dict(comments)
     marks = re.compile(r"[;\n({\[]|" + (r"//|/\*|#" if comments else r"(?!)"))
     stops_line = lang in (*SCRIPTS, "go")
+    ends, goes_on = re.compile(r"[ \t]*(?:\n|\Z)"), re.compile(r"\s*(?:[.?:+*/%&|]|=>|else\b|catch\b|finally\b)")
     while at < len(blank):
         if at in comment_starts and not blank[begin:at].strip():
             cuts.append((at, comment_starts[at]))
@@ -383,11 +390,11 @@ def brace_parts(code: str, lang: str) -> list[str]:
         c = blank[at]
         if c in "({[":
             at = min(pairs.get(at, len(blank)), len(blank) - 1) + 1
-            if c == "{" and re.match(r"[ \t]*(?:\n|$)", blank[at:at + 200]):
+            if c == "{" and ends.match(blank, at):
                 cuts.append((begin, at))
                 begin = at
             continue
-        if c == ";" or c == "\n" and stops_line and blank[begin:at].strip() and not re.search(r"[=+\-*/%&|<>?:,.]\s*$", blank[begin:at][-40:]) and not re.match(r"\s*(?:[.?:+*/%&|]|=>|else\b|catch\b|finally\b)", blank[at : at + 200]):
+        if c == ";" or c == "\n" and stops_line and blank[begin:at].strip() and blank[begin:at].rstrip()[-1] not in "=+-*/%&|<>?:,." and not goes_on.match(blank, at):
             cuts.append((begin, at + (c == ";")))
             begin = at + 1
         at += 1
