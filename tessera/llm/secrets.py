@@ -6,7 +6,8 @@ corpus: what more than LIVE_OWNERS owners or LIVE_REPOSITORIES repositories hold
 candidate is added as a span of kind ``live``, a copied one is not. Every span, base ones included, carries its class and counts.
 
 Positions are code points; the end is exclusive. Null texts are empty. Null owners and repositories are values of their own.
-Repeated rows are scanned each by itself and count as one owner. Texts are scanned once; what the scan finds is written.
+Repeated rows are scanned each by itself and count as one owner. Texts are scanned once; what the scan finds is written. Any number of
+spans in one text takes work about in proportion.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import let
+from tessera.llm.words import before, let
 from tessera.plans.staging import staged
 
 #: The base patterns, and the characters that a match (``assign``: its second group) must have.
@@ -40,11 +41,8 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     between, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(gaps: Column, hits: Column) -> Column:
-        starts = F.aggregate(
-            F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit")),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, x: F.struct((acc["at"] + F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["hit"], F.lit(0))).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out")),
-        )["out"]
+        steps = F.transform(hits, lambda x, k: F.length(x) + F.length(F.get(gaps, k)))
+        starts = F.transform(before(steps, F.lit(0), lambda x, y: x + y), lambda at, k: at + F.length(F.get(gaps, k)))
         return let(starts, lambda at: F.transform(hits, lambda x, k: F.struct(F.get(at, k).alias("start"), (F.get(at, k) + F.length(x)).alias("stop"), F.lit(kind).alias("kind"), x.alias("value"))))
 
     hits = let(between, lambda gaps: let(found, lambda h: placed(gaps, h)))
@@ -58,14 +56,32 @@ def base_spans(text: Column) -> Column:
     return _in_order(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
 
 
-def candidate_spans(text: Column, base: Column) -> Column:
-    """Further candidates that no base span touches; a named value gives way to mixed runs."""
-    text = F.coalesce(text, F.lit(""))
+def with_candidates(rows: DataFrame, text: str, base: str, name: str) -> DataFrame:
+    """``rows`` with further candidates that no base span touches; a named value gives way to mixed runs."""
+    content = F.coalesce(F.col(text), F.lit(""))
     has = lambda c, *patterns: functools.reduce(lambda x, y: x & y, (c.rlike(p) for p in patterns))
-    mixed = F.filter(_spans(text, MIXED, 3), lambda s: has(s["value"], "[0-9]", "[A-Z]", "[a-z]"))
-    named = F.filter(_spans(text, NAMED, 3), lambda s: has(F.regexp_replace(s["value"], ASSIGN_HEAD, ""), "[0-9]", "[A-Za-z]"))
-    apart = lambda spans, others: F.filter(spans, lambda s: ~F.exists(others, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"])))
-    return let(base, lambda b: let(apart(mixed, b), lambda m: F.concat(m, apart(apart(named, b), m))))
+    mixed = F.filter(_spans(content, MIXED, 3), lambda s: has(s["value"], "[0-9]", "[A-Z]", "[a-z]"))
+    named = F.filter(_spans(content, NAMED, 3), lambda s: has(F.regexp_replace(s["value"], ASSIGN_HEAD, ""), "[0-9]", "[A-Za-z]"))
+    columns = rows.columns
+    rows = apart(rows.withColumn("__ts_mixed", mixed), "__ts_mixed", base)
+    rows = apart(apart(rows.withColumn("__ts_named", named), "__ts_named", base), "__ts_named", "__ts_mixed")
+    return rows.select(*columns, F.concat("__ts_mixed", "__ts_named").alias(name))
+
+
+def apart(rows: DataFrame, spans: str, others: str) -> DataFrame:
+    """``rows`` whose ``spans`` are those that none of the others touches. In one order of starts, the furthest end before a span and the next
+    start after it decide. Each step is a column, as their expressions are long."""
+    marked = lambda c, other: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(other).alias("other"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))
+    columns, far, none = rows.columns, F.lit(2**31 - 1), F.slice(F.array(F.lit(0)), 1, 0)
+    meet = (F.size(spans) > 0) & (F.size(others) > 0)
+    rows = rows.withColumn("__ts_all", F.when(meet, F.sort_array(F.concat(marked(spans, 1), marked(others, 0)))))
+    of_others = lambda field, else_: F.transform("__ts_all", lambda s: F.when(s["other"] == 0, s[field]).otherwise(else_))
+    rows = rows.withColumn("__ts_ends", F.when(meet, before(of_others("stop", 0), F.lit(0), F.greatest)).otherwise(none))
+    rows = rows.withColumn("__ts_nexts", F.when(meet, F.reverse(before(F.reverse(of_others("start", far)), far, F.least))).otherwise(none))
+    alone = lambda e, n: F.filter("__ts_all", lambda s, k: (s["other"] == 1) & (F.get(e, k) <= s["start"]) & (F.get(n, k) >= s["stop"]))
+    kept = let(F.struct(F.col("__ts_ends").alias("e"), F.col("__ts_nexts").alias("n")), lambda x: alone(x["e"], x["n"]))
+    kept = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))
+    return rows.withColumn(spans, F.when(meet, kept).otherwise(F.col(spans))).select(*columns)
 
 
 def _in_order(spans: Column) -> Column:
@@ -90,7 +106,7 @@ def spotted(docs: DataFrame, keep: list[str], owner: str, repository: list[str],
     """Columns ``keep``, then __ts_row, __ts_owner, __ts_repository, __ts_base and __ts_more (candidates), written once."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     rows = docs.select(*keep, key(owner).alias("__ts_owner"), F.concat_ws("\x1f", *(key(c) for c in repository)).alias("__ts_repository"), base_spans(F.col(text)).alias("__ts_base"), F.col(text).alias("__ts_text"))
-    rows = rows.withColumn("__ts_more", candidate_spans(F.col("__ts_text"), F.col("__ts_base"))).drop("__ts_text")
+    rows = with_candidates(rows, "__ts_text", "__ts_base", "__ts_more").drop("__ts_text")
     return staged(rows.withColumn("__ts_row", F.monotonically_increasing_id()), "candidates")
 
 
@@ -118,21 +134,24 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each stretch of touching or overlapping spans replaced."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1)["stop"], F.lit(-1)) >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["stop"], s["stop"]).alias("stop"))))).otherwise(
-            F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
-        ),
-    )
-
-    def cut(m: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), F.size(m)), lambda k: F.substring(text, F.coalesce(F.get(m, k - 1)["stop"], F.lit(0)) + 1, F.coalesce(F.get(m, k)["start"], F.length(text)) - F.coalesce(F.get(m, k - 1)["stop"], F.lit(0))))
-        return F.array_join(pieces, mask)
-
-    return F.when(F.size(spans) == 0, text).otherwise(let(merged, cut))
+def with_masks(rows: DataFrame, text: str, spans: str, name: str, mask: str = "[SECRET]") -> DataFrame:
+    """``rows`` with the text in which each stretch of touching or overlapping spans is replaced. A span that begins after all ends before it begins a
+    stretch, and ends the one before. The text is taken apart in about sqrt(n) parts first, as a cut reads all that is before it in its part."""
+    columns = [c for c in rows.columns if c != name]
+    some = F.size(spans) > 0
+    rows = rows.withColumn("__ts_ends", F.when(some, before(F.transform(spans, lambda s: s["stop"]), F.lit(-1), F.greatest)))
+    begins = let(F.col("__ts_ends"), lambda e: F.filter(F.transform(spans, lambda s, k: F.struct(s["start"].alias("start"), F.get(e, k).alias("end"))), lambda s: s["end"] < s["start"]))
+    rows = rows.withColumn("__ts_begins", begins).withColumn("__ts_last", F.array_max(F.transform(spans, lambda s: s["stop"])))
+    known = F.struct(F.col("__ts_begins").alias("b"), F.col("__ts_last").alias("last"), F.length(text).alias("size"))
+    rows = rows.withColumn("__ts_cuts", let(known, lambda x: F.transform(x["b"], lambda s, k: F.struct(s["start"].alias("start"), F.coalesce(F.get(x["b"], k + 1)["end"], x["last"]).alias("stop"), F.coalesce(F.get(x["b"], k + 1)["start"], x["size"]).alias("next")))))
+    share = lambda c: F.ceil(F.sqrt(F.size(c))).cast("int")
+    dealt = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / share(c)).cast("int")), lambda k: F.slice(c, k * share(c) + 1, share(c)))
+    rows = rows.withColumn("__ts_parts", F.when(some, let(F.col("__ts_cuts"), dealt)))
+    whole = lambda own: F.substring(text, F.get(own, 0)["start"] + 1, F.element_at(own, -1)["next"] - F.get(own, 0)["start"])
+    rows = rows.withColumn("__ts_parts", F.transform("__ts_parts", lambda own: F.struct(own.alias("cuts"), F.get(own, 0)["start"].alias("first"), whole(own).alias("whole"))))
+    cut = lambda p: F.array_join(F.transform(p["cuts"], lambda s: F.concat(F.lit(mask), F.substring(p["whole"], s["stop"] - p["first"] + 1, s["next"] - s["stop"]))), "")
+    new = F.concat(F.substring(text, F.lit(1), F.get("__ts_cuts", 0)["start"]), F.array_join(F.transform("__ts_parts", cut), ""))
+    return rows.withColumn(name, F.when(some, new).otherwise(F.col(text))).select(*columns, name)
 
 
 def redacted(docs: DataFrame, owner: str = "source", repository: list[str] = ("source", "lang"), text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -143,7 +162,7 @@ def redacted(docs: DataFrame, owner: str = "source", repository: list[str] = ("s
     touched = (F.size("__ts_base") > 0) | (F.size("__ts_more") > 0)
     found = classed(rows.where(touched))
     out = rows.where(touched).join(found, F.col("__ts_row") == F.col("__ts_of"), "left")
-    out = out.withColumn("__ts_new", F.when(F.col("__ts_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("__ts_spans"))))
+    out = with_masks(out, text, "__ts_spans", "__ts_new")
     if n_chars in columns:
         out = out.withColumn(n_chars, F.when(F.col("__ts_spans").isNotNull(), F.length("__ts_new").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
     return rows.where(~touched).select(*columns).unionByName(out.withColumn(text, F.col("__ts_new")).select(*columns))
