@@ -81,15 +81,15 @@ def with_next(df: DataFrame, groups: list[str], order: list[str], column: str, n
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, share: float, name: str, bucket: Column | None = None) -> DataFrame:
-    """Rows (groups, ``name``): the exact percentile of each group's values that are not null, between two neighbours in proportion."""
-    kept = df.where(F.col(value).isNotNull()).select(*groups, value)
-    placed = running(kept, groups, [value], F.lit(1).cast("long"), "__ts_place", bucket)
-    sizes = kept.groupBy(*(F.col(g).alias(f"__ts_g_{g}") for g in groups)).agg((F.count(F.lit(1)) - 1).alias("__ts_top"))
+    """Rows (groups, ``name``): the exact percentile of each group's values that are not null, between two neighbours in proportion.
+    Equal values are one row with their number, so that no value is hot."""
+    kept = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__ts_n"))
+    placed = running(kept, groups, [value], F.col("__ts_n"), "__ts_place", bucket)
+    sizes = kept.groupBy(*(F.col(g).alias(f"__ts_g_{g}") for g in groups)).agg((F.sum("__ts_n") - 1).alias("__ts_top"))
     same = F.lit(True)
     for g in groups:
         same = same & placed[g].eqNullSafe(sizes[f"__ts_g_{g}"])
     at = F.col("__ts_top") * F.lit(share)
-    near = placed.join(sizes, same).where(F.col("__ts_place").between(F.floor(at), F.floor(at) + 1)).withColumn("__ts_at", at)
-    low, high = F.min_by(value, "__ts_place"), F.max_by(value, "__ts_place")
-    part = F.max("__ts_at") - F.floor(F.max("__ts_at"))
-    return near.groupBy(*groups).agg((low + (high - low) * F.when(F.count(F.lit(1)) > 1, part).otherwise(0.0)).alias(name))
+    near = placed.join(sizes, same).where((F.col("__ts_place") <= F.floor(at) + 1) & (F.col("__ts_place") + F.col("__ts_n") > F.floor(at))).withColumn("__ts_at", at)
+    low, high = F.min_by(value, "__ts_place"), F.max_by(value, "__ts_place")  # one row holds both places, or two hold one each
+    return near.groupBy(*groups).agg((low + (high - low) * (F.max("__ts_at") - F.floor(F.max("__ts_at")))).alias(name))

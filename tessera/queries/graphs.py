@@ -35,7 +35,8 @@ def bfs_sql(level: int) -> str:
 
 def bfs(level: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = G.search_calls(staged(edges(spark, sf_dir), "edges"), "USER 14", level)  # each step reads them
+        e = edges(spark, sf_dir)
+        found = G.search_calls(staged(e, "edges") if level > 2 else e, "USER 14", level)  # each step reads them
         return found.select("level", "ord", "head_id", "tail_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
 
     return run

@@ -171,7 +171,7 @@ def adjacent_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("semantic_breakpoints", f"WITH {NEXT}, t AS (SELECT label, round(quantile_cont(distance, 0.8), 9) AS t FROM g GROUP BY label), b AS (SELECT vec_id, g.label, CASE WHEN distance > t THEN 1 ELSE 0 END AS brk FROM g JOIN t ON g.label = t.label) SELECT vec_id, label, CAST(coalesce(sum(brk) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chunk_id FROM b")
 def semantic_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a table rather than a document's array: chunks of each label's vectors, in the order of their ids."""
-    d = with_distance(table(spark, sf_dir, "embeddings")).select("vec_id", "label", "distance")
+    d = staged(with_distance(table(spark, sf_dir, "embeddings")).select("vec_id", "label", "distance"), "distances")  # read three times
     limits = percentiles(d, ["label"], "distance", 0.8, "t", F.floor(F.col("distance") * 10_000)).withColumn("t", F.round("t", 9))
     broken = F.when(F.col("distance") > F.col("t"), F.lit(1)).otherwise(0).cast("long")
     return running(d.join(limits, "label"), ["label"], ["vec_id"], broken, "chunk_id", id_run()).select("vec_id", "label", "chunk_id")
