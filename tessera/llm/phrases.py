@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.process_cache import only
+from tessera.functions.process_cache import give_back, only
 from tessera.llm.words import slices
 from tessera.plans.staging import recorded, remove, staged
 
@@ -51,8 +51,10 @@ def byte_table() -> bytes:
 
 
 def shrunk(values) -> bytes:
-    """An array of numbers, compressed."""
-    content = values if isinstance(values, bytes) else values.tobytes()
+    """Bytes, or an array of numbers byte by byte (all lowest bytes first), compressed."""
+    import numpy as np
+
+    content = values if isinstance(values, bytes) else np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
     return len(content).to_bytes(8, "little") + pa.compress(content, codec="zstd", asbytes=True)
 
 
@@ -60,7 +62,7 @@ def grown(content: bytes, kind=None):
     import numpy as np
 
     content = pa.decompress(content[8:], int.from_bytes(content[:8], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(content, kind) if kind else content
+    return np.frombuffer(content, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel() if kind else content
 
 
 def packed(at, lengths) -> bytes:
@@ -175,6 +177,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                     place, held = place + 1, Block()
         if held.n:
             yield from held.rows(task << PLACE_BITS | place, share)
+        del held
+        give_back()
 
     return staged(rows.mapInArrow(run, BLOCKS), "words")
 
@@ -207,7 +211,7 @@ def summed(counts: DataFrame, least: int, share: int, whole_words: bool) -> Data
             if whole_words:
                 firsts += grown(row["first"]).split(b"\n")
             else:
-                firsts.append(grown(row["first"], np.int64))
+                firsts.append(np.cumsum(grown(row["first"], np.int64)))
                 seconds.append(grown(row["second"], np.int64))
         n = np.concatenate(ns).astype(np.int64)
         if whole_words:
@@ -287,7 +291,7 @@ def candidates(lists: DataFrame, share: int) -> DataFrame:
             parts = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(bucket)])]
             for i in range(0, len(parts), 1_000):
                 own = parts[i : i + 1_000]
-                columns = [bucket[starts[i : i + 1_000]], np.full(len(own), batch.column("block")[0].as_py()), [shrunk(prefix[p]) for p in own], [shrunk(suffix[p]) for p in own], [shrunk(n[p].astype(np.int32)) for p in own]]
+                columns = [bucket[starts[i : i + 1_000]], np.full(len(own), batch.column("block")[0].as_py()), [shrunk(np.diff(prefix[p], prepend=0)) for p in own], [shrunk(suffix[p]) for p in own], [shrunk(n[p].astype(np.int32)) for p in own]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "first", "second", "n"])
 
     return lists.mapInArrow(run, COUNTS)
