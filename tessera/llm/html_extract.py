@@ -366,8 +366,8 @@ def extract(pages: list[str], model: tuple[Boosted, list[float]]) -> list[str]:
     return out
 
 
-def made_page(rnd: random.Random) -> tuple[str, list[tuple[str, bool]]]:
-    """A page from the seed: its HTML and its blocks, each with whether it is main text."""
+def made_page(rnd: random.Random, withheld: bool = False) -> tuple[str, list[tuple[str, bool]]]:
+    """A page from the seed: its HTML and its blocks, each with whether it is main text. ``withheld``: names tell nothing."""
     blocks: list[tuple[str, bool]] = []
     syllable = lambda: rnd.choice("ka lo mi ter sun ve pra ol in est ar do we qui zo bel".split())
     word = lambda: "".join(syllable() for _ in range(rnd.randint(1, 4)))
@@ -384,11 +384,22 @@ def made_page(rnd: random.Random) -> tuple[str, list[tuple[str, bool]]]:
     def links(n):
         out = ""
         for _ in range(n):
-            t = sentence(rnd.randint(1, 3), False)
+            t = sentence(rnd.randint(1, 3), rnd.random() < 0.2)
             blocks.append((t, False))
             out += f'<li><a href="/{word()}">{t}</a></li>'
         return f"<ul>{out}</ul>"
 
+    def heading():
+        return block(rnd.choice(["h3", "h4", "h5"]), sentence(rnd.randint(1, 3), False), False) if rnd.random() < 0.4 else ""
+
+    def remark():
+        """A reader's comment: a name, perhaps, and what is said."""
+        if rnd.random() < 0.5:
+            return note(1)
+        name = sentence(rnd.randint(1, 2), False)
+        blocks.append((name, False))
+        return f"<{rnd.choice(['b', 'span', 'strong'])}>{name}</b></span></strong>" + block("p", " ".join(sentence() for _ in range(rnd.randint(1, 2))), False)
+
     def note(n=None):
         return "".join(block(rnd.choice(["p", "div"]), " ".join(sentence() for _ in range(rnd.randint(1, 3))), False) for _ in range(n or rnd.randint(1, 3)))
 
@@ -399,15 +410,29 @@ def made_page(rnd: random.Random) -> tuple[str, list[tuple[str, bool]]]:
 
     def named(kinds, inner, tags="div section ul".split()):
         tag, name = rnd.choice(tags), rnd.choice(kinds)
+        if withheld:
+            return opaque(tag, inner)
         name = rnd.choice([name, f"{word()}-{name}", f"site-{name}", f"{name} {word()}", f"{name}_{rnd.randint(1, 9)}"])
         return f'<{tag} {rnd.choice(["class", "class", "id", "role"])}="{name}">{inner}</{tag}>'
 
+    def opaque(tag, inner):
+        name = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(1, 9)))
+        return f"<{tag}>{inner}</{tag}>" if rnd.random() < 0.2 else f'<{tag} {rnd.choice(["class", "id"])}="{name}{rnd.randint(0, 99)}">{inner}</{tag}>'
+
+    def menu(n):
+        """Links with or without a list around them."""
+        if rnd.random() < 0.5:
+            return links(n)
+        words = [sentence(rnd.randint(1, 2), rnd.random() < 0.2) for _ in range(n)]
+        blocks.append((" ".join(words), False))
+        return " ".join(f'<a href="/{word()}">{w}</a>' for w in words)
+
     def noise():
         kind = rnd.randint(0, 9)
         if kind == 0:
             return f"<aside>{rnd.choice([note(), links(rnd.randint(1, 8))])}</aside>"
         if kind == 1:
-            return named(["sidebar", "related", "widget", "recommended", "aside", "promoted", "outbrain", "taboola", "carousel", "more-links"], rnd.choice([links, note])(rnd.randint(1, 6)))
+            return named(["sidebar", "related", "widget", "recommended", "aside", "promoted", "outbrain", "taboola", "carousel", "more-links"], heading() + rnd.choice([links, note])(rnd.randint(1, 6)))
         if kind in (2, 3):
             return named(["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "banner", "adv", "donate"], rnd.choice([note, bare])(1), ["div"])
         if kind == 4:
@@ -417,7 +442,7 @@ def made_page(rnd: random.Random) -> tuple[str, list[tuple[str, bool]]]:
         if kind == 6:
             return f"<form action=/s><label>{bare(1)}</label><input></form>"
         if kind == 7:
-            return named(["comments", "comment-list", "replies", "discussion", "respond", "disqus", "feedback", "shout"], "".join(named(["comment", "reply"], note(1), ["div", "li"]) for _ in range(rnd.randint(1, 4))), ["div", "section"])
+            return named(["comments", "comment-list", "replies", "discussion", "respond", "disqus", "feedback", "shout"], heading() + "".join(named(["comment", "reply"], remark(), ["div", "li"]) for _ in range(rnd.randint(1, 4))), ["div", "section"])
         if kind == 8:
             return named(["share", "sharing", "social", "tags", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar", "tools"], links(rnd.randint(1, 5)))
         return named(["menu", "nav", "navbar", "navigation", "topbar", "masthead", "skip-links"], links(rnd.randint(1, 9)))
@@ -450,7 +475,13 @@ def made_page(rnd: random.Random) -> tuple[str, list[tuple[str, bool]]]:
     wrap = rnd.random()
     inner = body()
     tag = rnd.choice(["div", "div", "div", "section"])
-    if wrap < 0.35:
+    if withheld:
+        html += opaque("div", menu(rnd.randint(1, 9))) if rnd.random() < 0.5 else ""
+        cells = [f"<td>{inner}</td>"] if wrap > 0.7 else []
+        if cells and rnd.random() < 0.7:
+            cells.insert(rnd.randint(0, 1), f"<td>{menu(rnd.randint(1, 9))}</td>")
+        inner = f"<table><tr>{''.join(cells)}</tr></table>" if cells else f"<article>{inner}</article>" if wrap < 0.1 else opaque(tag, inner)
+    elif wrap < 0.35:
         inner = f"<article>{inner}</article>"
     elif wrap < 0.5:
         inner = f"<main>{inner}{noise() if rnd.random() < 0.3 else ''}</main>"
@@ -491,13 +522,14 @@ def labelled(page: str, truth: list[tuple[str, bool]]) -> tuple[list[Node], list
 
 
 def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> tuple[Boosted, list[float]]:
-    """Evidence of hints from one half of the made pages, and trees fitted to the other half with it."""
+    """Evidence of hints from one half of the made pages, and trees fitted to the other half with it. In half of the latter names tell
+    nothing, so that the trees learn what links, sizes and places say by themselves."""
     import math
 
     import numpy as np
 
     rnd = random.Random(seed)
-    made = [labelled(*made_page(rnd)) for _ in range(pages)]
+    made = [labelled(*made_page(rnd, k % 4 == 1)) for k in range(pages)]
     seen = [[0, 0] for _ in range(BUCKETS)]
     for nodes, _, _, labels in made[::2]:
         for n, label in zip(nodes, labels):

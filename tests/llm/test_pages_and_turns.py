@@ -135,6 +135,44 @@ def test_pages_of_other_construction():
     assert right / wanted > 0.97 and right / found > 0.97
 
 
+def without_names(page, rnd):
+    """The page with letters drawn at random for each class and id."""
+    name = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(1, 7))) + str(rnd.randint(0, 99))
+    return re.sub(r"""\b(class|id)=("[^"]*"|[\w-]+)""", lambda m: f'{m[1]}="{name()}"', page)
+
+
+def test_pages_whose_names_tell_nothing():
+    rnd, names = random.Random(77), random.Random(5)
+    right = found = wanted = 0
+    for _ in range(200):
+        page, main = other_page(rnd)
+        got = html_extract.extract([without_names(page, names)], html_extract.trained_once())[0].split("\n")
+        right += sum(len(x) for x in got if x in main)
+        found += sum(map(len, got))
+        wanted += sum(map(len, main))
+    print(f"recall {right / wanted:.4f}, precision {right / found:.4f}")
+    assert right / wanted > 0.97 and right / found > 0.97
+
+
+RIVER = [
+    "The river", "The river rises in the hills north of the town and runs for forty miles. It feeds two mills on its way.",
+    "In spring the water carries silt over the meadows, and farmers wait for it. They say that a dry year costs them more than a flood.",
+    "Last year the council built a second bridge, which opened in May. Traffic has halved since then, as the mayor said on Monday.",
+]
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<div class=x1><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></div><div class=x2>%s</div>", "<div class=inhalt>%s</div><div class=seitenleiste><ul><li><a href=/m>Mehr</a><li><a href=/w>Wetter</a></ul></div>",
+        "<table><tr><td><a href=/>Home</a> <a href=/m>More</a></td><td>%s</td></tr></table>", "<table><tr><td><ul><li><a href=/>Home</a><li><a href=/m>More</a></ul></td><td>%s</td></tr></table>",
+    ],
+)
+def test_menus_without_telling_names(frame):
+    page = frame % (f"<h1>{RIVER[0]}</h1>" + "".join(f"<p>{x}</p>" for x in RIVER[1:]))
+    assert html_extract.extract([f"<html><body>{page}</body></html>"], html_extract.trained_once())[0].split("\n") == RIVER
+
+
 def spark_hash(*values):
     import xxhash
 
