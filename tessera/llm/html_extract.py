@@ -8,8 +8,8 @@ learned from labelled pages, so that no list of good or bad names is given. Deco
 element is kept inside one that is not. Kept elements' blocks are joined by a line break, white space inside a block (Unicode's) is one
 space.
 
-Evidence and trees are trained on TRAINING_PAGES pages that this module makes from a seed, with known main text; that is the bound on
-the sample. They are trained once on the driver and broadcast.
+Evidence and trees are trained on TRAINING_PAGES pages that this module makes from a seed, with known main text, and on WITHHELD_PAGES
+whose classes and ids are random letters; that is the bound on the sample. They are trained once on the driver and broadcast.
 
 Null and empty pages have the empty text. Pages are never cut; nesting is handled without recursion. Repeated rows and
 pages are extracted alike.
@@ -33,7 +33,7 @@ from tessera.functions.process_cache import kept, only
 from tessera.llm.boosting import Boosted
 from tessera.llm.words import slices
 
-TRAINING_PAGES, SEED = 2000, 11
+TRAINING_PAGES, WITHHELD_PAGES, SEED = 4000, 300, 11
 
 #: Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -367,7 +367,8 @@ def extract(pages: list[str], model: tuple[Boosted, list[float]]) -> list[str]:
 
 
 def made_page(rnd: random.Random, withheld: bool = False) -> tuple[str, list[tuple[str, bool]]]:
-    """A page from the seed: its HTML and its blocks, each with whether it is main text. ``withheld``: names tell nothing."""
+    """A page from the seed: its HTML and its blocks, each with whether it is main text. ``withheld``: names tell nothing, and what is
+    not main text has headings and full stops as well."""
     blocks: list[tuple[str, bool]] = []
     syllable = lambda: rnd.choice("ka lo mi ter sun ve pra ol in est ar do we qui zo bel".split())
     word = lambda: "".join(syllable() for _ in range(rnd.randint(1, 4)))
@@ -384,17 +385,17 @@ def made_page(rnd: random.Random, withheld: bool = False) -> tuple[str, list[tup
     def links(n):
         out = ""
         for _ in range(n):
-            t = sentence(rnd.randint(1, 3), rnd.random() < 0.2)
+            t = sentence(rnd.randint(1, 3), withheld and rnd.random() < 0.2)
             blocks.append((t, False))
             out += f'<li><a href="/{word()}">{t}</a></li>'
         return f"<ul>{out}</ul>"
 
     def heading():
-        return block(rnd.choice(["h3", "h4", "h5"]), sentence(rnd.randint(1, 3), False), False) if rnd.random() < 0.4 else ""
+        return block(rnd.choice(["h3", "h4", "h5"]), sentence(rnd.randint(1, 3), False), False) if withheld and rnd.random() < 0.4 else ""
 
     def remark():
         """A reader's comment: a name, perhaps, and what is said."""
-        if rnd.random() < 0.5:
+        if not withheld or rnd.random() < 0.5:
             return note(1)
         name = sentence(rnd.randint(1, 2), False)
         blocks.append((name, False))
@@ -521,15 +522,16 @@ def labelled(page: str, truth: list[tuple[str, bool]]) -> tuple[list[Node], list
     return nodes, runs, blocks, [main(n.index, n) if n.parent and size[n.index] else None for n in nodes]
 
 
-def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> tuple[Boosted, list[float]]:
-    """Evidence of hints from one half of the made pages, and trees fitted to the other half with it. In half of the latter names tell
-    nothing, so that the trees learn what links, sizes and places say by themselves."""
+def trained(pages: int = TRAINING_PAGES, seed: int = SEED, withheld: int = WITHHELD_PAGES) -> tuple[Boosted, list[float]]:
+    """Evidence of hints from one half of the made pages, and trees fitted to the other half with it and to further pages whose names
+    tell nothing, so that the trees learn what links, sizes and places say by themselves."""
     import math
 
     import numpy as np
 
     rnd = random.Random(seed)
-    made = [labelled(*made_page(rnd, k % 4 == 1)) for k in range(pages)]
+    made = [labelled(*made_page(rnd)) for _ in range(pages)]
+    opaque = [labelled(*made_page(rnd, True)) for _ in range(withheld)]
     seen = [[0, 0] for _ in range(BUCKETS)]
     for nodes, _, _, labels in made[::2]:
         for n, label in zip(nodes, labels):
@@ -541,17 +543,17 @@ def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> tuple[Boosted, lis
     odds = lambda b, g: math.log((g + DOUBT * rate) / (b + DOUBT * (1 - rate))) - math.log(rate / (1 - rate))
     evidence = [odds(*x) for x in seen]
     rows, wanted = [], []
-    for nodes, runs, blocks, labels in made[1::2]:
+    for nodes, runs, blocks, labels in made[1::2] + opaque:
         for row, label in zip(features(nodes, runs, blocks, evidence), labels):
             if label is not None:
                 rows.append(row)
                 wanted.append(label)
-    return Boosted().fit(np.array(rows, dtype=float), np.array(wanted, dtype=float)), evidence
+    return Boosted(rounds=100).fit(np.array(rows, dtype=float), np.array(wanted, dtype=float)), evidence
 
 
 def trained_once() -> tuple[Boosted, list[float]]:
     """trained(), kept by the process."""
-    return kept("html-trees", (TRAINING_PAGES, SEED), trained)
+    return kept("html-trees", (TRAINING_PAGES, SEED, WITHHELD_PAGES), trained)
 
 
 def main_text(html: Column, shared) -> Column:
