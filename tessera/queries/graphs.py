@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import call_graph as G
+from tessera.operators import import_graph
 from tessera.operators.chunking import code_chunks
 from tessera.plans.ranking import with_next
 from tessera.plans.staging import staged
@@ -89,6 +90,39 @@ def module_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolved_modules(spark.createDataFrame(IMPORTS, "file string, module string"), spark.createDataFrame(FILES, "path string"))
 
 
+IMPORTED = "i AS (SELECT o_custkey AS file, o_orderkey // 10 AS target FROM orders)"
+
+
+@query(
+    "import_scope",
+    f"""WITH RECURSIVE {IMPORTED}, r AS (SELECT min(file) AS file FROM i UNION SELECT target FROM r JOIN i ON r.file = i.file)
+ SELECT r.file, count(i.target) AS imports FROM r LEFT JOIN i ON r.file = i.file GROUP BY r.file""",
+)
+def import_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files and their orders as imports, which make cycles: the files that the first one reaches, with their imports."""
+    imports = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.floor(F.col("o_orderkey") / 10).alias("target"))
+    scope = import_graph.reached(imports.agg(F.min("file").alias("entry")), imports)
+    counted = import_graph.in_scope(imports, scope).groupBy("file").agg(F.count("target").alias("imports"))
+    return scope.select("file").join(counted, "file", "left").select("file", F.coalesce("imports", F.lit(0)).alias("imports"))
+
+
+PASSED = "CASE o_orderkey % 10 WHEN 0 THEN o_orderkey + 1 WHEN 1 THEN o_orderkey - 1 ELSE o_orderkey // 2 END"
+
+
+@query(
+    "passed_names",
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey AS file, o_orderstatus = 'F' AS own, {PASSED} AS target FROM orders),
+ r AS (SELECT file, file AS at FROM o UNION SELECT r.file, o.target FROM r JOIN o ON r.at = o.file WHERE NOT own),
+ d AS (SELECT r.file, r.at FROM r JOIN o ON r.at = o.file WHERE own)
+ SELECT o.file, d.at AS def_file, CASE WHEN d.at IS NOT NULL THEN 'n' || d.at END AS def_name FROM o LEFT JOIN d ON o.file = d.file""",
+)
+def passed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files that export a name: finished ones define it, the others pass it on, some in circles."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"), "o_orderstatus", F.expr(PASSED.replace("o_orderkey // 2", "o_orderkey div 2")).alias("target"))
+    passed = o.withColumn("target_name", F.concat(F.lit("n"), F.col("target").cast("string")))
+    return import_graph.defined_at(passed.where("o_orderstatus <> 'F'"), o.where("o_orderstatus = 'F'")).select("file", "def_file", "def_name")
+
+
 PYTHON = "class A:\n    def __init__(self):\n        self.b()\n\n    def b(self):\n        return f(1)\n\n\ndef f(x):\n    return x\n"
 SCRIPT = "class B {\n  constructor(x) { this.go(); }\n  go() { g(1); }\n}\nfunction g(a) { return h(a); }\nconst h = (a) => { return a; };\n"
 
