@@ -126,6 +126,33 @@ def stream_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through_stream(spark, sf_dir, deltas.first_chunks, "complete")
 
 
+@query("stream_joined", f"SELECT stream_id, coalesce(string_agg(chunk, '' ORDER BY seq), '') AS content, count(*) AS chunks, CAST(stream_id AS BIGINT) % 5 <> 0 AND min(seq) = 0 AND max(seq) + 1 = count(*) AS ended FROM ({DELTAS}) GROUP BY stream_id")
+def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's turns as deltas that come twice and late turns first; a fifth of the streams never gets its end mark and is given up
+    after the query was stopped and started again."""
+    from tessera.plans.staging import scratch
+    from tessera.streaming import sessions
+
+    out = scratch(spark, "joined")
+    turns = table(spark, sf_dir, "conversations")
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("end"))
+    sent = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn"))
+    marked = F.when(F.col("conv_id") % 5 != 0, F.col("turn") == F.col("end")).otherwise(False)
+    rows = turns.join(ends, "conv_id").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.col("text").alias("chunk"), marked.alias("last"), sent.alias("sent_at"))
+    nobody = spark.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in (("stream_id", "string"), ("seq", "long"), ("chunk", "string"), ("last", "boolean"))), F.timestamp_seconds(F.lit(1_800_000_000)).alias("sent_at"))
+    setting, store = "spark.sql.streaming.stateStore.providerClass", sessions.STATE_STORE
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, store)
+    try:
+        for part in (rows.where("seq % 2 = 1"), rows, nobody):
+            part.write.mode("append").parquet(f"{out}/deltas")
+            whole = sessions.joined(deltas.watched(spark, f"{out}/deltas", sessions.ENDED_DELTA, files_per_batch=8), "1 day")
+            deltas.relayed(whole, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"), f"{out}/checkpoint", "append").awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
 @query("dir_watch", "SELECT conv_id, turn, role FROM conversations")
 def dir_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's files as they are found by a file stream."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.models import letter_vector
 from tessera.functions.vectors import METRICS, cosine_distance
+from tessera.operators.label_bitmaps import relabelled
 from tessera.operators.vector_index import FlatIndex, make_index
 from tessera.plans.ranking import percentiles, running, with_next
 from tessera.plans.staging import staged
@@ -144,6 +145,14 @@ def index_remove_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.rows.crossJoin(removed).select("vec_id", "old_id", "removed")  # one row on the right
 
 
+@query("index_remove_by_bitmap", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, vec_id AS old_id, len(embedding) AS size, (SELECT count(*) FROM embeddings WHERE label % 3 = 1) AS removed FROM embeddings WHERE label % 3 <> 1 OR label IS NULL")
+def index_remove_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As index_remove_ids, without moving the vectors: their new labels are counted from bits."""
+    e = table(spark, sf_dir, "embeddings").withColumn("old_id", F.col("vec_id"))
+    left, removed = relabelled(e, e.where("label % 3 = 1").select("vec_id"), "vec_id")
+    return left.crossJoin(removed).select("vec_id", "old_id", F.size("embedding").cast("long").alias("size"), "removed")  # one row on the right
+
+
 @query("index_add", "SELECT vec_id, label FROM embeddings UNION ALL SELECT (SELECT count(*) FROM embeddings) + row_number() OVER (ORDER BY vec_id) - 1, label + 100 FROM embeddings")
 def index_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
