@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tessera.operators import call_graph, catalog, embedding
 from tessera.operators.vector_index import make_index
 from tessera.plans.staging import scratch
 from tessera.queries import collector, table
-from tessera.sources import code, remote, store
+from tessera.sources import code, connectors, remote, store
 from tessera.sources import files as S
 
 QUERIES, ORACLES, query = collector()
@@ -166,6 +168,30 @@ def code_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.documents(spark, supplier_files(spark, sf_dir, "code"), "code").select("file_name", "suffix", "content")
 
 
+@query("folder_files", f"SELECT 'n' || s_nationkey || '/r' || s_suppkey % 2 AS folder, 's' || s_suppkey || {SUPPLIERS} AS name, octet_length(encode(s_name)) AS size, s_name AS content FROM supplier WHERE s_nationkey BETWEEN 10 AND 19 AND s_suppkey % 3 = 0")
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree that a sink with a commit wrote, read by folder: only the folders below n1... are listed, only files of one ending are read."""
+    connectors.register(spark)
+    target = folder(spark, "tree")
+    name = text_of("n", F.col("s_nationkey"), "/r", F.col("s_suppkey") % 2, "/s", F.col("s_suppkey"), F.element_at(F.array(*map(F.lit, (".py", ".ts", ".txt"))), (F.col("s_suppkey") % 3 + 1).cast("int")))
+    table(spark, sf_dir, "supplier").select(name.alias("path"), F.encode("s_name", "UTF-8").alias("content")).write.format("whole_files").mode("append").save(target)
+    found = spark.read.format("file_tree").load(target).where("folder like 'n1%' and folder not like 'n1/%' and name like '%.py'")
+    return found.select("folder", "name", "size", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("relayed_answers", "SELECT CAST(doc_id AS VARCHAR) AS stream_id, CAST(i AS BIGINT) AS seq, CASE i WHEN 0 THEN 'answer ' WHEN 1 THEN source || ' ' ELSE lang END AS chunk, i = 2 AS last FROM documents, (SELECT unnest([0, 1, 2]) AS i) WHERE source IS NOT NULL AND lang IS NOT NULL")
+def relayed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of a model's pieces to prompts that come in two lots, handed on by a sink that commits; the query stops in between."""
+    connectors.register(spark, lambda prompt: ("answer ", *re.findall(r".*? |.+", prompt)))
+    here = folder(spark, "relay")
+    prompts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("stream_id"), text_of(F.col("source"), " ", F.col("lang")).alias("prompt"), F.col("doc_id") % 2).where("prompt is not null")
+    for lot in (0, 1):
+        prompts.where(F.col("(doc_id % 2)") == lot).select("stream_id", "prompt").write.parquet(f"{here}/prompts/lot={lot}")
+        pieces = spark.readStream.format("model_deltas").load(f"{here}/prompts")
+        pieces.writeStream.format("relay").option("path", f"{here}/said").option("checkpointLocation", f"{here}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("stream_id string, seq long, chunk string, last boolean").json(f"{here}/said").drop("batch")
+
+
 @query("text_tree", "SELECT 's' || s_suppkey || '.txt' AS file_name, s_name AS content FROM supplier WHERE s_suppkey % 3 = 2")
 def text_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.text_files(spark, supplier_files(spark, sf_dir, "text")).select("file_name", "content")

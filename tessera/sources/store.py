@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -21,11 +23,45 @@ def exists(spark: SparkSession, store: str, resource: str) -> bool:
     return rows is not None and not rows.where(F.col("resource") == resource).isEmpty()
 
 
+def _folder(spark: SparkSession, store: str, name: str):
+    """A Hadoop path in the store and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store, name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _claim(spark: SparkSession, store: str, resource: str):
+    """The path of a resource's claim; Parquet readers skip it, as its folder begins with an underscore."""
+    return _folder(spark, store, "_claims/" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(resource))
+
+
+def claimed(spark: SparkSession, store: str, resource: str) -> bool:
+    """Take a resource's name, once: of all that ask at a time one gets it. On a local disk the file is made by the system's own exclusive
+    creation, elsewhere by the file system's (HDFS and object stores with conditional writes; others check first)."""
+    path, system = _claim(spark, store, resource)
+    system.mkdirs(path.getParent())
+    if system.getUri().getScheme() == "file":
+        try:
+            os.close(os.open(path.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    return system.createNewFile(path)
+
+
 def save(rows: DataFrame, store: str, resource: str) -> None:
-    """Append a resource; one of that name must not be stored yet."""
-    if exists(rows.sparkSession, store, resource):
+    """Append a resource. One of that name must neither be stored nor be in the making by another saver: both raise FileExistsError. The name
+    is free again when the write fails; after a driver that died in a write, delete() frees it."""
+    spark = rows.sparkSession
+    if not claimed(spark, store, resource):
         raise FileExistsError(resource)
-    rows.withColumn("resource", F.lit(resource)).write.mode("append").partitionBy("resource").parquet(store)
+    try:
+        if exists(spark, store, resource):  # stored before claims were kept
+            raise FileExistsError(resource)
+        rows.withColumn("resource", F.lit(resource)).write.mode("append").partitionBy("resource").parquet(store)
+    except BaseException:
+        path, system = _claim(spark, store, resource)
+        system.delete(path, False)
+        raise
 
 
 def load(spark: SparkSession, store: str, resource: str) -> DataFrame:
@@ -34,14 +70,13 @@ def load(spark: SparkSession, store: str, resource: str) -> DataFrame:
 
 
 def delete(spark: SparkSession, store: str, resource: str) -> None:
-    """Remove a resource's partition."""
-    rows = _rows(spark, store)
-    if rows is None:
-        return
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(store, "resource=" + jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(resource))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    spark.catalog.refreshByPath(store)
+    """Remove a resource's partition, then free its name."""
+    if _rows(spark, store) is not None:
+        path, system = _folder(spark, store, "resource=" + spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(resource))
+        system.delete(path, True)
+        spark.catalog.refreshByPath(store)
+    path, system = _claim(spark, store, resource)
+    system.delete(path, False)
 
 
 #: Bytes of an index up to which it may pass through the driver.
