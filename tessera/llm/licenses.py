@@ -4,7 +4,8 @@ Of each whole text the lines and blocks (runs of lines without a blank one) that
 whole text of a licence file. Each is a sparse vector, weighted by the templates' inverse document frequency, and meets the templates
 in a join on the term (the templates are a fixed table of a few hundred terms). Other words beside a notice dilute it, and a notice
 may go on in the next line; so each short template also meets windows of a block: they begin and end with a term of it, are up to
-EXTRA terms longer, and hold a mark of it, a term that fewest licences have. A file's own licence is its best unit's or window's, from
+EXTRA terms longer, and hold a mark of it, a term that fewest licences have. A longer template meets windows of its own length that begin
+where one of its first LEADING terms stands in its place; a long notice without any of these is found by its lines and blocks only. A file's own licence is its best unit's or window's, from
 a cosine of THRESHOLD on. A directory's licence is the best of its licence files; a file without one takes that
 of the nearest directory above that has one, by a join on paths of distinct directories only.
 
@@ -57,8 +58,9 @@ TEXTS = {
 SPEAKS = r"(?i)licen[sc]e|spdx|copyright|all[\s#*/]+rights[\s#*/]+reserved|public[\s#*/]+domain|permission[\s#*/]+is[\s#*/]+hereby|hereby[\s#*/]+granted|redistribution[\s#*/]+and[\s#*/]+use|creative[\s#*/]+commons|\bcc0\b|\bcc[\s#*/]+by|proprietary"
 TERM = r"[A-Za-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.6
-#: Terms that a window has beyond a template's at most; terms of the longest template that windows meet.
-EXTRA, SHORT = 4, 24
+#: Terms that a short template's window has beyond the template's at most; terms of the longest short template; first terms of a longer
+#: one, each of which tells where a window may begin.
+EXTRA, SHORT, LEADING = 4, 24, 4
 LINE, BLOCK, FILE = 0, 1, 2
 
 
@@ -97,14 +99,18 @@ def least_shared(threshold: float) -> dict[str, int]:
 
 def windows_of(blocks: DataFrame, threshold: float) -> DataFrame:
     """Rows (row, unit, template, at, size, terms) from rows (row, unit, terms): the windows that may have a cosine of ``threshold`` to a
-    short template. The work is linear in a block's length."""
-    short = {template: (own, marks) for template, (own, marks) in template_marks().items() if len(own) <= SHORT}
+    template. A short template meets all windows up to a little over its length; a longer one those of its length that begin where one of
+    its first four terms stands in its place. The work is linear in a block's length."""
+    every = template_marks()
+    short = {template: x for template, x in every.items() if len(x[0]) <= SHORT}
+    long = {template: x for template, x in every.items() if len(x[0]) > SHORT}
     shared = least_shared(threshold)
     words = lambda own: F.array(*(F.lit(t) for t in sorted(set(own))))
     terms, longest = F.col("terms"), max(len(own) for own, _ in short.values()) + EXTRA
     marked = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.array_contains(words(m for _, marks in short.values() for m in marks), F.get(terms, i)))
     around = F.array_sort(F.array_distinct(F.flatten(F.transform(marked, lambda i: F.sequence(F.greatest(F.lit(0), i - longest + 1), F.least(F.size(terms) - 1, i + longest - 1))))))
-    places = blocks.select("row", "unit", "terms", F.when(F.size(terms) > 0, around).alias("places"))
+    leading = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.array_contains(words(t for own, _ in long.values() for t in own[:LEADING]), F.get(terms, i)))
+    places = blocks.select("row", "unit", "terms", F.when(F.size(terms) > 0, around).alias("places"), F.when(F.size(terms) > 0, leading).alias("leading"))
 
     def windows(template: str, own: list[str], marks: list[str]) -> Column:
         def pairs(ends: Column) -> Column:
@@ -115,7 +121,15 @@ def windows_of(blocks: DataFrame, threshold: float) -> DataFrame:
         ends = F.filter(F.coalesce("places", F.array().cast("array<int>")), lambda i: F.array_contains(words(own), F.get(terms, i)))
         return F.filter(let(ends, pairs), lambda w: (F.size(F.array_intersect(w["terms"], words(own))) >= shared[template]) & F.arrays_overlap(w["terms"], words(marks)))
 
-    return places.select("row", "unit", F.inline(F.concat(*(windows(t, own, marks) for t, (own, marks) in short.items()))).alias("template", "at", "size", "terms"))
+    def long_windows(template: str, own: list[str], marks: list[str]) -> Column:
+        cut = lambda a: F.slice(terms, a + 1, len(own))
+        begins = lambda k: F.transform(F.filter("leading", lambda i: (F.get(terms, i) == own[k]) & (i >= k)), lambda i: i - k)
+        told = lambda a: (F.size(F.array_intersect(cut(a), words(own))) >= shared[template]) & F.arrays_overlap(cut(a), words(marks))
+        starts = F.coalesce(F.array_distinct(F.concat(*(begins(k) for k in range(LEADING)))), F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, told), lambda a: F.struct(F.lit(template).alias("template"), a.alias("at"), F.size(cut(a)).alias("size"), cut(a).alias("terms")))
+
+    found = [*(windows(t, own, marks) for t, (own, marks) in short.items()), *(long_windows(t, own, marks) for t, (own, marks) in long.items())]
+    return places.select("row", "unit", F.inline(F.concat(*found)).alias("template", "at", "size", "terms"))
 
 
 def template_weights(spark) -> tuple[DataFrame, float]:

@@ -80,6 +80,10 @@ PREFERENCE = f"""WITH a AS (SELECT conv_id, min(turn) AS first, max(turn) AS las
  s AS (SELECT conv_id, CASE WHEN parting IS NULL OR turn < parting THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM p UNION ALL SELECT conv_id, 'rejected', turn, r_role, r_text FROM p WHERE turn >= parting AND r_role IS NOT NULL)
 SELECT conv_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|im_start|>' || role) + 1 ELSE 0 END AS INT) AS mask_from, CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length('<|im_start|>' || role) + 1 + length(text) ELSE 0 END AS INT) AS mask_to FROM s"""
 
+PAIRS = f"""WITH seg AS ({PREFERENCE}),
+ o AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM seg)
+SELECT conv_id, {", ".join(f"coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (WHERE part = '{p}'), '') AS {p}" for p in ("prompt", "chosen", "rejected"))}, {", ".join(f"coalesce(string_agg((spot + mask_from) || ':' || (spot + mask_to), ',' ORDER BY turn) FILTER (WHERE part = '{p}' AND mask_to > mask_from), '') AS {p}_masks" for p in ("chosen", "rejected"))} FROM o GROUP BY conv_id HAVING bool_or(part <> 'prompt')"""
+
 TERMS = "regexp_extract_all(lower({}), '[A-Za-z0-9]+(?:\\.[0-9]+)*')"
 SPEAKS = text(licenses.SPEAKS)
 LICENCES = f"""WITH tpl(template, licence, line) AS (VALUES {", ".join("(" + ", ".join(map(text, x)) + ")" for x in licenses.template_lines())}),
@@ -90,8 +94,10 @@ LICENCES = f"""WITH tpl(template, licence, line) AS (VALUES {", ".join("(" + ",
  u AS (SELECT doc_id, unnest(list_concat(list_transform(string_split(text, chr(10)), lambda x: {{'kind': 0, 'x': x}}), list_transform(string_split_regex(text, '\\n[\\x20\\t\\r]*\\n'), lambda x: {{'kind': 1, 'x': x}}), CASE WHEN is_file THEN [{{'kind': 2, 'x': text}}] ELSE [] END)) AS u FROM f WHERE regexp_matches(text, {SPEAKS})),
  n AS (SELECT row_number() OVER () AS unit, doc_id, u.kind AS kind, {TERMS.format("u.x")} AS terms FROM u WHERE u.kind = 2 OR regexp_matches(u.x, {SPEAKS})),
  ends AS (SELECT unit, doc_id, i, template, tw.size, mark FROM (SELECT unit, doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM n WHERE kind = 1) x JOIN tw USING (term) WHERE tw.size <= 24),
+ leads AS (SELECT template, size, marks, unnest(own[1:4]) AS term, generate_subscripts(own[1:4], 1) AS k FROM (SELECT template, {TERMS.format("line")} AS own FROM tpl) JOIN (SELECT template, any_value(size) AS size, list(term) FILTER (WHERE mark) AS marks FROM tw GROUP BY template) USING (template) WHERE size > 24),
  w AS (SELECT unit, doc_id, '' AS meets, 0 AS spot, 0 AS size, terms FROM n UNION ALL
-   SELECT DISTINCT a.unit, a.doc_id, a.template, a.i, b.i - a.i + 1, n.terms[a.i:b.i] FROM ends a JOIN ends b ON a.unit = b.unit AND a.template = b.template AND b.i BETWEEN a.i AND a.i + a.size + 3 JOIN ends m ON m.mark AND m.unit = a.unit AND m.template = a.template AND m.i BETWEEN a.i AND b.i JOIN n ON n.unit = a.unit),
+   SELECT DISTINCT a.unit, a.doc_id, a.template, a.i, b.i - a.i + 1, n.terms[a.i:b.i] FROM ends a JOIN ends b ON a.unit = b.unit AND a.template = b.template AND b.i BETWEEN a.i AND a.i + a.size + 3 JOIN ends m ON m.mark AND m.unit = a.unit AND m.template = a.template AND m.i BETWEEN a.i AND b.i JOIN n ON n.unit = a.unit UNION ALL
+   SELECT DISTINCT x.unit, x.doc_id, leads.template, i - k + 1, len(x.terms[i - k + 1:i - k + leads.size]), x.terms[i - k + 1:i - k + leads.size] FROM (SELECT unit, doc_id, terms, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM n WHERE kind = 1) x JOIN leads USING (term) WHERE i >= k AND list_has_any(x.terms[i - k + 1:i - k + leads.size], leads.marks)),
  tf AS (SELECT unit, doc_id, meets, spot, size, term, count(*) AS tf FROM (SELECT unit, doc_id, meets, spot, size, unnest(terms) AS term FROM w) GROUP BY ALL),
  v AS (SELECT tf.*, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM tpl)) + 1) AS w FROM tf LEFT JOIN idf USING (term)), norm AS (SELECT unit, meets, spot, size, sqrt(sum(w * w)) AS norm FROM v GROUP BY ALL),
  dots AS (SELECT v.unit, v.doc_id, v.meets, v.spot, v.size, template, licence, sum(w * weight) AS dot FROM v JOIN tw USING (term) WHERE meets IN ('', template) GROUP BY ALL),
@@ -121,4 +127,4 @@ NEGATIVES = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label +
    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
 SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
 
-ORACLES = {"op2_licenses": LICENCES, "op4_secrets": SECRETS, "op5_quality": QUALITY, "op9_preference": PREFERENCE, "op10_decontaminate": CONTAMINATION, "op11_phrases": PHRASES, "op13_hard_negatives": NEGATIVES}
+ORACLES = {"op2_licenses": LICENCES, "op4_secrets": SECRETS, "op5_quality": QUALITY, "op9_preference": PREFERENCE, "preference_pairs": PAIRS, "op10_decontaminate": CONTAMINATION, "op11_phrases": PHRASES, "op13_hard_negatives": NEGATIVES}

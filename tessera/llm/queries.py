@@ -78,6 +78,13 @@ def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.self_formatted(turns).withColumnRenamed("pair", "conv_id")
 
 
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's segments as rows of one prompt and two completions, with the learned ranges as start:stop, comma-joined."""
+    rows = preference.paired(op9_preference(spark, sf_dir).withColumnRenamed("conv_id", "pair"))
+    masks = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["start"], m["stop"])), ",").alias(c)
+    return rows.select(F.col("pair").alias("conv_id"), "prompt", "chosen", "rejected", masks("chosen_masks"), masks("rejected_masks"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.with_digest(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "found")
     hit = F.col("found")
@@ -99,4 +106,4 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(rows, F.col("id") % 50 == 0)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_licenses": op2_licenses, "op3_main_text": op3_main_text, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op9_preference": op9_preference, "op10_decontaminate": op10_decontaminate, "op11_phrases": op11_phrases, "op12_toxicity": op12_toxicity, "op13_hard_negatives": op13_hard_negatives}
+QUERIES = {"op1_sharding": op1_sharding, "op2_licenses": op2_licenses, "op3_main_text": op3_main_text, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_lattice_lm": op7_lattice_lm, "op8_bpe": op8_bpe, "op9_preference": op9_preference, "preference_pairs": preference_pairs, "op10_decontaminate": op10_decontaminate, "op11_phrases": op11_phrases, "op12_toxicity": op12_toxicity, "op13_hard_negatives": op13_hard_negatives}

@@ -392,6 +392,23 @@ def test_licence_cosines(spark, sf):
         assert got[k][1] == pytest.approx(score, abs=2e-9)
 
 
+def test_long_notices_among_other_words(spark):
+    """Templates of more than SHORT terms: whole, without their first two terms, and with words changed, between 300 words of prose."""
+    prose = "the quick brown fox jumps over a lazy dog and this permission of you runs far away from all other animals in its dark green wood " * 12
+    rows, want = [], {}
+    for template, name, line in licenses.template_lines():
+        terms = line.split()
+        if len(re.findall(licenses.TERM, line.lower())) > licenses.SHORT:
+            for text in (line, " ".join(terms[2:]), " ".join("words" if k % 9 == 8 else t for k, t in enumerate(terms))):
+                want[len(rows)] = name
+                rows.append((len(rows), prose + text + " " + prose))
+    rows += [(900, prose + " licence " + prose), (901, None), (902, "license " + "this permission " * 5000)]
+    files = spark.createDataFrame(rows, "row int, text string")
+    got = {r.row: r.licence for r in licenses.own_licences(files.select("row", licenses.units_of(F.col("text"), F.lit(False)).alias("units"))).collect()}
+    assert len(want) >= 15 and {k: got.get(k) for k in want} == want
+    assert not {900, 901, 902} & got.keys()
+
+
 def test_notices_among_other_words(spark):
     prose = "the quick brown fox jumps over a lazy dog and runs far away from all other animals in its dark green wood "
     grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including the rights to use, copy, modify, merge and sell copies"
