@@ -99,18 +99,14 @@ def least_shared(threshold: float) -> dict[str, int]:
 
 def windows_of(blocks: DataFrame, threshold: float) -> DataFrame:
     """Rows (row, unit, template, at, size, terms) from rows (row, unit, terms): the windows that may have a cosine of ``threshold`` to a
-    template. A short template meets all windows up to a little over its length; a longer one those of its length that begin where one of
-    its first four terms stands in its place. The work is linear in a block's length."""
-    every = template_marks()
-    short = {template: x for template, x in every.items() if len(x[0]) <= SHORT}
-    long = {template: x for template, x in every.items() if len(x[0]) > SHORT}
+    short template, which are up to a little over its length. The work is linear in a block's length."""
+    short = {template: (own, marks) for template, (own, marks) in template_marks().items() if len(own) <= SHORT}
     shared = least_shared(threshold)
     words = lambda own: F.array(*(F.lit(t) for t in sorted(set(own))))
     terms, longest = F.col("terms"), max(len(own) for own, _ in short.values()) + EXTRA
     marked = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.array_contains(words(m for _, marks in short.values() for m in marks), F.get(terms, i)))
     around = F.array_sort(F.array_distinct(F.flatten(F.transform(marked, lambda i: F.sequence(F.greatest(F.lit(0), i - longest + 1), F.least(F.size(terms) - 1, i + longest - 1))))))
-    leading = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.array_contains(words(t for own, _ in long.values() for t in own[:LEADING]), F.get(terms, i)))
-    places = blocks.select("row", "unit", "terms", F.when(F.size(terms) > 0, around).alias("places"), F.when(F.size(terms) > 0, leading).alias("leading"))
+    places = blocks.select("row", "unit", "terms", F.when(F.size(terms) > 0, around).alias("places"))
 
     def windows(template: str, own: list[str], marks: list[str]) -> Column:
         def pairs(ends: Column) -> Column:
@@ -121,15 +117,39 @@ def windows_of(blocks: DataFrame, threshold: float) -> DataFrame:
         ends = F.filter(F.coalesce("places", F.array().cast("array<int>")), lambda i: F.array_contains(words(own), F.get(terms, i)))
         return F.filter(let(ends, pairs), lambda w: (F.size(F.array_intersect(w["terms"], words(own))) >= shared[template]) & F.arrays_overlap(w["terms"], words(marks)))
 
-    def long_windows(template: str, own: list[str], marks: list[str]) -> Column:
+    return places.select("row", "unit", F.inline(F.concat(*(windows(t, own, marks) for t, (own, marks) in short.items()))).alias("template", "at", "size", "terms"))
+
+
+def long_scores(blocks: DataFrame, threshold: float, weights: list, unseen: float) -> DataFrame:
+    """Rows (row, licence, score) from rows (row, unit, terms): the best window's cosine to each longer template, from ``threshold`` on. A
+    template meets the windows of its length that begin where one of its first LEADING terms stands in its place. A window's neighbours
+    share most of its terms, so its vector is summed where it stands, and only scores leave a row. ``weights``: template_weights() rows."""
+    long = {template: x for template, x in template_marks().items() if len(x[0]) > SHORT}
+    shared, terms = least_shared(threshold), F.col("terms")
+    words = lambda own: F.array(*(F.lit(t) for t in sorted(set(own))))
+    idf = F.create_map(*(F.lit(x) for r in {r.term: r for r in weights}.values() for x in (r.term, r.idf)))
+    leading = F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: F.array_contains(words(t for own, _ in long.values() for t in own[:LEADING]), F.get(terms, i)))
+    places = blocks.select("row", "unit", "terms", F.when(F.size(terms) > 0, leading).alias("leading"))
+
+    def starts(template: str, own: list[str], marks: list[str]) -> Column:
         cut = lambda a: F.slice(terms, a + 1, len(own))
         begins = lambda k: F.transform(F.filter("leading", lambda i: (F.get(terms, i) == own[k]) & (i >= k)), lambda i: i - k)
         told = lambda a: (F.size(F.array_intersect(cut(a), words(own))) >= shared[template]) & F.arrays_overlap(cut(a), words(marks))
-        starts = F.coalesce(F.array_distinct(F.concat(*(begins(k) for k in range(LEADING)))), F.array().cast("array<int>"))
-        return F.transform(F.filter(starts, told), lambda a: F.struct(F.lit(template).alias("template"), a.alias("at"), F.size(cut(a)).alias("size"), cut(a).alias("terms")))
+        every = F.coalesce(F.array_distinct(F.concat(*(begins(k) for k in range(LEADING)))), F.array().cast("array<int>"))
+        return F.transform(F.filter(every, told), lambda a: F.struct(F.lit(template).alias("template"), cut(a).alias("terms")))
+
+    found = places.select("row", F.inline(F.concat(*(starts(t, *x) for t, x in long.items()))).alias("template", "window"))
+    of = F.create_map(*(x for t in long for x in (F.lit(t), F.create_map(*(F.lit(y) for r in weights if r.template == t for y in (r.term, r.weight))))))
+    counted = F.transform(F.array_distinct("window"), lambda t: F.struct(t.alias("t"), (F.size("window") - F.size(F.array_remove("window", t))).cast("double").alias("n")))
+    zero = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"))
+
+    def added(acc: Column, x: Column) -> Column:
+        w = x["n"] * F.coalesce(F.element_at(idf, x["t"]), F.lit(unseen))
+        return F.struct((acc["dot"] + w * F.coalesce(F.element_at("own", x["t"]), F.lit(0.0))).alias("dot"), (acc["square"] + w * w).alias("square"))
 
-    found = [*(windows(t, own, marks) for t, (own, marks) in short.items()), *(long_windows(t, own, marks) for t, (own, marks) in long.items())]
-    return places.select("row", "unit", F.inline(F.concat(*found)).alias("template", "at", "size", "terms"))
+    sums = found.withColumn("own", F.element_at(of, F.col("template"))).select("row", "template", F.aggregate(counted, zero, added).alias("s"))
+    name = F.create_map(*(F.lit(x) for r in {r.template: r for r in weights}.values() for x in (r.template, r.licence)))
+    return sums.select("row", F.element_at(name, F.col("template")).alias("licence"), F.round(F.col("s.dot") / F.sqrt("s.square"), 9).alias("score")).where(F.col("score") >= threshold)
 
 
 def template_weights(spark) -> tuple[DataFrame, float]:
@@ -166,6 +186,7 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dots = met.select(*key, "w", F.inline("in")).where((F.col("meets") == "") | (F.col("meets") == F.col("template")))
     dots = dots.groupBy(*key, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norm, key).select("row", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)
+    scored = scored.union(long_scores(each.where(F.col("kind") == BLOCK), threshold, weights.collect(), unseen))
     best = scored.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
     return best.select("row", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
 
