@@ -12,6 +12,7 @@ from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import call_graph, catalog, embedding
 from tessera.operators.vector_index import make_index
+from tessera.plans.dealing import dealt
 from tessera.plans.staging import scratch
 from tessera.queries import collector, table
 from tessera.sources import code, connectors, remote, store
@@ -282,5 +283,6 @@ def callbacks_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that are arguments of a call are no definitions."""
     text = "list.map(function (x) { return x; });\nfunction own~(a) { a.forEach((b) => { b(); }); go(function named() { return 1; }, async (c) => c); }\nconst bound~ = (x) => x;\n"
     key = F.col("p_partkey").cast("string")
-    rows = table(spark, sf_dir, "part").select(text_of("f", key, ".js").alias("source"), F.lit(".js").alias("suffix"), F.replace(F.lit(text), F.lit("~"), key).alias("content"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    rows = parts.select(text_of("f", key, ".js").alias("source"), F.lit(".js").alias("suffix"), F.replace(F.lit(text), F.lit("~"), key).alias("content"))
     return code.code_definitions(rows).select("filepath", "name")
