@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import call_graph as G
 from tessera.operators import import_graph
 from tessera.operators.chunking import code_chunks
+from tessera.plans.dealing import dealt
 from tessera.plans.ranking import with_next
 from tessera.plans.staging import staged
 from tessera.queries import collector, table
@@ -175,7 +176,8 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (source, suffix, content): one file for each part."""
     n, key = len(TEMPLATES), F.col("p_partkey").cast("string")
     pick = lambda i: F.element_at(F.array(*(F.lit(t[i]) for t in TEMPLATES)), (F.col("p_partkey") % n).cast("int") + 1)
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("f"), key, pick(0)).alias("source"), pick(0).alias("suffix"), F.replace(pick(1), F.lit("~"), key).alias("content"))
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    return parts.select(F.concat(F.lit("f"), key, pick(0)).alias("source"), pick(0).alias("suffix"), F.replace(pick(1), F.lit("~"), key).alias("content"))
 
 
 def of_parts(rows: list[list[tuple]], columns: str, select: str) -> str:
@@ -213,7 +215,7 @@ def cross_file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lib/b.ts": "export function run(x) { return x; }\nexport const walk = (x) => x;\nfunction own(x) { return x; }\n", "c.js": "export function rest(x) { return x; }\n",
     }
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("content")) for k, v in contents.items())))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", each.alias("f"))
+    rows = dealt(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", each.alias("f"))
     rows = rows.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("/"), F.col("f.name")).alias("source"), F.regexp_extract("f.name", r"(\.\w+)$", 1).alias("suffix"), F.col("f.content").alias("content"))
     found = code.cross_file_calls(rows)
     return found.select("filepath", "head_label", "tail_label", F.url_decode(F.regexp_extract("tail_id", "^([^/]*)/", 1)).alias("target"))
