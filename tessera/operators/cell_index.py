@@ -6,8 +6,9 @@ distance d from a mean, no vector of radius r is nearer than \\|d - r\\|: once k
 radius) and stretches of a cell whose bound lies beyond the k-th best are never compared. How much that saves depends on the data: clustered vectors
 gain most of the work, directions without structure in many dimensions gain none.
 
-Few queries are broadcast and the partitions of their cells are read. Many queries (``nearest_join``) are sent to the cells that they need; both
-sides of a cell are dealt into parts of bounded size, so a cell may hold any share of the rows or of the queries.
+Few queries are broadcast and the partitions of their cells are read. Many queries (``nearest_join``) are sent to the blocks of neighbouring cells that
+they need, once a block; both sides of a block are dealt into parts of bounded size, so a cell may hold any share of the rows or of the queries. In
+a part, products in single precision with a bound on their error leave few pairs, whose distances are exact.
 
 Metrics are ``l2`` (squared) and ``cosine`` (by unit vectors). A vector that is null, has a null or NaN entry, is zero under cosine, or has another
 length than the training rows' most frequent one is never found; neither has such a query an answer. Ties go to the smaller label. Tables
@@ -31,10 +32,15 @@ from tessera.plans.staging import recorded, remove, scratch, staged
 #: The most cells: their means are broadcast, and one row a cell passes through the driver.
 MOST_CELLS = 4_096
 ROUNDS = 6
-#: Rows and queries of a cell that a task compares at once; queries whose stretch of radii is read together.
-PART_ROWS, PART_QUERIES, SLICE = 8_192, 4_096, 128
+#: The most rows and queries that a task compares, and the most bytes of its rows' vectors (half as many of its queries'); smaller tables are
+#: dealt into SPREAD times SPREAD tasks, of no fewer rows than LEAST.
+PART_ROWS, PART_QUERIES, PART_BYTES, SPREAD, LEAST = 196_608, 98_304, 48 << 20, 8, 1_024
+#: Queries whose stretch of radii is read together; rows that they meet first, and then at a time.
+SLICE, PILOT, STEP = 256, 512, 4_096
 #: Slack of the bounds, far above what is lost in rounding.
 SLACK = 1e-6
+#: Distances that differ by less may tie when they are rounded.
+ROUNDED = 10.0**-DIGITS
 FOUND = "query_id long, vec_id long, distance double, compared long"
 
 
@@ -66,26 +72,98 @@ def gaps(x, means):
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (means * means).sum(1) - 2 * (x @ means.T), 0))
 
 
+def steady_gaps(x, means):
+    """gaps() to the last bit, whatever rows are computed together: both passes must agree on a query's nearest cells."""
+    import numpy as np
+
+    out = np.empty((len(x), len(means)))
+    size = np.zeros(len(means))
+    for j in range(x.shape[1]):
+        size += means[:, j] * means[:, j]
+    for i in range(0, len(x), 1024):
+        part = x[i : i + 1024]
+        own, met = np.zeros((len(part), 1)), np.zeros((len(part), len(means)))
+        for j in range(x.shape[1]):
+            column = part[:, j : j + 1]
+            own += column * column
+            met += column * means[:, j]
+        out[i : i + 1024] = np.sqrt(np.maximum(own + size - 2 * met, 0))
+    return out
+
+
+def nearest_cells(gap, sizes, k: int):
+    """Of distances to all cells: for every query the nearest cells that hold k rows."""
+    import numpy as np
+
+    order = np.argsort(gap, 1, kind="stable")
+    held = sizes[order]
+    near = np.zeros(gap.shape, bool)
+    np.put_along_axis(near, order, np.cumsum(held, 1) - held < k, 1)
+    return near
+
+
+def best_of(i, ids, d, k: int):
+    """The k best of every query i: (i, ids, d) by query, distance and id."""
+    import numpy as np
+
+    order = np.lexsort((ids, d, i))
+    i = i[order]
+    kept_ = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+    return i[kept_], ids[order][kept_], d[order][kept_]
+
+
+def stretches(low: int, high: int, middle: int) -> list[tuple[int, int]]:
+    """[low, high) in pieces: a few rows around the middle first, then the others."""
+    a = max(low, min(middle - PILOT // 2, high - PILOT))
+    b = min(high, a + PILOT)
+    return [(a, b), *((x, min(x + STEP, high)) for x in range(b, high, STEP)), *((x, min(x + STEP, a)) for x in range(low, a, STEP))]
+
+
 def nearest(q, away, limit, x, radius, ids, k: int, squared: float):
     """Of queries q at distance ``away`` from a cell's mean, each with a limit: the k best of the cell's rows, which are ordered by
-    radius, that may lie within the limit. Gives (query, id, distance) and how many rows each query met."""
+    radius, that may lie within the limit. Gives (query, id, distance) and how many rows each query met.
+
+    Queries of like limits and places go together. A pair is compared exactly if its product in single precision, of vectors that are
+    moved and scaled to norms of 1 at most, does not put it beyond the limit by more than the error; limits shrink as rows are met."""
     import numpy as np
 
-    order = np.argsort(away, kind="stable")
-    out, met = [], np.zeros(len(q), np.int64)
-    for i in range(0, len(q), SLICE):
-        own = order[i : i + SLICE]
-        low, high = np.searchsorted(radius, (away[own] - limit[own] - SLACK).min(), "left"), np.searchsorted(radius, (away[own] + limit[own] + SLACK).max(), "right")
+    met = np.zeros(len(q), np.int64)
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if not len(q) or not len(x):
+        return list(none), met
+    centre = x.mean(0)
+    qc, xc = q - centre, x - centre
+    scale = max(np.sqrt((qc * qc).sum(1).max()), np.sqrt((xc * xc).sum(1).max()), 1e-300)
+    qc, xc = qc / scale, xc / scale
+    size, q32 = (qc * qc).sum(1), np.column_stack([qc, np.ones(len(q))]).astype(np.float32)
+    x32 = np.column_stack([xc, (xc * xc).sum(1) / -2]).astype(np.float32)
+    error, most = (q.shape[1] + 4) * 2.5e-7, max(1, 4_000_000 // q.shape[1])
+    qq, xx = (q * q).sum(1), (x * x).sum(1)
+    with np.errstate(divide="ignore"):
+        order = np.lexsort((away, np.floor(2 * np.log2(limit))))
+    out = [none]
+    for at in range(0, len(q), SLICE):
+        own = order[at : at + SLICE]
+        reach = limit[own].astype(float)
+        low, high = np.searchsorted(radius, (away[own] - reach - SLACK).min(), "left"), np.searchsorted(radius, (away[own] + reach + SLACK).max(), "right")
         met[own] = high - low
-        if high > low:
-            d = np.maximum((q[own] ** 2).sum(1)[:, None] + (x[low:high] ** 2).sum(1) - 2 * (q[own] @ x[low:high].T), 0)
-            d = np.round(d * squared, DIGITS)
-            for a, row in zip(own, d):
-                best = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-                best = best[np.lexsort((ids[low:high][best], row[best]))][:k]
-                out.append((np.full(len(best), a), ids[low:high][best], row[best]))
-    empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    return [np.concatenate(c) for c in zip(*out)] if out else list(empty), met
+        held = none
+        for a, b in stretches(low, high, int(np.searchsorted(radius, away[own].mean()))) if high > low else []:
+            hit = q32[own] @ x32[a:b].T >= ((size[own] - (reach / scale) ** 2) / 2 - error).astype(np.float32)[:, None]
+            if np.count_nonzero(hit) <= min(most, hit.size // 8):
+                i, j = np.divmod(np.flatnonzero(hit), b - a)
+                d = np.round(np.maximum(qq[own[i]] + xx[a + j] - 2 * np.einsum("ij,ij->i", q[own[i]], x[a + j]), 0) * squared, DIGITS)
+            else:
+                d = np.round(np.maximum(qq[own][:, None] + xx[a:b] - 2 * (q[own] @ x[a:b].T), 0) * squared, DIGITS)
+                i, j = (d <= np.partition(d, k - 1, 1)[:, k - 1 : k]).nonzero() if b - a > k else np.ones(d.shape, bool).nonzero()
+                d = d[i, j]
+            if len(i):
+                held = best_of(*(np.concatenate(c) for c in zip(held, (i, ids[a + j], d))), k)
+                full = np.flatnonzero(np.diff(held[0], append=len(own)) > 0)  # the last found of every query
+                full = full[np.bincount(held[0], minlength=len(own))[held[0][full]] == k]
+                reach[held[0][full]] = np.minimum(reach[held[0][full]], np.sqrt((held[2][full] + ROUNDED) / squared) + SLACK)
+        out.append((own[held[0]], held[1], held[2]))
+    return [np.concatenate(c) for c in zip(*out)], met
 
 
 class CellIndex:
@@ -138,7 +216,8 @@ class CellIndex:
                         _, x = matrix(batch.column(0).slice(i, 4096), d)
                         cell = gaps(x, means).argmin(1)
                         n += np.bincount(cell, minlength=len(means))
-                        np.add.at(total, cell, x)
+                        for j in range(d):
+                            total[:, j] += np.bincount(cell, x[:, j], len(means))
                 sums = np.column_stack([n, total]).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums)], ["at", "s"])
 
@@ -211,14 +290,12 @@ class CellIndex:
                 continue
             ids, q = [i for i, _ in own], np.array([v for _, v in own])
             gap = gaps(q, means)
-            first = np.zeros(gap.shape, bool)
-            for i, order in enumerate(np.argsort(gap, 1)):
-                first[i, order[: np.searchsorted(np.cumsum(sizes[order]), k) + 1]] = True  # the nearest cells that hold k rows
+            first = nearest_cells(gap, sizes, k)
             begun = staged(self._scan(ids, q, gap, first, np.full(len(q), np.inf), k), "begun")
             limit = np.full(len(q), np.inf)
             kth = Window.partitionBy("query").orderBy("distance", "vec_id")
             for r in begun.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") == k).collect():  # a row a query of the block
-                limit[r.query] = np.sqrt(r.distance / self.squared) + SLACK
+                limit[r.query] = np.sqrt((r.distance + ROUNDED) / self.squared) + SLACK
             rest = ~first & (np.maximum(np.maximum(gap - high, low - gap), 0) <= limit[:, None])
             self.read, self.of = self.read + int(first.sum() + rest.sum()), self.of + first.size
             part = begun.unionByName(self._scan(ids, q, gap, rest, limit, k)).drop("query")
@@ -262,11 +339,11 @@ class CellIndex:
         out = spark.createDataFrame([], FOUND)
         if self.stats:
             with recorded() as made:
-                begun = staged(self._cell_join(self._sent(asked.withColumn("limit", F.lit(None).cast("double")), k, True), k), "begun")
+                begun = staged(self._block_join(self._sent(asked.withColumn("limit", F.lit(None).cast("double")), k, True), k, True), "begun")
             kth = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-            limits = begun.where("vec_id is not null").withColumn("rank", F.row_number().over(kth)).where(F.col("rank") == k).select("query_id", (F.sqrt(F.col("distance") / self.squared) + SLACK).alias("limit"))
+            limits = begun.where("vec_id is not null").withColumn("rank", F.row_number().over(kth)).where(F.col("rank") == k).select("query_id", (F.sqrt((F.col("distance") + ROUNDED) / self.squared) + SLACK).alias("limit"))
             left = asked.join(limits, "query_id", "left").select("query_id", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
-            out = begun.unionByName(self._cell_join(self._sent(left, k, False), k))
+            out = begun.unionByName(self._block_join(self._sent(left, k, False), k, False))
             remove(spark, made[:-1])
         order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         best = out.where("vec_id is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
@@ -275,41 +352,58 @@ class CellIndex:
             best = best.join(met, "query_id")
         return best
 
+    def _blocks(self) -> tuple[list[int], list[int]]:
+        """Of every cell in bounds(): its block, and the parts of its rows. Cells follow each other to the nearest one not yet taken; a block holds a
+        bounded number of rows, or one large cell in parts."""
+        import numpy as np
+
+        cells, means, sizes, _, _ = self.bounds()
+        most = max(1, min(PART_ROWS, PART_BYTES // (8 * means.shape[1]), max(LEAST, int(sizes.sum()) // SPREAD)))
+        block, parts, number, used, free, now = [0] * len(cells), [1] * len(cells), 0, 0, np.ones(len(cells), bool), 0
+        for _ in cells:
+            free[now] = False
+            if used and used + sizes[now] > most:
+                number, used = number + 1, 0
+            block[now], parts[now], used = number, int(-(-sizes[now] // most)), used + sizes[now]
+            now = int(np.where(free, ((means - means[now]) ** 2).sum(1), np.inf).argmin())
+        return block, parts
+
     def _sent(self, asked: DataFrame, k: int, first: bool) -> DataFrame:
-        """Rows (query_id, v, limit, cell, away): each query with the cells that it is sent to."""
-        shared = asked.sparkSession.sparkContext.broadcast(self.bounds())
+        """Rows (query_id, v, limit, block): each query with the blocks that hold cells which it needs."""
+        block = self._blocks()[0]
+        shared = asked.sparkSession.sparkContext.broadcast((self.bounds(), block))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
 
-            cells, means, sizes, low, high = shared.value
+            bounds, block = shared.value
+            order = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.diff(np.array(block)[order], prepend=-1))
             for whole in batches:
                 for at in range(0, whole.num_rows, 1024):
                     batch = whole.slice(at, 1024)
-                    own, q = matrix(batch.column(1), means.shape[1])
+                    own, q = matrix(batch.column(1), bounds[1].shape[1])
                     limit = batch.column(2).to_numpy(zero_copy_only=False).astype(float)[own]
-                    gap = gaps(q, means)
-                    near = np.zeros(gap.shape, bool)
-                    for i, order in enumerate(np.argsort(gap, 1)):
-                        near[i, order[: np.searchsorted(np.cumsum(sizes[order]), k) + 1]] = True
-                    if not first:
-                        near = ~near & (np.maximum(np.maximum(gap - high, low - gap), 0) <= limit[:, None])
-                    i, c = np.nonzero(near)
+                    wanted, _ = needed(q, limit, bounds, k, first)
+                    i, b = np.nonzero(np.logical_or.reduceat(wanted[:, order], starts, 1))
                     rows = batch.take(pa.array(own[i]))
-                    reach = np.full(len(i), np.inf) if first else limit[i]
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(reach), pa.array(cells[c].astype(np.int32)), pa.array(gap[i, c])], ["query_id", "v", "limit", "cell", "away"])
-
-        return staged(asked.select("query_id", "v", "limit").mapInArrow(run, "query_id long, v array<double>, limit double, cell int, away double"), "sent")
-
-    def _cell_join(self, sent: DataFrame, k: int) -> DataFrame:
-        """The k best rows of every query in each part of its cells, and one row (without vec_id) that counts what it met there."""
-        spark, squared = sent.sparkSession, self.squared
-        waiting = {r.cell: r.n for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
-        parts = spark.createDataFrame([(c, -(-self.stats[c][0] // PART_ROWS), -(-n // PART_QUERIES)) for c, n in waiting.items()], "p_cell int, parts int, waits int")
-        parts = F.broadcast(parts)  # a row a cell
-        rows = self.lists.where(F.col("cell").isin(list(waiting))).join(parts, F.col("cell") == F.col("p_cell"))
-        rows = rows.select("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("waits") - 1)).alias("wait"), "vec_id", "v", "radius")
-        q = sent.join(parts, F.col("cell") == F.col("p_cell")).select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("waits")).cast("int").alias("wait"), "query_id", "v", "limit", "away")
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.full(len(i), np.inf) if first else limit[i]), pa.array(b.astype(np.int32))], ["query_id", "v", "limit", "block"])
+
+        return staged(asked.select("query_id", "v", "limit").mapInArrow(run, "query_id long, v array<double>, limit double, block int"), "sent")
+
+    def _block_join(self, sent: DataFrame, k: int, first: bool) -> DataFrame:
+        """The k best rows of every query in each part of its blocks, and one row (without vec_id) that counts what it met there."""
+        spark, squared, bounds = sent.sparkSession, self.squared, self.bounds()
+        waiting = {r.block: r.n for r in sent.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a block
+        most = max(1, min(PART_QUERIES, PART_BYTES // (16 * bounds[1].shape[1]), max(LEAST, max(waiting.values(), default=0) // SPREAD)))
+        placed = [(int(c), b, p, -(-waiting[b] // most)) for c, b, p in zip(bounds[0], *self._blocks()) if b in waiting]
+        cells = F.broadcast(spark.createDataFrame(placed, "p_cell int, block int, parts int, waits int"))  # a row a cell
+        blocks = F.broadcast(spark.createDataFrame(sorted({p[1:] for p in placed}), "p_block int, parts int, waits int"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = self.lists.where(F.col("cell").isin([p[0] for p in placed])).join(cells, F.col("cell") == F.col("p_cell"))
+        rows = rows.select("block", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), each("waits").alias("wait"), "vec_id", "v", "radius", "cell")
+        q = sent.join(blocks, F.col("block") == F.col("p_block")).select("block", each("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("waits")).cast("int").alias("wait"), "query_id", "v", "limit")
+        shared = spark.sparkContext.broadcast(bounds)
 
         def compare(asking: pa.Table, held: pa.Table) -> pa.Table:
             import numpy as np
@@ -317,15 +411,38 @@ class CellIndex:
             schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64()), ("compared", pa.int64())])
             if not asking.num_rows or not held.num_rows:
                 return schema.empty_table()
-            held = held.sort_by("radius")
-            size = len(held.column("v")[0])
-            _, x = matrix(held.column("v").combine_chunks(), size)
-            _, v = matrix(asking.column("v").combine_chunks(), size)
-            names = asking.column("query_id").to_numpy()
-            (i, found, d), met = nearest(v, asking.column("away").to_numpy(), asking.column("limit").to_numpy(), x, held.column("radius").to_numpy(), held.column("vec_id").to_numpy(), k, squared)
+            bounds = shared.value
+            size = bounds[1].shape[1]
+            radius, cell, ids = (held.column(c).to_numpy() for c in ("radius", "cell", "vec_id"))
+            order = np.lexsort((radius, cell))
+            radius, cell, ids, x = radius[order], cell[order], ids[order], matrix(held.column("v").combine_chunks(), size)[1][order]
+            names, reach, v = asking.column("query_id").to_numpy(), asking.column("limit").to_numpy(), matrix(asking.column("v").combine_chunks(), size)[1]
+            out, met = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], np.zeros(len(names), np.int64)
+            step = max(1, 2_000_000 // len(bounds[0]))
+            for a in range(0, len(names), step):
+                wanted, gap = needed(v[a : a + step], reach[a : a + step], bounds, k, first)
+                found = []
+                for c in np.unique(cell):
+                    column, (low, high) = int(np.searchsorted(bounds[0], c)), np.searchsorted(cell, [c, c + 1])
+                    own = np.flatnonzero(wanted[:, column])
+                    (i, label, d), n = nearest(v[a + own], gap[own, column], reach[a + own], x[low:high], radius[low:high], ids[low:high], k, squared)
+                    found.append((a + own[i], label, d))
+                    met[a + own] += n
+                out.append(best_of(*(np.concatenate(f) for f in zip(*found)), k))
+            i, found, d = (np.concatenate(f) for f in zip(*out))
             none = len(names)
             return pa.table([pa.array(np.concatenate([names[i], names])), pa.concat_arrays([pa.array(found, pa.int64()), pa.nulls(none, pa.int64())]), pa.concat_arrays([pa.array(d, pa.float64()), pa.nulls(none, pa.float64())]), pa.array(np.concatenate([np.zeros(len(i), np.int64), met]))], schema)
 
         compare.__annotations__ = {"asking": pa.Table, "held": pa.Table, "return": pa.Table}
-        by = "cell", "part", "wait"
+        by = "block", "part", "wait"
         return q.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(compare, FOUND)
+
+
+def needed(q, limit, bounds, k: int, first: bool):
+    """Which cells each query meets, in the first pass or after it, and its distances to their means."""
+    import numpy as np
+
+    _, means, sizes, low, high = bounds
+    gap = steady_gaps(q, means)
+    near = nearest_cells(gap, sizes, k)
+    return (near if first else ~near & (np.maximum(np.maximum(gap - high, low - gap), 0) <= limit[:, None])), gap

@@ -76,3 +76,54 @@ def test_descriptors(spark):
     with pytest.raises(ValueError):
         sampled.search_batch(df.withColumnRenamed("vec_id", "query_id"))
     assert sampled.build().search_batch(df.withColumnRenamed("vec_id", "query_id"), 1).count() == 30
+
+
+def test_rows_of_another_cell_that_tie_when_rounded(spark):
+    df = spark.createDataFrame([(10, [0.4999999]), (11, [0.4999999]), (1, [0.50001]), (2, [0.9]), (3, [0.0]), (4, [1.0])], SCHEMA)
+    index = make_index(df, "IVF2,Flat")
+    index.means = np.array([[0.0], [1.0]])
+    index.build()
+    queries = df.where("vec_id = 11").withColumnRenamed("vec_id", "query_id")
+    want = rows_of(FlatIndex(df).search_batch(queries, 2))
+    assert [r[2] for r in want] == [1, 10]
+    assert rows_of(index.nearest_join(queries, 2)) == want == rows_of(index.search_batch(queries, 2))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e9])
+def test_pairs_that_single_precision_leaves_are_all_there(scale):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(3000, 9)), np.repeat(rng.normal(size=(3, 9)), 400, 0)]) * scale + 3 * scale
+    radius = np.sqrt(((x - x.mean(0)) ** 2).sum(1))
+    x, radius, ids = x[np.argsort(radius)], np.sort(radius), rng.permutation(len(x))
+    q = np.concatenate([x[::9], rng.normal(size=(50, 9)) * scale])
+    away, d = np.sqrt(((q - x.mean(0)) ** 2).sum(1)), np.round(np.maximum(((q[:, None] - x) ** 2).sum(2), 0), 9)
+    for limit in (np.full(len(q), np.inf), np.sqrt(np.sort(d, 1)[:, 3] + cell_index.ROUNDED) + cell_index.SLACK):
+        (i, found, got), _ = cell_index.nearest(q, away, limit, x, radius, ids, 4, 1.0)
+        assert len(i) == 4 * len(q)
+        for a in range(len(q)):
+            best = np.sort(d[a])[:4]
+            assert np.allclose(got[i == a], best, rtol=1e-9, atol=1e-9 + 1e-13 * scale**2)
+            if scale == 1.0:
+                assert set(found[i == a]) == set(ids[np.lexsort((ids, d[a]))[:4]])
+
+
+def test_queries_are_sent_once_a_block(spark, monkeypatch):
+    from tessera.plans import staging
+
+    rows = clustered(n=2000, groups=40, spread=3.0)
+    df = spark.createDataFrame(rows, SCHEMA)
+    index = make_index(df, "IVF64,Flat").train(rounds=1).build()
+    block, parts = index._blocks()
+    assert max(block) <= 2 and set(parts) == {1}
+    twice = []
+
+    def looked_at(rows, label):
+        out = staging.staged(rows, label)
+        if label == "sent":
+            twice.append(out.groupBy("query_id", "block").count().where("count > 1").count())
+        return out
+
+    monkeypatch.setattr(cell_index, "staged", looked_at)
+    queries = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    assert rows_of(index.nearest_join(queries, 3)) == rows_of(FlatIndex(df).search_batch(queries, 3))
+    assert twice == [0, 0]
