@@ -8,11 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import by_slices
+
+#: Texts that an embedder is given at once.
+TEXTS = 1_024
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 class Embedder:
-    """A batch embedder as Column functions; it runs once for each Arrow batch, task retries are its retries."""
+    """A batch embedder as Column functions; it runs once for TEXTS texts, or the texts of a few rows, of each Arrow batch. Task retries are its retries."""
 
     def __init__(self, function: Callable[[list[str]], list[list[float]]]):
         self.function = function
@@ -22,7 +26,7 @@ class Embedder:
         function = self.function
 
         def run(texts: pa.Array) -> pa.Array:
-            return pa.array(function([t or "" for t in texts.to_pylist()]), pa.list_(pa.float64()))
+            return by_slices(texts, lambda part: function([t or "" for t in part]), pa.list_(pa.float64()), TEXTS)
 
         run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, "array<double>")(text)
@@ -31,10 +35,13 @@ class Embedder:
         """Vectors of each text of an array column."""
         function = self.function
 
-        def run(rows: pa.Array) -> pa.Array:
-            flat = [t or "" for row in rows.to_pylist() for t in row or []]
+        def vectors_of(rows: list) -> list:
+            flat = [t or "" for row in rows for t in row or []]
             vectors = iter(function(flat) if flat else [])
-            return pa.array([None if row is None else [next(vectors) for _ in row] for row in rows.to_pylist()], pa.list_(pa.list_(pa.float64())))
+            return [None if row is None else [next(vectors) for _ in row] for row in rows]
+
+        def run(rows: pa.Array) -> pa.Array:
+            return by_slices(rows, vectors_of, pa.list_(pa.list_(pa.float64())))
 
         run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, "array<array<double>>")(texts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -12,6 +13,15 @@ from pyspark.sql import functions as F
 SENTENCE_END = r"(?U)(?<=[.。?？!！])\s+"
 MERGE_BELOW = 50
 SPACE = r"(?U)\s"
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 128
+
+
+def by_slices(column: pa.Array, make: Callable[[list], list], kind: pa.DataType, size: int | None = None) -> pa.Array:
+    """``make`` of an Arrow column's values, a few rows at a time: Python's copies of a batch's texts are many times its size."""
+    size = size or SLICE
+    parts = [pa.array(make(column.slice(i, size).to_pylist()), kind) for i in range(0, len(column), size)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def same_json(a: Column, b: Column) -> Column:
@@ -66,9 +76,9 @@ def split_sentences(text: Column, below: int = MERGE_BELOW) -> Column:
     """Sentences of a text with short ones merged, in one Arrow function: two and a half times as fast as merged_short() of
     sentences(), which gives the same."""
 
-    def run(texts: pa.Array) -> pa.Array:
+    def split(texts: list) -> list:
         end, out = re.compile(r"(?<=[.。?？!！])\s+"), []
-        for text in texts.to_pylist():
+        for text in texts:
             pieces, held = [], ""
             for piece in [] if text is None else end.split(text):
                 held += piece
@@ -76,7 +86,10 @@ def split_sentences(text: Column, below: int = MERGE_BELOW) -> Column:
                     pieces.append(held)
                     held = ""
             out.append(None if text is None else [*pieces, held] if held else pieces)
-        return pa.array(out, pa.list_(pa.string()))
+        return out
+
+    def run(texts: pa.Array) -> pa.Array:
+        return by_slices(texts, split, pa.list_(pa.string()))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<string>")(text)
@@ -109,7 +122,7 @@ def _unescape(texts: pa.Array) -> pa.Array:
         units = b"".join(int(x, 16).to_bytes(2, "little") for x in m[0].split("\\u")[1:])
         return units.decode("utf-16-le", "replace")
 
-    return pa.array([t if t is None else code.sub(back, t) for t in texts.to_pylist()], pa.string())
+    return by_slices(texts, lambda part: [t if t is None else code.sub(back, t) for t in part], pa.string())
 
 
 def unescaped(text: Column) -> Column:
