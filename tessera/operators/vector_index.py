@@ -103,8 +103,7 @@ class FlatIndex:
                         if n in rows:
                             d = np.concatenate([best_d, np.round(distances(x_q, stacked[n], metric, p), DIGITS)], 1)
                             ids = np.concatenate([best_i, np.broadcast_to(labels[rows[n]].astype(np.int64), (len(x_q), len(rows[n])))], 1)
-                            order = np.lexsort((ids, -d if descending else d), axis=1)[:, :k]  # NaN comes last
-                            best[part] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+                            best[part] = k_best(d, ids, k, descending)
             for own, found in zip(parts, best):
                 for (name, _), d, ids in zip(own, *found):
                     d, ids = d[~np.isnan(d)], ids[~np.isnan(d)]
@@ -171,6 +170,20 @@ def distances(q, x, metric: str, p: float):
     return out
 
 
+def k_best(d, ids, k: int, descending: bool):
+    """The k best of each row with their ids, ties to the smaller id, NaN last: only what reaches the k-th distance is sorted."""
+    import numpy as np
+
+    key = -d if descending else d
+    if d.shape[1] > k:
+        i, j = np.divmod(np.flatnonzero(~(key > np.partition(key, k - 1, axis=1)[:, k - 1 : k])), d.shape[1])
+        order = np.lexsort((ids[i, j], key[i, j], i))
+        order = order[np.arange(len(i)) - np.searchsorted(i, i) < k].reshape(len(d), k)  # rows keep their places in i
+        return d[i[order], j[order]], ids[i[order], j[order]]
+    order = np.lexsort((ids, key), axis=1)
+    return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def divergences(q, x):
     """Jensen-Shannon of small vectors without negative entries, by one logarithm an entry of a pair: the sums of each side's own x ln(x) are known."""
     import numpy as np

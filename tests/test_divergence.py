@@ -23,3 +23,21 @@ def test_distances_and_logarithms(monkeypatch):
     monkeypatch.setattr(np, "log", lambda y: taken.append(np.size(y)) or log(y))
     vector_index.distances(q, x, "jensen_shannon", 3)
     assert sum(taken) <= (len(q) * len(x) + len(q) + len(x)) * 16 + 2
+
+
+def test_the_best_are_found_without_sorting_all(monkeypatch):
+    rng, sort = np.random.default_rng(4), np.lexsort
+    d = np.round(rng.random((30, 500)), 2)
+    d[0] = np.nan
+    d[1, 3:] = np.nan
+    d[2] = np.inf
+    ids = np.array([rng.permutation(500) for _ in d])
+    for descending in (False, True):
+        order = sort((ids, -d if descending else d), axis=1)[:, :4]
+        got = vector_index.k_best(d, ids, 4, descending)
+        assert np.array_equal(got[0], np.take_along_axis(d, order, 1), equal_nan=True) and (got[1] == np.take_along_axis(ids, order, 1)).all()
+    assert vector_index.k_best(d[:, :2], ids[:, :2], 4, False)[0].shape == (30, 2) and vector_index.k_best(d[:0], ids[:0], 4, False)[0].shape == (0, 4)
+    sizes = []
+    monkeypatch.setattr(np, "lexsort", lambda keys, *a, **b: sizes.append(keys[0].size) or sort(keys, *a, **b))
+    vector_index.k_best(d[3:], ids[3:], 4, False)
+    assert sum(sizes) < 27 * 500 / 10
