@@ -1,52 +1,111 @@
 """Text search over a corpus by a stored positional index of trigrams: what is found, and where, is known without reading a text.
 
-A row of the index is a trigram in one text with the places where it begins, in code points from 0 of the lower-cased text; the two
-last trigrams of a text end with marks that no text holds. A trigram is one number, ordered by its characters, and the index is written in its
-order, so a reading of few trigrams opens few row groups. The trigrams that cover a wanted text have fixed distances: it occurs where
+Texts lie behind one another in blocks of bounded size. A row of the index is a trigram with all places in one block where it begins, in code points of
+the lower-cased texts, as gaps in as few bytes as each needs; two marks that no text holds follow each text. A trigram is one number, ordered by its
+characters. A block's first row has no trigram: it tells which texts the block holds and where they begin. Blocks are written by the task that
+reads their texts: nothing is shuffled, a block is whole in one file, and each file is in the order of trigrams with small row groups, so
+a reading of few trigrams opens few of them. The trigrams that cover a wanted text have fixed distances: it occurs where
 their lists, each shifted by its distance, meet. Wanted texts of one or two characters are ranges of trigrams.
 
-Null texts and null keys are not indexed; an empty wanted text is found nowhere; null ones give no row. Repeated keys are one text each: rows of the same key
-give the union of their places. Frequent trigrams are spread over files by key.
+Null texts and null keys are not indexed; an empty wanted text is found nowhere; null ones give no row. Rows of a repeated key are searched each by itself
+and give the union of their places.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import SLICE
 from tessera.plans.staging import scratch
 
 #: Bits of a character in a trigram's number; beyond all characters: the mark after a text's end.
 BITS, MARK = 21, (1 << 21) - 1
-INDEX = "gram long, key long, at array<int>"
+#: Code points of a block; a longer text is a block by itself.
+BLOCK = 1 << 19
+#: In place of a trigram, before all of them: the block's texts.
+TEXTS = -1
+INDEX = "gram long, block long, at binary, keys array<long>, begins array<int>"
+FOUND = "wanted string, key long, starts array<int>"
+#: Bytes of a row group in a file of the index.
+GROUP = 16 << 20
 #: Ranges of trigrams up to which they are written into the scan's filter.
 FILTERED = 500
 
 
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 to 2**35 as bytes of seven bits, the lowest first, the eighth bit set where more follow; and where each number ends."""
+    width = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(width)
+    out = np.empty(ends[-1], np.uint8)
+    for k in range(width.max()):
+        has = np.flatnonzero(width > k)
+        out[ends[has] - width[has] + k] = numbers[has] >> 7 * k & 127 | (width[has] > k + 1) * 128
+    return out, ends
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    first = np.flatnonzero(np.append(True, data[:-1] < 128))
+    place = np.arange(len(data)) - np.repeat(first, np.diff(first, append=len(data)))
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first)
+
+
+def block(texts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """The index's rows of (key, code points), none of which is empty."""
+    spans = np.array([len(points) + 2 for _, points in texts])
+    marks = np.full(2, MARK, np.uint32)
+    points = np.concatenate([x for _, points in texts for x in (points, marks)]).astype(np.int64)
+    grams = points[:-2] << 2 * BITS | points[1:-1] << BITS | points[2:]
+    at = np.flatnonzero(points[:-2] != MARK)
+    at = at[np.argsort(grams[at], kind="stable")]
+    grams = grams[at]
+    starts = np.flatnonzero(np.diff(grams, prepend=-1))
+    gaps = np.diff(at, prepend=0)
+    gaps[starts] = at[starts]
+    data, ends = packed(gaps)
+    offsets = np.append(0, ends[np.append(starts[1:], len(at)) - 1]).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    after = lambda one, kind: pa.concat_arrays([pa.array([one], kind), pa.nulls(len(starts), kind)])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.append(TEXTS, grams[starts])),
+            pa.array(np.full(len(starts) + 1, uuid.uuid4().int >> 65)),
+            pa.concat_arrays([pa.nulls(1, pa.binary()), lists]),
+            after([key for key, _ in texts], pa.list_(pa.int64())),
+            after(np.cumsum(spans) - spans, pa.list_(pa.int32())),
+        ],
+        ["gram", "block", "at", "keys", "begins"],
+    )
+
+
 def build(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the index of ``docs`` and return it."""
+    most = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
+        held, size = [], 0
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                points = np.frombuffer(content.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-                if not len(points):
-                    continue
-                points = np.concatenate([points, [MARK, MARK]])
-                grams = points[:-2] << 2 * BITS | points[1:-1] << BITS | points[2:]
-                order = np.argsort(grams, kind="stable")
-                starts = np.flatnonzero(np.diff(grams[order], prepend=-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), pa.array(order.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[order][starts]), pa.array(np.full(len(starts), name)), lists], ["gram", "key", "at"])
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                for name, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    points = np.frombuffer(content.encode("utf-32-le"), dtype=np.uint32)
+                    if held and size + len(points) > most:
+                        yield block(held)
+                        held, size = [], 0
+                    if len(points):
+                        held.append((name, points))
+                        size += len(points)
+        if held:
+            yield block(held)
 
     spark, path = docs.sparkSession, path or scratch(docs.sparkSession, "trigrams")
     rows = docs.select(F.col(key).cast("long"), F.lower(text).alias("text")).where(F.col(key).isNotNull() & F.col("text").isNotNull())
-    rows.mapInArrow(run, INDEX).repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, INDEX).sortWithinPartitions("gram", "block").write.option("compression", "zstd").option("parquet.block.size", GROUP).parquet(path)
     return opened(spark, path)
 
 
@@ -72,12 +131,11 @@ def asked(spark: SparkSession, wanted: list[str]) -> list[tuple]:
 
 
 def read(index: DataFrame, parts: list[tuple]) -> DataFrame:
-    """The index's rows of these trigrams; few of them are filters of the scan."""
+    """The index's rows of these trigrams and of the blocks' texts; few trigrams are filters of the scan."""
     ranges = sorted({(low, high) for *_, low, high in parts})
     if len(ranges) > FILTERED:
         return index
-    one = [low for low, high in ranges if low == high]
-    kept: Column = F.col("gram").isin(one) if one else F.lit(False)
+    kept: Column = F.col("gram").isin([TEXTS, *(low for low, high in ranges if low == high)])
     for low, high in ranges:
         if low < high:
             kept = kept | F.col("gram").between(low, high)
@@ -86,15 +144,38 @@ def read(index: DataFrame, parts: list[tuple]) -> DataFrame:
 
 def found(index: DataFrame, wanted: list[str]) -> DataFrame:
     """Rows (wanted, key, starts): where each text begins, overlaps included, ascending from 0."""
-    spark = index.sparkSession
-    parts = asked(spark, wanted)
-    p = F.broadcast(spark.createDataFrame(parts, "wanted string, size int, parts int, distance int, low long, high long"))  # the caller's own list
-    met = read(index, parts).join(p, F.col("gram").between(F.col("low"), F.col("high")))
-    shifted = F.transform("at", lambda x: x - F.col("distance"))
-    each = met.groupBy("wanted", "parts", "key", "distance").agg(F.flatten(F.collect_list(shifted)).alias("at"))
-    lists = each.groupBy("wanted", "parts", "key").agg(F.collect_list("at").alias("lists")).where(F.size("lists") == F.col("parts"))
-    common = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.element_at("lists", 1), F.array_intersect)
-    return lists.select("wanted", "key", F.array_sort(F.array_distinct(common)).alias("starts")).where(F.size("starts") > 0)
+    parts = asked(index.sparkSession, wanted)
+    covers: dict[str, list[tuple[int, int, int]]] = {}
+    for t, _, _, *cover in parts:
+        covers.setdefault(t, []).append(tuple(cover))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("gram")
+        grams, lists = rows.column("gram").to_numpy(), rows.column("at").combine_chunks()
+        keys, begins = (rows.column(c)[0].values.to_numpy() for c in ("keys", "begins"))
+
+        def places(low: int, high: int) -> np.ndarray:
+            met = range(np.searchsorted(grams, low), np.searchsorted(grams, high, "right"))
+            return np.sort(np.concatenate([np.empty(0, np.int64), *(np.cumsum(unpacked(np.frombuffer(lists[i].as_buffer(), np.uint8))) for i in met)]))
+
+        out = [pa.table({"wanted": pa.array([], pa.string()), "key": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int32()))})]
+        for t, cover in covers.items():
+            common = None
+            for distance, low, high in cover:
+                at = places(low, high) - distance
+                common = at if common is None else np.intersect1d(common, at, assume_unique=True)
+                if not len(common):
+                    break
+            else:
+                which = np.searchsorted(begins, common, "right") - 1
+                cut = np.flatnonzero(np.diff(which, prepend=-1))
+                starts = pa.ListArray.from_arrays(pa.array(np.append(cut, len(which)).astype(np.int32)), pa.array((common - begins[which]).astype(np.int32)))
+                out.append(pa.table({"wanted": pa.array([t] * len(cut), pa.string()), "key": pa.array(keys[which[cut]]), "starts": starts}))
+        return pa.concat_tables(out)
+
+    run.__annotations__ = {"rows": pa.Table, "return": pa.Table}
+    met = read(index, parts).groupBy("block").applyInArrow(run, FOUND)
+    return met.groupBy("wanted", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
 
 
 def counted(index: DataFrame, wanted: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,30 @@ def test_few_trigrams_open_few_row_groups(spark, real_docs):
     assert {tuple(r) for r in trigram_index.counted(index, ["tion of", "er"]).collect()} == unfiltered
 
 
+def test_gaps_come_back():
+    numbers = np.array([0, 1, 127, 128, 16_383, 16_384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1, 1 << 28, (1 << 31) - 1, 0])
+    data, ends = trigram_index.packed(numbers)
+    assert trigram_index.unpacked(data).tolist() == numbers.tolist() and np.diff(ends, prepend=0).tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 1]
+
+
+@pytest.mark.parametrize("size", [1, 30, 200])
+def test_places_are_the_same_in_blocks_of_any_size(spark, size, monkeypatch):
+    monkeypatch.setattr(trigram_index, "BLOCK", size)
+    index = trigram_index.build(spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(2))
+    assert {(r.wanted, r.key): r.starts for r in trigram_index.found(index, WANTED).collect()} == brute(WANTED)
+
+
+def test_rows_of_one_key_are_searched_each_by_itself(spark):
+    index = trigram_index.build(spark.createDataFrame([(1, "abc.."), (1, "..cde"), (1, "-abcde")], "doc_id long, text string"))
+    assert [tuple(r) for r in trigram_index.found(index, ["abcde"]).collect()] == [("abcde", 1, [1])]
+
+
+def test_the_index_has_few_small_rows(spark, real_docs, tmp_path):
+    letters = real_docs.select(F.sum(F.length("text"))).first()[0]
+    index = trigram_index.build(real_docs, str(tmp_path / "index"))
+    assert index.count() < letters / 20 and sum(f.stat().st_size for f in (tmp_path / "index").glob("*.parquet")) < 2.1 * letters
+
+
 @pytest.fixture(scope="module")
 def real_docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
