@@ -21,7 +21,10 @@ def by_slices(column: pa.Array, make: Callable[[list], list], kind: pa.DataType,
     """``make`` of an Arrow column's values, a few rows at a time: Python's copies of a batch's texts are many times its size."""
     size = size or SLICE
     parts = [pa.array(make(column.slice(i, size).to_pylist()), kind) for i in range(0, len(column), size)]
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+    out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    parts.clear()
+    pa.default_memory_pool().release_unused()  # else a worker keeps the pages of earlier batches' parts
+    return out
 
 
 def same_json(a: Column, b: Column) -> Column:

@@ -29,6 +29,20 @@ def test_texts_of_a_batch_are_not_all_python_objects(monkeypatch):
     assert text._unescape(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_memory_of_the_parts_is_given_back(monkeypatch):
+    texts, held, pool = pa.array(LONG), [], pa.default_memory_pool()
+    before = pool.bytes_allocated()
+
+    class Pool:
+        def release_unused(self):
+            held.append(pool.bytes_allocated() - before)
+            pool.release_unused()
+
+    monkeypatch.setattr(text.pa, "default_memory_pool", Pool)
+    out = text.by_slices(texts, lambda part: part, pa.string())
+    assert out.equals(texts) and len(held) == 1 and held[0] < 1.2 * out.nbytes
+
+
 def test_an_embedder_is_given_bounded_lists(spark):
     counted = models.Embedder(lambda texts: [[float(len(texts)), float(len(t))] for t in texts])
     df = spark.range(0, 3000, 1, 1).select("id", F.concat(F.lit("a"), F.col("id").cast("string")).alias("t"))
