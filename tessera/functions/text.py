@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SENTENCE_END = r"(?U)(?<=[.。?？!！])\s+"
 MERGE_BELOW = 50
 SPACE = r"(?U)\s"
+#: Escaped halves of a surrogate pair.
+HIGH, LOW = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 #: Rows of an Arrow batch that are Python objects at once.
 SLICE = 128
 
@@ -119,6 +121,7 @@ def escaped_cjk(text: Column) -> Column:
 
 
 def _unescape(texts: pa.Array) -> pa.Array:
+    """unescaped() in Python, which gives the same."""
     code = re.compile(r"(?:\\u[0-9a-fA-F]{4})+")
 
     def back(m):
@@ -129,8 +132,13 @@ def _unescape(texts: pa.Array) -> pa.Array:
 
 
 def unescaped(text: Column) -> Column:
-    """Each backslash, u and four hexadecimal digits as its character; halves of a surrogate pair that stand side by side join."""
-    return F.arrow_udf(_unescape, "string")(text)
+    """Each backslash, u and four hexadecimal digits as its character; halves of a surrogate pair that stand side by side join, a lone one is U+FFFD.
+
+    JSON strings have the same escapes: the text is read as one, its quotes and other backslashes escaped."""
+    paired = F.regexp_replace(text, f"{HIGH}(?!{LOW})|(?<!{HIGH}){LOW}", r"\\ufffd")
+    quoted = F.regexp_replace(paired, r'\\(?!u[0-9a-fA-F]{4})|"', r"\\$0")
+    options = {"mode": "FAILFAST", "allowUnquotedControlChars": "true", "maxStringLen": str(2**31 - 1)}
+    return F.from_json(F.concat(F.lit('{"t":"'), quoted, F.lit('"}')), "t string", options)["t"]
 
 
 def without_literal_newlines(text: Column) -> Column:
